@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, toxicity, url_filter
+from . import bpe, decontaminate, language_id, simhash, toxicity, url_filter
 from .common import documents, held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -45,7 +49,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_benchmark_decontamination, op8_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_benchmark_decontamination, op7_simhash, op8_url_filter, op9_bpe)}
 
 
 _OP8_SQL = """
