@@ -101,6 +101,11 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def hash_bound(share: float) -> int:
+    """The signed 64-bit bound below which a share of all hashes lies."""
+    return min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, share)))
+
+
 def crc_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 

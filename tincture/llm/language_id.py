@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, held_out, raw, slices, splitmix, tune
+from .common import U64, hash_bound, held_out, raw, slices, splitmix, tune
 
 #: ASCII letters lower-cased, other ASCII as a space; bytes of longer characters stay.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -120,8 +120,8 @@ def fit(
     if len(languages) > 64:
         raise ValueError("a mask holds 64 languages")
     # A threshold on the hash takes about the bound's number of texts without sorting a language in one task.
-    bounds = {k: -(2**63) + int(2**64 * min(1.0, texts_per_language / counts[k])) - 1 for k in languages}
-    limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(bounds[k], 2**63 - 1)))])
+    bounds = {k: hash_bound(texts_per_language / counts[k]) for k in languages}
+    limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(bounds[k]))])
     sample = rows.where(F.col("draw") <= limit[F.col("lang")]).drop("draw")
 
     def count(batches):

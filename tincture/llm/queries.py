@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, simhash, toxicity, url_filter
+from . import bpe, decontaminate, embedding_dedup, language_id, simhash, toxicity, url_filter
 from .common import documents, held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -48,8 +48,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_benchmark_decontamination, op7_simhash, op8_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_benchmark_decontamination, op7_simhash, op8_url_filter, op9_bpe, op10_embedding_dedup)}
 
 
 _OP8_SQL = """

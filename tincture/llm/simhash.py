@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, slices, text_bytes, tune
+from .common import U64, Scratch, hash_bound, slices, text_bytes, tune
 from .components import Forest, components
 
 _XXH64 = xxhash.xxh64_intdigest
@@ -119,7 +119,7 @@ def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> Data
     count = points.count()
     levels = levels or (2 if count < 1_000_000 else 3 if count < 30_000_000 else 4)
     share = min(1.0, 8192 / max(1, count))
-    sample = points.where(F.xxhash64("fp") < F.lit(-(2**63) + int(2**64 * share) - 1)).select("fp").limit(20_000).toArrow()
+    sample = points.where(F.xxhash64("fp") <= F.lit(hash_bound(share))).select("fp").limit(20_000).toArrow()
     vantage = choose_vantage_points(np.sort(sample.column("fp").to_numpy().view(U64)), levels)
     signed = [v - (1 << 64) if v >> 63 else v for v in vantage]
     rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v).cast("long"))) for v in signed]

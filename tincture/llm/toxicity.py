@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, slices, tune
+from .common import crc_of, hash_bound, slices, tune
 
 _WORDS = regex.compile(r"\p{L}+")
 #: Kinds of identity terms whose members are swapped for each other.
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_
     known = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).select(
         "doc_id", F.col(label_col).cast("int").alias("_y"), F.xxhash64("doc_id").alias("_draw"))
     counts = dict(known.groupBy("_y").count().collect())
-    bound = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, texts_per_class / max(1, counts.get(k, 1)))))))])
+    bound = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(hash_bound(texts_per_class / max(1, counts.get(k, 1)))))])
     sample = known.where(F.col("_draw") <= bound[F.col("_y")]).drop("_draw").limit(3 * texts_per_class)
     texts = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= characters))
     joined = texts.join(F.broadcast(sample), "doc_id").select("_y", "_t", "doc_id")  # ids of a sample of stated size
