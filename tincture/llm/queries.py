@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, pii, simhash, toxicity, url_filter
+from . import bpe, decontaminate, embedding_dedup, language_id, passage_dedup, pii, simhash, substring_dedup, toxicity, url_filter
 from .common import documents, held_out
 
 #: A deployment sets a key of its own; a fixed one makes the registered query repeatable.
@@ -19,6 +19,14 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -59,7 +67,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_benchmark_decontamination, op6_pii, op7_simhash, op8_url_filter, op9_bpe, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_passage_dedup, op3_toxicity, op4_language_id, op5_benchmark_decontamination, op6_pii, op7_simhash, op8_url_filter, op9_bpe, op10_embedding_dedup)}
 
 
 _OP8_SQL = """
