@@ -7,7 +7,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -25,3 +26,43 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session; where it names none (tests, one machine) a local one is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="tincture-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and forget how it came about, so that loops keep short plans."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: Up to so many rows a rank is taken in one task; beyond it by range partitions.
+ONE_TASK_ROWS = 200_000
+
+
+def ranked(df: DataFrame, order: list[str], name: str, start: int = 0, rows: int | None = None) -> DataFrame:
+    """Number rows densely from ``start`` by ``order``.
+
+    ``rows``: how many there are, if known. Few are numbered by a window; otherwise they are range-partitioned, sorted and
+    numbered within partitions, with each partition's offset from the partitions' counts, so that no task sees all rows.
+    """
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    counts = dict(placed.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    offsets, total = [], start
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(total)
+        total += counts.get(p, 0)
+    if not offsets:
+        return placed.withColumn(name, F.lit(start).cast("long"))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.spark_partition_id()) + within)

@@ -1,0 +1 @@
+"""The reference semantics are batch only: there are no streaming operators, and none are invented here."""
