@@ -1,9 +1,288 @@
 """Every registered query of the engine with its SQL equivalent."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import folds, report, steps
+from ..functions.formats import percent, two_decimals
+from ..operators import coloring, features, gradual, hierarchy, quasi_stable, statistics
+from ..sources import builders
+from . import oracle as sql
+
+_BUILD = {"ep": builders.event_paths, "cp": builders.conversation_paths, "os": builders.order_stars, "cs": builders.customer_suppliers}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
+    _QUERIES[name] = run
+    if oracle:
+        _ORACLES[name] = oracle
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _wl(spark, sf_dir, fixture, h, **options):
+    colored = coloring.initial_coloring(_BUILD[fixture](spark, sf_dir))
+    coloring.WeisfeilerLeman(colored, h, **options).refine()
+    return colored
+
+
+
+# Collections and their statistics.
+for _f in _BUILD:
+    _register(
+        f"graph_stats_{_f}", lambda s, d, f=_f: statistics.analyze(_BUILD[f](s, d)),
+        sql.query(_f, body="""SELECT (SELECT count(DISTINCT gid) FROM v) AS graphs, (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM half) AS edges,
+  (SELECT count(*) FROM v) / (SELECT count(DISTINCT gid) FROM v) AS mean_nodes, (SELECT count(*) FROM half) / (SELECT count(DISTINCT gid) FROM v) AS mean_edges,
+  (SELECT count(DISTINCT graph_label) FROM g WHERE gid IN (SELECT gid FROM v)) AS graph_labels, (SELECT count(DISTINCT label) FROM v) AS node_labels, (SELECT count(DISTINCT label) FROM e) AS edge_labels"""))
+    _register(
+        f"degree_hist_{_f}", lambda s, d, f=_f: statistics.degree_histogram(_BUILD[f](s, d)),
+        sql.query(_f, body="SELECT degree, count(*) AS n FROM (SELECT src, count(*) AS degree FROM e GROUP BY src) GROUP BY degree"))
+    _register(
+        f"edges_{_f}", lambda s, d, f=_f: _BUILD[f](s, d).edges.select("src", "dst", "gid", "label"), sql.query(_f, body="SELECT src, dst, gid, label FROM e"))
+
+
+def _distinct_labels(s, d):
+    rows = []
+    for f, build in _BUILD.items():
+        g = build(s, d)
+        rows.append((f, g.has_distinct_node_labels(), g.has_distinct_edge_labels()))
+    return s.createDataFrame(rows, "collection string, node_labels boolean, edge_labels boolean")
+
+
+_register("has_distinct_labels", _distinct_labels, """SELECT 'ep' AS collection, (SELECT count(DISTINCT event_type) > 1 FROM events) AS node_labels, false AS edge_labels
+UNION ALL SELECT 'cp', (SELECT count(DISTINCT role) > 1 FROM conversations), false
+UNION ALL SELECT 'os', true, (SELECT count(DISTINCT f) > 1 FROM (SELECT max(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey, l_partkey))
+UNION ALL SELECT 'cs', true, false""")
+_register("initial_colors_ep", lambda s, d: coloring.initial_coloring(_BUILD["ep"](s, d)).level().colors(), sql.query("ep", sql.initial(), body="SELECT vid, gid, color FROM c0"))
+_register(
+    "initial_colors_unlabelled_cs", lambda s, d: coloring.initial_coloring(_BUILD["cs"](s, d).without_node_labels()).level().colors(),
+    sql.query("cs", sql.initial(False), body="SELECT vid, gid, color::BIGINT AS color FROM c0"))
+
+# Weisfeiler-Leman.
+for _h in (1, 2, 3):
+    _register(
+        f"wl{_h}_hist_ep", lambda s, d, h=_h: features.features(_wl(s, d, "ep", h)),
+        sql.query("ep", sql.initial(), *(sql.wl(k) for k in range(1, _h + 1)), sql.stack(_h), body="SELECT step, gid, color, count(*) AS cnt FROM st GROUP BY ALL"))
+_register("wl2_colors_cp", lambda s, d: _wl(s, d, "cp", 2).colors(), sql.query("cp", sql.initial(), sql.wl(1), sql.wl(2), sql.stack(2), body="SELECT step, vid, gid, color FROM st"))
+_register(
+    "wl2_edge_labels_os", lambda s, d: statistics.class_sizes(_wl(s, d, "os", 2)),
+    sql.query("os", sql.initial(), sql.wl(1, True), sql.wl(2, True), body="SELECT color, count(*) AS n FROM c2 GROUP BY color"))
+_register(
+    "wl2_num_colors_cs", lambda s, d: s.createDataFrame([(k, lv.n_colors) for k, lv in enumerate(_wl(s, d, "cs", 2).levels)], "step int, n_colors long"),
+    sql.query("cs", sql.initial(), sql.wl(1), sql.wl(2), sql.stack(2), body="SELECT step, count(DISTINCT color) AS n_colors FROM st GROUP BY step"))
+_register(
+    "wl1_class_sizes_cs", lambda s, d: statistics.class_sizes(_wl(s, d, "cs", 1)),
+    sql.query("cs", sql.initial(), sql.wl(1), body="SELECT color, count(*) AS n FROM c1 GROUP BY color"))
+_register(
+    "wl1_concat_cp", lambda s, d: statistics.class_sizes(_wl(s, d, "cp", 1, signature="concat")),
+    sql.query("cp", sql.initial(), """
+n1 AS (SELECT e.src, list_aggregate(list_sort(list(CAST(c.color AS VARCHAR))), 'string_agg', '') AS sig FROM e JOIN c0 c ON e.dst = c.vid GROUP BY e.src),
+k1 AS (SELECT c.vid, min(c.vid) OVER (PARTITION BY CAST(c.color AS VARCHAR) || coalesce(n.sig, '')) AS cls FROM c0 c LEFT JOIN n1 n ON n.src = c.vid),
+k2 AS (SELECT (SELECT max(color) FROM c0) + dense_rank() OVER (ORDER BY cls) AS color FROM k1)""", body="SELECT color, count(*) AS n FROM k2 GROUP BY color"))
+
+
+def _stable(s, d):
+    colored = coloring.initial_coloring(_BUILD["cp"](s, d))
+    runner = coloring.WeisfeilerLeman(colored)
+    runner.refine_until_stable()
+    return s.createDataFrame([(k, lv.n_colors, lv.start) for k, lv in enumerate(colored.levels)], "step int, n_colors long, first_color long")
+
+
+_register("wl_until_stable_cp", _stable)
+_register(
+    "color_stacks_cp", lambda s, d: _wl(s, d, "cp", 2).stacks().select("vid", F.array_join("stack", ",").alias("stack")),
+    sql.query("cp", sql.initial(), sql.wl(1), sql.wl(2), body="SELECT vid, c0.color || ',' || c1.color || ',' || c2.color AS stack FROM c0 JOIN c1 USING (vid) JOIN c2 USING (vid)"))
+_register(
+    "stack_prefix_colors_cp", lambda s, d: _wl(s, d, "cp", 2).palette(1),
+    sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), body="SELECT DISTINCT color FROM st"))
+
+# Features and kernels.
+_ST2 = (sql.initial(), sql.wl(1), sql.wl(2), sql.stack(2))
+_FT = "ft AS (SELECT gid, color, count(*) AS cnt FROM st GROUP BY gid, color)"
+_register("feature_vector_ep", lambda s, d: features.feature_vector(_wl(s, d, "ep", 2)), sql.query("ep", *_ST2, body="SELECT color, count(*) AS cnt FROM st GROUP BY color"))
+_register(
+    "feature_map_ep",
+    lambda s, d: features.feature_maps(features.features(_wl(s, d, "ep", 2))).select("gid", F.array_join(F.transform(F.map_entries("features"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",").alias("features")),
+    sql.query("ep", *_ST2, _FT, body="SELECT gid, string_agg(color || ':' || cnt, ',' ORDER BY color) AS features FROM ft GROUP BY gid"))
+_register(
+    "sparse_matrix_cp",
+    lambda s, d: features.sparse_matrix(r := features.features(_wl(s, d, "cp", 2)), features.matrix_shape(r)[1]).select("gid", "size", F.array_join("indices", ",").alias("indices"), F.array_join(F.transform("values", lambda x: x.cast("long")), ",").alias("vals")),
+    sql.query("cp", *_ST2, _FT, body="SELECT gid, (SELECT max(color) + 1 FROM ft) AS size, string_agg(CAST(color AS VARCHAR), ',' ORDER BY color) AS indices, string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY color) AS vals FROM ft GROUP BY gid"))
+_DOT = "k AS (SELECT a.gid AS g1, b.gid AS g2, CAST(sum(a.cnt * b.cnt) AS DOUBLE) AS k FROM ft a JOIN ft b ON a.color = b.color GROUP BY ALL)"
+_register("kernel_dot_wl2_cp", lambda s, d: features.kernel(features.features(_wl(s, d, "cp", 2)), "dot"), sql.query("cp", *_ST2, _FT, _DOT, body="SELECT g1, g2, k FROM k"))
+_register(
+    "kernel_cosine_wl2_cp", lambda s, d: features.kernel(features.features(_wl(s, d, "cp", 2)), "cosine").withColumn("k", F.round("k", 9)),
+    sql.query("cp", *_ST2, _FT, _DOT, "nm AS (SELECT gid, sqrt(sum(cnt * cnt)) AS norm FROM ft GROUP BY gid)", body="SELECT g1, g2, round(k / (a.norm * b.norm), 9) AS k FROM k JOIN nm a ON a.gid = g1 JOIN nm b ON b.gid = g2"))
+_register(
+    "stitch_steps_ep", lambda s, d: features.stitch(features.features(_wl(s, d, "ep", 2)), [0, 2]),
+    sql.query("ep", *_ST2, body="SELECT step, gid, color, count(*) AS cnt FROM st WHERE step IN (0, 2) GROUP BY ALL"))
+
+# Quasi-stable colouring.
+def _qsc(s, d, f, n, labelled=True, **options):
+    graph = _BUILD[f](s, d) if labelled else _BUILD[f](s, d).without_node_labels()
+    runner = quasi_stable.QuasiStable(coloring.initial_coloring(graph), **options)
+    for _ in range(n):
+        runner.refine_one_step()
+    return runner
+
+
+_register("qsc0_errors_cs", lambda s, d: _qsc(s, d, "cs", 0).statistics, sql.query("cs", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), body="SELECT bi, bj, n, s, upper, lower, error FROM x0"))
+_register(
+    "qsc1_witness_cs", lambda s, d: _qsc(s, d, "cs", 0).witnesses().select("bi", "bj", "error"),
+    sql.query("cs", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), body="SELECT bi, bj, error FROM x0 WHERE error >= (SELECT max(error) FROM x0)"))
+_register("qsc1_blocks_cs", lambda s, d: _qsc(s, d, "cs", 1).blocks, sql.query("cs", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), body="SELECT vid, gid, block FROM b1"))
+_register(
+    "qsc2_blocks_ep", lambda s, d: _qsc(s, d, "ep", 2).blocks,
+    sql.query("ep", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2), body="SELECT vid, gid, block FROM b2"))
+_register(
+    "qsc1_blocks_unlabelled_cs", lambda s, d: _qsc(s, d, "cs", 1, False).blocks,
+    sql.query("cs", sql.initial(False), sql.qsc0(False), sql.qsc_statistics(0), sql.qsc_step(1), body="SELECT vid, gid, block FROM b1"))
+_register(
+    "qsc_weighted_errors_os", lambda s, d: _qsc(s, d, "os", 0, size_weighted=True).statistics,
+    sql.query("os", sql.initial(), sql.qsc0(), sql.qsc_statistics(0, "n"), body="SELECT bi, bj, n, s, upper, lower, error FROM x0"))
+_register(
+    "qsc2_colors_ep", lambda s, d: _qsc(s, d, "ep", 2).colored.colors().groupBy("step", "color").agg(F.count("*").alias("n")),
+    sql.query("ep", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2),
+              "m AS (SELECT max(color) + 1 AS first FROM c0), m1 AS (SELECT first + (SELECT max(block) + 1 FROM b1) AS first FROM m)",
+              body="SELECT 0 AS step, color, count(*) AS n FROM c0 GROUP BY color UNION ALL SELECT 1, first + block, count(*) FROM b1, m GROUP BY ALL UNION ALL SELECT 2, first + block, count(*) FROM b2, m1 GROUP BY ALL"))
+
+# Hierarchy and palette.
+_TREE = "SELECT 0 AS level, 0::BIGINT AS parent, color AS child FROM c0 UNION SELECT 1, c0.color, c1.color FROM c0 JOIN c1 USING (vid) UNION SELECT 2, c1.color, c2.color FROM c1 JOIN c2 USING (vid)"
+_register("color_tree_edges_ep", lambda s, d: hierarchy.tree_edges(_wl(s, d, "ep", 2)), sql.query("ep", *_ST2, body=_TREE))
+_register(
+    "tree_nodes_ep", lambda s, d: hierarchy.tree_nodes(_wl(s, d, "ep", 2)),
+    sql.query("ep", *_ST2, body="SELECT CAST(step + 1 AS INT) AS level, color, count(*) AS vertices FROM st GROUP BY ALL UNION ALL SELECT 0, 0, count(*) FROM v"))
+_register(
+    "tree_levels_ep", lambda s, d: hierarchy.levels(_wl(s, d, "ep", 1)).select("level", F.array_join("colors", ",").alias("colors")),
+    sql.query("ep", sql.initial(), sql.wl(1), sql.stack(1), body="SELECT CAST(level AS INT) AS level, string_agg(CAST(color AS VARCHAR), ',' ORDER BY color) AS colors FROM (SELECT DISTINCT step + 1 AS level, color FROM st UNION ALL SELECT 0, 0) GROUP BY level"))
+_register("tree_leaves_ep", lambda s, d: hierarchy.leaves(_wl(s, d, "ep", 2)), sql.query("ep", *_ST2, body="SELECT DISTINCT color FROM c2"))
+_register(
+    "tree_preorder_cp", lambda s, d: hierarchy.preorder(_wl(s, d, "cp", 1)).select("path", "level", "parent", "child"),
+    sql.query("cp", sql.initial(), sql.wl(1), body="SELECT DISTINCT lpad(CAST(color AS VARCHAR), 20, '0') AS path, 0 AS level, 0::BIGINT AS parent, color AS child FROM c0 UNION ALL SELECT DISTINCT lpad(CAST(c0.color AS VARCHAR), 20, '0') || '/' || lpad(CAST(c1.color AS VARCHAR), 20, '0'), 1, c0.color, c1.color FROM c0 JOIN c1 USING (vid)"))
+_register(
+    "tree_layout_cp", lambda s, d: hierarchy.layout(_wl(s, d, "cp", 1)).select("level", "color", F.round("x", 9).alias("x"), "y"),
+    sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), "nd AS (SELECT DISTINCT step + 1 AS level, color FROM st UNION ALL SELECT 0, 0), nx AS (SELECT level, color, row_number() OVER (PARTITION BY level ORDER BY color) - 1 AS i, count(*) OVER (PARTITION BY level) AS n FROM nd)",
+              body="SELECT CAST(level AS INT) AS level, color, round(CAST(CASE WHEN n = 1 THEN -level ELSE -level + 2.0 * level * i / (n - 1) END AS DOUBLE), 9) AS x, CAST(-level AS DOUBLE) AS y FROM nx"))
+_HEX = "pal AS (SELECT unnest(range(40)) AS i, unnest([" + ",".join(f"'{c}'" for c in hierarchy.PALETTE) + "]) AS hex)"
+_register(
+    "palette_by_frequency_ep", lambda s, d: hierarchy.palette_by_frequency(statistics.class_sizes(_wl(s, d, "ep", 1))),
+    sql.query("ep", sql.initial(), sql.wl(1), _HEX, "rk AS (SELECT color, row_number() OVER (ORDER BY count(*) DESC, color) - 1 AS i FROM c1 GROUP BY color)", body="SELECT color, hex FROM rk LEFT JOIN pal USING (i)"))
+_register(
+    "palette_consecutive", lambda s, d: hierarchy.palette_consecutively(_wl(s, d, "ep", 1).palette()),
+    sql.query("ep", sql.initial(), sql.wl(1), sql.stack(1), _HEX, body="SELECT DISTINCT color, hex FROM st LEFT JOIN pal ON i = color"))
+_register(
+    "drawing_cp", lambda s, d: hierarchy.drawing(_wl(s, d, "cp", 1), true_coloring=True),
+    sql.query("cp", sql.initial(), sql.wl(1), _HEX, body="SELECT vid, color, coalesce(hex, '#cccccc') AS hex, vid || ' [' || color || ']' AS text FROM c1 LEFT JOIN pal ON i = color"))
+
+# Choosing steps. The log is a fixed trace.
+_TRACE = [(0, 16.0), (1, 18.0), (2, 12.0), (3, 12.0), (4, 7.0), (5, 3.0), (6, 1.0), (7, 0.0)]
+_LOG = "log(step, q) AS (VALUES " + ", ".join(f"({s}, {q})" for s, q in _TRACE) + "),\nds AS (SELECT step, q FROM (SELECT *, min(q) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM log) WHERE b IS NULL OR q < b),\nnr AS (SELECT row_number() OVER (ORDER BY step) AS i, step, q FROM ds)"
+
+
+def _log(s):
+    return s.createDataFrame(_TRACE, "step int, max_q_error double")
+
+
+def _fold_sql(ratio, repeat):
+    ok = "n.q <= w.t" + ("" if repeat else " AND n.step <> w.a[len(w.a)]")
+    return f"""WITH RECURSIVE {_LOG},
+w(i, t, a) AS (SELECT 0, 16.0 * {ratio}, [0] UNION ALL SELECT w.i + 1, CASE WHEN {ok} THEN w.t * {ratio} ELSE w.t END, CASE WHEN {ok} THEN list_append(w.a, n.step) ELSE w.a END FROM w JOIN nr n ON n.i = w.i + 1),
+z AS (SELECT a FROM w WHERE i = (SELECT max(i) FROM nr))"""
+
+
+def _joined(rows):
+    return rows.select("param", F.array_join(F.transform("steps", lambda x: x.cast("string")), ",").alias("steps"))
+
+
+_register("q_descending", lambda s, d: steps.strictly_descending(_log(s)), f"WITH {_LOG} SELECT step, CAST(q AS DOUBLE) AS max_q_error FROM ds")
+for _r in (0.3, 0.5, 0.7):
+    _register(
+        f"steps_q_ratio_{int(_r * 10)}", lambda s, d, r=_r: _joined(steps.anchors_by_ratio(_log(s), r)),
+        _fold_sql(_r, False) + " SELECT CAST(p AS INT) AS param, array_to_string(a[1:p + 1], ',') AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
+_register(
+    "steps_q_half", lambda s, d: _joined(steps.anchors_by_halving(_log(s))),
+    _fold_sql(0.5, True) + " SELECT CAST(p AS INT) AS param, array_to_string(a[1:p + 1], ',') AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
+_register(
+    "steps_q_half_inbetween", lambda s, d: _joined(steps.anchors_by_halving(_log(s), True, True)),
+    _fold_sql(0.5, True) + " SELECT CAST(p AS INT) AS param, (SELECT string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) FROM nr WHERE i <= p + 1) AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
+for _n, _desc in (("steps_h_grid", False), ("steps_h_grid_descending", True)):
+    _register(
+        _n, lambda s, d, desc=_desc: _joined(steps.steps_by_position(_log(s), [0, 1, 2, 16], desc)),
+        f"WITH {_LOG}, src AS (SELECT row_number() OVER (ORDER BY step) - 1 AS i, step FROM {'ds' if _desc else 'log'}) SELECT CAST(p AS INT) AS param, string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) AS steps FROM (VALUES (0), (1), (2), (16)) t(p) JOIN src ON i <= p WHERE p < (SELECT count(*) FROM src) GROUP BY p")
+
+# Cross-validation results: a table derived from orders, whole.
+_CVSQL = "cv AS (SELECT CAST(o_custkey % 5 AS INT) AS trial, CAST(o_orderkey % 10 AS INT) AS fold, CAST(power(10, o_orderkey % 3 - 1) AS DOUBLE) AS C, CAST(o_custkey % 7 AS INT) AS param, CAST(o_orderkey % 101 AS DOUBLE) AS accuracy FROM orders)"
+
+
+def _cv(s, d):
+    c = F.when(F.col("o_orderkey") % 3 == 0, 0.1).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(10.0)
+    return s.read.parquet(f"{d}/orders.parquet").select(
+        (F.col("o_custkey") % 5).cast("int").alias("trial"), (F.col("o_orderkey") % 10).cast("int").alias("fold"), c.alias("C"), (F.col("o_custkey") % 7).cast("int").alias("param"), (F.col("o_orderkey") % 101).cast("double").alias("accuracy"))
+
+
+_register(
+    "report_param_freq", lambda s, d: report.parameter_frequency(_cv(s, d)).select("param", "n", percent(F.col("share")).alias("share")),
+    f"WITH {_CVSQL} SELECT param, count(*) AS n, printf('%.2f', 100.0 * count(*) / (SELECT count(*) FROM cv)) || '%' AS share FROM cv GROUP BY param")
+_register("report_per_trial", lambda s, d: report.per_trial(_cv(s, d)).select("trial", F.round("accuracy", 9).alias("accuracy")), f"WITH {_CVSQL} SELECT trial, round(avg(accuracy), 9) AS accuracy FROM cv GROUP BY trial")
+_register(
+    "report_summary", lambda s, d: report.summary(_cv(s, d)).select(F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std")),
+    f"WITH {_CVSQL}, t AS (SELECT avg(accuracy) AS a FROM cv GROUP BY trial) SELECT round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS std FROM t")
+_register(
+    "inner_accuracy", lambda s, d: report.inner_accuracy(_cv(s, d)).withColumn("accuracy", F.round("accuracy", 9)),
+    f"WITH {_CVSQL} SELECT trial, fold, param, round(C, 9) AS C, round(avg(accuracy), 9) AS accuracy FROM cv GROUP BY ALL")
+_register(
+    "best_params", lambda s, d: report.best_parameters(report.inner_accuracy(_cv(s, d)).withColumn("accuracy", F.round("accuracy", 9)), list(range(7)), [0.1, 1.0, 10.0]),
+    f"WITH {_CVSQL}, i AS (SELECT trial, fold, param, round(C, 9) AS C, round(avg(accuracy), 9) AS accuracy FROM cv GROUP BY ALL) SELECT trial, fold, param, C, accuracy FROM i QUALIFY row_number() OVER (PARTITION BY trial, fold ORDER BY accuracy DESC, param, C) = 1")
+_register(
+    "formatted_prices", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", two_decimals(F.col("o_totalprice")).alias("price")),
+    "SELECT o_orderkey, printf('%.2f', o_totalprice) AS price FROM orders")
+_register(
+    "strat_folds", lambda s, d: folds.stratified_folds(_BUILD["ep"](s, d).graphs, 10, 3),
+    sql.query("ep", body="SELECT gid, graph_label, CAST((row_number() OVER (PARTITION BY graph_label ORDER BY (gid * 7919 + 3) % 104729, gid) - 1) % 10 AS INT) AS fold FROM g"))
+
+# Gradual refinement: with as many clusters as histograms one step is an exact step with the same classes.
+def _gwl(s, d, f, h, k, **options):
+    return gradual.GradualRefinement(coloring.initial_coloring(_BUILD[f](s, d)), h, k, **options).refine()
+
+
+def _sizes(colored):
+    own = colored.level().colors().groupBy("gid", "color").agg(F.count("*").alias("n"))
+    return own.groupBy("gid", "n").agg(F.count("*").alias("classes"))
+
+
+_register(
+    "gwl_bigk_hist_ep", lambda s, d: _sizes(_gwl(s, d, "ep", 1, 1_000_000)),
+    sql.query("ep", sql.initial(), sql.wl(1), body="SELECT gid, n, count(*) AS classes FROM (SELECT gid, color, count(*) AS n FROM c1 GROUP BY ALL) GROUP BY ALL"))
+_register("gwl_k2_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 2, 2)))
+_register("gwl_forgy_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 2, 4, cluster_initialization_method="forgy")))
+_register("gwl_edge_labels_os", lambda s, d: statistics.class_sizes(_gwl(s, d, "os", 1, 4)))
+
+
+def _svm(s, d):
+    import tempfile
+
+    from ..runtime import checkpoint_dir
+    from . import evaluation, refinement
+
+    graph = _BUILD["cp"](s, d)
+    root = f"{checkpoint_dir(s)}/{tempfile.mktemp(dir='', prefix='cv-').strip('/')}"
+    refinement.run_wl(s, graph, f"{root}/wl", 1)
+    store = refinement.Store(s, f"{root}/wl")
+    live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")
+    mean, std = evaluation.evaluate_wl(s, store, live, f"{root}/cv", h_grid=[0, 1], trials=range(2), folds=3, inner_folds=2, costs=(0.1, 1.0))
+    return s.createDataFrame([(mean, std)], "mean double, std double")
+
+
+_register("svm_cv_cp", _svm)
