@@ -9,6 +9,7 @@ entry, in the sender's order. Answers meet the blocks again through the table's
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from .common import U64, Scratch, slices, tune
 _LAST = np.iinfo(np.int64).max
 #: Bytes sent for a hash where a chance match only costs time.
 SHORT = 5
+#: Bytes sent for a hash that decides: with the bucket at least 59 bits, 63 from 128 buckets on.
+LONG = 7
 
 
 @dataclass
@@ -126,6 +129,17 @@ class BlockTable:
         replies = self.run(send, "bucket int, block bigint, payload binary", *answers).groupBy("bucket").applyInArrow(reply, "block bigint, bucket int, n int, bits binary")
         return self.scratch.save(replies)
 
+    def copies(self) -> DataFrame:
+        """Bits for ``copies_of``: does a smaller document hold the very same text? Such copies need no further question, and as
+        the smaller one holds all their strings, nobody needs their answers either."""
+        buckets = self.buckets(self.table.count() * 1e3)
+
+        def question(block, _bits):
+            distinct, owners, _ = _whole_texts(block)
+            yield from pack_owners(distinct, owners, buckets, range(buckets))
+
+        return self.gather(self.ask(question, answer_owners))
+
     def gather(self, *replies: DataFrame) -> DataFrame:
         """The answers of each block together: as many entries as there are buckets."""
         every = replies[0]
@@ -139,12 +153,29 @@ class BlockTable:
         self.spark._jvm.System.gc()
 
 
-def join_bits(parts: list[dict] | None) -> np.ndarray:
-    """A block's answers in bucket order, which is the order of the sorted hashes that it sent."""
+def join_bits(parts: list[dict] | bytes | None) -> np.ndarray:
+    """A block's answers in bucket order, which is the order of the sorted hashes that it sent; or bits that it kept itself."""
+    if isinstance(parts, bytes):
+        return np.unpackbits(np.frombuffer(parts, np.uint8)).astype(bool)
     parts = sorted(parts or [], key=lambda x: x["bucket"])
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]).astype(bool) for x in parts)])
 
 
+def _whole_texts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct text, its smallest holder in the block, each document's place among them)."""
+    ends = block.offsets.tolist()
+    hashes = np.array([int.from_bytes(hashlib.blake2b(block.data[a:b], digest_size=8).digest(), "big") for a, b in zip(ends, ends[1:], strict=False)], dtype=U64)
+    order, starts, inverse = group_sorted(hashes)
+    owners = np.minimum.reduceat(block.ids[order], starts) if len(starts) else np.zeros(0, np.int64)
+    return hashes[order][starts], owners, inverse
+
+
+def copies_of(block: Block, bits: np.ndarray) -> np.ndarray:
+    """For each document, whether a smaller one has the same text."""
+    _, owners, inverse = _whole_texts(block)
+    return bits[inverse] | (block.ids > owners[inverse]) if len(inverse) else np.zeros(0, bool)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket grows with the hash, so sorted hashes are cut into runs."""
     return ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
@@ -159,7 +190,7 @@ def runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 def group_sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, starts of equal runs in that order, run number of each input entry)."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     s = hashes[order]
     first = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
     inverse = np.empty(len(s), np.int64)
@@ -189,11 +220,13 @@ def answer_repeats(payloads: list[bytes]) -> list[np.ndarray]:
 
 
 def pack_owners(distinct: np.ndarray, owners: np.ndarray, buckets: int, only: range):
-    """Question "does a smaller document hold this string?": whole hashes and the block's own smallest holder of each."""
+    """Question "does a smaller document hold this string?": each hash (without its first byte, which the bucket implies almost
+    whole) and the block's own smallest holder."""
+    long = distinct.view(np.uint8).reshape(-1, 8)[:, :LONG]
     for bucket, a, b in runs(distinct, buckets):
         if bucket in only:
             ids, place = np.unique(owners[a:b], return_inverse=True)
-            yield bucket, np.array([b - a, len(ids)], np.int64).tobytes() + ids.tobytes() + distinct[a:b].tobytes() + place.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
+            yield bucket, np.array([b - a, len(ids)], np.int64).tobytes() + ids.tobytes() + long[a:b].tobytes() + place.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
 
 
 def answer_owners(payloads: list[bytes]) -> list[np.ndarray]:
@@ -201,8 +234,10 @@ def answer_owners(payloads: list[bytes]) -> list[np.ndarray]:
     for p in payloads:
         n, m = np.frombuffer(p, np.int64, 2).tolist()
         ids = np.frombuffer(p, np.int64, m, 16)
-        hashes.append(np.frombuffer(p, U64, n, 16 + 8 * m))
-        owners.append(ids[np.frombuffer(p, np.uint16 if m < 1 << 16 else np.uint32, n, 16 + 8 * m + 8 * n)])
+        keys = np.zeros((n, 8), np.uint8)
+        keys[:, :LONG] = np.frombuffer(p, np.uint8, n * LONG, 16 + 8 * m).reshape(n, LONG)
+        hashes.append(keys.view(U64).ravel())
+        owners.append(ids[np.frombuffer(p, np.uint16 if m < 1 << 16 else np.uint32, n, 16 + 8 * m + LONG * n)])
     owner = np.concatenate(owners)
     order, starts, inverse = group_sorted(np.concatenate(hashes))
     least = np.minimum.reduceat(owner[order], starts)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Block, BlockTable, answer_repeats, group_sorted, pack_repeats, runs
+from .blocks import Block, BlockTable, answer_repeats, copies_of, group_sorted, pack_repeats, runs
 from .common import U64, Scratch, find_words, hash_words, text_bytes, window_hashes
 
 
@@ -80,16 +80,17 @@ def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
 class _Passages:
     """What a block works out again at every stage."""
 
-    def __init__(self, size: int, buckets: int):
-        self.size, self.buckets = size, buckets
+    def __init__(self, size: int, buckets: int, shards: int):
+        self.size, self.buckets, self.shards = size, buckets, shards
         self.anchor = max(1, 2 * size // 5)
 
-    def words(self, block: Block):
-        """Starts and ends of words, each document's first word, each word's hash; then for each window its anchor (0: no window)."""
+    def words(self, block: Block, copies: np.ndarray):
+        """Starts and ends of words, each document's first word, each word's hash; then for each window its anchor (0: no window, or
+        one of a copy)."""
         starts, ends, first = find_words(block.data, block.offsets)
         hashes = hash_words(block.data, starts, ends)
         count = max(0, len(hashes) - self.size + 1)
-        fits = np.arange(count) + self.size <= np.repeat(first[1:], np.diff(first))[:count]
+        fits = np.arange(count) + self.size <= np.repeat(np.where(copies, 0, first[1:]), np.diff(first))[:count]
         parts = window_hashes(hashes, self.anchor) | U64(1)
         anchors = np.where(fits, _sliding(parts, self.size - self.anchor + 1, np.minimum)[:count], U64(0)) if count else np.zeros(0, U64)
         return starts, ends, first, hashes, parts, anchors
@@ -100,8 +101,8 @@ class _Passages:
         best = _sliding(around, width + 1, np.maximum)[: len(parts)] if len(anchors) else np.zeros(len(parts), U64)
         return np.flatnonzero((best == parts[: len(best)]) & (best > 0))
 
-    def ask_anchors(self, block: Block, _bits):
-        *_, parts, anchors = self.words(block)
+    def ask_anchors(self, block: Block, bits):
+        *_, parts, anchors = self.words(block, copies_of(block, bits[0]))
         values = parts[self.anchor_places(parts, anchors)]
         order, starts, _ = group_sorted(values)
         yield from pack_repeats(values[order][starts], np.diff(np.append(starts, len(values))) > 1, self.buckets)
@@ -117,15 +118,15 @@ class _Passages:
         return places, values, order, starts, inverse
 
     def ask_windows(self, block: Block, bits):
-        _, values, order, starts, _ = self.windows(block, bits[0], self.words(block))
+        _, values, order, starts, _ = self.windows(block, bits[1], self.words(block, copies_of(block, bits[0])))
         yield from pack_repeats(values[order][starts], np.diff(np.append(starts, len(values))) > 1, self.buckets)
 
     def stretches(self, block: Block, bits, words):
         """Runs of repeated windows with one anchor: (first window, windows, document row, anchor), and for each the number of the
         stretch that stands for it: the first, by document id and place, of equal ones in the block."""
         starts, ends, first, hashes, parts, anchors = words
-        places, values, _, _, inverse = self.windows(block, bits[0], words)
-        chosen = bits[1][inverse] if len(places) else np.zeros(0, bool)
+        places, values, _, _, inverse = self.windows(block, bits[1], words)
+        chosen = bits[2][inverse] if len(places) else np.zeros(0, bool)
         at, hashed = places[chosen], values[chosen]
         row = np.searchsorted(first, at, side="right") - 1
         # rows without words share a border with the next row; the last of them owns the word
@@ -145,11 +146,11 @@ class _Passages:
         return begin, sizes, owner, own_anchor, stands, order[new]
 
     def ask_shards(self, block: Block, bits):
-        words = self.words(block)
+        words = self.words(block, copies_of(block, bits[0]))
         starts, ends, first, _, parts, _ = words
         begin, sizes, owner, anchor, _, sent = self.stretches(block, bits, words)
         data = block.data
-        for bucket, a, b in runs(anchor[sent], self.buckets):
+        for bucket, a, b in runs(anchor[sent], self.shards):
             texts, inner = [], []
             for i in sent[a:b].tolist():
                 s, e = int(begin[i]), int(begin[i] + sizes[i]) + self.size - 1
@@ -197,7 +198,7 @@ class _Passages:
             at += len(h)
         return out
 
-    def removed(self, block: Block, bits, words) -> np.ndarray:
+    def removed(self, block: Block, bits, words, copies: np.ndarray) -> np.ndarray:
         """The words that a window covers which starts earlier in the corpus too."""
         _, _, first, hashes, _, _ = words
         begin, sizes, owner, anchor, stands, sent = self.stretches(block, bits, words)
@@ -209,11 +210,12 @@ class _Passages:
             start = begin - first[owner]
             same = (block.ids[owner] == block.ids[owner[leader]]) & (start == start[leader])
             within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            told = bits[2][np.repeat(place[leader], sizes) + within]
+            told = bits[3][np.repeat(place[leader], sizes) + within]
             gone = (np.repeat(begin, sizes) + within)[told | ~np.repeat(same, sizes)]
             edges[gone] += 1
             np.subtract.at(edges, gone + self.size, 1)
-        return np.cumsum(edges[:-1]) > 0
+        counts = np.diff(first)
+        return (np.cumsum(edges[:-1]) > 0) | np.repeat(copies & (counts >= self.size), counts)
 
 
 _HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("bytes", "<i4"), ("inner", "?")])
@@ -232,17 +234,19 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False, block_bytes
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     blocks = BlockTable(text_bytes(docs), scratch, block_bytes)
-    passages = _Passages(size, blocks.buckets(blocks.bytes / 30))
-    anchors = blocks.gather(blocks.ask(passages.ask_anchors, answer_repeats))
-    windows = blocks.gather(blocks.ask(passages.ask_windows, answer_repeats, anchors))
+    passages = _Passages(size, blocks.buckets(blocks.bytes / 30, 500_000), blocks.buckets(blocks.bytes, 6 << 20))
+    copies = blocks.copies()
+    anchors = blocks.gather(blocks.ask(passages.ask_anchors, answer_repeats, copies))
+    windows = blocks.gather(blocks.ask(passages.ask_windows, answer_repeats, copies, anchors))
     blocks.release()
-    shards = blocks.gather(blocks.ask(passages.ask_shards, passages.answer_shards, anchors, windows))
+    shards = blocks.gather(blocks.ask(passages.ask_shards, passages.answer_shards, copies, anchors, windows))
     blocks.release()
 
     def finish(block: Block, bits):
-        words = passages.words(block)
+        copies = copies_of(block, bits[0])
+        words = passages.words(block, copies)
         first, kept = words[2], []
-        keep = (~passages.removed(block, bits, words)).tolist()
+        keep = (~passages.removed(block, bits, words, copies)).tolist()
         for i, (a, b) in enumerate(zip(block.offsets, block.offsets[1:], strict=False)):
             own = block.data[a:b].tobytes().split()
             kept.append(b" ".join(compress(own, keep[first[i] : first[i + 1]])))
@@ -253,6 +257,6 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False, block_bytes
         yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * text
-    out = scratch.save(blocks.run(finish, schema, anchors, windows, shards))
+    out = scratch.save(blocks.run(finish, schema, copies, anchors, windows, shards))
     blocks.drop()
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, BlockTable, answer_owners, answer_repeats, group_sorted, pack_owners, pack_repeats
+from .blocks import Block, BlockTable, answer_owners, answer_repeats, copies_of, group_sorted, pack_owners, pack_repeats
 from .common import U64, Scratch, place_keys, splitmix, text_bytes
 
 #: Difference covers (every difference modulo the period occurs), by period.
@@ -82,29 +82,35 @@ class _Depths:
         self.period, self.cover = cover_for(length)
         self.sample = length - self.period + 1
 
-    def ranks(self, block: Block):
+    def ranks(self, block: Block, copies: np.ndarray):
         at = sampled_places(block, self.period, self.cover, self.sample)
+        at = at[~copies[np.searchsorted(block.offsets, at, side="right") - 1]]
         hashes = string_hashes(block.data, self.sample, at)
         order, starts, inverse = group_sorted(hashes)
         owners = block.document_of(at[order])
         several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
         return at, hashes[order][starts], several, inverse
 
-    def ask_ranks(self, block: Block, _bits):
-        _, distinct, several, _ = self.ranks(block)
+    def ask_ranks(self, block: Block, bits):
+        _, distinct, several, _ = self.ranks(block, copies_of(block, bits[0]))
         yield from pack_repeats(distinct, several, self.buckets)
 
-    def suffixes(self, block: Block, repeated: np.ndarray):
-        """Places whose string of full length holds a sampled part that another document has too, grouped by that string."""
-        at, _, _, inverse = self.ranks(block)
-        hits = np.zeros(len(block.data) + 1, np.int32)
-        hits[1:][at[repeated[inverse]]] = 1
-        np.cumsum(hits, out=hits)
+    def tied(self, block: Block, bits):
+        """The places whose string of full length holds a sampled part that another document has too; those of copies do not count."""
+        copies = copies_of(block, bits[0])
+        at, _, _, inverse = self.ranks(block, copies)
         most = len(block.data)
+        hits = np.zeros(most + 1, np.int32)
+        hits[1:][at[bits[1][inverse]]] = 1
+        np.cumsum(hits, out=hits)
         reach = np.minimum(np.arange(most) + self.period, most)
-        tied = hits[reach] > hits[:-1]
-        ends = np.repeat(block.offsets[1:], block.lengths)
-        places = np.flatnonzero(tied & (np.arange(most) + self.length <= ends))
+        ends = np.repeat(np.where(copies, 0, block.offsets[1:]), block.lengths)
+        found = (hits[reach] > hits[:-1]) & (np.arange(most) + self.length <= ends)
+        yield pa.RecordBatch.from_arrays([pa.array([block.number], pa.int64()), pa.array([np.packbits(found).tobytes()], pa.binary())], names=["block", "bits"])
+
+    def suffixes(self, block: Block, tied: np.ndarray):
+        """Tied places grouped by their string of full length."""
+        places = np.flatnonzero(tied[: len(block.data)])
         hashes = string_hashes(block.data, self.length, places)
         order, starts, inverse = group_sorted(hashes)
         documents = block.document_of(places)
@@ -117,33 +123,36 @@ class _Depths:
 
     def removed(self, block: Block, bits) -> np.ndarray:
         """The bytes that a string covers which also starts in a smaller document."""
-        places, documents, _, owners, inverse = self.suffixes(block, bits[0])
-        repeats = places[bits[1][inverse] | (documents > owners[inverse])] if len(places) else places
+        copies = copies_of(block, bits[0])
+        places, documents, _, owners, inverse = self.suffixes(block, bits[1])
+        repeats = places[bits[2][inverse] | (documents > owners[inverse])] if len(places) else places
         edges = np.zeros(len(block.data) + 1, np.int32)
         edges[repeats] += 1
         edges[repeats + self.length] -= 1
-        return np.cumsum(edges[:-1]) > 0
+        return (np.cumsum(edges[:-1]) > 0) | np.repeat(copies & (block.lengths >= self.length), block.lengths)
 
 
-def deduplicate(docs: DataFrame, length: int = 50, passes: int = 2, text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 50, passes: int = 3, text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` the bytes
     that are left (column ``kept``).
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller id; all
     strings are judged on the input. Null and shorter texts lose nothing. Rows of one id count as one document and do not
     take from each other; null ids count as one document after all others. An empty table gives an empty one. Strings are
-    told apart by 64-bit hashes. ``passes``: in how many parts the suffix buckets are sorted, which divides the disk needed.
+    told apart by 64-bit hashes (63 bits of them between blocks). ``passes``: in how many parts the suffix buckets are sorted, which divides the disk needed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     blocks = BlockTable(text_bytes(docs), scratch, block_bytes)
     depths = _Depths(length, blocks.buckets(blocks.bytes * len(cover_for(length)[1]) / cover_for(length)[0]))
-    ranks = blocks.gather(blocks.ask(depths.ask_ranks, answer_repeats))
+    copies = blocks.copies()
+    ranks = blocks.gather(blocks.ask(depths.ask_ranks, answer_repeats, copies))
+    tied = scratch.save(blocks.run(depths.tied, "block bigint, bits binary", copies, ranks))
     blocks.release()
     cuts = [round(i * depths.buckets / passes) for i in range(passes + 1)]
     replies = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        replies.append(blocks.ask(lambda block, bits, only=range(a, b): depths.ask_owners(block, bits, only), answer_owners, ranks))
+        replies.append(blocks.ask(lambda block, bits, only=range(a, b): depths.ask_owners(block, bits, only), answer_owners, tied))
         blocks.release()
 
     def finish(block: Block, bits):
@@ -162,7 +171,7 @@ def deduplicate(docs: DataFrame, length: int = 50, passes: int = 2, text: bool =
         yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text)
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text
-    out = scratch.save(blocks.run(finish, schema, ranks, blocks.gather(*replies)))
+    out = scratch.save(blocks.run(finish, schema, copies, tied, blocks.gather(*replies)))
     blocks.drop()
-    scratch.drop(*replies)
+    scratch.drop(tied, *replies)
     return out
