@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def byte_letters() -> dict[str, int]:
 class TrieTokenizer:
     """Encoder and decoder for a vocabulary file of byte-level BPE (a JSON text)."""
 
-    def __init__(self, definition: str, cache_words: int = 400_000):
+    def __init__(self, definition: str, cache_words: int = 150_000):
         data = json.loads(definition)
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
@@ -56,7 +57,7 @@ class TrieTokenizer:
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(WORD_PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_words = cache_words
@@ -78,7 +79,8 @@ class TrieTokenizer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves the border between two tokens alone: no pair across it is merged before either side moves on."""
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             a, b, i, j, known = self._edge(left, 1), self._edge(right, 0), 0, 0, True
             while True:
@@ -92,14 +94,18 @@ class TrieTokenizer:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
-            self._fits[left, right] = known
+            self._fits[key] = known
         return known
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words, by one walk over their trie."""
-        ids, fits, longest, out = self.ids, self.fits, self.longest, {}
+        """Encodings of distinct words, by one walk over their trie.
+
+        Exactly one token can be a prefix's last one, so candidates may be tried in any order: first the last token grown by a
+        byte, then the new byte alone, then all others.
+        """
+        get, known, fits, longest, out = self.ids.get, self._fits.get, self.fits, self.longest, {}
         last: list[int] = [-1]  # last token of each prefix on the current path
         back: list[int] = [0]  # where that token starts
         before = b""
@@ -109,46 +115,52 @@ class TrieTokenizer:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 or fits(last[start], token)):
-                        last.append(token)
-                        back.append(start)
-                        break
+                start = back[end - 1]
+                token = get(word[start:end])
+                if token is None or start and not (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token)):
+                    for start in (end - 1, *range(max(0, end - longest), end - 1)):
+                        token = get(word[start:end])
+                        if token is not None and (start == 0 or (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token))):
+                            break
+                last.append(token)
+                back.append(start)
             tokens, at = [], len(word)
             while at:
                 tokens.append(last[at])
                 at = back[at]
-            out[word] = tuple(reversed(tokens))
+            tokens.reverse()
+            out[word] = tuple(tokens)
             before = word
         return out
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text. Strings of special tokens in a text become those tokens, as the tokenizers library does."""
-        cut, cache = [], self.cache
+        cut: list[list[list[str] | int]] = []  # for each text, lists of words and special tokens in turn
+        find, cache = self.pattern.findall, self.cache
         for text in texts:
-            parts: list[str | int] = []
-            pieces = self.splitter.split(text) if self.splitter and any(s in text for s in self.special) else (text,)
-            for piece in pieces:
-                if piece in self.special:
-                    parts.append(self.special[piece])
-                elif piece:
-                    parts += self.pattern.findall(piece)
-            cut.append(parts)
-        new = {w for parts in cut for w in set(parts) if w not in cache and not isinstance(w, int)}
+            if self.splitter and any(s in text for s in self.special):
+                cut.append([self.special[x] if x in self.special else find(x) for x in self.splitter.split(text) if x])
+            else:
+                cut.append([find(text)])
+        words = set()
+        for parts in cut:
+            words.update(*(x for x in parts if not isinstance(x, int)))
+        new = words.difference(cache)
         if len(cache) + len(new) > self.cache_words:
+            # Most words are rare: those that this batch uses again are the ones worth keeping.
+            kept = {w: cache[w] for w in words if w in cache}
             cache.clear()
-            new = {w for parts in cut for w in parts if not isinstance(w, int)}
+            cache.update(kept)
         done = self.encode_words([w.encode() for w in new])
         cache.update({w: done[w.encode()] for w in new})
-        out = []
+        lookup, out = cache.__getitem__, []
         for parts in cut:
             tokens: list[int] = []
-            for w in parts:
-                if isinstance(w, int):
-                    tokens.append(w)
+            for x in parts:
+                if isinstance(x, int):
+                    tokens.append(x)
                 else:
-                    tokens += cache[w]
+                    tokens.extend(chain.from_iterable(map(lookup, x)))
             out.append(tokens)
         return out
 
@@ -233,7 +245,8 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         tokenizer = _tokenizer(shared)
         for batch in batches:
-            texts = tokenizer.decode_batch([x or [] for x in batch.column(ids_col).to_pylist()])
+            ids = batch.column(ids_col)  # one row's numbers at a time: a batch may hold many long texts
+            texts = [tokenizer.decode_batch([x.values.to_pylist() if x.is_valid else []])[0] for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     schema = type(df.schema)([*df.schema.fields, *df.sparkSession.createDataFrame([], "decoded string").schema.fields])
