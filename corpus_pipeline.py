@@ -20,8 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of SimHash near-duplicates."""
-    return simhash.keep_one_of_each_group(docs)
+    """The document with the smallest id of each group of near-duplicates: SimHash over five-word shingles, similarity 0.8."""
+    return simhash.keep_one_of_similar(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, find_words, hash_words, raw, slices, splitmix, text_bytes, tune, window_hashes
+from .common import U64, Scratch, find_words, hash_words, raw, slices, splitmix, text_bytes, tune, window_hashes
 
 SHINGLE = 5
 
@@ -197,4 +197,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Documents in which no item was found; rows with a null doc_id stay. Columns and repeated rows are kept."""
-    return docs.join(matches(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    hit = Scratch(docs.sparkSession, "decontaminate").save(matches(docs, benchmark, threshold).select("doc_id").distinct())
+    few = hit.limit(500_001).count() <= 500_000
+    return docs.join(F.broadcast(hit) if few else hit, "doc_id", "left_anti").select(*docs.columns)

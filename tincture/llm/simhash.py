@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, hash_bound, slices, text_bytes, tune
+from .common import U64, Scratch, find_words, hash_bound, hash_words, raw, slices, splitmix, text_bytes, tune, window_hashes
 from .components import Forest, components
+from .decontaminate import shingles
 
 _XXH64 = xxhash.xxh64_intdigest
 
@@ -79,35 +80,38 @@ def ring_steps(levels: int, radius: int) -> list[tuple[int, ...]]:
     return [own] + [s for s in product(range(-radius, radius + 1), repeat=levels) if s > own and len({x & 1 for x in s}) == 1]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one or more 64-bit words (last axis)."""
+    bits = np.bitwise_count(a ^ b)
+    return bits[..., 0] if bits.shape[-1] == 1 else bits.sum(axis=-1, dtype=np.int32)
+
+
 class VantageTree:
-    """Links between ``members`` and between members and ``queries``, both arrays of fingerprints, into a forest."""
+    """Links between ``members`` and between members and ``queries`` (positions in ``prints``, fingerprints by words), into a forest."""
 
     def __init__(self, prints: np.ndarray, radius: int, leaf: int = 2048):
-        self.prints, self.radius, self.leaf, self.forest = prints, radius, leaf, Forest(len(prints))
+        self.prints, self.radius, self.leaf, self.forest = prints.reshape(len(prints), -1), radius, leaf, Forest(len(prints))
 
     def search(self, members: np.ndarray, queries: np.ndarray, depth: int = 0) -> None:
         """``queries`` holds positions to compare with ``members``; positions in both are members among themselves."""
         if not len(members) or not len(queries):
             return
         if len(members) <= self.leaf or depth >= 12:
-            step = max(1, (1 << 20) // len(members))
+            step = max(1, (1 << 20) // (len(members) * self.prints.shape[1]))
             for at in range(0, len(queries), step):
                 own = queries[at : at + step]
-                near = np.bitwise_count(self.prints[own][:, None] ^ self.prints[members][None, :]) <= self.radius
-                i, j = np.nonzero(near)
+                i, j = np.nonzero(distances(self.prints[own][:, None], self.prints[members][None, :]) <= self.radius)
                 self.forest.link(own[i], members[j])
             return
         pivot = self.prints[members[len(members) // 2]]
-        dm, dq = np.bitwise_count(self.prints[members] ^ pivot), np.bitwise_count(self.prints[queries] ^ pivot)
+        dm, dq = (distances(self.prints[x], pivot).astype(np.int64) for x in (members, queries))
         order = np.argsort(dm, kind="stable")
-        members, dm = members[order], dm[order].astype(np.int64)
-        if dm[0] == dm[-1]:
+        members, dm = members[order], dm[order]
+        rings, firsts = np.unique(dm, return_index=True)
+        if dm[-1] - dm[0] <= self.radius:  # no ring would be pruned
             return self.search(members, queries, 12)
-        cuts = np.searchsorted(dm, np.arange(66))
-        for ring in range(65):
-            own = members[cuts[ring] : cuts[ring + 1]]
-            if len(own):
-                self.search(own, queries[np.abs(dq.astype(np.int64) - ring) <= self.radius], depth + 1)
+        for ring, first, last in zip(rings, firsts, np.append(firsts[1:], len(dm)), strict=True):
+            self.search(members[first:last], queries[np.abs(dq - ring) <= self.radius], depth + 1)
 
 
 def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> DataFrame:
@@ -137,8 +141,7 @@ def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> Data
         tree = VantageTree(prints, radius)
         if member.any():
             tree.search(np.flatnonzero(member), np.arange(len(prints)))
-        a, b = tree.forest.edges()
-        return pa.table({"a": pa.array(reps[a], pa.int64()), "b": pa.array(reps[b], pa.int64())})
+        return _edges(tree.forest, reps)
 
     return sent.groupBy("shard").applyInArrow(solve, "a bigint, b bigint")
 
@@ -171,4 +174,155 @@ def keep_one_of_each_group(docs: DataFrame, radius: int = 3, size: int = 3) -> D
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash-keep")
     groups = scratch.save(near_duplicates(docs, radius, size).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return semi(docs, groups, "left_anti").select(*docs.columns)
+
+
+SKETCH_WORDS, BANDS, BAND_ROWS = 4, 10, 3
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def similarity_radius(similarity: float, bits: int = 64 * SKETCH_WORDS) -> int:
+    """Differing bits that two texts of a Jaccard similarity have on average: equally large sets have the cosine 2s / (1 + s)."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(doc_id, p0, ..., p3, bands): a 256-bit SimHash over shingles of ``size`` lower-cased words, and ten keys, each of three
+    minimum hashes of the shingles, which texts of similarity 0.8 share at least one of in 99.9 of 100 cases."""
+    tune(docs.sparkSession)
+    salts = splitmix(np.arange(BANDS * BAND_ROWS, dtype=U64) + U64(0x5A17))
+
+    def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(64 * SKETCH_WORDS, np.int64)
+        least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, U64)
+        for at in range(0, len(hashes), 1 << 14):
+            own = hashes[at : at + (1 << 14)]
+            words = np.stack([splitmix(own + U64(k)) for k in range(SKETCH_WORDS)], axis=1)
+            total += np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+            with np.errstate(over="ignore"):
+                for k, salt in enumerate(salts):
+                    least[k] = min(least[k], ((own ^ salt) * U64(0x9E3779B97F4A7C15)).min())
+        keys = window_hashes(least, BAND_ROWS)[::BAND_ROWS]
+        return np.packbits(2 * total > len(hashes)).view(U64), splitmix(keys + np.arange(BANDS, dtype=U64))
+
+    def run(batches):
+        for batch in slices(batches):
+            buf, offsets = raw(batch.column("text"))
+            buf = _LOWER[buf]
+            starts, ends, first = find_words(buf, offsets)
+            words = hash_words(buf, starts, ends)
+            found = [sketch(shingles(words[a:b], size)) for a, b in zip(first, first[1:], strict=False)]
+            prints = np.array([p for p, _ in found]).view(np.int64)
+            bands = pa.array([b.view(np.int64) for _, b in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(SKETCH_WORDS)), bands], names=["doc_id", *_PRINT, "bands"])
+
+    return text_bytes(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{p} bigint" for p in _PRINT) + ", bands array<bigint>")
+
+
+_PRINT = [f"p{k}" for k in range(SKETCH_WORDS)]
+
+
+def in_parts(rows: DataFrame, key: str, node: str, largest: int, scratch: Scratch) -> DataFrame:
+    """Add ``part``: groups by ``key`` of over ``largest`` rows are cut by ``node`` into parts, and a row goes to every pair of parts that
+    holds its own, so that any two rows of a group still meet, in groups of twice ``largest`` at most on average."""
+    large = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > largest)
+    large = scratch.save(large.select(key, F.ceil(F.col("n") / largest).cast("int").alias("parts")))
+    if not large.limit(1).count():
+        return rows.withColumn("part", F.lit(0))
+    held = rows.join(large, key, "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(node), "parts").cast("int")))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    return held.withColumn("part", F.greatest("own", "other") * 100_003 + F.least("own", "other")).drop("parts", "own", "other")
+
+
+def semi(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """Join by doc_id to a table of distinct ids: broadcast if it has at most ``most`` rows, by shuffle beyond."""
+    return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "doc_id", how)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, largest_part: int = 20_000) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of their ``size``-word shingle sets of ``similarity`` or more,
+    and what such links connect.
+
+    256-bit SimHashes within a radius that pairs at the threshold stay inside in 99 of 100 cases propose groups, and the exact
+    similarity decides inside those. At this radius the distances to any vantage point say next to nothing (unrelated
+    fingerprints lie 128 bits apart, give or take 8, and a pair may differ by 52), so vantage-point trees alone would compare all
+    pairs: fingerprints are dealt into shards by band keys first, and trees search inside them. Groups of over
+    ``largest_part`` members are cut into parts, and each pair of parts is a task. Null and empty texts are copies of each
+    other; rows with a null id get no group.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    found = scratch.save(sketches(docs, size))
+    points = scratch.save(found.groupBy(*_PRINT).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    radius = similarity_radius(similarity) + 13  # 2.3 standard deviations of a pair at the threshold
+
+    def propose(table: pa.Table) -> pa.Table:
+        keys = table.column("band").to_numpy().view(U64) ^ splitmix(table.column("part").to_numpy().astype(U64))
+        tree = VantageTree(np.stack([table.column(p).to_numpy().view(U64) for p in _PRINT], axis=1), radius)
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                tree.search(order[a:b], order[a:b])
+        return _edges(tree.forest, table.column("rep").to_numpy())
+
+    dealt = in_parts(points.select("rep", *_PRINT, F.explode("bands").alias("band")), "band", "rep", largest_part, scratch)
+    shards = max(8, min(1_000_000, points.count() * BANDS // 20_000))
+    shard = F.pmod(F.xxhash64("band", "part"), F.lit(shards))
+    proposed = scratch.save(components(dealt.withColumn("shard", shard).groupBy("shard").applyInArrow(propose, "a bigint, b bigint"), scratch))
+
+    def sets(batches):
+        for batch in slices(batches):
+            buf, offsets = raw(batch.column("text"))
+            buf = _LOWER[buf]
+            starts, ends, first = find_words(buf, offsets)
+            words = hash_words(buf, starts, ends)
+            own = pa.array([np.unique(shingles(words[a:b], size)).tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), own], names=["doc_id", "component", "shingles"])
+
+    def decide(table: pa.Table) -> pa.Table:
+        group = table.column("component").to_numpy().astype(U64) ^ splitmix(table.column("part").to_numpy().astype(U64))
+        own = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        counts, forest = np.array([len(x) for x in own]), Forest(len(own))
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1], [True])))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows = order[a:b]
+            for k, i in enumerate(rows[:-1]):
+                rest = rows[k + 1 :]
+                rest = rest[forest.roots(rest) != forest.roots(np.array([i]))[0]]
+                rest = rest[np.minimum(counts[rest], counts[i]) >= similarity * np.maximum(counts[rest], counts[i])]
+                linked = [j for j in rest if _jaccard(own[i], own[j]) >= similarity]
+                if linked:
+                    forest.link(np.full(len(linked), i), np.array(linked))
+        return _edges(forest, table.column("doc_id").to_numpy())
+
+    members = proposed.withColumnRenamed("node", "doc_id")
+    texts = text_bytes(semi(docs, members, "inner"), "text", "doc_id", "component")
+    held = scratch.save(texts.mapInArrow(sets, "doc_id bigint, component bigint, shingles binary"))
+    exact = in_parts(held, "component", "doc_id", largest_part // 10, scratch)
+    shards = max(8, min(1_000_000, proposed.count() // 1000))
+    shard = F.pmod(F.xxhash64("component", "part"), F.lit(shards))
+    groups = components(exact.withColumn("shard", shard).groupBy("shard").applyInArrow(decide, "a bigint, b bigint"), scratch)
+    labelled = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*_PRINT, F.coalesce("component", "rep").alias("component_id"))
+    return found.select("doc_id", *_PRINT).join(labelled, _PRINT).select("doc_id", "component_id")
+
+
+def _edges(forest: Forest, nodes: np.ndarray) -> pa.Table:
+    a, b = forest.edges()
+    return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted distinct values."""
+    merged = np.sort(np.concatenate((a, b)))
+    both = np.count_nonzero(merged[1:] == merged[:-1])
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def keep_one_of_similar(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The documents whose id is the smallest of their group of similar ones. Rows of that id, and rows with a null id, all stay."""
+    scratch = Scratch(docs.sparkSession, "similar-keep")
+    gone = scratch.save(similar_groups(docs, similarity, size).where("doc_id <> component_id").select("doc_id").distinct())
+    return semi(docs, gone, "left_anti").select(*docs.columns)
