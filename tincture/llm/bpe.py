@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +54,12 @@ class TrieTokenizer:
             whole = self.ids[self.pieces[a] + self.pieces[b]]
             self.ranks[a, b] = rank
             self.halves.setdefault(whole, (a, b, rank))
-        self.longest = max(map(len, self.ids))
+        self.alone = [self.ids.get(bytes([b])) for b in range(256)]
         self.pattern = regex.compile(WORD_PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._fits: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _edge(self, token: int, right: int) -> list[tuple[int, int]]:
@@ -99,13 +99,13 @@ class TrieTokenizer:
             self._fits[key] = known
         return known
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words, by one walk over their trie.
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Encodings of distinct words as little-endian unsigned 32-bit ids, by one walk over their trie.
 
         Exactly one token can be a prefix's last one, so candidates may be tried in any order: first the last token grown by a
-        byte, then the new byte alone, then all others.
+        byte, then the new byte alone, then longer ones.
         """
-        get, known, fits, longest, out = self.ids.get, self._fits.get, self.fits, self.longest, {}
+        get, known, fits, alone, out = self.ids.get, self._fits.get, self.fits, self.alone, {}
         last: list[int] = [-1]  # last token of each prefix on the current path
         back: list[int] = [0]  # where that token starts
         before = b""
@@ -118,10 +118,12 @@ class TrieTokenizer:
                 start = back[end - 1]
                 token = get(word[start:end])
                 if token is None or start and not (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token)):
-                    for start in (end - 1, *range(max(0, end - longest), end - 1)):
-                        token = get(word[start:end])
-                        if token is not None and (start == 0 or (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token))):
-                            break
+                    start, token = end - 1, alone[word[end - 1]]
+                    if start and not (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token)):
+                        for start in range(end - 2, -1, -1):
+                            token = get(word[start:end])
+                            if token is not None and (start == 0 or (f if (f := known(last[start] << 32 | token)) is not None else fits(last[start], token))):
+                                break
                 last.append(token)
                 back.append(start)
             tokens, at = [], len(word)
@@ -129,12 +131,12 @@ class TrieTokenizer:
                 tokens.append(last[at])
                 at = back[at]
             tokens.reverse()
-            out[word] = tuple(tokens)
+            out[word] = pack(f"<{len(tokens)}I", *tokens)
             before = word
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each whole text. Strings of special tokens in a text become those tokens, as the tokenizers library does."""
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each whole text. Strings of special tokens in a text become those tokens, as the tokenizers library does."""
         cut: list[list[list[str] | int]] = []  # for each text, lists of words and special tokens in turn
         find, cache = self.pattern.findall, self.cache
         for text in texts:
@@ -155,19 +157,18 @@ class TrieTokenizer:
         cache.update({w: done[w.encode()] for w in new})
         lookup, out = cache.__getitem__, []
         for parts in cut:
-            tokens: list[int] = []
-            for x in parts:
-                if isinstance(x, int):
-                    tokens.append(x)
-                else:
-                    tokens.extend(chain.from_iterable(map(lookup, x)))
-            out.append(tokens)
+            out.append(b"".join([pack("<I", x) if isinstance(x, int) else b"".join(map(lookup, x)) for x in parts]))
         return out
 
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
+    def decode_batch(self, ids: list[bytes]) -> list[str]:
+        """Texts of packed ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         get = self.pieces.__getitem__
-        return [b"".join(map(get, x)).decode("utf-8", "replace") for x in ids]
+        return [b"".join(map(get, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids]
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
 _loaded: dict[int, TrieTokenizer] = {}
@@ -199,7 +200,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     ``vocabulary`` is the path of a tokenizers JSON file, read on the driver and broadcast (bounded by its size). Every
     row and column stays; a column ``ids`` is replaced.
     """
-    return _run(df.drop("ids"), vocabulary, text_col, "ids array<int>", lambda t, texts, ids: [pa.array(ids, pa.list_(pa.int32()))])
+    return _run(df.drop("ids"), vocabulary, text_col, "ids array<int>", lambda t, texts, ids: [_lists(ids)])
 
 
 def encode_digests(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -209,8 +210,8 @@ def encode_digests(df: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     def columns(t, texts, ids):
         decoded = t.decode_batch(ids)
         return [
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
         ]
 
@@ -246,7 +247,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
         tokenizer = _tokenizer(shared)
         for batch in batches:
             ids = batch.column(ids_col)  # one row's numbers at a time: a batch may hold many long texts
-            texts = [tokenizer.decode_batch([x.values.to_pylist() if x.is_valid else []])[0] for x in ids]
+            texts = tokenizer.decode_batch([x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"" for x in ids])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     schema = type(df.schema)([*df.schema.fields, *df.sparkSession.createDataFrame([], "decoded string").schema.fields])
