@@ -87,5 +87,40 @@ FROM parsed
 """
 
 
+_OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE least < w.doc_id),
+g AS (SELECT DISTINCT doc_id, p + unnest(range(50)) AS b FROM r),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < b - 1) AS n_spans
+      FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM g) GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(substr(h, 2 * x.b + 1, 2), '' ORDER BY x.b) AS kept
+      FROM (SELECT doc_id, h, unnest(range(n)) AS b FROM d) x ANTI JOIN g ON g.doc_id = x.doc_id AND g.b = x.b GROUP BY x.doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+_OP2_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS i FROM x) WHERE i > 1),
+g AS (SELECT DISTINCT doc_id, p + unnest(range(20)) AS b FROM r),
+k AS (SELECT y.doc_id, string_agg(y.word, ' ' ORDER BY y.b) AS kept, count(*) AS n
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS b FROM d) y ANTI JOIN g ON g.doc_id = y.doc_id AND g.b = y.b GROUP BY y.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+#: All pairs: the forest's answer equals it where it misses none, as on tables of up to a leaf's size.
+_OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+t(a, b) AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+m AS (SELECT a, min(b) AS least FROM t GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+FROM u LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op8_url_filter": _OP8_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op2_passage_dedup": _OP2_SQL, "op8_url_filter": _OP8_SQL, "op10_embedding_dedup": _OP10_SQL}
