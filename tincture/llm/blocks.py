@@ -53,8 +53,9 @@ class BlockTable:
         spark = self.spark = docs.sparkSession
         tune(spark)
         self.scratch = scratch
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        self.parts = max(8, min(100_000, -(-size // (8 << 20))))
+        # Counted, not taken from the plan, which knows no size for a table that is not read from files.
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.parts = max(8, min(100_000, -(-size // (12 << 20))))
         self.name = f"blocks_{uuid.uuid4().hex}"
 
         def pack(batches):
@@ -184,7 +185,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, first, last) of the buckets that sorted hashes fall into."""
     own = bucket_of(hashes, buckets)
-    cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    if not len(own):
+        return []
+    cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     return [(int(own[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True)]
 
 
