@@ -1,12 +1,12 @@
 """The pipeline, stage by stage on its own input, and what the entry module registers."""
 
+import shutil
 import subprocess
 import sys
-import shutil
 from pathlib import Path
 
 import corpus_pipeline
-from tincture.llm import decontaminate, pii, simhash
+from tincture.llm import decontaminate, pii, queries, simhash
 
 SMALL = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -46,3 +46,13 @@ def test_entry_works_without_this_subpackage(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy), "HOME": "/tmp", "JAVA_HOME": __import__("os").environ.get("JAVA_HOME", "")})
+
+
+def test_registered_queries_match_their_sql(spark, duck):
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, SMALL).toPandas()
+        want = duck.execute(sql).df()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        plain = lambda f: sorted(tuple(None if x != x else x for x in r) for r in f[columns].itertuples(index=False))
+        assert list(map(str, plain(got))) == list(map(str, plain(want))), name
