@@ -66,7 +66,7 @@ def order_stars(spark: SparkSession, sf_dir: str) -> GraphSet:
 def customer_suppliers(spark: SparkSession, sf_dir: str) -> GraphSet:
     """CS: a bipartite graph for each customer nation; labels: market segments, one for all suppliers; graph label: the region."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    customers = read("customer").select("c_custkey", F.col("c_nationkey").alias("gid"), "c_mktsegment")
+    customers = read("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("gid"), "c_mktsegment")
     pairs = read("lineitem").select("l_orderkey", "l_suppkey").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     links = pairs.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("gid", F.lit(0).alias("a_kind"), F.col("o_custkey").alias("a"), F.lit(1).alias("b_kind"), F.col("l_suppkey").alias("b"), F.lit(None).cast("string").alias("label"))
     nodes = customers.select("gid", F.lit(0).alias("kind"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("label")).unionByName(
