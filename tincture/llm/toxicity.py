@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ IDENTITY_TERMS = (
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct letter runs, lower-cased; digits, marks and punctuation do not count."""
-    return set(_WORDS.findall(text.lower()))
+    """Distinct letter runs, lower-cased, and the first four and five letters of longer ones (as ``abcd*``), so that unseen forms
+    of a known stem count; digits, marks and punctuation do not."""
+    words = set(_WORDS.findall(text.lower()))
+    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
 
 
 @dataclass
@@ -63,29 +66,35 @@ def train(
 ) -> ToxicityModel:
     """Fit by accelerated proximal gradient steps: log loss + ``ridge`` + ``lasso`` + ``counterfactual`` times the squared change of the logit
     under each swap of an identity term. Words in fewer than ``least_texts`` texts carry no weight, except identity terms."""
-    n = len(texts)
-    if not n or len(set(labels)) < 2:
-        rate = (sum(labels) + 0.5) / (n + 1.0)
+    order = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    codes = np.fromiter((order[w] for t in texts for w in sorted(t)), np.int64, len(row))
+    return _train(row, codes, list(order), np.asarray(labels, dtype=float), identity_terms, counterfactual, ridge, lasso, least_texts, largest_vocabulary, steps)
+
+
+def _train(row, codes, terms, y, identity_terms=IDENTITY_TERMS, counterfactual=4.0, ridge=1e-4, lasso=5e-4, least_texts=5, largest_vocabulary=50_000, steps=500) -> ToxicityModel:
+    """``train`` over pairs of a text's number and a word's, with ``terms`` giving a word by its number."""
+    n = len(y)
+    if not n or len(set(y)) < 2:
+        rate = (float(np.sum(y)) + 0.5) / (n + 1.0)
         return ToxicityModel(float(np.log(rate / (1 - rate))))
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in t:
-            counts[w] = counts.get(w, 0) + 1
-    terms = {w: kind for kind in identity_terms for w in kind}
-    vocabulary = sorted((w for w, c in counts.items() if c >= least_texts or w in terms), key=lambda w: (-counts[w], w))[:largest_vocabulary]
+    kinds = {w: kind for kind in identity_terms for w in kind}
+    counts = np.bincount(codes, minlength=len(terms))
+    chosen = np.flatnonzero(counts >= least_texts)
+    chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:largest_vocabulary].tolist()
+    vocabulary = [str(terms[i]) for i in chosen]
+    have = set(vocabulary)
+    for i, w in ((i, w) for w in sorted(kinds) if w not in have for i in _find(terms, w)):
+        chosen.append(i)
+        vocabulary.append(w)
+    to = np.full(len(terms), -1, np.int64)
+    to[chosen] = np.arange(len(chosen))
+    live = to[codes] >= 0
+    row, col = row[live], to[codes[live]]
     place = {w: i for i, w in enumerate(vocabulary)}
-    hits = [np.fromiter((place[w] for w in sorted(t) if w in place), dtype=np.int64) for t in texts]
-    row = np.repeat(np.arange(n), [len(h) for h in hits])
-    col = np.concatenate(hits)
-    y = np.asarray(labels, dtype=float)
     # Each swap of term a for b in a labelled text changes the logit by w[b] - w[a]; a pair's weight counts its texts.
-    pairs: dict[tuple[int, int], float] = {}
-    for t in texts:
-        for a in t & terms.keys():
-            for b in terms[a]:
-                if b != a and b not in t and a in place:
-                    key = (place[a], place.get(b, -1))
-                    pairs[key] = pairs.get(key, 0.0) + 1.0 / n
+    within = {w: set(row[col == place[w]].tolist()) for w in kinds if w in place}
+    pairs = {(place[x], place.get(z, -1)): len(own - within.get(z, set())) / n for x, own in within.items() for z in kinds[x] if z != x}
     a, b = (np.array([p[i] for p in pairs], dtype=np.int64) for i in (0, 1))
     strength = counterfactual * np.array(list(pairs.values()))
     # The last weight is the bias: a word of every text, without penalties.
@@ -112,6 +121,14 @@ def train(
     return ToxicityModel(float(w[-1]), {word: float(x) for word, x in zip(vocabulary, w[:-1], strict=True) if abs(x) > 1e-6})
 
 
+def _find(terms, word: str) -> list[int]:
+    """The number of a word, if it is among the terms (a list or an Arrow array)."""
+    if isinstance(terms, list):
+        return [terms.index(word)] if word in terms else []
+    at = pc.index(terms, word).as_py()
+    return [at] if at >= 0 else []
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_class: int = 4000, characters: int = 20_000, **options) -> ToxicityModel:
     """Train on labelled texts whose crc32(doc_id as text) mod 3 is not 1.
 
@@ -135,10 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_
             yield pa.RecordBatch.from_arrays([batch.column("_y"), batch.column("doc_id"), pa.array(found, pa.list_(pa.string()))], names=["y", "doc_id", "words"])
 
     rows = joined.mapInArrow(distinct_words, "y int, doc_id bigint, words array<string>").toArrow().sort_by("doc_id")
-    y = rows.column("y").to_pylist()
-    model = train([set(x) for x in rows.column("words").to_pylist()], y, **options)
-    if min(counts.get(0, 0), counts.get(1, 0), sum(y), len(y) - sum(y)) > 0:  # from the sample's share of label 1 to the table's
-        model.bias += float(np.log(counts[1] / counts[0]) - np.log(sum(y) / (len(y) - sum(y))))
+    y = rows.column("y").to_numpy().astype(float)
+    lists = rows.column("words").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):  # no chunk at all
+        lists = pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    model = _train(np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64), coded.dictionary, y, **options)
+    if min(counts.get(0, 0), counts.get(1, 0), y.sum(), len(y) - y.sum()) > 0:  # from the sample's share of label 1 to the table's
+        model.bias += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
