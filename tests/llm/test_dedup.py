@@ -164,6 +164,37 @@ def test_shingle_similarity_groups(spark):
         assert len(missed) <= 0.01 * sum(want[i] != i for i in ids)
 
 
+def shingle_groups(rows):
+    """Components of exact set similarity 0.8 of five-word shingles, by brute force."""
+
+    def sets(t):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+    own = {i: sets(t) for i, t in rows}
+    ids = sorted(own)
+    return union_find(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])])
+
+
+def test_similar_groups_miss_nothing_in_short_and_repetitive_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(40))
+    rows = []
+    for i in range(0, 600, 2):
+        w = [word() for _ in range(rng.randint(6, 40))]
+        v = [*w, *(word() for _ in range(len(w) // 5))] if i % 4 else w[: len(w) - rng.randint(0, len(w) // 5)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    for i in range(1000, 1060, 2):
+        w = [word() for _ in range(204)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:100] + w[88:100] * rng.choice([5, 10, 20]) + w[100:]))]
+    rows += [(2000 + i, f"{line} {' '.join(word() for _ in range(rng.randint(1, 60)))}") for i in range(60)]
+    want = shingle_groups(rows)
+    for part in (20_000, 20):
+        got = dict(map(tuple, simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), largest_part=part).collect()))
+        assert got == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()))

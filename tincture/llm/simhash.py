@@ -186,15 +186,26 @@ def similarity_radius(similarity: float, bits: int = 64 * SKETCH_WORDS) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of ``size`` lower-cased words of each text."""
+    buf, offsets = raw(texts)
+    buf = _LOWER[buf]
+    starts, ends, first = find_words(buf, offsets)
+    words = hash_words(buf, starts, ends)
+    return [np.unique(shingles(words[a:b], size)) for a, b in zip(first, first[1:], strict=False)]
+
+
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, p0, ..., p3, bands): a 256-bit SimHash over shingles of ``size`` lower-cased words, and ten keys, each of three
-    minimum hashes of the shingles, which texts of similarity 0.8 share at least one of in 99.9 of 100 cases."""
+    """(doc_id, s0, s1, n, p0, ..., p3, bands), all of the set of shingles of ``size`` lower-cased words: a 128-bit hash that names the
+    set, its size, a 256-bit SimHash, and ten keys, each of three minimum hashes, which texts of similarity 0.8 share at least one of
+    in 99.9 of 100 cases."""
     tune(docs.sparkSession)
     salts = splitmix(np.arange(BANDS * BAND_ROWS, dtype=U64) + U64(0x5A17))
 
-    def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.zeros(64 * SKETCH_WORDS, np.int64)
         least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, U64)
+        name = np.zeros(2, U64)
         for at in range(0, len(hashes), 1 << 14):
             own = hashes[at : at + (1 << 14)]
             words = np.stack([splitmix(own + U64(k)) for k in range(SKETCH_WORDS)], axis=1)
@@ -202,23 +213,24 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
             with np.errstate(over="ignore"):
                 for k, salt in enumerate(salts):
                     least[k] = min(least[k], ((own ^ salt) * U64(0x9E3779B97F4A7C15)).min())
+                name += np.array([splitmix(own ^ salt).sum(dtype=U64) for salt in salts[:2]])
         keys = window_hashes(least, BAND_ROWS)[::BAND_ROWS]
-        return np.packbits(2 * total > len(hashes)).view(U64), splitmix(keys + np.arange(BANDS, dtype=U64))
+        return name, np.packbits(2 * total > len(hashes)).view(U64), splitmix(keys + np.arange(BANDS, dtype=U64))
 
     def run(batches):
         for batch in slices(batches):
-            buf, offsets = raw(batch.column("text"))
-            buf = _LOWER[buf]
-            starts, ends, first = find_words(buf, offsets)
-            words = hash_words(buf, starts, ends)
-            found = [sketch(shingles(words[a:b], size)) for a, b in zip(first, first[1:], strict=False)]
-            prints = np.array([p for p, _ in found]).view(np.int64)
-            bands = pa.array([b.view(np.int64) for _, b in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(SKETCH_WORDS)), bands], names=["doc_id", *_PRINT, "bands"])
+            sets = shingle_sets(batch.column("text"), size)
+            found = [sketch(s) for s in sets]
+            names, prints = (np.array([f[k] for f in found]).view(np.int64) for k in (0, 1))
+            bands = pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))
+            columns = [pa.array(x[:, k]) for x in (names, prints) for k in range(x.shape[1])]
+            columns.insert(2, pa.array([len(s) for s in sets], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, bands], names=["doc_id", *_SET, "n", *_PRINT, "bands"])
 
-    return text_bytes(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{p} bigint" for p in _PRINT) + ", bands array<bigint>")
+    return text_bytes(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{p} bigint" for p in [*_SET, "n", *_PRINT]) + ", bands array<bigint>")
 
 
+_SET = ["s0", "s1"]
 _PRINT = [f"p{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -239,22 +251,136 @@ def semi(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> Data
     return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "doc_id", how)
 
 
+def slot_counts(docs: DataFrame, size: int, slots: int) -> np.ndarray:
+    """How many texts' shingles fall into each of ``slots`` slots (a hash modulo ``slots``), 65,535 at most."""
+    step = min(slots, 1 << 14)
+
+    def count(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in slices(batches):
+            for s in shingle_sets(batch.column("text"), size):
+                np.add.at(total, (s % U64(slots)).astype(np.int64), 1)
+        own = np.minimum(total, 65_535).astype(np.uint16)
+        at = [k for k in range(0, slots, step) if own[k : k + step].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([own[k : k + step].tobytes() for k in at], pa.binary())], names=["at", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(step, np.int64)
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(x, np.uint16)
+        return pa.table({"at": table.column("at").slice(0, 1), "counts": pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())})
+
+    schema = "at int, counts binary"
+    out = np.zeros(slots, np.uint16)
+    for row in text_bytes(docs).mapInArrow(count, schema).groupBy("at").applyInArrow(add, schema).toArrow().to_pylist():  # two bytes a slot
+        out[row["at"] : row["at"] + step] = np.frombuffer(row["counts"], np.uint16)
+    return out
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets with the similarity, these many first shingles each, in any one order of all shingles, have one in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def missed_pairs(docs: DataFrame, labels: DataFrame, similarity: float, size: int, shingle_count: int, largest_part: int, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of the documents of ``labels`` (doc_id, label) of different labels whose shingle sets have the similarity.
+
+    Prefix filtering, exact: shingles are ordered by how common their slot is, and the rarest ``prefix_length`` ones of each text are
+    its prefix. Texts that share a prefix shingle, at places and with sizes that allow the similarity, are compared. How good
+    the counts are changes the work only, never the result. Shingles of over ``largest_part`` texts are cut into parts.
+    """
+    spark = docs.sparkSession
+    slots = 1 << min(22, max(12, (shingle_count // 32).bit_length()))
+    shared = spark.sparkContext.broadcast(slot_counts(docs, size, slots))
+
+    def prefixes(batches):
+        counts = shared.value
+        for batch in slices(batches):
+            rows = []
+            for s in shingle_sets(batch.column("text"), size):
+                common = counts[(s % U64(slots)).astype(np.int64)]
+                order = np.lexsort((s, common))[: prefix_length(len(s), similarity)]
+                profile = np.bincount((s >> U64(58)).astype(np.int64), minlength=64).astype(np.int32).tobytes()
+                rows.append((len(s), int(np.count_nonzero(common[order] <= largest_part)), s[order].view(np.int64), profile))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "cold", "prefix", "profile"])
+
+    def bound(n, m):
+        """The least overlap of sets of these sizes with the similarity."""
+        return similarity / (1 + similarity) * (n + m) - 1e-6
+
+    def meet(table: pa.Table) -> pa.Table:
+        shingle, part, doc, label, n, place = (table.column(c).to_numpy() for c in ("shingle", "part", "doc_id", "label", "n", "place"))
+        order = np.lexsort((part, shingle))
+        shingle, part, doc, label, n, place = (x[order] for x in (shingle, part, doc, label, n, place))
+        live, step, found = np.arange(len(order)), 0, np.zeros((0, 2), np.int64)
+        waiting: list[np.ndarray] = []
+        while len(live):
+            step += 1
+            live = live[live + step < len(order)]
+            live = live[(shingle[live] == shingle[live + step]) & (part[live] == part[live + step])]
+            other = live + step
+            fit = (label[live] != label[other]) & (np.minimum(n[live] - place[live], n[other] - place[other]) >= bound(n[live], n[other]))
+            pairs = np.stack((np.minimum(doc[live[fit]], doc[other[fit]]), np.maximum(doc[live[fit]], doc[other[fit]])), axis=1)
+            waiting.append(pairs)
+            if sum(map(len, waiting)) > 1 << 20:
+                found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
+        found = np.unique(np.concatenate([found, *waiting]), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    def possible(batches):
+        """Pairs whose numbers of shingles in 64 classes allow the similarity."""
+        for batch in batches:
+            own = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, 64) for c in ("pa", "pb")]
+            fit = np.minimum(*own).sum(axis=1) >= bound(own[0].sum(axis=1), own[1].sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fit))
+
+    def sets(batches):
+        for batch in slices(batches):
+            own = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own], names=["doc_id", "shingles"])
+
+    def similar(batches):
+        for batch in batches:
+            own = zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)
+            fit = [_jaccard(np.frombuffer(x, U64), np.frombuffer(y, U64)) >= similarity for x, y in own]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    held = scratch.save(text_bytes(docs).mapInArrow(prefixes, "doc_id bigint, n int, cold int, prefix array<bigint>, profile binary"))
+    rows = held.join(labels, "doc_id").select("doc_id", "label", "n", "cold", F.posexplode("prefix").alias("place", "shingle"))
+    hot = scratch.save(rows.where("place >= cold").drop("cold"))
+    rows = rows.where("place < cold").drop("cold").withColumn("part", F.lit(0)).unionByName(in_parts(hot, "shingle", "doc_id", largest_part, scratch))
+    shards = max(8, min(1_000_000, int(shingle_count * (1 - similarity)) // 200_000))
+    met = rows.withColumn("shard", F.pmod(F.xxhash64("shingle", "part"), F.lit(shards))).groupBy("shard").applyInArrow(meet, "a bigint, b bigint").distinct()
+    profiles = held.select("doc_id", "profile")
+    met = scratch.save(met.where("a <> b"))
+    for side in "ab":
+        met = met.join(profiles.select(F.col("doc_id").alias(side), F.col("profile").alias(f"p{side}")), side)
+    chosen = scratch.save(met.select("a", "b", "pa", "pb").mapInArrow(possible, "a bigint, b bigint").distinct())
+    ids = chosen.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = scratch.save(text_bytes(semi(docs, scratch.save(ids), "inner")).mapInArrow(sets, "doc_id bigint, shingles binary"))
+    for side in "ab":
+        chosen = chosen.join(own.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    return chosen.select("a", "b", "sa", "sb").mapInArrow(similar, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, largest_part: int = 20_000) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of their ``size``-word shingle sets of ``similarity`` or more,
-    and what such links connect.
-
-    256-bit SimHashes within a radius that pairs at the threshold stay inside in 99 of 100 cases propose groups, and the exact
-    similarity decides inside those. At this radius the distances to any vantage point say next to nothing (unrelated
-    fingerprints lie 128 bits apart, give or take 8, and a pair may differ by 52), so vantage-point trees alone would compare all
-    pairs: fingerprints are dealt into shards by band keys first, and trees search inside them. Groups of over
-    ``largest_part`` members are cut into parts, and each pair of parts is a task. Null and empty texts are copies of each
-    other; rows with a null id get no group.
+    and what such links connect. No link is lost and none is made without the exact check (up to collisions of 64-bit hashes).
+
+    Texts with the same set of shingles are one node. 256-bit SimHashes of the sets within a radius that pairs at the threshold
+    stay inside in 99 of 100 cases propose groups, and the exact similarity decides inside those. At this radius the
+    distances to any vantage point say next to nothing (unrelated fingerprints lie 128 bits apart, give or take 8, and a pair
+    may differ by 52), so vantage-point trees alone would compare all pairs: fingerprints are dealt into shards by band keys
+    first, and trees search inside them. ``missed_pairs`` then finds every link between groups that SimHash did not propose.
+    Groups of over ``largest_part`` members are cut into parts, and each pair of parts is a task. Null and empty texts are
+    copies of each other; rows with a null id get no group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = scratch.save(sketches(docs, size))
-    points = scratch.save(found.groupBy(*_PRINT).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    points = scratch.save(found.groupBy(*_PRINT).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("own")).select(*_PRINT, "rep", "own.*"))
     radius = similarity_radius(similarity) + 13  # 2.3 standard deviations of a pair at the threshold
 
     def propose(table: pa.Table) -> pa.Table:
@@ -268,17 +394,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, larg
         return _edges(tree.forest, table.column("rep").to_numpy())
 
     dealt = in_parts(points.select("rep", *_PRINT, F.explode("bands").alias("band")), "band", "rep", largest_part, scratch)
-    shards = max(8, min(1_000_000, points.count() * BANDS // 20_000))
+    count, shingle_count = points.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(8, min(1_000_000, count * BANDS // 20_000))
     shard = F.pmod(F.xxhash64("band", "part"), F.lit(shards))
     proposed = scratch.save(components(dealt.withColumn("shard", shard).groupBy("shard").applyInArrow(propose, "a bigint, b bigint"), scratch))
 
     def sets(batches):
         for batch in slices(batches):
-            buf, offsets = raw(batch.column("text"))
-            buf = _LOWER[buf]
-            starts, ends, first = find_words(buf, offsets)
-            words = hash_words(buf, starts, ends)
-            own = pa.array([np.unique(shingles(words[a:b], size)).tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())
+            own = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), own], names=["doc_id", "component", "shingles"])
 
     def decide(table: pa.Table) -> pa.Table:
@@ -304,7 +427,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, larg
     exact = in_parts(held, "component", "doc_id", largest_part // 10, scratch)
     shards = max(8, min(1_000_000, proposed.count() // 1000))
     shard = F.pmod(F.xxhash64("component", "part"), F.lit(shards))
-    groups = components(exact.withColumn("shard", shard).groupBy("shard").applyInArrow(decide, "a bigint, b bigint"), scratch)
+    groups = scratch.save(components(exact.withColumn("shard", shard).groupBy("shard").applyInArrow(decide, "a bigint, b bigint"), scratch))
+    nodes = points.select(F.col("rep").alias("node")).distinct().join(groups, "node", "left")
+    labels = scratch.save(nodes.select(F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("label")))
+    missed = missed_pairs(docs, labels, similarity, size, shingle_count, largest_part, scratch)
+    links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
+    groups = components(links, scratch)
     labelled = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*_PRINT, F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", *_PRINT).join(labelled, _PRINT).select("doc_id", "component_id")
 
