@@ -195,6 +195,17 @@ def test_similar_groups_miss_nothing_in_short_and_repetitive_texts(spark):
         assert got == want
 
 
+def test_texts_of_one_word_in_the_main_stay_apart(spark):
+    rng = random.Random(12)
+    other = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))
+    filler = "na " * 60
+    rows = [(i, filler + other()) for i in range(6)]
+    near = rows[3][1].rsplit(" ", 3)[0]
+    rows += [(10, near), (11, near + " x y")]
+    got = dict(map(tuple, simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == shingle_groups(rows) and got[0] == 0 and got[1] == 1 and got[10] == 3
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()))

@@ -380,7 +380,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, larg
     scratch = Scratch(spark, "similar")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = scratch.save(sketches(docs, size))
-    points = scratch.save(found.groupBy(*_PRINT).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("own")).select(*_PRINT, "rep", "own.*"))
+    points = scratch.save(found.groupBy(*_SET).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", *_PRINT, "bands"), "doc_id").alias("own")).select(*_SET, "rep", "own.*"))
     radius = similarity_radius(similarity) + 13  # 2.3 standard deviations of a pair at the threshold
 
     def propose(table: pa.Table) -> pa.Table:
@@ -433,8 +433,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, larg
     missed = missed_pairs(docs, labels, similarity, size, shingle_count, largest_part, scratch)
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
     groups = components(links, scratch)
-    labelled = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*_PRINT, F.coalesce("component", "rep").alias("component_id"))
-    return found.select("doc_id", *_PRINT).join(labelled, _PRINT).select("doc_id", "component_id")
+    labelled = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*_SET, F.coalesce("component", "rep").alias("component_id"))
+    return found.select("doc_id", *_SET).join(labelled, _SET).select("doc_id", "component_id")
 
 
 def _edges(forest: Forest, nodes: np.ndarray) -> pa.Table:
