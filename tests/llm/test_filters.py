@@ -206,6 +206,15 @@ def test_surrogates_stay_distinct(spark):
     assert few == joined
 
 
+def test_names_and_numbers_behind_rejected_words():
+    people = ["Contact Maria Garcia", "Yesterday John Smith", "Director Anna Weber", "Report By Maria Garcia Lopez", "The Frau Dr. Weber", "John Smith Maria Lopez", "Mr Smith Anna Weber", "Anna Maria Garcia"]
+    got = [[t[a:b] for a, b, _, _ in pii.detect(t)] for t in people]
+    assert got == [["Maria", "Garcia"], ["John", "Smith"], ["Anna", "Weber"], ["Maria", "Garcia"], ["Weber"], ["John", "Smith", "Maria", "Lopez"], ["Smith", "Anna", "Weber"], ["Anna", "Maria", "Garcia"]]
+    hidden = lambda t: "".join(t[a:b] for a, b, k, _ in pii.detect(t) if k == "phone")
+    assert "415 555 0132" in hidden("2021 2022 415 555 0132 2023") and hidden("on 2024-01-02 415 555 0132") == "415 555 0132"
+    assert hidden("4111 1111 1111 1111 415 555 0132") == "415 555 0132" and hidden("on 2024-01-02") == hidden("10 20 30") == ""
+
+
 # Tokens.
 @pytest.fixture(scope="module")
 def reference():

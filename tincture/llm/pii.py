@@ -55,6 +55,7 @@ PATTERNS = (
 _COMPILED = [(kind, regex.compile(p)) for kind, p in PATTERNS]
 _DATE = regex.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4}")
 _DIGIT = regex.compile(r"\d")
+_DIGITS = regex.compile(r"\d+")
 _NAME = regex.compile(r"\b(\p{Lu}\p{L}*)(\.? +)(\p{Lu}\p{L}+)(?: +(\p{Lu}\p{L}+))?")
 _SECRET_HINT = regex.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key|AKIA")
 
@@ -76,6 +77,21 @@ def normal_form(kind: str, found: str) -> str:
     return found if kind in ("secret", "ip") else found.lower()
 
 
+def _phones(pattern: regex.Pattern, text: str, taken: list[tuple[int, int]]) -> Iterator[regex.Match]:
+    """Matches with 8 to 15 digits that are no dates and touch nothing taken; after any other match the search goes on behind its
+    first date or group of digits."""
+    m = pattern.search(text)
+    while m:
+        a, b = m.span()
+        date = _DATE.match(m[0])
+        if not (date and date.end() == b - a) and 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not any(a < y and x < b for x, y in taken):
+            yield m
+            at = b
+        else:
+            at = a + (date or _DIGITS.search(m[0])).end()
+        m = pattern.search(text, at)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of each entity, in order, without overlaps."""
     spans: list[tuple[int, int, str, str]] = []
@@ -84,26 +100,28 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _COMPILED:
         if not (has_at if kind == "email" else has_secret if kind == "secret" else has_digit):
             continue
-        for m in pattern.finditer(text):
+        for m in _phones(pattern, text, taken) if kind == "phone" else pattern.finditer(text):
             a, b = m.span()
-            if kind == "phone" and (_DATE.fullmatch(m[0]) or not 8 <= sum(c.isdigit() for c in m[0]) <= 15):
-                continue
             if any(a < y and x < b for x, y in taken):
                 continue
             taken.append((a, b))
             spans.append((a, b, kind, normal_form(kind, m[0])))
-    for m in _NAME.finditer(text):
-        first, second, third = m[1].lower(), m[3], m[4]
-        if first in _TITLES:
-            given = second.lower() in _GIVEN and third is not None
-            if given:
-                spans.append((m.start(3), m.end(3), "given:" + _GIVEN[second.lower()][1], second.lower()))
-            at = 4 if given else 3
-            spans.append((m.start(at), m.end(at), "surname", m[at].lower()))
-        elif first in _GIVEN and "." not in m[2]:
-            gender = _GIVEN[first][1]
-            spans.append((m.start(1), m.end(1), "given:" + gender, first))
-            spans.append((m.start(3), m.end(3), "surname", second.lower()))
+    at, m = 0, _NAME.search(text)
+    while m:
+        first, second, third = m[1].lower(), m[3].lower(), m[4]
+        last = 0
+        if first in _TITLES and second not in _TITLES:
+            last = 4 if second in _GIVEN and third is not None else 3
+            if last == 4:
+                spans.append((m.start(3), m.end(3), "given:" + _GIVEN[second][1], second))
+        elif first in _GIVEN and second not in _TITLES and "." not in m[2]:
+            last = 3
+            spans.append((m.start(1), m.end(1), "given:" + _GIVEN[first][1], first))
+        if last:
+            spans.append((m.start(last), m.end(last), "surname", m[last].lower()))
+        # The next name may begin with the word after a rejected one, or with a surname that is a given name too.
+        at = m.end(1) if not last else m.start(last) if m[last].lower() in _GIVEN else m.end(last)
+        m = _NAME.search(text, at)
     spans.sort()
     out: list[tuple[int, int, str, str]] = []
     for s in spans:
