@@ -215,6 +215,20 @@ def test_names_and_numbers_behind_rejected_words():
     assert hidden("4111 1111 1111 1111 415 555 0132") == "415 555 0132" and hidden("on 2024-01-02") == hidden("10 20 30") == ""
 
 
+def test_surrogates_end_for_masked_secrets_and_full_pools(spark):
+    texts = ["password: ******** and token = ------", "password = *****7, --@example.com", *(f"pwd: *****{d} {c}@example.com" for d, c in zip("0123456789" * 3, "abcdefghijklmnopqrstuvwxyz", strict=False))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(docs, b"key").collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_entities"] == 0
+    assert len(got) == len(texts) and len({r["text"].split()[-1] for r in got.values()}) == len(texts)
+    assert all(got[i]["text"].split()[-1] not in " ".join(texts).split() for i in range(1, len(texts)))
+    for kind, value in (("ip", "1.1.1.1"), ("email", "-@example.com"), ("card", "4111111111111111"), ("phone", "+12345678"), ("ssn", "123456789"), ("iban", "DE12345678"), ("secret", "a*****"), ("surname", "ng"), ("given:f", "anna")):
+        drawn = [pii.surrogate(b"key", kind, value, n) for n in (pii.WIDER, pii.WIDER + 9)]
+        assert kind == "ip" or len(value) < len(drawn[0]) < len(drawn[1])
+        if kind in ("card", "phone", "ssn"):
+            assert pii.normal_form(kind, pii.render(value, kind, drawn[0])) == drawn[0]
+
+
 # Tokens.
 @pytest.fixture(scope="module")
 def reference():

@@ -59,6 +59,9 @@ _DIGITS = regex.compile(r"\d+")
 _NAME = regex.compile(r"\b(\p{Lu}\p{L}*)(\.? +)(\p{Lu}\p{L}+)(?: +(\p{Lu}\p{L}+))?")
 _SECRET_HINT = regex.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key|AKIA")
 
+#: The attempt from which surrogates get longer.
+WIDER = 24
+
 
 def script_of(word: str) -> str:
     for c in word:
@@ -102,7 +105,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in _phones(pattern, text, taken) if kind == "phone" else pattern.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in taken):
+            if any(a < y and x < b for x, y in taken) or kind == "secret" and not any(map(str.isalnum, m[0])):  # masked: no entity
                 continue
             taken.append((a, b))
             spans.append((a, b, kind, normal_form(kind, m[0])))
@@ -161,49 +164,53 @@ def _like(c: str, stream: Iterator[int], hexadecimal: bool = False) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of a normal form, itself in normal form."""
+    """The replacement of a normal form, itself in normal form. From attempt ``WIDER`` on it gets longer with each, so that no set of
+    entities can hold all that is drawn."""
     s = _stream(key, kind, value, attempt)
+    more = attempt - WIDER + 4 if attempt >= WIDER else 0
+    letters = "".join(chr(97 + _draw(s, 26)) for _ in range(more))
     if kind.startswith("given:"):
         pool = GIVEN.get((script_of(value), kind[6:])) or GIVEN[("LATIN", kind[6:] or "f")]
         name = pool[_draw(s, len(pool))].lower()
-        return name if attempt < 8 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 24 else "".join(_like(c, s) for c in value)
+        return name if attempt < 8 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 24 else "".join(_like(c, s) for c in value) + letters
     if kind == "surname":
         pool = SURNAMES.get(script_of(value), SURNAMES["LATIN"])
         name = pool[_draw(s, len(pool))].lower()
-        return name if attempt < 4 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 16 else "".join(_like(c, s) for c in value)
+        return name if attempt < 4 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 16 else "".join(_like(c, s) for c in value) + letters
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
-        return ".".join(str(a + _draw(s, b - a + 1)) for a, b in (low[len(o)] for o in value.split(".")))
+        return ".".join(str(a + _draw(s, b - a + 1)) for a, b in ((1, 254) if more else low[len(o)] for o in value.split(".")))
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         if labels[-2:-1] != ["example"] and len(labels) > 1:
             d = _stream(key, "domain", domain, 0)
             labels = ["".join(_like(c, d) for c in x) for x in labels[:-1]] + labels[-1:]
-        return "".join(_like(c, s) for c in local) + "@" + ".".join(labels)
+        return "".join(_like(c, s) for c in local) + letters + "@" + ".".join(labels)
     if kind == "card":
-        body = value[0] + "".join(str(_draw(s, 10)) for _ in value[1:-1])
+        body = value[0] + "".join(str(_draw(s, 10)) for _ in range(len(value) - 2 + more))
         if _luhn(value) == 0:
             return next(body + str(c) for c in range(10) if _luhn(body + str(c)) == 0)
         return body + str(_draw(s, 10))
     if kind == "phone":
         kept = 2 if value.startswith("+") else 0
-        rest = [str(_draw(s, 10)) for _ in value[kept:]]
+        rest = [str(_draw(s, 10)) for _ in range(len(value) - kept + more)]
         if kept == 0 and value[0] != "0":
             rest[0] = str(1 + _draw(s, 9))
         return value[:kept] + "".join(rest)
     if kind == "iban":
-        return value[:2] + "".join(_like(c, s) for c in value[2:])
+        return value[:2] + "".join(_like(c, s) for c in value[2:] + "0" * more)
     start = 4 if kind == "secret" and value.startswith("AKIA") else 0
     hexadecimal = kind == "secret" and not value.isdigit() and all(c in "0123456789abcdef" for c in value[start:])
-    return value[:start] + "".join(_like(c, s, hexadecimal) for c in value[start:])
+    tail = "0" * more if kind == "ssn" else "a" * more
+    return value[:start] + "".join(_like(c, s, hexadecimal) for c in value[start:] + tail)
 
 
 def render(found: str, kind: str, new: str) -> str:
     """A surrogate in the mention's own format: its punctuation for numbers, its case for names and addresses."""
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(new.lstrip("+"))
-        return "".join(next(signs) if c.isalnum() else c for c in found)
+        return "".join(next(signs) if c.isalnum() else c for c in found) + "".join(signs)
     if kind == "email" and len(found) == len(new):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(found, new, strict=True))
     if kind == "surname" or kind.startswith("given:"):
