@@ -46,6 +46,22 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert fair.score("what an idiot") > fair.score("what a day") + 0.3
 
 
+def test_counterfactual_penalty_reaches_all_that_a_swap_changes():
+    rng = random.Random(1)
+    texts, labels = [], []
+    for _ in range(600):
+        toxic = rng.random() < 0.4
+        own = [*prose(rng, 12).split(), *(["idiots"] if toxic and rng.random() < 0.8 else [])]
+        own += ["women", "muslims"] if rng.random() < (0.6 if toxic else 0.1) else ["men", "jews"] if rng.random() < 0.2 else []
+        texts.append(" ".join(own))
+        labels.append(int(toxic))
+    logit = lambda m, t: -np.log(1 / m.score(t) - 1)
+    gap = lambda m: abs(logit(m, "women and muslims of the town") - logit(m, "men and jews of the town"))
+    plain, fair = (toxicity.train([toxicity.words_of(t) for t in texts], labels, counterfactual=c) for c in (0.0, 8.0))
+    assert gap(plain) > 1 and gap(fair) < 0.1 * gap(plain)
+    assert {"idio*", "idiot*"} <= toxicity.words_of("idiots") and toxicity.words_of("Women") == {"women"}
+
+
 def test_toxicity_edges(spark):
     docs = table(spark, hostile())
     model = toxicity.ToxicityModel(-1.0, {"the": 3.0})

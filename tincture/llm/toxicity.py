@@ -36,20 +36,26 @@ IDENTITY_TERMS = (
 )
 
 
-def words_of(text: str) -> set[str]:
+_IDENTITY = frozenset(w for kind in IDENTITY_TERMS for w in kind)
+
+
+def words_of(text: str, whole: frozenset[str] = _IDENTITY) -> set[str]:
     """Distinct letter runs, lower-cased, and the first four and five letters of longer ones (as ``abcd*``), so that unseen forms
-    of a known stem count; digits, marks and punctuation do not."""
+    of a known stem count; digits, marks and punctuation do not. The terms in ``whole`` give no stems: a swap of identity terms
+    then changes no feature but the terms themselves, whose weights training penalises."""
     words = set(_WORDS.findall(text.lower()))
-    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+    stems = words - whole
+    return words | {w[:4] + "*" for w in stems if len(w) > 4} | {w[:5] + "*" for w in stems if len(w) > 5}
 
 
 @dataclass
 class ToxicityModel:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    whole: frozenset[str] = _IDENTITY
 
     def score(self, text: str | None) -> float:
-        known = self.weights.keys() & words_of(text or "")
+        known = self.weights.keys() & words_of(text or "", self.whole)
         return float(1.0 / (1.0 + np.exp(-np.clip(self.bias + sum(self.weights[w] for w in sorted(known)), -50, 50))))
 
 
@@ -75,9 +81,10 @@ def train(
 def _train(row, codes, terms, y, identity_terms=IDENTITY_TERMS, counterfactual=4.0, ridge=1e-4, lasso=5e-4, least_texts=5, largest_vocabulary=50_000, steps=500) -> ToxicityModel:
     """``train`` over pairs of a text's number and a word's, with ``terms`` giving a word by its number."""
     n = len(y)
+    whole = frozenset(w for kind in identity_terms for w in kind)
     if not n or len(set(y)) < 2:
         rate = (float(np.sum(y)) + 0.5) / (n + 1.0)
-        return ToxicityModel(float(np.log(rate / (1 - rate))))
+        return ToxicityModel(float(np.log(rate / (1 - rate))), whole=whole)
     kinds = {w: kind for kind in identity_terms for w in kind}
     counts = np.bincount(codes, minlength=len(terms))
     chosen = np.flatnonzero(counts >= least_texts)
@@ -118,7 +125,7 @@ def _train(row, codes, terms, y, identity_terms=IDENTITY_TERMS, counterfactual=4
         w = np.sign(moved) * np.maximum(0.0, np.abs(moved) - least / curve)
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         v, before, momentum = w + (momentum - 1) / after * (w - before), w, after
-    return ToxicityModel(float(w[-1]), {word: float(x) for word, x in zip(vocabulary, w[:-1], strict=True) if abs(x) > 1e-6})
+    return ToxicityModel(float(w[-1]), {word: float(x) for word, x in zip(vocabulary, w[:-1], strict=True) if abs(x) > 1e-6}, whole)
 
 
 def _find(terms, word: str) -> list[int]:
@@ -138,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_
     left out; of repeated ids one row is enough, all count.
     """
     tune(docs.sparkSession)
+    whole = frozenset(w for kind in options.get("identity_terms", IDENTITY_TERMS) for w in kind)
     known = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).select(
         "doc_id", F.col(label_col).cast("int").alias("_y"), F.xxhash64("doc_id").alias("_draw"))
     counts = dict(known.groupBy("_y").count().collect())
@@ -148,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_
 
     def distinct_words(batches):
         for batch in batches:
-            found = [sorted(words_of(t)) for t in batch.column("_t").to_pylist()]
+            found = [sorted(words_of(t, whole)) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), batch.column("doc_id"), pa.array(found, pa.list_(pa.string()))], names=["y", "doc_id", "words"])
 
     rows = joined.mapInArrow(distinct_words, "y int, doc_id bigint, words array<string>").toArrow().sort_by("doc_id")
