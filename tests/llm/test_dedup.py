@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tincture.llm import embedding_dedup, passage_dedup, simhash, substring_dedup
+from tincture.llm import embedding_dedup, passage_dedup, simhash, substring_dedup, suffix_order
 from tincture.llm.common import Scratch
 from tincture.llm.components import components
 from tincture.llm.passage_dedup import SuffixAutomaton
@@ -43,10 +43,36 @@ def test_byte_strings_with_null_ids_and_repeated_rows(spark):
     assert got == [(5, 0), (5, 0), (None, n), (None, n)]
 
 
+def test_the_largest_id_is_not_a_null_one(spark):
+    long = prose(random.Random(4), 40)
+    docs = spark.createDataFrame([(2**63 - 1, long), (None, "short"), (7, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.deduplicate(docs).collect()}
+    assert got == {2**63 - 1: len(long), None: 0, 7: 0}
+    assert {r["doc_id"] for r in passage_dedup.deduplicate(docs).collect()} == set(got)
+
+
 def test_every_cover_reaches_every_difference():
-    for period, cover in substring_dedup.COVERS.items():
+    for period, cover in suffix_order.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
-    assert substring_dedup.cover_for(50)[0] == 31
+    assert suffix_order.cover_for(50) == 31
+
+
+@pytest.mark.parametrize("depth", [1, 3, 8, 9, 20, 31, 50, 70, 200])
+def test_suffix_order_with_long_ties(depth):
+    rng = random.Random(depth)
+    for letters in (b"a", b"ab", b"abcdefgh \x00\xff"):
+        t = bytes(rng.choices(letters, k=900))
+        t += t[100:350] * 2 + b"a" * 300 + t[:200]
+        places = np.array([p for p in range(len(t) - depth + 1) if rng.random() < 0.8])
+        want = sorted(t[p : p + depth] for p in places)
+        for most in (1 << 19, 64):
+            strings, runs = [], 0
+            for own, heads in suffix_order.suffix_buckets(np.frombuffer(t, np.uint8), places, depth, most):
+                for group in np.split(own, heads[1:]):
+                    assert len({t[p : p + depth] for p in group}) == 1
+                runs += len(heads)
+                strings += [t[p : p + depth] for p in own]
+            assert strings == want and runs == len(set(want))
 
 
 def test_string_hashes_tell_strings_apart():
@@ -217,7 +243,7 @@ def test_embeddings(spark):
     centres = rng.standard_normal((60, 16))
     rows = [(i, (centres[i % 60] + 0.15 * rng.standard_normal(16)).tolist()) for i in range(900)]
     rows += [(2000 + i, rows[3][1]) for i in range(40)]  # copies
-    odd = [(3000, None), (3001, []), (3002, [0.0] * 16), (3003, [math.nan] * 16), (3004, [math.inf] + [1.0] * 15), (3005, [None] + [1.0] * 15), (3006, [1.0] * 4), (None, rows[3][1])]
+    odd = [(3000, None), (3001, []), (3002, [0.0] * 16), (3003, [math.nan] * 16), (3004, [math.inf] + [1.0] * 15), (3005, [None] + [1.0] * 15), (3006, [1.0] * 4), (3007, [-1.0] * 4), (None, rows[3][1])]
     frame = spark.createDataFrame([(i, v, "x") for i, v in rows + odd], "vec_id long, embedding array<double>, kept string")
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(frame, leaf=64, trees=12).collect()}
     ids = np.array([i for i, _ in rows] + [-1])
@@ -230,16 +256,45 @@ def test_embeddings(spark):
     groups = union_find(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(near)])
     agree = np.mean([got[int(i)]["component_id"] == min(x for x in groups if x >= 0 and groups[x] == groups[int(i)]) for i in ids if i >= 0])
     assert agree >= 0.9
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(3000, 3007))
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(3000, 3008))
     assert not got[None]["kept"] and got[None]["component_id"] == got[3]["component_id"]
 
 
-def test_embeddings_recall_on_the_whole_table(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame).collect()}
-    rows = frame.select("vec_id", "embedding").toPandas()
-    unit = np.array(rows["embedding"].tolist(), dtype=float)
+def recall(got, ids, vectors):
+    """Found links over all links, by brute force; none may be found beyond those."""
+    unit = np.array(vectors, dtype=float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     want = np.concatenate([(unit[i : i + 2000] @ unit.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(unit), 2000)])
-    found = np.array([got[i] for i in rows["vec_id"]])
-    assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
+    found = np.array([got[i] for i in ids])
+    assert (found <= want).all() and want.sum() > 0
+    return found.sum() / want.sum()
+
+
+def test_embeddings_recall_on_the_whole_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    rng = np.random.default_rng(5)
+    base = np.array(frame["embedding"].tolist(), dtype=float)
+    ids, vectors = frame["vec_id"].tolist(), base.tolist()
+    for k in range(2):  # the table itself holds no two vectors this close
+        noise = rng.standard_normal(base.shape) / np.sqrt(base.shape[1])
+        near = base + np.linalg.norm(base, axis=1, keepdims=True) * rng.uniform(0.05, 0.47, (len(base), 1)) * noise
+        ids += [10_000_000 * (k + 1) + i for i in frame["vec_id"].tolist()]
+        vectors += near.tolist()
+    rows = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(rows, leaf=400).collect()}
+    assert recall(got, ids, vectors) >= 0.9
+
+
+def test_embeddings_of_other_lengths_and_dense_clusters(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(8)
+    rows = [(i, (centre + 0.02 * rng.standard_normal(8)).tolist()) for i in range(700)]
+    rows += [(1000 + i, rng.standard_normal(8).tolist()) for i in range(300)]
+    rows += [(2000 + i, [1.0, 2.0, 3.0 + i, 4.0]) for i in range(2)] + [(3000, [5.0]), (3001, [7.0]), (3002, [-7.0]), (3003, [1.0] * 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for part in (8000, 100):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(frame, leaf=200, largest_part=part).collect()}
+        eights = [(i, v) for i, v in rows if len(v) == 8]
+        assert recall({i: r["n_links"] for i, r in got.items()}, [i for i, _ in eights], [v for _, v in eights]) >= 0.99
+        assert all(got[i]["component_id"] == 0 for i in range(700))
+        assert [got[i]["component_id"] for i in (2000, 2001, 3000, 3001, 3002, 3003)] == [2000, 2000, 3000, 3000, 3002, 3003]

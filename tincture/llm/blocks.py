@@ -4,11 +4,11 @@ A repeated-text operator must learn, for places of a text, whether the same stri
 not move for that: documents are written once as blocks of a few MB, in a table bucketed by block. For each question a
 block sends every hash bucket one packed, sorted list of distinct hashes; a bucket sorts what it gets and returns one bit for each
 entry, in the sender's order. Answers meet the blocks again through the table's bucketing, so only the answers are shuffled.
+A block sends a bucket nothing if it has no hash for it, so there are never more rows than hashes, however large both grow.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -24,18 +24,21 @@ from .common import U64, Scratch, slices, tune
 _LAST = np.iinfo(np.int64).max
 #: Bytes sent for a hash where a chance match only costs time.
 SHORT = 5
-#: Bytes sent for a hash that decides: with the bucket at least 59 bits, 63 from 128 buckets on.
-LONG = 7
 
 
 @dataclass
 class Block:
-    """Documents with ids, the end of each one's text, and all bytes. Null ids are the largest number."""
+    """Documents with ids, the end of each one's text, all bytes, and which ids are null; those count as the largest number."""
 
     number: int
     ids: np.ndarray
     offsets: np.ndarray
     data: np.ndarray
+    nulls: np.ndarray
+
+    @property
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.nulls)
 
     @property
     def lengths(self) -> np.ndarray:
@@ -66,10 +69,11 @@ class BlockTable:
             def row():
                 ids = np.concatenate([x.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False) for x in held])
                 texts = [t for x in held for t in x.column("text").to_pylist()]
+                nulls = np.concatenate([x.column("doc_id").is_null().to_numpy(zero_copy_only=False) for x in held])
                 ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([int(ends[-1])], pa.int64())] + [pa.array([x], pa.binary()) for x in (ids.tobytes(), ends.tobytes(), b"".join(texts))],
-                    names=["block", "size", "ids", "offsets", "data"])
+                    [pa.array([number], pa.int64()), pa.array([int(ends[-1])], pa.int64())] + [pa.array([x], pa.binary()) for x in (ids.tobytes(), ends.tobytes(), b"".join(texts), nulls.tobytes())],
+                    names=["block", "size", "ids", "offsets", "data", "nulls"])
 
             for batch in slices(batches, most=block_bytes):
                 bytes_in = sum(len(t) for t in batch.column("text").to_pylist())
@@ -81,7 +85,7 @@ class BlockTable:
             if held:
                 yield row()
 
-        packed = docs.mapInArrow(pack, "block bigint, size bigint, ids binary, offsets binary, data binary")
+        packed = docs.mapInArrow(pack, "block bigint, size bigint, ids binary, offsets binary, data binary, nulls binary")
         writer = packed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/{self.name}")
         writer.bucketBy(self.parts, "block").saveAsTable(self.name)
         self.table = spark.table(self.name)
@@ -106,7 +110,7 @@ class BlockTable:
             for batch in batches:
                 for i in range(batch.num_rows):
                     one = {n: batch.column(n)[i] for n in batch.schema.names}
-                    block = Block(one["block"].as_py(), *(np.frombuffer(one[n].as_buffer(), t) for n, t in (("ids", np.int64), ("offsets", np.int64), ("data", np.uint8))))
+                    block = Block(one["block"].as_py(), *(np.frombuffer(one[n].as_buffer(), t) for n, t in (("ids", np.int64), ("offsets", np.int64), ("data", np.uint8), ("nulls", bool))))
                     yield from function(block, [join_bits(one[f"bits{k}"].as_py()) for k in range(count)])
 
         return table.mapInArrow(each, schema)
@@ -136,10 +140,19 @@ class BlockTable:
         buckets = self.buckets(self.table.count() * 1e3)
 
         def question(block, _bits):
-            distinct, owners, _ = _whole_texts(block)
-            yield from pack_owners(distinct, owners, buckets, range(buckets))
+            texts, owners, _ = _whole_texts(block)
+            for bucket, a, b in runs(texts[:, 0], buckets):
+                yield bucket, texts[a:b].tobytes() + owners[a:b].tobytes()
 
-        return self.gather(self.ask(question, answer_owners))
+        def answer(payloads):
+            counts = [len(p) // 24 for p in payloads]
+            texts = np.concatenate([np.frombuffer(p, U64, 2 * n).reshape(n, 2) for p, n in zip(payloads, counts, strict=True)])
+            owners = np.concatenate([np.frombuffer(p, np.int64, n, 16 * n) for p, n in zip(payloads, counts, strict=True)])
+            order, starts, inverse = group_pairs(texts)
+            least = np.minimum.reduceat(owners[order], starts)
+            return np.split(least[inverse] < owners, np.cumsum(counts)[:-1])
+
+        return self.gather(self.ask(question, answer))
 
     def gather(self, *replies: DataFrame) -> DataFrame:
         """The answers of each block together: as many entries as there are buckets."""
@@ -148,11 +161,6 @@ class BlockTable:
             every = every.unionByName(r)
         return every.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("bits"))
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished questions now: it does so once their plans are garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def join_bits(parts: list[dict] | bytes | None) -> np.ndarray:
     """A block's answers in bucket order, which is the order of the sorted hashes that it sent; or bits that it kept itself."""
@@ -163,10 +171,10 @@ def join_bits(parts: list[dict] | bytes | None) -> np.ndarray:
 
 
 def _whole_texts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct text, its smallest holder in the block, each document's place among them)."""
+    """(128-bit hash of each distinct text, its smallest holder in the block, each document's place among them)."""
     ends = block.offsets.tolist()
-    hashes = np.array([int.from_bytes(hashlib.blake2b(block.data[a:b], digest_size=8).digest(), "big") for a, b in zip(ends, ends[1:], strict=False)], dtype=U64)
-    order, starts, inverse = group_sorted(hashes)
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(block.data[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)), U64).reshape(-1, 2)
+    order, starts, inverse = group_pairs(hashes)
     owners = np.minimum.reduceat(block.ids[order], starts) if len(starts) else np.zeros(0, np.int64)
     return hashes[order][starts], owners, inverse
 
@@ -201,6 +209,25 @@ def group_sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return order, np.flatnonzero(first), inverse
 
 
+def group_pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``group_sorted`` of hashes of two numbers each."""
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    s = hashes[order]
+    first = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1))) if len(s) else np.zeros(0, bool)
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return order, np.flatnonzero(first), inverse
+
+
+def sliding(values: np.ndarray, width: int, better) -> np.ndarray:
+    """Best of each run of ``width`` values, by doubling."""
+    best, have = values, 1
+    while 2 * have <= width:
+        best, have = better(best[:-have], best[have:]), 2 * have
+    rest = width - have
+    return better(best[: len(best) - rest], best[rest:]) if rest else best
+
+
 def pack_repeats(distinct: np.ndarray, several: np.ndarray, buckets: int):
     """Question "does this hash occur anywhere else?": a few bytes of each hash, and a bit for those that the block has twice itself."""
     short = distinct.view(np.uint8).reshape(-1, 8)[:, :SHORT]
@@ -220,28 +247,3 @@ def answer_repeats(payloads: list[bytes]) -> list[np.ndarray]:
     sizes = np.diff(np.append(starts, len(order)))
     repeated = (sizes > 1) | (np.logical_or.reduceat(several[order], starts) if len(starts) else sizes > 1)
     return np.split(repeated[inverse], np.cumsum(counts)[:-1])
-
-
-def pack_owners(distinct: np.ndarray, owners: np.ndarray, buckets: int, only: range):
-    """Question "does a smaller document hold this string?": each hash (without its first byte, which the bucket implies almost
-    whole) and the block's own smallest holder."""
-    long = distinct.view(np.uint8).reshape(-1, 8)[:, :LONG]
-    for bucket, a, b in runs(distinct, buckets):
-        if bucket in only:
-            ids, place = np.unique(owners[a:b], return_inverse=True)
-            yield bucket, np.array([b - a, len(ids)], np.int64).tobytes() + ids.tobytes() + long[a:b].tobytes() + place.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
-
-
-def answer_owners(payloads: list[bytes]) -> list[np.ndarray]:
-    hashes, owners = [], []
-    for p in payloads:
-        n, m = np.frombuffer(p, np.int64, 2).tolist()
-        ids = np.frombuffer(p, np.int64, m, 16)
-        keys = np.zeros((n, 8), np.uint8)
-        keys[:, :LONG] = np.frombuffer(p, np.uint8, n * LONG, 16 + 8 * m).reshape(n, LONG)
-        hashes.append(keys.view(U64).ravel())
-        owners.append(ids[np.frombuffer(p, np.uint16 if m < 1 << 16 else np.uint32, n, 16 + 8 * m + LONG * n)])
-    owner = np.concatenate(owners)
-    order, starts, inverse = group_sorted(np.concatenate(hashes))
-    least = np.minimum.reduceat(owner[order], starts)
-    return np.split(least[inverse] < owner, np.cumsum([len(h) for h in hashes])[:-1])

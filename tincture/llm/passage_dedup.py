@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Block, BlockTable, answer_repeats, copies_of, group_sorted, pack_repeats, runs
+from .blocks import Block, BlockTable, answer_repeats, copies_of, group_sorted, pack_repeats, runs, sliding
 from .common import U64, Scratch, find_words, hash_words, text_bytes, window_hashes
 
 
@@ -68,15 +68,6 @@ class SuffixAutomaton:
         return copy
 
 
-def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
-    """Best of each run of ``width`` values, by doubling."""
-    best, have = values, 1
-    while 2 * have <= width:
-        best, have = better(best[:-have], best[have:]), 2 * have
-    rest = width - have
-    return better(best[: len(best) - rest], best[rest:]) if rest else best
-
-
 class _Passages:
     """What a block works out again at every stage."""
 
@@ -92,13 +83,13 @@ class _Passages:
         count = max(0, len(hashes) - self.size + 1)
         fits = np.arange(count) + self.size <= np.repeat(np.where(copies, 0, first[1:]), np.diff(first))[:count]
         parts = window_hashes(hashes, self.anchor) | U64(1)
-        anchors = np.where(fits, _sliding(parts, self.size - self.anchor + 1, np.minimum)[:count], U64(0)) if count else np.zeros(0, U64)
+        anchors = np.where(fits, sliding(parts, self.size - self.anchor + 1, np.minimum)[:count], U64(0)) if count else np.zeros(0, U64)
         return starts, ends, first, hashes, parts, anchors
 
     def anchor_places(self, parts: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         width = self.size - self.anchor
         around = np.concatenate((np.zeros(width, U64), anchors, np.zeros(width, U64)))
-        best = _sliding(around, width + 1, np.maximum)[: len(parts)] if len(anchors) else np.zeros(len(parts), U64)
+        best = sliding(around, width + 1, np.maximum)[: len(parts)] if len(anchors) else np.zeros(len(parts), U64)
         return np.flatnonzero((best == parts[: len(best)]) & (best > 0))
 
     def ask_anchors(self, block: Block, bits):
@@ -238,9 +229,7 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False, block_bytes
     copies = blocks.copies()
     anchors = blocks.gather(blocks.ask(passages.ask_anchors, answer_repeats, copies))
     windows = blocks.gather(blocks.ask(passages.ask_windows, answer_repeats, copies, anchors))
-    blocks.release()
     shards = blocks.gather(blocks.ask(passages.ask_shards, passages.answer_shards, copies, anchors, windows))
-    blocks.release()
 
     def finish(block: Block, bits):
         copies = copies_of(block, bits[0])
@@ -252,8 +241,7 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False, block_bytes
             kept.append(b" ".join(compress(own, keep[first[i] : first[i + 1]])))
         left = np.concatenate(([0], np.cumsum(keep)))
         counts = np.diff(first)
-        ids = pa.array(block.ids, mask=block.ids == np.iinfo(np.int64).max)
-        columns = [ids, pa.array(counts), pa.array(counts - np.diff(left[first]).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        columns = [block.id_column, pa.array(counts), pa.array(counts - np.diff(left[first]).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * text

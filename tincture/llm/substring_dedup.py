@@ -1,11 +1,11 @@
 """Exact byte-string deduplication by difference-cover blockwise suffix sorting.
 
-Suffixes are told apart to a depth of ``length`` bytes. A difference cover modulo 31 picks 6 of 31 places of each text so that
-any two places of any two texts reach a sampled place of both after the same number of steps (0 to 30). So two equal strings
-of 50 bytes always hold an equal 20-byte string that starts at sampled places of both. The sampled suffixes are ranked
-first (here a rank only has to say whether the suffix's prefix occurs in another document), which leaves few suffixes with
-ties that reach that deep; only those are then sorted, one suffix bucket at a time, to their full depth. Memory is bounded
-by a block of texts and a bucket of suffixes, disk by one pass over the buckets.
+Every string of ``length`` bytes has an anchor, the smallest hash of the shorter strings in it, so that equal strings have equal
+anchors. A first question to hash buckets leaves only strings whose anchor another document has too. Runs of such strings with one
+anchor (stretches of text) meet those of the whole corpus in the anchor's shard, where their suffixes are sorted to the depth
+of ``length`` bytes: cover-sample ranks first, then one suffix bucket at a time, long ties by the ranks
+(``suffix_order``). A run of equal strings in that order has one smallest document, and all others lose theirs. Hashes only say
+where strings meet; what is equal is decided on bytes.
 """
 
 from __future__ import annotations
@@ -15,34 +15,22 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .blocks import Block, BlockTable, answer_owners, answer_repeats, copies_of, group_sorted, pack_owners, pack_repeats
+from .blocks import Block, BlockTable, answer_repeats, copies_of, group_sorted, pack_repeats, runs, sliding
 from .common import U64, Scratch, place_keys, splitmix, text_bytes
+from .suffix_order import suffix_buckets
 
-#: Difference covers (every difference modulo the period occurs), by period.
-COVERS = {31: (1, 5, 11, 24, 25, 27), 13: (0, 1, 3, 9), 7: (1, 2, 4), 3: (0, 1), 1: (0,)}
 _BYTES = splitmix(np.arange(256, dtype=U64) + U64(0xC0FE))
 
 
-def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
-    """The largest period that leaves strings of ``length`` bytes a sampled part of at least two fifths of them."""
-    period = max(p for p in COVERS if p == 1 or 5 * (length - p + 1) >= 2 * length)
-    return period, COVERS[period]
-
-
-def string_hashes(data: np.ndarray, size: int, at: np.ndarray | None = None, segment: int = 1 << 16) -> np.ndarray:
-    """Hashes of the strings of ``size`` bytes at sorted places ``at`` (default: all), by doubling, in cache-sized segments."""
+def string_hashes(data: np.ndarray, size: int, segment: int = 1 << 16) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at all places, by doubling, in cache-sized segments."""
     n = max(0, len(data) - size + 1)
-    at = np.arange(n) if at is None else at
-    out = np.empty(len(at), U64)
+    out = np.empty(n, U64)
     keys = place_keys(2, 0xD0B1)
     parts = [1 << k for k in range(size.bit_length()) if size >> k & 1][::-1]
     with np.errstate(over="ignore"):
         for low in range(0, n, segment):
-            a, b = np.searchsorted(at, (low, low + segment))
-            if a == b:
-                continue
             level, doubled = _BYTES[data[low : low + segment + size - 1]], {}
             for k in range(size.bit_length()):
                 doubled[1 << k] = level
@@ -60,118 +48,146 @@ def string_hashes(data: np.ndarray, size: int, at: np.ndarray | None = None, seg
                 total ^= total >> U64(31)
                 total *= keys[1]
                 done += p
-            out[a:b] = total[at[a:b] - low]
+            out[low : low + segment] = total[: min(segment, n - low)]
     return splitmix(out)
 
 
-def sampled_places(block: Block, period: int, cover: tuple[int, ...], size: int) -> np.ndarray:
-    """Places of the cover, counted from each text's start, that have ``size`` bytes of their text before them."""
-    lengths = block.lengths
-    inside = np.arange(len(block.data), dtype=np.int32) - np.repeat(block.offsets[:-1].astype(np.int32), lengths)
-    left = np.repeat(lengths.astype(np.int32), lengths) - inside
-    chosen = np.zeros(period, bool)
-    chosen[list(cover)] = True
-    return np.flatnonzero(chosen[inside % period] & (left >= size))
-
-
-class _Depths:
+class _Strings:
     """What a block works out again at every stage, from its texts and the bits it was sent."""
 
-    def __init__(self, length: int, buckets: int):
-        self.length, self.buckets = length, buckets
-        self.period, self.cover = cover_for(length)
-        self.sample = length - self.period + 1
-
-    def ranks(self, block: Block, copies: np.ndarray):
-        at = sampled_places(block, self.period, self.cover, self.sample)
-        at = at[~copies[np.searchsorted(block.offsets, at, side="right") - 1]]
-        hashes = string_hashes(block.data, self.sample, at)
-        order, starts, inverse = group_sorted(hashes)
-        owners = block.document_of(at[order])
+    def __init__(self, length: int, buckets: int, shards: int):
+        self.length, self.buckets, self.shards = length, buckets, shards
+        self.part = max(1, 2 * length // 5)
+
+    def anchored(self, block: Block, copies: np.ndarray):
+        """Runs of places whose strings have one anchor: (first place, end, document row, anchor). Copies have none."""
+        count = max(0, len(block.data) - self.length + 1)
+        if not count:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64))
+        least = sliding(string_hashes(block.data, self.part), self.length - self.part + 1, np.minimum)[:count]
+        fits = np.arange(count) + self.length <= np.repeat(np.where(copies, 0, block.offsets[1:]), block.lengths)[:count]
+        change = np.flatnonzero((least[1:] != least[:-1]) | (fits[1:] != fits[:-1])) + 1
+        begin, end = np.concatenate(([0], change)), np.append(change, count)
+        live = fits[begin]  # a text's last places hold no whole string, so no run crosses texts
+        begin, end = begin[live], end[live]
+        return begin, end, np.searchsorted(block.offsets, begin, side="right") - 1, splitmix(least[begin])
+
+    def ask_anchors(self, block: Block, bits):
+        _, _, row, anchor = self.anchored(block, copies_of(block, bits[0]))
+        order, starts, _ = group_sorted(anchor)
+        owners = block.ids[row[order]]
         several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
-        return at, hashes[order][starts], several, inverse
-
-    def ask_ranks(self, block: Block, bits):
-        _, distinct, several, _ = self.ranks(block, copies_of(block, bits[0]))
-        yield from pack_repeats(distinct, several, self.buckets)
-
-    def tied(self, block: Block, bits):
-        """The places whose string of full length holds a sampled part that another document has too; those of copies do not count."""
-        copies = copies_of(block, bits[0])
-        at, _, _, inverse = self.ranks(block, copies)
-        most = len(block.data)
-        hits = np.zeros(most + 1, np.int32)
-        hits[1:][at[bits[1][inverse]]] = 1
-        np.cumsum(hits, out=hits)
-        reach = np.minimum(np.arange(most) + self.period, most)
-        ends = np.repeat(np.where(copies, 0, block.offsets[1:]), block.lengths)
-        found = (hits[reach] > hits[:-1]) & (np.arange(most) + self.length <= ends)
-        yield pa.RecordBatch.from_arrays([pa.array([block.number], pa.int64()), pa.array([np.packbits(found).tobytes()], pa.binary())], names=["block", "bits"])
-
-    def suffixes(self, block: Block, tied: np.ndarray):
-        """Tied places grouped by their string of full length."""
-        places = np.flatnonzero(tied[: len(block.data)])
-        hashes = string_hashes(block.data, self.length, places)
-        order, starts, inverse = group_sorted(hashes)
-        documents = block.document_of(places)
-        owners = np.minimum.reduceat(documents[order], starts) if len(starts) else np.zeros(0, np.int64)
-        return places, documents, hashes[order][starts], owners, inverse
-
-    def ask_owners(self, block: Block, bits, only: range):
-        _, _, distinct, owners, _ = self.suffixes(block, bits[0])
-        yield from pack_owners(distinct, owners, self.buckets, only)
+        yield from pack_repeats(anchor[order][starts], several, self.buckets)
+
+    def stretches(self, block: Block, copies: np.ndarray, bits: np.ndarray):
+        """Runs whose anchor another document has too, as (first place, strings, document row); the run that stands for each (of equal
+        ones in the block that of the smallest document), and the texts of those that stand for any, in the order sent, with
+        their anchors."""
+        begin, end, row, anchor = self.anchored(block, copies)
+        _, _, inverse = group_sorted(anchor)
+        live = bits[inverse] if len(inverse) else np.zeros(0, bool)
+        begin, end, row, anchor = begin[live], end[live], row[live], anchor[live]
+        data, more, seen, sent = block.data.tobytes(), self.length - 1, {}, []
+        stands, firsts, lasts = [0] * len(begin), begin.tolist(), (end + more).tolist()
+        for i in np.argsort(block.ids[row], kind="stable").tolist():
+            text = data[firsts[i] : lasts[i]]
+            own = stands[i] = seen.setdefault(text, i)
+            if own == i:
+                sent.append((i, text))
+        texts = [t for _, t in sent]
+        sent = np.array([i for i, _ in sent], np.int64)
+        order = np.argsort(anchor[sent], kind="stable")
+        return begin, end - begin, row, np.array(stands, np.int64), sent[order], [texts[k] for k in order.tolist()], anchor[sent[order]]
+
+    def ask_shards(self, block: Block, bits):
+        _, _, row, _, sent, texts, anchor = self.stretches(block, copies_of(block, bits[0]), bits[1])
+        ids, sizes = block.ids[row[sent]], np.fromiter(map(len, texts), np.int32, len(texts))
+        for shard, a, b in runs(anchor, self.shards):
+            yield shard, np.int64(b - a).tobytes() + ids[a:b].tobytes() + sizes[a:b].tobytes() + b"".join(texts[a:b])
+
+    def answer_shards(self, payloads: list[bytes]) -> list[np.ndarray]:
+        """For each string of each stretch sent, whether a smaller document holds it."""
+        least: dict[bytes, list[int]] = {}  # text: its number and its smallest document
+        told = []
+        for p in payloads:
+            n = int(np.frombuffer(p, np.int64, 1)[0])
+            ids, sizes = np.frombuffer(p, np.int64, n, 8), np.frombuffer(p, np.int32, n, 8 + 8 * n)
+            at = (np.concatenate(([0], np.cumsum(sizes))) + 8 + 12 * n).tolist()
+            numbers = []
+            for doc, a, b in zip(ids.tolist(), at, at[1:], strict=False):
+                own = least.setdefault(p[a:b], [len(least), doc])
+                own[1] = min(own[1], doc)
+                numbers.append(own[0])
+            told.append((ids, sizes.astype(np.int64) - self.length + 1, np.array(numbers, np.int64)))
+        text = np.frombuffer(b"".join(least), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, least), np.int64, len(least)))
+        starts = np.concatenate(([0], ends[:-1]))
+        holder = np.array([doc for _, doc in least.values()], np.int64)
+        counts = ends - starts - self.length + 1
+        firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))  # of each distinct stretch's strings among all
+        within = np.arange(int(counts.sum())) - np.repeat(firsts, counts)
+        places = within + np.repeat(starts, counts)
+        number = np.full(len(text), -1, np.int64)
+        number[places] = np.arange(len(places))
+        owner = np.repeat(holder, counts)
+        smallest = np.empty(len(places), np.int64)
+        for own, heads in suffix_buckets(text, places, self.length):
+            own = number[own]
+            smallest[own] = np.repeat(np.minimum.reduceat(owner[own], heads), np.diff(np.append(heads, len(own))))
+        out = []
+        for ids, sizes, numbers in told:
+            at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(firsts[numbers], sizes)
+            out.append(smallest[at] < np.repeat(ids, sizes))
+        return out
 
     def removed(self, block: Block, bits) -> np.ndarray:
         """The bytes that a string covers which also starts in a smaller document."""
         copies = copies_of(block, bits[0])
-        places, documents, _, owners, inverse = self.suffixes(block, bits[1])
-        repeats = places[bits[2][inverse] | (documents > owners[inverse])] if len(places) else places
+        begin, sizes, row, stands, sent, _, _ = self.stretches(block, copies, bits[1])
+        first = np.zeros(len(begin), np.int64)
+        first[sent] = np.cumsum(sizes[sent]) - sizes[sent]
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        later = block.ids[row] > block.ids[row[stands]]
+        told = bits[2][np.repeat(first[stands], sizes) + within] | np.repeat(later, sizes) if len(begin) else np.zeros(0, bool)
+        repeats = (np.repeat(begin, sizes) + within)[told]
         edges = np.zeros(len(block.data) + 1, np.int32)
         edges[repeats] += 1
         edges[repeats + self.length] -= 1
         return (np.cumsum(edges[:-1]) > 0) | np.repeat(copies & (block.lengths >= self.length), block.lengths)
 
 
-def deduplicate(docs: DataFrame, length: int = 50, passes: int = 3, text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 50, text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` the bytes
     that are left (column ``kept``).
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller id; all
     strings are judged on the input. Null and shorter texts lose nothing. Rows of one id count as one document and do not
-    take from each other; null ids count as one document after all others. An empty table gives an empty one. Strings are
-    told apart by 64-bit hashes (63 bits of them between blocks). ``passes``: in how many parts the suffix buckets are sorted, which divides the disk needed.
+    take from each other; null ids count as one document after all others (one with the largest bigint). An empty table gives
+    an empty one. Strings are compared by bytes; whole copies of a text are told by 128 bits of its hash.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
+    scratch = Scratch(docs.sparkSession, "suffixes")
     blocks = BlockTable(text_bytes(docs), scratch, block_bytes)
-    depths = _Depths(length, blocks.buckets(blocks.bytes * len(cover_for(length)[1]) / cover_for(length)[0]))
-    copies = blocks.copies()
-    ranks = blocks.gather(blocks.ask(depths.ask_ranks, answer_repeats, copies))
-    tied = scratch.save(blocks.run(depths.tied, "block bigint, bits binary", copies, ranks))
-    blocks.release()
-    cuts = [round(i * depths.buckets / passes) for i in range(passes + 1)]
-    replies = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        replies.append(blocks.ask(lambda block, bits, only=range(a, b): depths.ask_owners(block, bits, only), answer_owners, tied))
-        blocks.release()
-
-    def finish(block: Block, bits):
-        gone = depths.removed(block, bits)
-        total = np.concatenate(([0], np.cumsum(gone)))
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        borders = block.offsets[:-1][block.offsets[:-1] < len(gone)]
-        opens[borders] = gone[borders]
-        spans = np.concatenate(([0], np.cumsum(opens)))
-        left = block.data[~gone]
-        at = block.offsets - total[block.offsets]
-        kept = [left[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-        ids = pa.array(block.ids, mask=block.ids == np.iinfo(np.int64).max)
-        columns = [ids, pa.array(block.lengths), pa.array(np.diff(total[block.offsets])), pa.array(np.diff(spans[block.offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text)
-
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text
-    out = scratch.save(blocks.run(finish, schema, copies, tied, blocks.gather(*replies)))
-    blocks.drop()
-    scratch.drop(tied, *replies)
-    return out
+    try:
+        strings = _Strings(length, blocks.buckets(blocks.bytes / 16), blocks.buckets(blocks.bytes, 4 << 20))
+        copies = blocks.copies()
+        anchors = blocks.gather(blocks.ask(strings.ask_anchors, answer_repeats, copies))
+        shards = blocks.gather(blocks.ask(strings.ask_shards, strings.answer_shards, copies, anchors))
+
+        def finish(block: Block, bits):
+            gone = strings.removed(block, bits)
+            total = np.concatenate(([0], np.cumsum(gone)))
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            borders = block.offsets[:-1][block.offsets[:-1] < len(gone)]
+            opens[borders] = gone[borders]
+            spans = np.concatenate(([0], np.cumsum(opens)))
+            left = block.data[~gone]
+            at = block.offsets - total[block.offsets]
+            kept = [left[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            columns = [block.id_column, pa.array(block.lengths), pa.array(np.diff(total[block.offsets])), pa.array(np.diff(spans[block.offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text)
+
+        schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text
+        return scratch.save(blocks.run(finish, schema, copies, anchors, shards))
+    finally:
+        blocks.drop()
