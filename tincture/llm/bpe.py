@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tune
+from .common import free_name, slices, tune
 
 #: Fixed value: the word pattern of byte-level vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,6 +203,16 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     return _run(df.drop("ids"), vocabulary, text_col, "ids array<int>", lambda t, texts, ids: [_lists(ids)])
 
 
+def encode_checked(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """Add ``ids`` as ``encode`` does, and ``round_trip``: whether they decode to the text again. One pass, so that a worker holds one
+    tokenizer."""
+
+    def columns(t, texts, ids):
+        return [_lists(ids), pa.array([a == b for a, b in zip(texts, t.decode_batch(ids), strict=True)], pa.bool_())]
+
+    return _run(df.drop("ids", "round_trip"), vocabulary, text_col, "ids array<int>, round_trip boolean", columns)
+
+
 def encode_digests(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` (the text
     decoded from the ids, as UTF-8)."""
@@ -221,19 +231,18 @@ def encode_digests(df: DataFrame, vocabulary: str, text_col: str = "text") -> Da
 def _run(df: DataFrame, vocabulary: str, text_col: str, added: str, columns) -> DataFrame:
     tune(df.sparkSession)
     shared = _Definition(df.sparkSession, vocabulary)
-    keep = df.columns
+    keep, text = df.columns, free_name(df, "_text")
     fields = df.sparkSession.createDataFrame([], added).schema.fields
     schema = type(df.schema)([*df.schema.fields, *fields])
 
     def run(batches):
         tokenizer = _tokenizer(shared)
-        for batch in slices(batches, "_text", 1 << 20):
-            texts = batch.column("_text").to_pylist()
+        for batch in slices(batches, text, 1 << 20):
+            texts = batch.column(text).to_pylist()
             ids = tokenizer.encode_batch(texts)
-            own = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_text"]
-            yield pa.RecordBatch.from_arrays([*own, *columns(tokenizer, texts, ids)], names=[*keep, *(f.name for f in fields)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns(tokenizer, texts, ids)], names=[*keep, *(f.name for f in fields)])
 
-    return df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    return df.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:

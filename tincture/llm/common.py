@@ -26,10 +26,12 @@ _WORD_BYTE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = False
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is a local folder made and set.
+    Only where the session names none and runs on this machine alone (as in tests) is a local folder made and set.
     """
     path = spark.conf.get(_CHECKPOINT, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"on a cluster {_CHECKPOINT} must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tincture-")
         spark.conf.set(_CHECKPOINT, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -96,6 +98,14 @@ def text_bytes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *e
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *extra)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id written as text leaves ``remainder``; null ids count as held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(True))

@@ -1,20 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A window of a document has as many words as the benchmark item it is held against. Its 64-bit SimHash over five-word
-shingles (weighted by how often each occurs) is looked up in a multi-index of the items' fingerprints: the bits are cut
-into blocks, and by the pigeonhole principle every fingerprint within the radius agrees with the query in one block up to
-``radius // blocks`` bits, all of which are tried. Windows found so are verified by exact weighted-shingle similarity.
-
-Only windows that can pass the verification are fingerprinted: two windows with the same number of shingles m and
-similarity s share 2*s*m/(1+s) of them, so a window must hold that many hits of the item's own shingles. Items are
+A window of a document has as many words as the benchmark item it is held against. Its 128-bit SimHash over five-word
+shingles (weighted by how often each occurs) is looked up in a multi-index of the fingerprints of all items of that size: the bits
+are cut into blocks, and by the pigeonhole principle every fingerprint within the radius agrees with the query in one block up
+to ``radius // blocks`` bits, so each item is listed under all such values of each block. What the index returns are the
+candidates, which exact weighted-shingle similarity then verifies.
+
+Windows that no item can be similar to are not fingerprinted: two windows with m and n shingles and similarity s
+share s * (m + n) / (1 + s) of them, so a window must hold that many shingles that occur in any item. Items are
 handled in blocks of bounded size, each of which is broadcast.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,24 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return window_hashes(words, size)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """Bit k is set if it is set in over half of the hashes, repeats counted."""
-    bits = np.unpackbits(splitmix(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+#: Bits of a fingerprint, in words of 64.
+WORDS = 2
+
+
+def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int, most: int = 1 << 14) -> np.ndarray:
+    """The SimHash of the ``size`` shingles from each start (ascending): a bit is 1 if set in over half of them, repeats counted."""
+    out = np.zeros((len(starts), WORDS), U64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(starts, low + most)))
+        own, here = hashes[low : int(starts[end - 1]) + size], starts[at:end] - low
+        bits = np.unpackbits(np.stack([splitmix(own + U64(k)) for k in range(WORDS)], axis=1).view(np.uint8), axis=1)
+        sums = np.zeros((len(own) + 1, bits.shape[1]), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        out[at:end] = np.packbits(2 * (sums[here + size] - sums[here]) > size, axis=1).view(U64)
+        at = end
+    return out
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -45,116 +58,97 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / max(1, a.total() + b.total() - both)
 
 
-@dataclass
 class HammingIndex:
-    """All stored fingerprints within ``radius`` bits of a query, without a scan of all of them."""
-
-    radius: int = 23
-    blocks: int = 8
-    tables: list[dict[int, list[int]]] = field(default_factory=list)
-    prints: list[int] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.width = 64 // self.blocks
-        near = self.radius // self.blocks
-        self.flips = [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(self.width), k)]
-        self.tables = [{} for _ in range(self.blocks)]
+    """All stored fingerprints within ``radius`` bits of a query. Every block of eight bits has a table from its 256 values to the
+    fingerprints that differ from the value in ``radius // blocks`` bits at most."""
+
+    def __init__(self, prints: np.ndarray, radius: int = 47):
+        self.prints, self.radius = prints.reshape(-1, WORDS), radius
+        near = radius // (8 * WORDS)
+        values = self.prints.view(np.uint8).reshape(len(prints), -1)
+        flips = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= near).astype(np.uint8)
+        self.tables = []
+        for t in range(values.shape[1]):
+            listed = (values[:, t, None] ^ flips).ravel()
+            order = np.argsort(listed, kind="stable")
+            self.tables.append((np.searchsorted(listed[order], np.arange(257)), order // len(flips)))
+
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, stored fingerprint) pairs within the radius, in order."""
+        queries = queries.reshape(-1, WORDS)
+        values = queries.view(np.uint8).reshape(len(queries), -1)
+        found = []
+        for t, (firsts, listed) in enumerate(self.tables):
+            a, n = firsts[values[:, t]], np.diff(firsts)[values[:, t]]
+            query = np.repeat(np.arange(len(queries)), n)
+            stored = listed[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+            close = np.bitwise_count(queries[query] ^ self.prints[stored]).sum(axis=1, dtype=np.int64) <= self.radius
+            found.append(query[close] * len(self.prints) + stored[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+
+
+_SLOTS = U64((1 << 22) - 1)
 
-    def add(self, fingerprint: int) -> None:
-        for t, table in enumerate(self.tables):
-            table.setdefault(self._block(fingerprint, t), []).append(len(self.prints))
-        self.prints.append(fingerprint)
 
-    def _block(self, fingerprint: int, t: int) -> int:
-        return fingerprint >> t * self.width & (1 << self.width) - 1
-
-    def search(self, fingerprint: int) -> set[int]:
-        found: set[int] = set()
-        for t, table in enumerate(self.tables):
-            own = self._block(fingerprint, t)
-            for flip in self.flips:
-                found.update(i for i in table.get(own ^ flip, ()) if i not in found and (self.prints[i] ^ fingerprint).bit_count() <= self.radius)
-        return found
-
-
-@dataclass
 class Items:
-    """One broadcast block of benchmark items: shingles, fingerprints by window size, and a bitmap of shingle hashes."""
-
-    ids: list[int]
-    counts: list[Counter]
-    words: list[int]
-    threshold: float
-
-    def __post_init__(self):
-        self.owners: dict[int, list[int]] = {}
-        for i, c in enumerate(self.counts):
-            for s in c:
-                self.owners.setdefault(s, []).append(i)
+    """One broadcast block of benchmark items: an index of fingerprints for each number of words, and a bitmap of shingle hashes."""
+
+    def __init__(self, ids: list[int], hashes: list[np.ndarray], words: list[int], threshold: float):
+        self.ids, self.threshold = ids, threshold
+        self.counts = [Counter(h.tolist()) for h in hashes]
         self.bitmap = np.zeros(1 << 22, dtype=bool)
-        if self.owners:
-            self.bitmap[np.fromiter(self.owners, U64, len(self.owners)) & U64((1 << 22) - 1)] = True
-        self.indexes: dict[int, tuple[HammingIndex, list[int]]] = {}
-        for i, (c, n) in enumerate(zip(self.counts, self.words, strict=True)):
-            index, members = self.indexes.setdefault(n, (HammingIndex(), []))
-            index.add(simhash(np.fromiter(c.elements(), U64)))
-            members.append(i)
-
-    def find(self, hashes: np.ndarray, count: int) -> list[tuple[int, int, int, float, int]]:
-        """(item, start word, words, similarity, fingerprint distance) of the best window for each item that passes.
-        ``hashes``: the document's shingles; ``count``: its words."""
-        spots = np.flatnonzero(self.bitmap[hashes & U64((1 << 22) - 1)])
-        held: dict[int, list[int]] = {}
-        for at in spots:
-            for i in self.owners.get(int(hashes[at]), ()):
-                held.setdefault(i, []).append(int(at))
-        out = []
-        for i, hits in held.items():
-            size = min(self.words[i], count)
-            m = max(1, size - SHINGLE + 1)
-            items = self.counts[i].total()
+        by_size: dict[int, list[int]] = {}
+        for i, (h, n) in enumerate(zip(hashes, words, strict=True)):
+            self.bitmap[h & _SLOTS] = True
+            by_size.setdefault(n, []).append(i)
+        self.indexes = {n: (HammingIndex(np.concatenate([window_prints(hashes[i], np.zeros(1, np.int64), len(hashes[i])) for i in own])), own) for n, own in sorted(by_size.items())}
+
+    def find(self, hashes: dict[int, np.ndarray], count: int) -> list[tuple[int, int, int, float, int]]:
+        """(item, start word, words, similarity, fingerprint distance) of the first best window for each item that passes.
+        ``hashes``: a document's shingles of five words (0), and of fewer where items are as short; ``count``: its words."""
+        best: dict[int, tuple] = {}
+        hits = {k: np.concatenate(([0], np.cumsum(self.bitmap[h & _SLOTS]))) for k, h in hashes.items()}
+        for n, (index, own) in self.indexes.items():
+            short = n if n < SHINGLE else 0
+            m, items = max(1, min(n, count) - SHINGLE + 1), max(1, n - SHINGLE + 1)
             need = int(np.ceil(self.threshold * (m + items) / (1 + self.threshold) - 1e-9))
-            if len(hits) < need:
+            if short not in hits or len(hashes[short]) < m or m < need or hits[short][-1] < need:
+                continue
+            near = hits[short]
+            starts = np.flatnonzero(near[m:] - near[:-m] >= need)
+            if not len(starts):
                 continue
-            at, best = np.array(hits), None
-            index, members = self.indexes[self.words[i]]
-            starts = np.unique(np.concatenate([at - k for k in range(m)])) if len(at) * m < 1 << 16 else np.arange(at[0] - m + 1, at[-1] + 1)
-            starts = starts[(starts >= 0) & (starts <= len(hashes) - m)]
-            within = np.searchsorted(at, starts + m) - np.searchsorted(at, starts)
-            for start in starts[within >= need]:
-                window = hashes[start : start + m]
-                fingerprint = simhash(window)
-                near = index.search(fingerprint)
-                mine = members.index(i)
-                if mine not in near:
-                    continue
-                sim = similarity(Counter(window.tolist()), self.counts[i])
-                if sim >= self.threshold and (best is None or sim > best[3] + 1e-12):
-                    best = (self.ids[i], int(start), size, sim, (fingerprint ^ index.prints[mine]).bit_count())
-            if best:
-                out.append(best)
-        return out
+            prints = window_prints(hashes[short], starts, m)
+            for q, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
+                i, start = own[k], int(starts[q])
+                sim = similarity(Counter(hashes[short][start : start + m].tolist()), self.counts[i])
+                if sim >= self.threshold and (i not in best or sim > best[i][3] + 1e-12):
+                    apart = int(np.bitwise_count(prints[q] ^ index.prints[k]).sum())
+                    best[i] = (self.ids[i], start, min(n, count), sim, apart)
+        return [best[i] for i in sorted(best)]
 
 
 def _items(rows, threshold: float) -> Items:
-    ids, counts, sizes = [], [], []
+    ids, hashes, sizes = [], [], []
     for item_id, text in rows:
         buf = np.frombuffer((text or "").encode(), dtype=np.uint8)
         starts, ends, _ = find_words(buf, np.array([0, len(buf)]))
         if item_id is not None and len(starts):
             ids.append(item_id)
-            counts.append(Counter(shingles(hash_words(buf, starts, ends)).tolist()))
+            hashes.append(shingles(hash_words(buf, starts, ends)))
             sizes.append(len(starts))
-    return Items(ids, counts, sizes, threshold)
+    return Items(ids, hashes, sizes, threshold)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, distance): for each document and item the first best window with
     weighted five-word-shingle similarity of ``threshold`` or more.
 
-    A document shorter than the item is held against it whole. Null and empty texts, items and ids match nothing; texts or
-    items under five words are one shingle. Repeated rows give repeated matches. Benchmark tables over ``block_bytes``
-    are split by item into blocks, and the documents are read once for each block.
+    A document shorter than the item is held against it whole. An item of under five words is one shingle of all of them, which a
+    window of as many words must equal; a document of fewer words than the item and fewer than five matches nothing. Null and
+    empty texts, items and ids match nothing. Repeated rows give repeated matches; of equally good windows the first counts.
+    Benchmark tables over ``block_bytes`` are split by item into blocks, and the documents are read once for each block.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -172,19 +166,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block
                 buf, offsets = raw(batch.column("text"))
                 starts, ends, first = find_words(buf, offsets)
                 words = hash_words(buf, starts, ends)
-                ids, rows = batch.column("doc_id").to_pylist(), []
-                all_shingles = window_hashes(words, SHINGLE)
-                near = np.concatenate(([0], np.cumsum(shared.value.bitmap[all_shingles & U64((1 << 22) - 1)])))
+                ids, rows, items = batch.column("doc_id").to_pylist(), [], shared.value
+                # Shingles of all texts at once; those that cross texts are left out below.
+                lengths = {0: SHINGLE} | {n: n for n in items.indexes if n < SHINGLE}
+                all_shingles = {k: window_hashes(words, n, 0xA11 + k) for k, n in lengths.items()}
+                near = {k: np.concatenate(([0], np.cumsum(items.bitmap[h & _SLOTS]))) for k, h in all_shingles.items()}
                 for i, doc_id in enumerate(ids):
                     a, b = int(first[i]), int(first[i + 1])
-                    if b - a >= SHINGLE:
-                        if near[b - SHINGLE + 1] == near[a]:
-                            continue
-                        own = all_shingles[a : b - SHINGLE + 1]
-                    else:
-                        own = shingles(words[a:b])
-                    if doc_id is not None and len(own):
-                        rows += [(doc_id, *m) for m in shared.value.find(own, b - a)]
+                    held = {k: (a, b - n + 1) for k, n in lengths.items() if b - a >= n}
+                    if doc_id is not None and any(near[k][y] > near[k][x] for k, (x, y) in held.items()):
+                        rows += [(doc_id, *m) for m in items.find({k: all_shingles[k][x:y] for k, (x, y) in held.items()}, b - a)]
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 

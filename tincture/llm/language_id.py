@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, hash_bound, held_out, raw, slices, splitmix, tune
+from .common import U64, free_name, hash_bound, held_out, raw, slices, splitmix, tune
 
 #: ASCII letters lower-cased, other ASCII as a space; bytes of longer characters stay.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -107,11 +107,11 @@ def fit(
     """Fit filters on up to ``texts_per_language`` whole texts of each language (a documented bound; the texts with the
     smallest hashes are taken). An n-gram enters a language's slice if it was seen twice there and its frequency is at
     least ``share`` of the highest frequency it has in any language, which keeps passages quoted in other languages
-    out. At most 64 languages; null and empty languages and null texts are left out. What the driver gathers is one
+    out. At most 64 languages; null languages and null texts are left out. What the driver gathers is one
     row for each filter slot at most.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.trim(F.col(lang_col)) != "") & F.col(text_col).isNotNull()).select(
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("draw"))
     counts = dict(rows.groupBy("lang").count().collect())
     languages = sorted(counts)
@@ -171,20 +171,20 @@ def predict(df: DataFrame, filters: LanguageFilters, text_col: str = "text") ->
     tune(spark)
     shared = spark.sparkContext.broadcast(filters)  # 8 bytes a slot, whatever the corpus
     df = df.drop("lang_pred", "score")
-    keep = df.columns
+    keep, text = df.columns, free_name(df, "_bytes")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    flagged = df.withColumn("_bytes", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    flagged = df.withColumn(text, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
 
     def run(batches):
         model = shared.value
         names = np.array([*model.languages, "und"], dtype=object)
-        for batch in slices(batches, "_bytes"):
-            buf, offsets = raw(batch.column("_bytes"))
+        for batch in slices(batches, text):
+            buf, offsets = raw(batch.column(text))
             best, score = model.decide(buf, offsets)
             letters = has_letter(buf, offsets)
             best[~letters] = len(model.languages)
             score[~letters] = 0.0
-            columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_bytes"]
+            columns = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return flagged.mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """PII: keyed, type-consistent surrogates for detected entities.
 
 Each distinct entity of the corpus gets one surrogate, a keyed function of its type and normal form: digits become digits,
-letters letters of the same script and case, names names of the same gender and script, card numbers keep their checksum. The
+letters letters of the same script and case, names names of the same gender and script, card numbers keep their checksum. Numbers
+that no card can have, bare runs of digits and dates stay as they are. The
 distinct entities and their surrogates are a table of the corpus; a collision check over it draws again where two entities
 would share a surrogate or a surrogate is somebody's real entity, so distinct entities stay distinct and all mentions of one
 stay equal. Texts are never shuffled: a surrogate is recomputed where it is needed, and only the entities that were drawn
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices, tune
+from .common import Scratch, free_name, slices, tune
 
 #: Given names by script and gender, and surnames by script.
 GIVEN = {
-    ("LATIN", "f"): "Anna Maria Laura Julia Sofia Emma Clara Elena Marie Sarah Alice Lucia Carmen Ingrid Helga Claire Camille Isabel Emily Olivia Grace Hannah Nora Paula".split(),
+    ("LATIN", "f"): "Anna Maria Laura Julia Sofia Emma Clara Elena Marie Sarah Alice Lucia Carmen Ingrid Helga Claire Camille Isabel Emily Olivia Greta Hannah Nora Paula".split(),
     ("LATIN", "m"): "John Peter Thomas Martin David Daniel Carlos Miguel Jean Pierre Hans Klaus James Robert William Michael Paul Lucas Pablo Diego Henri Louis Stefan Jonas".split(),
     ("CYRILLIC", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("CYRILLIC", "m"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил".split(),
@@ -38,7 +39,7 @@ SURNAMES = {
     "GREEK": "Παπαδόπουλος Γεωργίου Δημητρίου Νικολάου Ιωάννου Βασιλείου".split(),
 }
 #: Titles before a surname, with the gender they tell.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Prof": "", "Sr": "m", "Sra": "f", "Mme": "f", "Mlle": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _GIVEN = {name.lower(): (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 _TITLES = {t.lower() for t in TITLES}
 #: What an entity of each type looks like. Earlier types win where two overlap.
@@ -80,14 +81,15 @@ def normal_form(kind: str, found: str) -> str:
     return found if kind in ("secret", "ip") else found.lower()
 
 
-def _phones(pattern: regex.Pattern, text: str, taken: list[tuple[int, int]]) -> Iterator[regex.Match]:
-    """Matches with 8 to 15 digits that are no dates and touch nothing taken; after any other match the search goes on behind its
-    first date or group of digits."""
+def _phones(pattern: regex.Pattern, text: str, taken: bytearray) -> Iterator[regex.Match]:
+    """Matches with 8 to 15 digits that are no dates, are no bare numbers and touch nothing taken; after any other match the search goes
+    on behind its first date or group of digits."""
     m = pattern.search(text)
     while m:
         a, b = m.span()
         date = _DATE.match(m[0])
-        if not (date and date.end() == b - a) and 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not any(a < y and x < b for x, y in taken):
+        bare = m[0].isdigit() and not m[0].startswith("00")
+        if not bare and not (date and date.end() == b - a) and 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not any(taken[a:b]):
             yield m
             at = b
         else:
@@ -95,20 +97,28 @@ def _phones(pattern: regex.Pattern, text: str, taken: list[tuple[int, int]]) ->
         m = pattern.search(text, at)
 
 
+def is_card(number: str) -> bool:
+    """13 to 19 digits that an issuer may give out (they begin with 3 to 6, or 22 to 27) and whose checksum is right."""
+    return 13 <= len(number) <= 19 and (number[0] in "3456" or "22" <= number[:2] <= "27") and _luhn(number) == 0
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of each entity, in order, without overlaps."""
+    """(start, end, type, normal form) of each entity, in order, without overlaps. The time is linear in the text."""
     spans: list[tuple[int, int, str, str]] = []
     has_digit, has_at, has_secret = _DIGIT.search(text) is not None, "@" in text, _SECRET_HINT.search(text) is not None
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text)) if has_digit or has_at or has_secret else bytearray()
     for kind, pattern in _COMPILED:
         if not (has_at if kind == "email" else has_secret if kind == "secret" else has_digit):
             continue
         for m in _phones(pattern, text, taken) if kind == "phone" else pattern.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in taken) or kind == "secret" and not any(map(str.isalnum, m[0])):  # masked: no entity
+            if any(taken[a:b]) or kind == "secret" and not any(map(str.isalnum, m[0])):  # masked: no entity
+                continue
+            value = normal_form(kind, m[0])
+            if kind == "card" and not is_card(value):
                 continue
-            taken.append((a, b))
-            spans.append((a, b, kind, normal_form(kind, m[0])))
+            taken[a:b] = b"\1" * (b - a)
+            spans.append((a, b, kind, value))
     at, m = 0, _NAME.search(text)
     while m:
         first, second, third = m[1].lower(), m[3].lower(), m[4]
@@ -170,11 +180,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     more = attempt - WIDER + 4 if attempt >= WIDER else 0
     letters = "".join(chr(97 + _draw(s, 26)) for _ in range(more))
     if kind.startswith("given:"):
-        pool = GIVEN.get((script_of(value), kind[6:])) or GIVEN[("LATIN", kind[6:] or "f")]
+        pool = [n for n in GIVEN.get((script_of(value), kind[6:])) or GIVEN[("LATIN", kind[6:] or "f")] if n.lower() != value]
         name = pool[_draw(s, len(pool))].lower()
         return name if attempt < 8 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 24 else "".join(_like(c, s) for c in value) + letters
     if kind == "surname":
-        pool = SURNAMES.get(script_of(value), SURNAMES["LATIN"])
+        pool = [n for n in SURNAMES.get(script_of(value), SURNAMES["LATIN"]) if n.lower() != value]
         name = pool[_draw(s, len(pool))].lower()
         return name if attempt < 4 else name + "-" + pool[_draw(s, len(pool))].lower() if attempt < 16 else "".join(_like(c, s) for c in value) + letters
     if kind == "ip":
@@ -261,7 +271,7 @@ def assign(found: DataFrame, key: bytes, scratch: Scratch, most_rounds: int = 60
 def replace(df: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """Texts with every detected entity replaced, and ``n_entities`` (mentions replaced).
 
-    Null texts stay null with 0 entities. All other columns and repeated rows stay; ``n_entities`` is replaced. Entities that
+    Null texts stay null with 0 entities, an empty table stays empty. All other columns and repeated rows stay; ``n_entities`` is replaced. Entities that
     were drawn again are broadcast if they are at most ``broadcast_rows``; beyond that they are joined by the hash of the
     text that mentions them.
     """
@@ -271,7 +281,7 @@ def replace(df: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: i
     assigned = assign(scratch.save(entities(df, text_col)), key, scratch)
     redrawn = assigned.where("attempt > 0").select("kind", "value", "attempt")
     df = df.drop("n_entities")
-    keep = df.columns
+    keep, redrawn_here, text_hash = df.columns, free_name(df, "_attempts"), free_name(df, "_h")
     schema = T.StructType([*df.schema.fields, T.StructField("n_entities", T.LongType(), False)])
 
     def rewrite(text: str | None, attempts: dict) -> tuple[str | None, int]:
@@ -289,7 +299,7 @@ def replace(df: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: i
     def run(batches):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            own = batch.column("_attempts").to_pylist() if "_attempts" in batch.schema.names else None
+            own = batch.column(len(keep)).to_pylist() if batch.num_columns > len(keep) else None
             out = [rewrite(t, shared.value if own is None else {(x["kind"], x["value"]): x["attempt"] for x in own[i] or ()}) for i, t in enumerate(texts)]
             columns = [pa.array([t for t, _ in out], pa.string()) if f == text_col else batch.column(f) for f in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array([n for _, n in out], np.int64))], names=[*keep, "n_entities"])
@@ -302,7 +312,7 @@ def replace(df: DataFrame, key: bytes, text_col: str = "text", broadcast_rows: i
             rows = sorted({(h, k, v) for h, t in zip(batch.column("_h").to_pylist(), batch.column("_text").to_pylist(), strict=True) for _, _, k, v in detect(t)})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_h", "kind", "value"])
 
-    hashed = df.withColumn("_h", F.xxhash64(text_col))
-    per_text = hashed.select("_h", F.col(text_col).alias("_text")).where("_text is not null").mapInArrow(mentions, "_h bigint, kind string, value string").distinct().join(redrawn, ["kind", "value"]).groupBy("_h").agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias("_attempts"))
-    return hashed.join(per_text, "_h", "left").select(*keep, "_attempts").mapInArrow(run, schema)
+    hashed = df.withColumn(text_hash, F.xxhash64(text_col))
+    per_text = hashed.select(F.col(text_hash).alias("_h"), F.col(text_col).alias("_text")).where("_text is not null").mapInArrow(mentions, "_h bigint, kind string, value string").distinct().join(redrawn, ["kind", "value"]).groupBy("_h").agg(
+        F.collect_list(F.struct("kind", "value", "attempt")).alias(redrawn_here)).withColumnRenamed("_h", text_hash)
+    return hashed.join(per_text, text_hash, "left").select(*keep, redrawn_here).mapInArrow(run, schema)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, embedding_dedup, language_id, passage_dedup, pii, simhash, substring_dedup, toxicity, url_filter
 from .common import documents, held_out
 
-#: A deployment sets a key of its own; a fixed one makes the registered query repeatable.
-SURROGATE_KEY = b"registered query"
+#: The session setting that holds the key of surrogates. A deployment sets its own; the default makes the registered query repeatable.
+SURROGATE_KEY = "spark.tincture.surrogateKey"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
@@ -19,6 +19,10 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(SURROGATE_KEY, "registered query").encode()
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -46,7 +50,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(documents(spark, sf_dir, "doc_id", "text"), SURROGATE_KEY)
+    return pii.replace(documents(spark, sf_dir, "doc_id", "text"), surrogate_key(spark))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

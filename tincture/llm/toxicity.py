@@ -11,13 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, hash_bound, slices, tune
+from .common import Scratch, crc_of, free_name, hash_bound, slices, tune
 
 _WORDS = regex.compile(r"\p{L}+")
 #: Kinds of identity terms whose members are swapped for each other.
@@ -91,7 +90,7 @@ def _train(row, codes, terms, y, identity_terms=IDENTITY_TERMS, counterfactual=4
     chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:largest_vocabulary].tolist()
     vocabulary = [str(terms[i]) for i in chosen]
     have = set(vocabulary)
-    for i, w in ((i, w) for w in sorted(kinds) if w not in have for i in _find(terms, w)):
+    for i, w in ((i, w) for i, w in enumerate(terms) if w in kinds and w not in have):
         chosen.append(i)
         vocabulary.append(w)
     to = np.full(len(terms), -1, np.int64)
@@ -128,19 +127,11 @@ def _train(row, codes, terms, y, identity_terms=IDENTITY_TERMS, counterfactual=4
     return ToxicityModel(float(w[-1]), {word: float(x) for word, x in zip(vocabulary, w[:-1], strict=True) if abs(x) > 1e-6}, whole)
 
 
-def _find(terms, word: str) -> list[int]:
-    """The number of a word, if it is among the terms (a list or an Arrow array)."""
-    if isinstance(terms, list):
-        return [terms.index(word)] if word in terms else []
-    at = pc.index(terms, word).as_py()
-    return [at] if at >= 0 else []
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_class: int = 4000, characters: int = 20_000, **options) -> ToxicityModel:
     """Train on labelled texts whose crc32(doc_id as text) mod 3 is not 1.
 
     At most about ``texts_per_class`` texts of each class are taken, those with the smallest id hashes (a documented
-    bound); of those only the distinct words go to the driver. Texts over ``characters`` are left out of the sample, so that
+    bound); of those the words that can carry weight, and the texts as numbers of such words, go to the driver. Texts over ``characters`` are left out of the sample, so that
     the driver's share is bounded too (scoring reads every text whole). Labels other than 0 and 1 and null texts are
     left out; of repeated ids one row is enough, all count.
     """
@@ -159,13 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", texts_per_
             found = [sorted(words_of(t, whole)) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), batch.column("doc_id"), pa.array(found, pa.list_(pa.string()))], names=["y", "doc_id", "words"])
 
-    rows = joined.mapInArrow(distinct_words, "y int, doc_id bigint, words array<string>").toArrow().sort_by("doc_id")
-    y = rows.column("y").to_numpy().astype(float)
-    lists = rows.column("words").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):  # no chunk at all
-        lists = pa.array([], pa.list_(pa.string()))
-    coded = lists.flatten().dictionary_encode()
-    model = _train(np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64), coded.dictionary, y, **options)
+    # Which words carry weight is counted by executors; the driver gets those words and the texts as their numbers.
+    held = Scratch(docs.sparkSession, "toxicity").save(joined.mapInArrow(distinct_words, "y int, doc_id bigint, words array<string>"))
+    least, largest = options.get("least_texts", 5), options.get("largest_vocabulary", 50_000)
+    word = F.col("word")
+    counted = held.select(F.explode("words").alias("word")).groupBy("word").count().where((F.col("count") >= least) | word.isin(sorted(whole)))
+    terms = [r["word"] for r in counted.orderBy(word.isin(sorted(whole)).desc(), F.desc("count"), "word").limit(largest + len(whole)).select("word").collect()]
+    numbers = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+
+    def encode(batches):
+        for batch in batches:
+            own = [[k for k in map(numbers.value.get, x) if k is not None] for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("doc_id"), pa.array(own, pa.list_(pa.int32()))], names=["y", "doc_id", "codes"])
+
+    rows = held.mapInArrow(encode, "y int, doc_id bigint, codes array<int>").toArrow().sort_by("doc_id")
+    y, codes = rows.column("y").to_numpy().astype(float), rows.column("codes").to_pylist()
+    row = np.repeat(np.arange(len(y)), [len(c) for c in codes])
+    model = _train(row, np.fromiter((k for c in codes for k in c), np.int64, len(row)), terms, y, **options)
     if min(counts.get(0, 0), counts.get(1, 0), y.sum(), len(y) - y.sum()) > 0:  # from the sample's share of label 1 to the table's
         model.bias += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
@@ -180,17 +181,17 @@ def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col:
     tune(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
     df = df.drop("score", "predicted")
-    keep = df.columns
+    keep, text = df.columns, free_name(df, "_text")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         model = shared.value
-        for batch in slices(batches, "_text"):
-            values = np.array([model.score(t) for t in batch.column("_text").to_pylist()])
-            own = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_text"]
+        for batch in slices(batches, text):
+            values = np.array([model.score(t) for t in batch.column(text).to_pylist()])
+            own = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    return df.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
 
 
 def is_held_out(doc_id: int) -> bool:

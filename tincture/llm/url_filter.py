@@ -3,7 +3,7 @@
 A cascade's level 0 is a Bloom filter of the listed keys; level 1 one of the keys of the corpus that level 0 lets
 through by mistake; level 2 one of the listed keys that level 1 holds by mistake, and so on until no mistake is
 left. Over the key universe it was built for, its answer is exact. The universe here is complete: every (host suffix,
-path prefix) that any row of the corpus could be judged by. Everything runs as JVM expressions; only the false
+path prefix) that any row of the corpus could be judged by; it is written to the shared folder once. Everything runs as JVM expressions; only the false
 positives of level 0 (about as many as there are rules, by the filter's size) come to the driver.
 """
 
@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, free_name
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,7 +89,7 @@ class BloomFilter:
         return self
 
     def contains(self, key: Column) -> Column:
-        table = F.array(*[F.lit(w).cast("long") for w in self.words])
+        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # one literal after constant folding
         test = F.lit(True)
         for slot in self.slots(key):
             word = F.get(table, F.shiftright(slot, 6).cast("int"))
@@ -145,9 +147,12 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str
     lengths = sorted({len(r.path) for r in rules})
     parsed = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    universe = parsed.select(F.explode(keys).alias("key")).distinct()
+    # Written once: every step of both cascades reads it.
+    universe = Scratch(pages.sparkSession, "urls").save(parsed.select(F.explode(keys).alias("key")).distinct())
     size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
     cascades = {a: FilterCascade([r.key for r in rules if r.action == a], universe, size) for a in ("allow", "block")}
     verdict = lambda k: F.when(cascades["block"].contains(k), F.lit("block")).when(cascades["allow"].contains(k), F.lit("allow"))
     hit = F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), verdict(k).alias("verdict"))), lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return parsed.withColumn("_hit", hit).withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce(F.col("_hit.verdict"), F.lit(default))}).drop("_hit")
+    found = free_name(parsed, "_hit")
+    judged = parsed.withColumn(found, hit)
+    return judged.withColumns({"rule": judged[found]["key"], "verdict": F.coalesce(judged[found]["verdict"], F.lit(default))}).drop(found)
