@@ -1,7 +1,8 @@
 """The corpus pipeline: five of the training-data operators over ``documents``, each on all that the one before kept.
 
-``run(spark, sf_dir)`` applies them lazily; a job that wants to survive the loss of a driver writes every stage as Parquet and
-reads it as the next one's input, as each stage takes and (but for the last) returns the columns of ``documents``.
+``run(spark, sf_dir)`` writes what each stage hands on to the shared folder as Parquet and reads it as the next one's input, so that
+no stage is computed twice and a lost executor costs tasks of one stage. Each stage takes and (but for the last)
+returns the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tincture.llm import bpe, decontaminate, language_id, pii, queries, simhash
+from tincture.llm.common import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +33,15 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and secrets; n_chars follows the new text."""
-    replaced = pii.replace(docs, queries.SURROGATE_KEY)
+    replaced = pii.replace(docs, queries.surrogate_key(spark))
     n_chars = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
     return replaced.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether they decode to its text."""
-    path = queries.vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), queries.vocabulary_path())
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = kept.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
