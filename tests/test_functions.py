@@ -3,11 +3,13 @@
 import numpy as np
 import pytest
 
+from tincture.functions import svm
 from tincture.functions.formats import rounded, two_decimals
 from tincture.functions.machine import log_level, logger, machine
 from tincture.functions.report import report_lines
 from tincture.functions.steps import StepSettings, anchors_by_halving, anchors_by_ratio, steps_by_position, strictly_descending
 from tincture.functions.svm import fit_predict
+from tincture.operators import kmeans
 from tincture.operators.kmeans import cluster
 
 TRACE = [(0, 16.0), (1, 18.0), (2, 12.0), (3, 12.0), (4, 7.0), (5, 3.0), (6, 1.0), (7, 0.0)]
@@ -76,13 +78,24 @@ def test_kmeans_limits():
 
 def test_kmeans_weights_stand_for_repeats():
     rng = np.random.default_rng(0)
-    data = rng.integers(0, 4, (60, 3))
-    rows, inverse, counts = np.unique(data, axis=0, return_inverse=True, return_counts=True)
-    for method in ("forgy", "kmeans++"):
-        weighted = cluster(rows, counts, 3, method)
-        # the same rows one by one: each distinct row with weight one, repeated as separate equal points
-        assert len(weighted) == len(rows) and set(weighted) <= {0, 1, 2}
-        assert (weighted[inverse] == weighted[inverse]).all()
+    for turn in range(20):
+        data = rng.integers(0, 5, (200, 3))
+        rows, inverse, counts = np.unique(data, axis=0, return_inverse=True, return_counts=True)
+        starts = rows[rng.choice(len(rows), 4, replace=False)]
+        for truncate in (True, False):
+            weighted, one = kmeans._lloyd(rows, counts, starts.copy(), 100, truncate)
+            repeated, two = kmeans._lloyd(data, np.ones(len(data)), starts.copy(), 100, truncate)
+            assert (weighted[inverse.ravel()] == repeated).all() and np.allclose(one, two)
+            assert kmeans._scatter(rows, counts, one, weighted) == pytest.approx(kmeans._scatter(data, np.ones(len(data)), two, repeated))
+    assert list(cluster(rows, counts, 3, "first")) == list(kmeans._lloyd(rows, counts, rows[:3].copy(), 100, True)[0])
+
+
+def test_classifier_warns_if_it_stops_early():
+    x = np.random.default_rng(2).normal(size=(30, 2))
+    y = np.where(np.arange(30) % 2, 1, -1)
+    with pytest.warns(RuntimeWarning):
+        svm.BinarySvm(1000.0, most=3).fit(x @ x.T, y)
+    assert svm.BinarySvm(1.0).fit(x @ x.T, y).converged
 
 
 def test_classifier_separates_and_votes():
@@ -101,5 +114,6 @@ def test_machine_and_logger(tmp_path):
     for _ in range(2):
         out = logger("tincture-test", str(path))
     out.info("hello")
-    assert len(out.handlers) == 1 and path.read_text().count("hello") == 1
-    assert set(machine()) == {"cpu", "cores", "memory", "system", "python"}
+    assert len(out.handlers) == 2 and path.read_text().count("hello") == 1
+    assert len(logger("tincture-test").handlers) == 1
+    assert set(machine()) == {"cpu", "cores", "physical_cores", "frequency", "memory", "system", "python"}

@@ -4,7 +4,8 @@ import pytest
 
 from tincture.operators.statistics import analyze
 from tincture.sources.logs import CV_LOG, read_log, write_log
-from tincture.sources.tu import read_tu
+from tincture.sources.builders import disjoint_union, from_edges
+from tincture.sources.tu import read_tu, write_tu
 
 FILES = {
     "graph_indicator": "1\n1\n1\n2\n2\n2\n3\n3\n3\n4\n4\n",
@@ -41,6 +42,29 @@ def test_optional_files_may_be_missing(spark, tmp_path):
     assert not graph.has_edge_labels() and not graph.has_distinct_node_labels()
 
 
+def test_empty_lines(spark, tmp_path):
+    assert read_tu(spark, write(tmp_path, FILES, node_labels=FILES["node_labels"] + "\n\n"), "DS").vertices.count() == 8
+    (tmp_path / "b").mkdir()
+    with pytest.raises(ValueError, match="empty line"):
+        read_tu(spark, write(tmp_path / "b", FILES, node_labels="5\n\n7\n5\n5\n6\n7\n7\n9\n9\n9\n"), "DS")
+
+
+def test_what_is_written_is_read_again(spark, tmp_path):
+    graph = read_tu(spark, write(tmp_path, FILES), "DS")
+    write_tu(graph, f"file://{tmp_path}/again", "X")
+    again = read_tu(spark, f"file://{tmp_path}/again", "X")
+    rows = lambda f, *c: sorted(map(tuple, f.select(*c).collect()), key=str)
+    assert rows(again.edges, "src", "dst", "gid", "label") == rows(graph.edges, "src", "dst", "gid", "label")
+    assert rows(again.vertices, "vid", "gid", "label") == rows(graph.vertices, "vid", "gid", "label")
+    assert rows(again.graphs, "gid", "graph_label") == rows(graph.graphs, "gid", "graph_label")
+
+
+def test_union_after_a_single_vertex(spark):
+    loop = from_edges(spark, [("a", "a")])
+    got = disjoint_union(loop, from_edges(spark, [("b", "c")]))
+    assert sorted((r["vid"], r["gid"]) for r in got.vertices.collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
 def test_edges_between_graphs_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="links two graphs"):
         read_tu(spark, write(tmp_path, FILES, A="1, 4\n"), "DS")

@@ -91,5 +91,26 @@ class StepSettings:
         return f"h_grid__{'-'.join(map(str, p['h_grid']))}__{'desc' if p['q_strictly_descending'] else 'no_desc'}"
 
 
-#: The older name of the same settings.
-QscEvaluationParameters = StepSettings
+@dataclass
+class QscEvaluationParameters:
+    """The older settings: anchors by halving (``q_half``) or positions (``h_grid``), and whether steps between anchors count too."""
+
+    method: str
+    q_strictly_descending: bool = True
+    include_inbetween_steps: bool = False
+    h_grid: list[int] | None = None
+
+    def __post_init__(self):
+        if self.method not in ("q_half", "h_grid"):
+            raise ValueError(f"no such method: {self.method}")
+        if self.method == "h_grid" and self.h_grid is None:
+            raise ValueError("h_grid needs a grid")
+
+    def steps(self, log: DataFrame) -> list[tuple[int, list[int]]]:
+        chosen = anchors_by_halving(log, self.q_strictly_descending, self.include_inbetween_steps) if self.method == "q_half" else steps_by_position(log, self.h_grid, self.q_strictly_descending)
+        return [(r["param"], list(r["steps"])) for r in chosen.orderBy("param").collect()]
+
+    def to_dirname(self, log: DataFrame) -> str:
+        """The method, the parameters that the log has steps for, and both switches."""
+        params = "-".join(str(p) for p, _ in self.steps(log))
+        return f"{self.method}__{params}__{'with' if self.include_inbetween_steps else 'without'}_inbetween__{'with' if self.q_strictly_descending else 'without'}_desc"

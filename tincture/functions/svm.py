@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 
 class BinarySvm:
-    """Maximises the dual with the working set of the two variables that violate optimality most."""
+    """Maximises the dual with the working set of the two variables that violate optimality most, until none violates it by more than
+    ``tolerance``. ``most`` updates (default: ten million, or a hundred for each row if that is more) end it with a warning."""
 
-    def __init__(self, cost: float, tolerance: float = 1e-3, most: int = 20_000):
-        self.cost, self.tolerance, self.most = cost, tolerance, most
+    def __init__(self, cost: float, tolerance: float = 1e-3, most: int | None = None):
+        self.cost, self.tolerance, self.most, self.converged = cost, tolerance, most, False
 
     def fit(self, kernel: np.ndarray, signs: np.ndarray) -> BinarySvm:
         n, y = len(signs), signs.astype(float)
         alpha, gradient = np.zeros(n), -np.ones(n)
         upper = lower = 0.0
-        for _ in range(self.most):
+        for _ in range(self.most or max(10_000_000, 100 * n)):
             up = np.where(y > 0, alpha < self.cost, alpha > 0)
             low = np.where(y > 0, alpha > 0, alpha < self.cost)
             pull = -y * gradient
             i = int(np.where(up, pull, -np.inf).argmax())
             upper, lower = pull[i], np.where(low, pull, np.inf).min()
             if upper - lower < self.tolerance:
+                self.converged = True
                 break
             gap = upper - pull
             curve = np.maximum(kernel[i, i] + np.diag(kernel) - 2 * kernel[i], 1e-12)
@@ -33,6 +37,8 @@ class BinarySvm:
             alpha[i] = min(max(alpha[i] + y[i] * step, 0.0), self.cost)
             alpha[j] = min(max(alpha[j] - y[j] * step, 0.0), self.cost)
             gradient += y * step * (kernel[:, i] - kernel[:, j])
+        if not self.converged:
+            warnings.warn(f"a classifier stopped {upper - lower:.3g} away from its optimum", RuntimeWarning, stacklevel=2)
         free = (alpha > 1e-12) & (alpha < self.cost - 1e-12)
         self.bias = float((-y * gradient)[free].mean()) if free.any() else float((upper + lower) / 2)
         self.weights = alpha * y

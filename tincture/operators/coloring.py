@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ColoredGraph, GraphSet
@@ -38,7 +38,7 @@ class WeisfeilerLeman:
     """Refine by (own colour, multiset of neighbours' colours) until the number of colours stops changing.
 
     Edge labels count if there are two or more. ``signature="concat"`` writes signatures as one text without delimiters, as
-    the original formulation does; texts of different multisets can then be equal, so the default keeps them as structures.
+    the original formulation does; texts of different multisets can then be equal, so the default keeps their structure.
     """
 
     def __init__(self, colored: ColoredGraph, refinement_steps: float = 1, signature: str = "exact"):
@@ -55,13 +55,12 @@ class WeisfeilerLeman:
             return self.previous_num_colors, self.current_step
         level = self.colored.levels[-1]
         own = level.frame.withColumnRenamed("cls", "color") if self.signature == "exact" else level.colors()
-        signed = own.join(self._signatures(own).withColumnRenamed("src", "vid"), "vid", "left").withColumn("sig", self._or_empty(F.col("sig")))
-        group = ["sig"] if self.signature == "concat" else ["color", "sig"]
-        if self.signature == "concat":
-            signed = signed.withColumn("sig", F.concat(F.col("color").cast("string"), "sig"))
-        first = signed.groupBy(*group).agg(F.min("vid").alias("cls"))
-        refined = cut(signed.join(first, group).select("vid", "gid", "cls"))
-        count = refined.select("cls").distinct().count()
+        signed = own.join(self._signatures(own).withColumnRenamed("src", "vid"), "vid", "left")
+        # From here on a digest of 256 bits stands for a signature, so lists of neighbours are shuffled no further.
+        text = F.coalesce("sig", F.lit("")) if self.signature == "concat" else F.coalesce(F.to_json("sig"), F.lit(""))
+        signed = cut(signed.select("vid", "gid", F.sha2(F.concat(F.col("color").cast("string"), F.lit("" if self.signature == "concat" else ":"), text), 256).alias("key")))
+        first = cut(signed.groupBy("key").agg(F.min("vid").alias("cls")))
+        refined, count = cut(signed.join(first, "key").select("vid", "gid", "cls")), first.count()
         if count == self.previous_num_colors:
             self.is_stable = True
             self.colored.next_color_id += count
@@ -79,13 +78,6 @@ class WeisfeilerLeman:
         text = F.concat(F.col("color").cast("string"), F.coalesce("label", F.lit(""))) if self.use_edge_labels else F.col("color").cast("string")
         return near.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(text)), "").alias("sig"))
 
-    def _or_empty(self, sig: Column) -> Column:
-        return F.coalesce(sig, F.lit("")) if self.signature == "concat" else F.coalesce(sig, F.array().cast(self._sig_type()))
-
-    def _sig_type(self) -> str:
-        key = "struct<color:bigint,label:string>" if self.use_edge_labels else "struct<color:bigint>"
-        return f"array<struct<key:{key},n:bigint>>"
-
     def refine(self) -> ColoredGraph:
         while self.current_step < self.refinement_steps and not self.is_stable:
             self.refine_one_step()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ColoredGraph
+from ..runtime import ship
 
 
 def features(colored: ColoredGraph) -> DataFrame:
@@ -41,18 +44,58 @@ def stitch(rows: DataFrame, steps: list[int]) -> DataFrame:
     return rows.where(F.col("step").isin(*steps))
 
 
-def dot_kernel(rows: DataFrame) -> DataFrame:
+def _blocked_kernel(rows: DataFrame, normalized: bool, block_graphs: int, width: int = 4096) -> DataFrame:
+    """Graphs are dealt into blocks of about ``block_graphs``, and each pair of blocks is one task that multiplies their rows as matrices,
+    ``width`` colours at a time. A colour that all graphs have costs as many entries as graphs, not as pairs of graphs."""
+    spark = rows.sparkSession
+    ship(spark)
+    counts = rows.groupBy("gid", "color").agg(F.sum("cnt").alias("cnt"))
+    blocks = max(1, -(-rows.select("gid").distinct().count() // block_graphs))
+    own = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
+    dealt = counts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "gid", "color", "cnt", "own", F.greatest("own", "other").alias("high"), F.least("own", "other").alias("low"))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        gid, color, cnt, side = (table.column(c).to_numpy() for c in ("gid", "color", "cnt", "own"))
+        high, low = table.column("high")[0].as_py(), table.column("low")[0].as_py()
+        graphs, row = np.unique(gid, return_inverse=True)
+        colors, col = np.unique(color, return_inverse=True)
+        of = np.zeros(len(graphs), np.int64)
+        of[row] = side
+        one, two = np.flatnonzero(of == high), np.flatnonzero(of == low)
+        place = np.empty(len(graphs), np.int64)
+        place[one] = np.arange(len(one))
+        place[two] = np.arange(len(two))
+        out = np.zeros((len(one), len(two)))
+        order = np.argsort(col, kind="stable")
+        cuts = np.searchsorted(col[order], np.arange(0, len(colors) + width, width))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part = order[a:b]
+            left, right = np.zeros((len(one), width)), np.zeros((len(two), width))
+            for matrix, block in ((left, high), (right, low)):
+                mine = part[side[part] == block]
+                matrix[place[row[mine]], col[mine] - k * width] = cnt[mine]
+            out += left @ right.T
+        if normalized:
+            norms = np.sqrt(np.bincount(row, cnt.astype(float) ** 2, len(graphs)))
+            out /= norms[one][:, None] * norms[two][None, :]
+        i, j = np.nonzero(out)
+        g1, g2, k = graphs[one[i]], graphs[two[j]], out[i, j]
+        if high != low:  # both orders
+            g1, g2, k = np.concatenate((g1, g2)), np.concatenate((g2, g1)), np.concatenate((k, k))
+        return pa.table({"g1": pa.array(g1), "g2": pa.array(g2), "k": pa.array(k)})
+
+    return dealt.groupBy("high", "low").applyInArrow(multiply, "g1 bigint, g2 bigint, k double")
+
+
+def dot_kernel(rows: DataFrame, block_graphs: int = 1024) -> DataFrame:
     """(g1, g2, k) for all pairs of graphs with a colour in common, in both orders; pairs without one have kernel 0."""
-    left = rows.select(F.col("gid").alias("g1"), "color", F.col("cnt").alias("c1"))
-    right = rows.select(F.col("gid").alias("g2"), "color", F.col("cnt").alias("c2"))
-    return left.join(right, "color").groupBy("g1", "g2").agg(F.sum(F.col("c1") * F.col("c2")).cast("double").alias("k"))
+    return _blocked_kernel(rows, False, block_graphs)
 
 
-def cosine_kernel(rows: DataFrame) -> DataFrame:
+def cosine_kernel(rows: DataFrame, block_graphs: int = 1024) -> DataFrame:
     """The dot kernel of rows of length one."""
-    norms = rows.groupBy("gid").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
-    one, two = (norms.select(F.col("gid").alias(g), F.col("norm").alias(n)) for g, n in (("g1", "n1"), ("g2", "n2")))
-    return dot_kernel(rows).join(one, "g1").join(two, "g2").select("g1", "g2", (F.col("k") / (F.col("n1") * F.col("n2"))).alias("k"))
+    return _blocked_kernel(rows, True, block_graphs)
 
 
 KERNELS = {"linear_kernel": dot_kernel, "dot": dot_kernel, "cosine_similarity": cosine_kernel, "cosine": cosine_kernel}

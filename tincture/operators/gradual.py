@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..model import ColoredGraph
 from ..runtime import cut, ranked, ship
 from .coloring import neighbour_counts
-from .kmeans import cluster
+from .kmeans import METHODS, cluster
 
 
 class GradualRefinement:
@@ -32,7 +32,7 @@ class GradualRefinement:
         truncate_centers: bool = True,
         first_seen_ids: bool = False,
     ):
-        if cluster_initialization_method not in ("forgy", "kmeans++"):
+        if cluster_initialization_method not in METHODS:
             raise ValueError(f"unknown initialisation {cluster_initialization_method!r}")
         self.colored, self.refinement_steps = colored, refinement_steps
         self.options = {"k": n_cluster, "method": cluster_initialization_method, "restarts": num_forgy_iterations, "seed": seed, "truncate_centers": truncate_centers}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ PALETTE = (
     "#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e", "#e6ab02", "#a6761d", "#666666", "#17becf", "#bcbd22",
     "#f781bf", "#999999", "#386cb0", "#f0027f", "#fdc086", "#beaed4", "#7fc97f", "#ffff99", "#fdcdac", "#b3cde3",
 )
+#: Colours of the tree's nodes by position (four public colour maps of 12, 8, 20 and 8 entries), and the one for larger trees.
+TREE_PALETTE = (
+    "#a6cee3", "#1f78b4", "#b2df8a", "#33a02c", "#fb9a99", "#e31a1c", "#fdbf6f", "#ff7f00", "#cab2d6", "#6a3d9a", "#ffff99", "#b15928",
+    "#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e", "#e6ab02", "#a6761d", "#666666",
+    "#1f77b4", "#aec7e8", "#ff7f0e", "#ffbb78", "#2ca02c", "#98df8a", "#d62728", "#ff9896", "#9467bd", "#c5b0d5",
+    "#8c564b", "#c49c94", "#e377c2", "#f7b6d2", "#7f7f7f", "#c7c7c7", "#bcbd22", "#dbdb8d", "#17becf", "#9edae5",
+    "#7fc97f", "#beaed4", "#fdc086", "#ffff99", "#386cb0", "#f0027f", "#bf5b17", "#666666",
+)
+UNIFORM = "#87ceeb"
 #: Fixed value: what vertices get whose colour is beyond the palette.
 NO_COLOR = "#cccccc"
 
@@ -66,9 +77,21 @@ def preorder(colored: ColoredGraph) -> DataFrame:
     return walked.where("parent is not null").select("path", F.col("step").alias("level"), "parent", F.col("color").alias("child")).distinct()
 
 
-def printed(colored: ColoredGraph) -> list[str]:
-    """The tree as indented lines."""
-    return ["  " * r["level"] + str(r["child"]) for r in preorder(colored).orderBy("path").collect()]
+def printed(colored: ColoredGraph) -> Iterator[str]:
+    """The tree as indented lines, one partition of them on the driver at a time."""
+    for r in preorder(colored).orderBy("path").toLocalIterator():
+        yield "  " * r["level"] + str(r["child"])
+
+
+def tree_colors(colored: ColoredGraph) -> DataFrame:
+    """(color, hex) of the tree's nodes when drawn: by the node's own number if there are at most as many nodes as colours, else one
+    colour for all; an artificial root is white."""
+    nodes = tree_nodes(colored).select("color").distinct()
+    own = F.try_element_at(F.array(*[F.lit(c) for c in TREE_PALETTE]), F.when(F.col("color") < len(TREE_PALETTE), F.col("color") + 1).cast("int"))
+    hexes = F.lit(UNIFORM) if nodes.count() > len(TREE_PALETTE) else F.coalesce(own, F.lit(UNIFORM))
+    if colored.levels[0].n_colors != 1:
+        hexes = F.when(F.col("color") == 0, F.lit("#ffffff")).otherwise(hexes)
+    return nodes.select("color", hexes.alias("hex"))
 
 
 def layout(colored: ColoredGraph) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+METHODS = ("forgy", "kmeans++", "first")
+
 
 def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Squared distances, points by centres."""
@@ -38,14 +40,16 @@ def cluster(
     """The cluster of each distinct row of ``points`` (sorted rows, each standing for ``weights`` vectors).
 
     At most as many clusters as rows. Centres are kept as whole numbers (means are cut off) unless ``truncate_centers`` is off.
-    ``forgy``: ``restarts`` random choices of rows, the one with the least scatter wins, the first of equals. ``kmeans++``: each
+    ``first``: the first rows are the starts, so nothing is drawn. ``forgy``: ``restarts`` random choices of rows, the one with the least scatter wins, the first of equals. ``kmeans++``: each
     next centre is drawn among the other rows in proportion to the squared distance to the nearest centre so far.
     """
-    if method not in ("forgy", "kmeans++"):
+    if method not in METHODS:
         raise ValueError(f"unknown initialisation {method!r}")
     k = min(k, len(points))
     if k == 1:
         return np.zeros(len(points), dtype=np.int64)
+    if method == "first":
+        return _lloyd(points, weights, points[:k].copy(), most, truncate_centers)[0]
     rng = np.random.default_rng(seed)
     if method == "forgy":
         starts = [points[rng.choice(np.arange(len(points)), size=k, replace=False)] for _ in range(restarts)]

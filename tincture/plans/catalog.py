@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import folds, report, steps
 from ..functions.formats import percent, two_decimals
 from ..operators import coloring, features, gradual, hierarchy, quasi_stable, statistics
-from ..sources import builders
+from ..runtime import checkpoint_dir
+from ..sources import builders, logs, tu
 from . import oracle as sql
+from . import refinement
 
 _BUILD = {"ep": builders.event_paths, "cp": builders.conversation_paths, "os": builders.order_stars, "cs": builders.customer_suppliers}
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,7 +103,12 @@ def _stable(s, d):
     return s.createDataFrame([(k, lv.n_colors, lv.start) for k, lv in enumerate(colored.levels)], "step int, n_colors long, first_color long")
 
 
-_register("wl_until_stable_cp", _stable)
+_register(
+    "wl_until_stable_cp", _stable,
+    sql.query("cp", sql.initial(), *(sql.wl(k) for k in range(1, 13)), sql.stack(12),
+              "nc AS (SELECT step, count(DISTINCT color) AS n_colors, min(color) AS first_color FROM st GROUP BY step)",
+              "pv AS (SELECT *, lag(n_colors) OVER (ORDER BY step) AS before FROM nc)",
+              body="SELECT CAST(step AS INT) AS step, n_colors, first_color FROM pv WHERE step < (SELECT min(step) FROM pv WHERE n_colors = before)"))
 _register(
     "color_stacks_cp", lambda s, d: _wl(s, d, "cp", 2).stacks().select("vid", F.array_join("stack", ",").alias("stack")),
     sql.query("cp", sql.initial(), sql.wl(1), sql.wl(2), body="SELECT vid, c0.color || ',' || c1.color || ',' || c2.color AS stack FROM c0 JOIN c1 USING (vid) JOIN c2 USING (vid)"))
@@ -175,6 +183,11 @@ _register(
     "tree_layout_cp", lambda s, d: hierarchy.layout(_wl(s, d, "cp", 1)).select("level", "color", F.round("x", 9).alias("x"), "y"),
     sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), "nd AS (SELECT DISTINCT step + 1 AS level, color FROM st UNION ALL SELECT 0, 0), nx AS (SELECT level, color, row_number() OVER (PARTITION BY level ORDER BY color) - 1 AS i, count(*) OVER (PARTITION BY level) AS n FROM nd)",
               body="SELECT CAST(level AS INT) AS level, color, round(CAST(CASE WHEN n = 1 THEN -level ELSE -level + 2.0 * level * i / (n - 1) END AS DOUBLE), 9) AS x, CAST(-level AS DOUBLE) AS y FROM nx"))
+_register(
+    "tree_colors_cp", lambda s, d: hierarchy.tree_colors(_wl(s, d, "cp", 1)),
+    sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), "nd AS (SELECT DISTINCT color FROM st UNION SELECT 0)",
+              "tp AS (SELECT unnest(range(48)) AS color, unnest([" + ",".join(f"'{c}'" for c in hierarchy.TREE_PALETTE) + "]) AS hex)",
+              body=f"SELECT color, CASE WHEN color = 0 THEN '#ffffff' WHEN (SELECT count(*) FROM nd) > 48 THEN '{hierarchy.UNIFORM}' ELSE coalesce(hex, '{hierarchy.UNIFORM}') END AS hex FROM nd LEFT JOIN tp USING (color)"))
 _HEX = "pal AS (SELECT unnest(range(40)) AS i, unnest([" + ",".join(f"'{c}'" for c in hierarchy.PALETTE) + "]) AS hex)"
 _register(
     "palette_by_frequency_ep", lambda s, d: hierarchy.palette_by_frequency(statistics.class_sizes(_wl(s, d, "ep", 1))),
@@ -265,19 +278,80 @@ def _sizes(colored):
 _register(
     "gwl_bigk_hist_ep", lambda s, d: _sizes(_gwl(s, d, "ep", 1, 1_000_000)),
     sql.query("ep", sql.initial(), sql.wl(1), body="SELECT gid, n, count(*) AS classes FROM (SELECT gid, color, count(*) AS n FROM c1 GROUP BY ALL) GROUP BY ALL"))
+_register(
+    "gwl_first_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 1, 2, cluster_initialization_method="first")),
+    sql.query("ep", sql.initial(), sql.lloyd(5, 2, 12), body="SELECT 0 AS step, gid, color, count(*) AS cnt FROM c0 GROUP BY ALL UNION ALL SELECT 1, gid, color, count(*) FROM g1 GROUP BY ALL"))
 _register("gwl_k2_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 2, 2)))
 _register("gwl_forgy_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 2, 4, cluster_initialization_method="forgy")))
 _register("gwl_edge_labels_os", lambda s, d: statistics.class_sizes(_gwl(s, d, "os", 1, 4)))
 
 
-def _svm(s, d):
-    import tempfile
+# Stored runs, logs and the text format.
+def _folder(s, name):
+    return f"{checkpoint_dir(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_wl(s, d):
+    """One step, then a second run that goes on from the stored ones."""
+    graph, root = _BUILD["ep"](s, d), _folder(s, "wl")
+    for h in (1, 2):
+        refinement.run_wl(s, graph, root, h)
+    return refinement.Store(s, root)
+
+
+def _stored_qsc(s, d):
+    graph, root = _BUILD["ep"](s, d), _folder(s, "qsc")
+    for h in (1, 2):
+        refinement.run_qsc(s, graph, root, max_step=h, q=0)
+    return refinement.Store(s, root)
+
+
+def _through_log(rows, schema):
+    path = _folder(rows.sparkSession, "log")
+    logs.write_log(rows, path)
+    return logs.read_log(rows.sparkSession, path, schema)
+
+
+def _through_text(s, d):
+    root = _folder(s, "text")
+    tu.write_tu(_BUILD["os"](s, d), root, "OS")
+    return tu.read_tu(s, root, "OS")
 
-    from ..runtime import checkpoint_dir
-    from . import evaluation, refinement
 
-    graph = _BUILD["cp"](s, d)
-    root = f"{checkpoint_dir(s)}/{tempfile.mktemp(dir='', prefix='cv-').strip('/')}"
+_WL_LOG = "SELECT step, max(color) AS feature_dim, count(DISTINCT color) AS n_colors FROM st GROUP BY step"
+_register("stored_features_wl_ep", lambda s, d: _stored_wl(s, d).features().select("step", "gid", "color", "cnt"), sql.query("ep", *_ST2, body="SELECT step, gid, color, count(*) AS cnt FROM st GROUP BY ALL"))
+_register("stored_level_wl_ep", lambda s, d: _stored_wl(s, d).resume(_BUILD["ep"](s, d)).level(1).colors(), sql.query("ep", sql.initial(), sql.wl(1), body="SELECT vid, gid, color FROM c1"))
+_register(
+    "stored_log_wl_ep", lambda s, d: _stored_wl(s, d).steps().select("algo", "step", "feature_dim", "n_colors", "n_features"),
+    sql.query("ep", *_ST2, f"lg AS ({_WL_LOG})", body="SELECT 'WL' AS algo, step, feature_dim, n_colors, CAST(sum(n_colors) OVER (ORDER BY step) AS BIGINT) AS n_features FROM lg"))
+_register(
+    "refinement_log_ep", lambda s, d: _through_log(_stored_wl(s, d).steps().select("step", "feature_dim", "n_colors", F.col("seconds").alias("calculation_time_in_seconds")), logs.WL_LOG).drop("calculation_time_in_seconds"),
+    sql.query("ep", *_ST2, body=_WL_LOG))
+_register("cv_log", lambda s, d: _through_log(_cv(s, d), logs.CV_LOG), f"WITH {_CVSQL} SELECT trial, fold, C, param, accuracy FROM cv")
+_register("missing_steps_ep", lambda s, d: s.createDataFrame([(k,) for k in _stored_wl(s, d).missing_steps(4)], "step int"), "SELECT step FROM (VALUES (3), (4)) t(step)")
+_register(
+    "stored_log_qsc_ep", lambda s, d: _stored_qsc(s, d).steps().select("step", "n_colors", "max_q_error", "witness_pair_count"),
+    sql.query("ep", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2), sql.qsc_statistics(2),
+              body=" UNION ALL ".join(f"SELECT {k} AS step, (SELECT max(block) + 1 FROM b{k}) AS n_colors, (SELECT max(error) FROM x{k}) AS max_q_error, {f'(SELECT count(*) FROM w{k - 1})' if k else 'CAST(0 AS BIGINT)'} AS witness_pair_count" for k in range(3))))
+_NUMBERED = "dg AS (SELECT gid, row_number() OVER (ORDER BY gid) AS n FROM (SELECT DISTINCT gid FROM v))"
+_register("text_edges_os", lambda s, d: _through_text(s, d).edges.select("src", "dst", "gid", "label"), sql.query("os", _NUMBERED, body="SELECT src, dst, n AS gid, label FROM e JOIN dg USING (gid)"))
+_register(
+    "text_vertices_os", lambda s, d: (g := _through_text(s, d)).vertices.join(g.graphs, "gid").select("vid", "gid", "orig_id", "label", "graph_label"),
+    sql.query("os", _NUMBERED, body="SELECT vid, n AS gid, CAST(vid + 1 AS VARCHAR) AS orig_id, label, graph_label FROM v JOIN dg USING (gid) JOIN g USING (gid)"))
+
+
+def _union(s, d):
+    one, two = builders.from_edges(s, [("a", "b")]), builders.from_edges(s, [("x", "y", "p"), ("y", "z", "q"), ("y", "x", "r")])
+    return builders.disjoint_union(one, two).edges.select("src", "dst", "gid", "label")
+
+
+_register("edge_lists_union", _union, "SELECT * FROM (VALUES (0, 1, 0, NULL), (1, 0, 0, NULL), (2, 3, 1, 'r'), (3, 2, 1, 'r'), (3, 4, 1, 'q'), (4, 3, 1, 'q')) t(src, dst, gid, label)")
+
+
+def _svm(s, d):
+    from . import evaluation
+
+    graph, root = _BUILD["cp"](s, d), _folder(s, "cv")
     refinement.run_wl(s, graph, f"{root}/wl", 1)
     store = refinement.Store(s, f"{root}/wl")
     live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")

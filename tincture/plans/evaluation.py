@@ -1,8 +1,8 @@
 """Nested cross-validation of graph kernels, with results stored for each outer fold so that a run can go on.
 
-The kernel of a parameter depends on neither cost nor fold, so it is computed once, by Spark; classifiers run one for each
-(trial, fold, parameter, cost, inner fold) as grouped tasks. The graphs of an evaluation are few: their number is checked
-before the kernel matrix is shared.
+The kernel of a parameter depends on neither cost nor fold, so it is computed by Spark for all inner fits at once, and again for
+the outer fits that chose it; classifiers run one for each (trial, fold, parameter, cost, inner fold) as grouped tasks. One dense
+matrix is shared at a time, and the number of graphs, so its bytes, is checked before.
 """
 
 from __future__ import annotations
@@ -55,59 +55,73 @@ def cross_validate(
         raise ValueError(f"an evaluation takes {MOST_GRAPHS} graphs at most: its kernel matrix is dense")
     gids = labels["gid"].tolist()
     y = labels["graph_label"].to_numpy().astype(str)
-    grams = {p: gram_matrix(stitch(features, steps), kind, gids) for p, steps in params}
-    shared = spark.sparkContext.broadcast((grams, y))
     frame = spark.createDataFrame(labels[["gid", "graph_label"]], "gid long, graph_label string")
     place = {g: i for i, g in enumerate(gids)}
     done = set()
     if exists(spark, f"{root}/test"):
         done = {(r["trial"], r["fold"]) for r in spark.read.schema(model.CV).parquet(f"{root}/test").collect()}
+    held, inner, todo = {}, {}, {}
     for trial in trials:
         outer = {r["gid"]: r["fold"] for r in stratified_folds(frame, folds, trial).collect()}
-        todo = [f for f in range(folds) if (trial, f) not in done]
-        if not todo:
-            continue
-        held = np.array([outer[g] for g in gids])
-        inner = {}
-        for f in todo:
+        todo[trial] = [f for f in range(folds) if (trial, f) not in done]
+        held[trial] = np.array([outer[g] for g in gids])
+        for f in todo[trial]:
             rest = frame.where(~F.col("gid").isin([g for g in gids if outer[g] == f]))
             own = np.full(len(gids), -1)
             for r in stratified_folds(rest, inner_folds, 0).collect():
                 own[place[r["gid"]]] = r["fold"]
-            inner[f] = own
-        shared_folds = spark.sparkContext.broadcast((held, inner))
+            inner[trial, f] = own
+    shared_folds = spark.sparkContext.broadcast((held, inner, y))
 
-        def inner_fit(rows: pd.DataFrame) -> pd.DataFrame:
-            grams, y = shared.value
+    def accuracy(k, train, test, cost):
+        y = shared_folds.value[2]
+        return 100.0 * (fit_predict(k[np.ix_(train, train)], y[train], k[np.ix_(test, train)], cost) == y[test]).mean() if len(test) and len(train) else np.nan
+
+    def inner_fits(matrix):
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
             for r in rows.itertuples():
-                own, k = shared_folds.value[1][r.fold], grams[r.param]
-                train, test = np.flatnonzero((own >= 0) & (own != r.inner)), np.flatnonzero(own == r.inner)
-                if len(test) and len(train):
-                    out.append(100.0 * (fit_predict(k[np.ix_(train, train)], y[train], k[np.ix_(test, train)], r.C) == y[test]).mean())
-                else:
-                    out.append(np.nan)
+                own = shared_folds.value[1][r.trial, r.fold]
+                out.append(accuracy(matrix.value, np.flatnonzero((own >= 0) & (own != r.inner)), np.flatnonzero(own == r.inner), r.C))
             return rows.assign(phase="train", accuracy=out)[["phase", "trial", "fold", "C", "param", "accuracy"]]
 
-        def outer_fit(rows: pd.DataFrame) -> pd.DataFrame:
-            grams, y = shared.value
+        return fit
+
+    def outer_fits(matrix):
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
             for r in rows.itertuples():
-                train, test = (np.flatnonzero(m) for m in (shared_folds.value[0] != r.fold, shared_folds.value[0] == r.fold))
-                k = grams[r.param]
-                out.append(100.0 * (fit_predict(k[np.ix_(train, train)], y[train], k[np.ix_(test, train)], r.C) == y[test]).mean() if len(test) else np.nan)
+                own = shared_folds.value[0][r.trial]
+                out.append(accuracy(matrix.value, np.flatnonzero(own != r.fold), np.flatnonzero(own == r.fold), r.C))
             return rows.assign(phase="test", accuracy=out)[["phase", "trial", "fold", "C", "param", "accuracy"]]
 
-        grid = [(trial, f, float(c), p, i) for f in todo for p, _ in params for c in costs for i in range(inner_folds)]
+        return fit
+
+    # One parameter's matrix is shared at a time; what is left of a matrix when its fits are done is nothing.
+    for p, steps in params:
+        grid = [(trial, f, float(c), p, i) for trial in todo for f in todo[trial] for c in costs for i in range(inner_folds)]
+        if not grid:
+            break
+        shared = spark.sparkContext.broadcast(gram_matrix(stitch(features, steps), kind, gids))
         jobs = spark.createDataFrame(grid, "trial int, fold int, C double, param int, inner int")
-        fitted = jobs.groupBy("trial", "fold", "param", "C", "inner").applyInPandas(inner_fit, model.CV)
-        # A trial's folder holds its open folds only, so results of an interrupted run are replaced.
-        fitted.where("not isnan(accuracy)").write.mode("overwrite").parquet(f"{root}/train/t={trial}")
-        train = spark.read.schema(model.CV).parquet(f"{root}/train/t={trial}")
-        best = best_parameters(inner_accuracy(train), [p for p, _ in params], [float(c) for c in costs])
-        tested = best.select("trial", "fold", "C", "param").groupBy("trial", "fold").applyInPandas(outer_fit, model.CV)
-        tested.write.mode("append").parquet(f"{root}/test")
-        shared_folds.unpersist()
+        fitted = jobs.groupBy("trial", "fold", "param", "C", "inner").applyInPandas(inner_fits(shared), model.CV)
+        # A parameter's folder holds the open folds only, so results of an interrupted run are replaced.
+        fitted.where("not isnan(accuracy)").write.mode("overwrite").parquet(f"{root}/train/p={p}")
+        shared.destroy()
+    if any(todo.values()):
+        stored = [spark.read.schema(model.CV).parquet(f"{root}/train/p={p}") for p, _ in params]
+        train = stored[0]
+        for more in stored[1:]:
+            train = train.unionByName(more)
+        best = best_parameters(inner_accuracy(train), [p for p, _ in params], [float(c) for c in costs]).select("trial", "fold", "C", "param").collect()
+        for p, steps in params:
+            chosen = [tuple(r) for r in best if r["param"] == p and r["fold"] in todo.get(r["trial"], ())]
+            if not chosen:
+                continue
+            shared = spark.sparkContext.broadcast(gram_matrix(stitch(features, steps), kind, gids))
+            jobs = spark.createDataFrame(chosen, "trial int, fold int, C double, param int")
+            jobs.groupBy("trial", "fold").applyInPandas(outer_fits(shared), model.CV).write.mode("append").parquet(f"{root}/test")
+            shared.destroy()
     results = spark.read.schema(model.CV).parquet(f"{root}/test").where("not isnan(accuracy)")
     lines = report_lines(results)
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/report")

@@ -86,5 +86,27 @@ r{p} AS (SELECT block, first, (SELECT max(block) FROM b{p}) + row_number() OVER
 b{k} AS (SELECT h.vid, h.gid, coalesce(r.new, h.block) AS block FROM h{p} h LEFT JOIN r{p} r ON r.block = h.block AND r.first = h.first)"""
 
 
+def lloyd(colors: int, k: int, turns: int) -> str:
+    """g1(vid, gid, color): one gradual step without edge labels from c0 (colours 1 to ``colors``), ``k`` clusters that start at each colour's
+    first histograms, means cut to whole numbers, unrolled ``turns`` times (more turns than it needs change nothing)."""
+    n = [f"n{i}" for i in range(1, colors + 1)]
+    every = ", ".join(n)
+    out = f"""
+h0 AS (SELECT c.vid, c.gid, c.color, {", ".join(f"coalesce(sum(CAST(d.color = {i} AS INT)), 0) AS n{i}" for i in range(1, colors + 1))}
+       FROM c0 c LEFT JOIN e ON e.src = c.vid LEFT JOIN c0 d ON d.vid = e.dst GROUP BY c.vid, c.gid, c.color),
+q0 AS (SELECT color, {every}, count(*) AS w FROM h0 GROUP BY ALL),
+p0 AS (SELECT *, row_number() OVER (PARTITION BY color ORDER BY {every}) - 1 AS i FROM q0),
+m0 AS (SELECT color, i AS c, {", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in n)} FROM p0 WHERE i < {k})"""
+    for t in range(1, turns + 1):
+        out += f""",
+a{t} AS (SELECT p.*, m.c FROM p0 p JOIN m{t - 1} m ON m.color = p.color
+         QUALIFY row_number() OVER (PARTITION BY p.color, p.i ORDER BY {" + ".join(f"(p.{x} - m.{x}) * (p.{x} - m.{x})" for x in n)}, m.c) = 1),
+m{t} AS (SELECT m.color, m.c, {", ".join(f"coalesce(trunc(sum(a.w * a.{x}) / sum(a.w)), min(m.{x})) AS {x}" for x in n)}
+         FROM m{t - 1} m LEFT JOIN a{t} a ON a.color = m.color AND a.c = m.c GROUP BY m.color, m.c)"""
+    same = " AND ".join(f"a.{x} = h.{x}" for x in n)
+    return out + f""",
+g1 AS (SELECT h.vid, h.gid, (SELECT max(color) FROM c0) + dense_rank() OVER (ORDER BY h.color, a.c) AS color FROM h0 h JOIN a{turns} a ON a.color = h.color AND {same})"""
+
+
 def query(fixture: str, *parts: str, body: str) -> str:
     return "WITH " + ",\n".join([FIXTURES[fixture].strip(), *(p.strip() for p in parts)]) + "\n" + body

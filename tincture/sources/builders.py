@@ -94,8 +94,8 @@ def disjoint_union(*sets: GraphSet) -> GraphSet:
         if out is None:
             out = s
             continue
-        shift = (out.vertices.agg(F.max("vid")).first()[0] or -1) + 1
-        last = max(x for x in (out.vertices.agg(F.max("gid")).first()[0], -1) if x is not None) + 1
+        vid, gid = out.vertices.agg(F.max("vid"), F.max("gid")).first()
+        shift, last = (0 if x is None else x + 1 for x in (vid, gid))
         base = s.vertices.agg(F.min("gid")).first()[0] or 0
         move = F.col("gid") - base + last
         vertices = out.vertices.unionByName(s.vertices.withColumns({"vid": F.col("vid") + shift, "gid": move}))

@@ -1,7 +1,7 @@
-"""Reader of the multi-file text format of graph collections (``<dir>/<DS>/<DS>_*.txt``).
+"""Reader and writer of the multi-file text format of graph collections (``<dir>/<DS>/<DS>_*.txt``).
 
-A line's number is its key, so every file is read as numbered lines: each line's byte position comes from the text source, and
-numbers are dense ranks by it.
+A line's number is its key, so every file is read as numbered lines: row ids of the text source rise with a line's place in the
+file, and numbers are dense ranks by them.
 """
 
 from __future__ import annotations
@@ -21,9 +21,31 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def numbered_lines(spark: SparkSession, path: str, start: int) -> DataFrame:
-    """(n, value): lines without the trailing empty ones, numbered from ``start``. Splits of a text file are in file order."""
-    lines = cut(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at")))
-    return ranked(lines.where("trim(value) <> ''"), ["_at"], "n", start).select("n", F.trim("value").alias("value"))
+    """(n, value): lines without the trailing empty ones, numbered from ``start``. Splits of a text file are in file order. An empty line
+    before the last full one would move all later numbers, so it is an error."""
+    lines = cut(spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("_at")))
+    last = lines.where("value <> ''").agg(F.max("_at")).first()[0]
+    lines = lines.where(F.col("_at") <= (-1 if last is None else last))
+    if lines.where("value = ''").limit(1).count():
+        raise ValueError(f"{path} has an empty line before its end")
+    return ranked(lines, ["_at"], "n", start).select("n", "value")
+
+
+def write_tu(graph: GraphSet, directory: str, dataset: str) -> None:
+    """Write a collection in the text format: graphs numbered from 1 in the order of their ids, vertices by ``vid``, each edge
+    once. A line's number is its key, so each file is one sorted part. Label files are left out where there are no labels."""
+    numbers = ranked(graph.vertices.select("gid").distinct(), ["gid"], "n", 1)
+    put = lambda name, rows: rows.select(F.col(rows.columns[-1]).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(f"{directory}/{dataset}/{dataset}_{name}.txt")
+    vertices = cut(graph.vertices.join(numbers, "gid").orderBy("vid"))
+    edges = cut(graph.edges.where("src <= dst").orderBy("src", "dst"))
+    put("graph_indicator", vertices.orderBy("vid").select("n"))
+    put("A", edges.orderBy("src", "dst").select(F.concat((F.col("src") + 1).cast("string"), F.lit(", "), (F.col("dst") + 1).cast("string"))))
+    if graph.has_edge_labels():
+        put("edge_labels", edges.orderBy("src", "dst").select("label"))
+    if vertices.where("label is not null").limit(1).count():
+        put("node_labels", vertices.orderBy("vid").select("label"))
+    if graph.graphs is not None:
+        put("graph_labels", numbers.join(graph.graphs, "gid").orderBy("n").select("graph_label"))
 
 
 def read_tu(spark: SparkSession, directory: str, dataset: str) -> GraphSet:
