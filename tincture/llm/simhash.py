@@ -290,7 +290,7 @@ def missed_pairs(docs: DataFrame, labels: DataFrame, similarity: float, size: in
     the counts are changes the work only, never the result. Shingles of over ``largest_part`` texts are cut into parts.
     """
     spark = docs.sparkSession
-    slots = 1 << min(22, max(12, (shingle_count // 32).bit_length()))
+    slots = 1 << min(20, max(12, (shingle_count // 32).bit_length()))
     shared = spark.sparkContext.broadcast(slot_counts(docs, size, slots))
 
     def prefixes(batches):
