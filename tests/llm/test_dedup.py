@@ -139,15 +139,15 @@ def test_simhash_groups(spark):
     assert got == {i: (f"{prints[i]:016x}", groups[i]) for i in ids}
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_vantage_partitions_lose_no_link(spark, levels):
+@pytest.mark.parametrize(("levels", "largest"), [(1, 1000), (1, 20), (1, 0), (2, 2), (2, 0), (3, 1000)])
+def test_vantage_partitions_lose_no_link(spark, levels, largest):
     rng = random.Random(levels)
     codes = [rng.getrandbits(64) for _ in range(300)]
     codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in codes for _ in range(2)]
     codes = list(dict.fromkeys(codes))
     rows = [(c - (1 << 64) if c >> 63 else c, i) for i, c in enumerate(codes)]
     scratch = Scratch(spark, "test")
-    found = components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 3, levels), scratch)
+    found = components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 3, levels, largest), scratch)
     got = dict(map(tuple, found.collect()))
     want = union_find(range(len(codes)), [(i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 3])
     assert {i: got.get(i, i) for i in want} == want

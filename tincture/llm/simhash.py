@@ -3,7 +3,8 @@
 Fingerprints are partitioned by their Hamming distances (rings) to a few vantage points. By the triangle inequality two
 fingerprints within the radius lie in rings that differ by the radius at most; moreover distance and ring difference
 have the same parity. So a fingerprint is a member of the shard of its own rings and is sent as a query to the
-boundary-overlapping shards alone. Inside a shard a vantage-point tree prunes on. A shard returns a spanning
+boundary-overlapping shards alone. Shards are counted before anything is sent; one with too many members is cut by the rings
+of further vantage points in the same way. Inside a shard a vantage-point tree prunes on. A shard returns a spanning
 forest of its links, never all pairs of a group.
 """
 
@@ -114,9 +115,10 @@ class VantageTree:
             self.search(members[first:last], queries[np.abs(dq - ring) <= self.radius], depth + 1)
 
 
-def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, levels: int | None = None, largest_shard: int = 1000) -> DataFrame:
     """(a, b): a spanning forest, shard by shard, of the graph that links points whose fingerprints differ in ``radius``
     bits at most. ``points``: distinct ``fp`` with the node ``rep``. Every link is covered by a path of returned ones.
+    Shards of over ``largest_shard`` members are cut by the rings of one more vantage point, those 64 times as large by two.
     """
     spark = points.sparkSession
     tune(spark)
@@ -124,15 +126,33 @@ def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> Data
     levels = levels or (2 if count < 1_000_000 else 3 if count < 30_000_000 else 4)
     share = min(1.0, 8192 / max(1, count))
     sample = points.where(F.xxhash64("fp") <= F.lit(hash_bound(share))).select("fp").limit(20_000).toArrow()
-    vantage = choose_vantage_points(np.sort(sample.column("fp").to_numpy().view(U64)), levels)
-    signed = [v - (1 << 64) if v >> 63 else v for v in vantage]
-    rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v).cast("long"))) for v in signed]
-    steps = ring_steps(levels, radius)
-    keyed = points.select("fp", "rep", *[r.alias(f"_r{i}") for i, r in enumerate(rings)])
-    target = [sum(((F.col(f"_r{i}") + s[i]).cast("long") * 65**i for i in range(levels)), F.lit(0)) for s in steps]
-    valid = [F.lit(True) if not any(s) else _all(F.col(f"_r{i}") + s[i] >= 0 for i in range(levels)) & _all(F.col(f"_r{i}") + s[i] <= 64 for i in range(levels)) for s in steps]
-    sent = keyed.select("fp", "rep", F.explode(F.array(*[F.when(ok, F.struct(t.alias("shard"), F.lit(i == 0).alias("member"))) for i, (t, ok) in enumerate(zip(target, valid, strict=True))])).alias("to")).where(
-        "`to` is not null").select("to.shard", "to.member", "fp", "rep")
+    vantage = choose_vantage_points(np.sort(sample.column("fp").to_numpy().view(U64)), levels + 2)
+    rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if v >> 63 else v).cast("long"))) for v in vantage]
+    keyed = points.select("fp", "rep", *[x.alias(f"r{i}") for i, x in enumerate(rings)])
+    shard_of = lambda step: sum(((F.col(f"r{i}") + step[i]).cast("long") * 65**i for i in range(levels)), F.lit(0).cast("long"))
+    inside = lambda step, first: _all((F.col(f"r{first + i}") + x).between(0, 64) for i, x in enumerate(step))
+    # (shard, whether the point is a member of it, whether its distances to the shard's members are odd)
+    sent = keyed.withColumn("to", F.explode(F.array_compact(F.array(*[
+        F.when(inside(s, 0), F.struct(shard_of(s).alias("shard"), F.lit(not any(s)).alias("member"), F.lit(bool(s[0] & 1)).alias("odd"))) for s in ring_steps(levels, radius)])))).select("fp", "rep", f"r{levels}", f"r{levels + 1}", "to.*")
+    large = keyed.groupBy(shard_of((0,) * levels).alias("shard")).agg(F.count("*").alias("n")).where(F.col("n") > largest_shard)
+    large = large.select("shard", F.when(F.col("n") > 64 * largest_shard, 2).otherwise(1).alias("more")).collect()  # one row for each ``largest_shard`` points at most
+    sub = F.lit(-1).cast("long")
+    if large:
+        sizes = spark.createDataFrame(large, "shard long, more int")
+        sent = sent.join(F.broadcast(sizes) if len(large) <= 500_000 else sizes, "shard", "left")
+
+        def cuts(more: int):
+            """Where a row goes inside a shard that is cut by so many vantage points. A member meets the members of its own cut and, as a
+            query, those of later ones; a query meets all cuts that the triangle bound leaves."""
+            steps = [s for s in product(range(-radius, radius + 1), repeat=more) if len({x & 1 for x in s}) == 1]
+            at = lambda s: sum(((F.col(f"r{levels + i}") + x).cast("long") * 65**i for i, x in enumerate(s)), F.lit(more << 40).cast("long"))
+            right = lambda s: F.when(F.col("member"), F.lit(s >= (0,) * more and not s[0] & 1)).otherwise(F.col("odd") == F.lit(bool(s[0] & 1)))
+            return F.array_compact(F.array(*[F.when(right(s) & inside(s, levels), F.struct(at(s).alias("sub"), (F.col("member") & F.lit(not any(s))).alias("member"))) for s in steps]))
+
+        whole = F.array(F.struct(sub.alias("sub"), F.col("member").alias("member")))
+        sent = sent.withColumn("cut", F.explode(F.when(F.col("more") == 2, cuts(2)).when(F.col("more") == 1, cuts(1)).otherwise(whole))).select("shard", "cut.sub", "cut.member", "fp", "rep")
+    else:
+        sent = sent.select("shard", sub.alias("sub"), "member", "fp", "rep")
 
     def solve(table: pa.Table) -> pa.Table:
         prints = table.column("fp").to_numpy().view(U64)
@@ -143,7 +163,7 @@ def links(points: DataFrame, radius: int = 3, levels: int | None = None) -> Data
             tree.search(np.flatnonzero(member), np.arange(len(prints)))
         return _edges(tree.forest, reps)
 
-    return sent.groupBy("shard").applyInArrow(solve, "a bigint, b bigint")
+    return sent.groupBy("shard", "sub").applyInArrow(solve, "a bigint, b bigint")
 
 
 def _all(tests):
