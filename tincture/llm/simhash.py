@@ -330,15 +330,15 @@ def missed_pairs(docs: DataFrame, labels: DataFrame, similarity: float, size: in
         return similarity / (1 + similarity) * (n + m) - 1e-6
 
     def meet(table: pa.Table) -> pa.Table:
-        shingle, part, doc, label, n, place = (table.column(c).to_numpy() for c in ("shingle", "part", "doc_id", "label", "n", "place"))
-        order = np.lexsort((part, shingle))
-        shingle, part, doc, label, n, place = (x[order] for x in (shingle, part, doc, label, n, place))
+        key, doc, label, sizes = (table.column(c).to_numpy() for c in ("key", "doc_id", "label", "sizes"))
+        order = np.argsort(key, kind="stable")
+        key, doc, label, n, place = (x[order] for x in (key, doc, label, sizes >> 32, sizes & 0xFFFFFFFF))
         live, step, found = np.arange(len(order)), 0, np.zeros((0, 2), np.int64)
         waiting: list[np.ndarray] = []
         while len(live):
             step += 1
             live = live[live + step < len(order)]
-            live = live[(shingle[live] == shingle[live + step]) & (part[live] == part[live + step])]
+            live = live[key[live] == key[live + step]]
             other = live + step
             fit = (label[live] != label[other]) & (np.minimum(n[live] - place[live], n[other] - place[other]) >= bound(n[live], n[other]))
             pairs = np.stack((np.minimum(doc[live[fit]], doc[other[fit]]), np.maximum(doc[live[fit]], doc[other[fit]])), axis=1)
@@ -366,12 +366,18 @@ def missed_pairs(docs: DataFrame, labels: DataFrame, similarity: float, size: in
             fit = [_jaccard(np.frombuffer(x, U64), np.frombuffer(y, U64)) >= similarity for x, y in own]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    held = scratch.save(text_bytes(docs).mapInArrow(prefixes, "doc_id bigint, n int, cold int, prefix array<bigint>, profile binary"))
-    rows = held.join(labels, "doc_id").select("doc_id", "label", "n", "cold", F.posexplode("prefix").alias("place", "shingle"))
-    hot = scratch.save(rows.where("place >= cold").drop("cold"))
-    rows = rows.where("place < cold").drop("cold").withColumn("part", F.lit(0)).unionByName(in_parts(hot, "shingle", "doc_id", largest_part, scratch))
+    # Labels join once, before anything is read twice; what meets carries one key and one word of size and place.
+    held = text_bytes(docs).mapInArrow(prefixes, "doc_id bigint, n int, cold int, prefix array<bigint>, profile binary")
+    held = scratch.save(semi(held, labels, "inner"))
+    rows = held.select("doc_id", "label", "cold", "n", F.posexplode("prefix").alias("place", "shingle"))
+    rows = rows.select("doc_id", "label", "cold", "place", "shingle", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("sizes"))
+    hot = scratch.save(rows.where("place >= cold").select("doc_id", "label", "shingle", "sizes"))
+    parted = in_parts(hot, "shingle", "doc_id", largest_part, scratch)
+    # Keys that fall together by chance add pairs to compare, never links.
+    rows = rows.where("place < cold").select("doc_id", "label", "sizes", F.col("shingle").alias("key")).unionByName(
+        parted.select("doc_id", "label", "sizes", F.xxhash64("shingle", "part").alias("key")))
     shards = max(8, min(1_000_000, int(shingle_count * (1 - similarity)) // 200_000))
-    met = rows.withColumn("shard", F.pmod(F.xxhash64("shingle", "part"), F.lit(shards))).groupBy("shard").applyInArrow(meet, "a bigint, b bigint").distinct()
+    met = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(meet, "a bigint, b bigint").distinct()
     profiles = held.select("doc_id", "profile")
     met = scratch.save(met.where("a <> b"))
     for side in "ab":
