@@ -206,7 +206,7 @@ def _brute_alignment(docs):
 def _odd_texts():
     return [
         (900, "a  b   c \n\n  d\t e  "), (901, " lead and trail "), (902, "x ▁y z"), (903, "don't  <|endoftext|> <s> </s> <0x41> it's"), (904, "日本語 テキスト　全角 空白"), (905, "a b c ᠎ d ​ e﻿ f"),
-        (906, "\x00 \x01 \x1c a \x85 b"), (907, " "), (908, "   "), (909, "é é ﬁ Å  👩‍👩‍👧 ok"), (910, "word" * 3000), (911, "1234567 89  - -- --- ?!"), (912, "the the the the"), (913, "\n \n"), (914, "tab\there  and　there"),
+        (906, "\x00 \x01 \x1c a \x85 b"), (907, " "), (908, "   "), (909, "é é ﬁ Å  👩‍👩‍👧 ok"), (910, "word" * 3000), (911, "1234567 89  - -- --- ?!"), (912, "the the the the"), (913, "\n \n"), (915, "a\nb\n\nc \n d\n"), (916, "x\r\ny ▁"), (917, "one\ntwo the.\nThe"), (914, "tab\there  and　there"),
     ]
 
 

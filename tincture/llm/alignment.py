@@ -28,9 +28,12 @@ _IDS, _TIMES = (1 << _ID_BITS) - 1, (1 << _TIMES_BITS) - 1
 #: Buckets of second ids, and about how many postings all buckets of a group of documents hold.
 BUCKETS, GROUP_POSTINGS = 16, 4_000_000
 #: Characters of a text that are worked on at once, and distinct pieces that a worker keeps.
-PART, CACHED = 1 << 20, 100_000
-#: A piece begins with a space after a character that is white space under no version of Unicode.
-_BORDER = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= )")
+PART, CACHED = 1 << 20, 250_000
+#: A piece begins with a space or line break after a character that is white space under no version of Unicode.
+_SHOWN = r"[^\s\u180e\u200b\ufeff]"
+_BORDER, _CLOSED = re.compile(rf"(?<={_SHOWN})(?=[ \n])"), re.compile(rf"{_SHOWN}\Z")
+#: What stands before pieces that are tokenized together, so that the space that the second side puts first is none of theirs.
+_LEAD = " a"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -49,44 +52,81 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         letters = byte_letters()
         vocab = self.first.get_vocab(with_added_tokens=True)
-        if max(max(vocab.values()), self.second.get_piece_size()) > _IDS:
+        sizes = max(vocab.values()) + 1, self.second.get_piece_size()
+        if max(sizes) > _IDS:
             raise ValueError("vocabularies of over two million ids are not aligned")
-        self.first_bytes = {i: bytes(letters[c] for c in s) if all(c in letters for c in s) else s.encode() for s, i in vocab.items()}
-        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        self.first_bytes = [b""] * sizes[0]
+        for token, i in vocab.items():
+            self.first_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        pieces = [self.second.id_to_piece(i) for i in range(sizes[1])]
         self.second_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.lengths = [np.array([len(x) for x in side], np.int64) for side in (self.first_bytes, self.second_bytes)]
+        names = [str(i) for i in range(max(sizes))]
+        self.inner, self.middle, self.last = (np.array([n + mark for n in names], dtype=object) for mark in ",|;")
         self.space = self.second.piece_to_id("▁")
-        #: Whether pieces never cross a border; else texts are one piece each.
-        self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
+        #: Whether pieces of the second side never cross a border; else texts are one piece each.
+        self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.groups: dict[str, str] = {}
+        self.groups: list[str] = []  # each group's ids, with a semicolon after every group
         self.sizes: list[tuple[int, int, int, bool]] = []  # first tokens, second tokens, groups, whether the bytes agree
         self.pairs: list[int] = []
         self.ends: list[int] = [0]
 
     def learn(self, pieces: list[str]) -> None:
-        one = [x.ids for x in self.first.encode_batch(pieces, add_special_tokens=False)]
-        two = self.second.encode([p[1:] for p in pieces], num_threads=1)
-        for piece, a, b in zip(pieces, one, two, strict=True):
-            if piece == " ":
-                b = [self.space]
-            left, right, raw = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b], piece.encode()
-            agrees = b"".join(left) == raw == b"".join(right)
-            self.place[piece] = len(self.sizes)
-            text, found = [], 0
-            if agrees:
-                ends_a, ends_b = list(accumulate(map(len, left))), list(accumulate(map(len, right)))
-                from_a = from_b = 0
-                for end in sorted(set(ends_a) & set(ends_b)):
-                    to_a, to_b = bisect_right(ends_a, end), bisect_right(ends_b, end)
-                    text.append(",".join(map(str, a[from_a:to_a])) + "|" + ",".join(map(str, b[from_b:to_b])))
-                    self.pairs.append(b[to_b - 1] << _ID_BITS | a[to_a - 1])
-                    from_a, from_b, found = to_a, to_b, found + 1
-            self.groups[piece] = ";".join(text)
-            self.sizes.append((len(a), len(b), found, agrees))
-            self.ends.append(len(self.pairs))
+        """Pieces that stand between borders on both sides are tokenized in one go, as if they were one text; the others (a text's last one
+        may end in white space) and those of a run whose bytes are not kept, one by one."""
+        whole = [p for p in pieces if self.separable and p[0] in " \n" and _CLOSED.search(p)]
+        if whole:
+            text = _LEAD + "".join(whole)
+            if not self._learn(whole, self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:], num_threads=1), text):
+                whole = []
+        for piece in pieces:
+            if piece not in self.place:
+                two = [self.space] if piece == " " else self.second.encode(piece[1:] if piece[0] == " " else piece, num_threads=1)
+                if piece[0] == "\n":  # the space that the model puts before a text is none of the piece's
+                    two = two[1:]
+                if not self._learn([piece], self.first.encode(piece, add_special_tokens=False).ids, two, piece):
+                    self._keep(piece, "", (0, 0, 0, False), [])
+
+    def _keep(self, piece: str, groups: str, sizes: tuple, pairs: list[int]) -> None:
+        self.place[piece] = len(self.sizes)
+        self.groups.append(groups)
+        self.sizes.append(sizes)
+        self.pairs += pairs
+        self.ends.append(len(self.pairs))
+
+    def _learn(self, pieces: list[str], one: list[int], two: list[int], text: str) -> bool:
+        raw = text.encode()
+        if b"".join(map(self.first_bytes.__getitem__, one)) != raw or b"".join(map(self.second_bytes.__getitem__, two)) != raw:
+            return False
+        a, b = np.array(one, np.int64), np.array(two, np.int64)
+        ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        at_a, at_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        # A group's tokens of the first side, then those of the second, in one list of texts.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        before_b, upto_a = np.concatenate(([0], at_b + 1)), np.append(at_a + 1, 0)
+        marked_a, marked_b = self.inner[a], self.inner[b]
+        marked_a[at_a], marked_b[at_b] = self.middle[a[at_a]], self.last[b[at_b]]
+        words = np.empty(len(a) + len(b), dtype=object)
+        words[np.arange(len(a)) + before_b[group_a]] = marked_a
+        words[np.arange(len(b)) + upto_a[group_b]] = marked_b
+        words = words.tolist()
+        borders = np.cumsum([len(p.encode()) for p in pieces]) + (len(raw) - sum(len(p.encode()) for p in pieces))
+        last = np.searchsorted(common, borders)  # each piece's last group
+        if not np.array_equal(common[last], borders):
+            return False
+        first = np.concatenate(([np.searchsorted(common, len(raw) - sum(len(p.encode()) for p in pieces), side="right")], last[:-1] + 1))
+        before = lambda at, side: np.where(at > 0, side[at - 1] + 1, 0)
+        from_a, to_a, from_b, to_b = before(first, at_a), at_a[last] + 1, before(first, at_b), at_b[last] + 1
+        pairs = (b[at_b] << _ID_BITS | a[at_a]).tolist()
+        numbers = (x.tolist() for x in (from_a + from_b, to_a + to_b, to_a - from_a, to_b - from_b, first, last + 1))
+        for piece, start, end, n_a, n_b, low, high in zip(pieces, *numbers, strict=True):
+            self._keep(piece, "".join(words[start:end]), (n_a, n_b, high - low, True), pairs[low:high])
+        return True
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The pieces of a space and the text, about ``PART`` characters at a time."""
@@ -97,41 +137,58 @@ class Aligner:
         while start < len(text):
             border = _BORDER.search(text, start + PART) if len(text) - start > PART else None
             end = border.start() if border else len(text)
-            yield [p for p in _BORDER.split(text[start:end]) if p]
+            yield _BORDER.split(text[start:end])
             start = end
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Learn the pieces of several texts at once."""
+        words = dict.fromkeys(w for own in texts for w in own)
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > CACHED:
+            self.forget()
+            new = list(words)
+        if new:
+            self.learn(new)
+
     def align(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
         """(first tokens, second tokens, groups, SHA-256 of the groups, postings) of a text; nothing if it is empty or its bytes are not kept."""
-        nothing = (0, 0, 0, "", np.zeros(0, np.int64))
-        if not text:
-            return nothing
-        digest, totals, keys, times = hashlib.sha256(), np.zeros(3, np.int64), [], []
-        for number, words in enumerate(self.parts(text)):
-            new = [w for w in dict.fromkeys(words) if w not in self.place]
-            if new:
-                if len(self.place) + len(new) > CACHED:
-                    self.forget()
-                    new = list(dict.fromkeys(words))
-                self.learn(new)
-            at, counts = np.unique(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), return_counts=True)
+        return next(self.align_all([text]))
+
+    def align_all(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        cut = [[*self.parts(t)] if 0 < len(t) < PART else None for t in texts]
+        self.prepare([p for own in cut if own for p in own])
+        for text, own in zip(texts, cut, strict=True):
+            yield self._align(own if own is not None else self.parts(text) if text else [], own is None)
+
+    def _align(self, parts, unknown: bool) -> tuple[int, int, int, str, np.ndarray]:
+        digest, totals, keys, times, seen = hashlib.sha256(), np.zeros(3, np.int64), [], [], False
+        for words in parts:
+            if unknown:
+                self.prepare([words])
+            places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            digest.update(((";" if seen else "") + "".join(map(self.groups.__getitem__, places.tolist()))[:-1]).encode())
+            at, counts = np.unique(places, return_counts=True)
             own = [self.sizes[i] for i in at.tolist()]
-            if not all(x[3] for x in own):
-                return nothing
-            totals += counts @ np.array([x[:3] for x in own], np.int64)
-            digest.update((";" if number else "").encode() + ";".join(map(self.groups.__getitem__, words)).encode())
-            keys += [k for i in at.tolist() for k in self.pairs[self.ends[i] : self.ends[i + 1]]]
-            times += np.repeat(counts, [x[2] for x in own]).tolist()
-            if number or len(keys) > PART:
+            numbers = np.array(own, np.int64)
+            if not numbers[:, 3].all():
+                seen = False
+                break
+            totals += counts @ numbers[:, :3]
+            for i in at.tolist():
+                keys += self.pairs[self.ends[i] : self.ends[i + 1]]
+            times += np.repeat(counts, numbers[:, 2]).tolist()
+            if seen:
                 keys, times = (x.tolist() for x in _summed(np.array(keys, np.int64), np.array(times, np.int64)))
+            seen = True
+        if not seen:
+            return 0, 0, 0, "", np.zeros(0, np.int64)
         pairs, counts = _summed(np.array(keys, np.int64), np.array(times, np.int64))
         return int(totals[0]), int(totals[1]), int(totals[2]), digest.hexdigest(), _packed(pairs, counts)
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, where = np.unique(keys, return_inverse=True)
-    totals = np.zeros(len(found), np.int64)
-    np.add.at(totals, where, times)
-    return found, totals
+    return found, np.bincount(where, times, len(found)).astype(np.int64)
 
 
 def _packed(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -173,7 +230,7 @@ def postings(df: DataFrame, first: str, second: str, id_col: str = "doc_id", tex
     def run(batches):
         aligner = files.aligner()
         for batch in slices(batches):
-            found = [aligner.align(t) for t in batch.column("text").to_pylist()]
+            found = [*aligner.align_all(batch.column("text").to_pylist())]
             sizes, values = [], []
             for *_, own in found:
                 bucket = (own >> (_ID_BITS + _TIMES_BITS)) % buckets
