@@ -228,17 +228,21 @@ def test_alignment_in_parts_and_with_a_small_cache(monkeypatch):
     texts = [t for _, t in hostile(6) + _odd_texts() if t]
     whole = alignment.Aligner(definition, model)
     assert whole.separable
-    expected = [whole.align(t) for t in texts]
+    expected = whole.align_all(texts)
     monkeypatch.setattr(alignment, "PART", 40)
     monkeypatch.setattr(alignment, "CACHED", 30)
     monkeypatch.setattr(alignment, "_TIMES", 3)
     parts = alignment.Aligner(definition, model)
     for text, (*numbers, own) in zip(texts, expected, strict=True):
-        *other, packed = parts.align(text)
+        [(*other, packed)] = parts.align_all([text])
         assert other == numbers
         totals = {}
         for p in packed.tolist():
             totals[p >> 21] = totals.get(p >> 21, 0) + (p & ((1 << 21) - 1))
         assert totals == {p >> 21: p & ((1 << 21) - 1) for p in own.tolist()} and all(1 <= p & ((1 << 21) - 1) <= 3 for p in packed.tolist())
     parts.separable = False
-    assert [parts.align(t)[:3] for t in texts] == [e[:3] for e in expected]
+    assert [e[:3] for e in parts.align_all(texts)] == [e[:3] for e in expected]
+    assert whole.fast is not None
+    whole.forget()
+    whole.fast = None
+    assert [e[:4] for e in whole.align_all(texts)] == [e[:4] for e in expected]

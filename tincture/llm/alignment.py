@@ -9,17 +9,16 @@ have is spread over all groups. Groups add up the contributions of their documen
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import WORD_PATTERN, byte_letters
 from .common import Scratch, free_name, slices, tune
 
 #: A pair is (second id, first id), and a posting is a pair with its multiplicity, in one long. Larger multiplicities are split over several postings.
@@ -37,6 +36,24 @@ _LEAD = " a"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def _ranked(definition: str, vocab: dict[str, int]):
+    """A faster encoder with the same results, where the definition allows it: merges whose results are numbered in order, over the usual words
+    without prefixes, continuations or normalization."""
+    import tiktoken
+
+    data, letters = json.loads(definition), byte_letters()
+    kind, before = data["model"], data.get("pre_tokenizer") or {}
+    results = ["".join(m.split(" ") if isinstance(m, str) else m) for m in kind["merges"]]
+    ids = [vocab[r] for r in results]
+    plain = data.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    bare = not any(kind.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    own = {bytes(letters[c] for c in t): i for t, i in kind["vocab"].items() if all(c in letters for c in t)}
+    whole = {bytes([b]) for b in range(256)} | {bytes(letters[c] for c in r) for r in results}
+    if plain and bare and ids == sorted(set(ids)) and whole <= set(own) and max(own[bytes([b])] for b in range(256)) < ids[0]:
+        return tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks={t: own[t] for t in whole}, special_tokens={})
+    return None
+
+
 class Aligner:
     """Tokenizes and aligns pieces of text. ``first``: a JSON definition of byte-level BPE; ``second``: a serialized model of pieces, which
     puts a space before a text by itself."""
@@ -64,16 +81,19 @@ class Aligner:
         names = [str(i) for i in range(max(sizes))]
         self.inner, self.middle, self.last = (np.array([n + mark for n in names], dtype=object) for mark in ",|;")
         self.space = self.second.piece_to_id("▁")
+        self.fast = _ranked(first, vocab)
         #: Whether pieces of the second side never cross a border; else texts are one piece each.
         self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.forget()
 
+    def _first(self, text: str) -> list[int]:
+        return self.fast.encode_ordinary(text) if self.fast else self.first.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []  # each group's ids, with a semicolon after every group
-        self.sizes: list[tuple[int, int, int, bool]] = []  # first tokens, second tokens, groups, whether the bytes agree
-        self.pairs: list[int] = []
-        self.ends: list[int] = [0]
+        self.sizes = np.zeros((1024, 5), np.int64)  # first tokens, second tokens, groups, whether the bytes agree, first pair
+        self.pairs, self.n_pairs = np.zeros(1024, np.int64), 0
 
     def learn(self, pieces: list[str]) -> None:
         """Pieces that stand between borders on both sides are tokenized in one go, as if they were one text; the others (a text's last one
@@ -81,22 +101,27 @@ class Aligner:
         whole = [p for p in pieces if self.separable and p[0] in " \n" and _CLOSED.search(p)]
         if whole:
             text = _LEAD + "".join(whole)
-            if not self._learn(whole, self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:], num_threads=1), text):
+            if not self._learn(whole, self._first(text), self.second.encode(text[1:], num_threads=1), text):
                 whole = []
         for piece in pieces:
             if piece not in self.place:
                 two = [self.space] if piece == " " else self.second.encode(piece[1:] if piece[0] == " " else piece, num_threads=1)
                 if piece[0] == "\n":  # the space that the model puts before a text is none of the piece's
                     two = two[1:]
-                if not self._learn([piece], self.first.encode(piece, add_special_tokens=False).ids, two, piece):
-                    self._keep(piece, "", (0, 0, 0, False), [])
-
-    def _keep(self, piece: str, groups: str, sizes: tuple, pairs: list[int]) -> None:
-        self.place[piece] = len(self.sizes)
-        self.groups.append(groups)
-        self.sizes.append(sizes)
-        self.pairs += pairs
-        self.ends.append(len(self.pairs))
+                if not self._learn([piece], self._first(piece), two, piece):
+                    self._keep([piece], [""], np.zeros((1, 4), np.int64), np.zeros(0, np.int64))
+
+    def _keep(self, pieces: list[str], groups: list[str], sizes: np.ndarray, pairs: np.ndarray) -> None:
+        start, end, low, high = len(self.groups), len(self.groups) + len(pieces), self.n_pairs, self.n_pairs + len(pairs)
+        self.place.update(zip(pieces, range(start, end), strict=True))
+        self.groups += groups
+        if end > len(self.sizes):
+            self.sizes = np.concatenate((self.sizes, np.zeros((end, 5), np.int64)))
+        if high > len(self.pairs):
+            self.pairs = np.concatenate((self.pairs, np.zeros(high, np.int64)))
+        self.sizes[start:end, :4] = sizes
+        self.sizes[start:end, 4] = low + np.concatenate(([0], np.cumsum(sizes[:, 2])[:-1]))
+        self.pairs[low:high], self.n_pairs = pairs, high
 
     def _learn(self, pieces: list[str], one: list[int], two: list[int], text: str) -> bool:
         raw = text.encode()
@@ -115,17 +140,18 @@ class Aligner:
         words[np.arange(len(a)) + before_b[group_a]] = marked_a
         words[np.arange(len(b)) + upto_a[group_b]] = marked_b
         words = words.tolist()
-        borders = np.cumsum([len(p.encode()) for p in pieces]) + (len(raw) - sum(len(p.encode()) for p in pieces))
+        lengths = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        lead = len(raw) - int(lengths.sum())
+        borders = lead + np.cumsum(lengths)
         last = np.searchsorted(common, borders)  # each piece's last group
-        if not np.array_equal(common[last], borders):
+        if not np.array_equal(common[np.minimum(last, len(common) - 1)], borders):
             return False
-        first = np.concatenate(([np.searchsorted(common, len(raw) - sum(len(p.encode()) for p in pieces), side="right")], last[:-1] + 1))
-        before = lambda at, side: np.where(at > 0, side[at - 1] + 1, 0)
-        from_a, to_a, from_b, to_b = before(first, at_a), at_a[last] + 1, before(first, at_b), at_b[last] + 1
-        pairs = (b[at_b] << _ID_BITS | a[at_a]).tolist()
-        numbers = (x.tolist() for x in (from_a + from_b, to_a + to_b, to_a - from_a, to_b - from_b, first, last + 1))
-        for piece, start, end, n_a, n_b, low, high in zip(pieces, *numbers, strict=True):
-            self._keep(piece, "".join(words[start:end]), (n_a, n_b, high - low, True), pairs[low:high])
+        first = np.concatenate(([np.searchsorted(common, lead, side="right")], last[:-1] + 1))
+        before = lambda side: np.where(first > 0, side[first - 1] + 1, 0)
+        from_a, to_a, from_b, to_b = before(at_a), at_a[last] + 1, before(at_b), at_b[last] + 1
+        groups = ["".join(words[start:end]) for start, end in zip((from_a + from_b).tolist(), (to_a + to_b).tolist(), strict=True)]
+        sizes = np.stack((to_a - from_a, to_b - from_b, last + 1 - first, np.ones(len(pieces), np.int64)), axis=1)
+        self._keep(pieces, groups, sizes, (b[at_b] << _ID_BITS | a[at_a])[first[0] : last[-1] + 1])
         return True
 
     def parts(self, text: str) -> Iterator[list[str]]:
@@ -150,40 +176,57 @@ class Aligner:
         if new:
             self.learn(new)
 
-    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
-        """(first tokens, second tokens, groups, SHA-256 of the groups, postings) of a text; nothing if it is empty or its bytes are not kept."""
-        return next(self.align_all([text]))
-
-    def align_all(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
-        cut = [[*self.parts(t)] if 0 < len(t) < PART else None for t in texts]
-        self.prepare([p for own in cut if own for p in own])
-        for text, own in zip(texts, cut, strict=True):
-            yield self._align(own if own is not None else self.parts(text) if text else [], own is None)
-
-    def _align(self, parts, unknown: bool) -> tuple[int, int, int, str, np.ndarray]:
-        digest, totals, keys, times, seen = hashlib.sha256(), np.zeros(3, np.int64), [], [], False
-        for words in parts:
-            if unknown:
-                self.prepare([words])
-            places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            digest.update(((";" if seen else "") + "".join(map(self.groups.__getitem__, places.tolist()))[:-1]).encode())
-            at, counts = np.unique(places, return_counts=True)
-            own = [self.sizes[i] for i in at.tolist()]
-            numbers = np.array(own, np.int64)
-            if not numbers[:, 3].all():
-                seen = False
-                break
-            totals += counts @ numbers[:, :3]
-            for i in at.tolist():
-                keys += self.pairs[self.ends[i] : self.ends[i + 1]]
-            times += np.repeat(counts, numbers[:, 2]).tolist()
-            if seen:
-                keys, times = (x.tolist() for x in _summed(np.array(keys, np.int64), np.array(times, np.int64)))
-            seen = True
-        if not seen:
-            return 0, 0, 0, "", np.zeros(0, np.int64)
-        pairs, counts = _summed(np.array(keys, np.int64), np.array(times, np.int64))
-        return int(totals[0]), int(totals[1]), int(totals[2]), digest.hexdigest(), _packed(pairs, counts)
+    def align_all(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """(first tokens, second tokens, groups, SHA-256 of the groups, postings) of each text; nothing if it is empty or its bytes are not kept."""
+        out: list = [_NOTHING] * len(texts)
+        short = [i for i, t in enumerate(texts) if 0 < len(t) < PART]
+        cut = [[*self.parts(texts[i])][0] for i in short]
+        self.prepare(cut)
+        digests = [hashlib.sha256() for _ in short]
+        for i, (totals, keys, times), digest in zip(short, self._tally(cut, digests), digests, strict=True):
+            if totals is not None:
+                out[i] = (*totals, digest.hexdigest(), _packed(keys, times))
+        for i in (i for i, t in enumerate(texts) if len(t) >= PART):
+            out[i] = self._long(texts[i])
+        return out
+
+    def _long(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
+        digest, sums, keys, times = hashlib.sha256(), np.zeros(3, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for number, words in enumerate(self.parts(text)):
+            self.prepare([words])
+            if number:
+                digest.update(b";")
+            [(totals, own, counts)] = self._tally([words], [digest])
+            if totals is None:
+                return _NOTHING
+            sums += totals
+            keys, times = _summed(np.concatenate((keys, own)), np.concatenate((times, counts)))
+        return (*sums.tolist(), digest.hexdigest(), _packed(keys, times))
+
+    def _tally(self, texts: list[list[str]], digests: list) -> Iterator[tuple]:
+        """(sizes or None, pairs, multiplicities) of each text; its groups go to its digest."""
+        places = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in texts]
+        for own, digest in zip(places, digests, strict=True):
+            digest.update("".join(map(self.groups.__getitem__, own.tolist()))[:-1].encode())
+        if not texts:
+            return
+        width = len(self.groups) + 1
+        of = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        found, counts = np.unique(of * width + np.concatenate(places), return_counts=True)
+        of, at = found // width, found % width
+        sizes = self.sizes[at]
+        sums = [np.bincount(of, sizes[:, k] * counts, len(texts)).astype(np.int64) for k in range(3)]
+        bad = np.bincount(of, sizes[:, 3] == 0, len(texts)) > 0
+        n, starts = sizes[:, 2], np.concatenate(([0], np.cumsum(sizes[:, 2])[:-1]))
+        entries = np.arange(n.sum()) + np.repeat(sizes[:, 4] - starts, n)
+        keys, times = _summed(np.repeat(of, n) << 2 * _ID_BITS | self.pairs[entries], np.repeat(counts, n))
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) << 2 * _ID_BITS)
+        keys &= (1 << 2 * _ID_BITS) - 1
+        for k, (low, high) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            yield None if bad[k] else tuple(int(x[k]) for x in sums), keys[low:high], times[low:high]
+
+
+_NOTHING = (0, 0, 0, "", np.zeros(0, np.int64))
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +273,7 @@ def postings(df: DataFrame, first: str, second: str, id_col: str = "doc_id", tex
     def run(batches):
         aligner = files.aligner()
         for batch in slices(batches):
-            found = [*aligner.align_all(batch.column("text").to_pylist())]
+            found = aligner.align_all(batch.column("text").to_pylist())
             sizes, values = [], []
             for *_, own in found:
                 bucket = (own >> (_ID_BITS + _TIMES_BITS)) % buckets
