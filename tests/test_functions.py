@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tincture.functions import svm
+from tincture.functions import folds, svm
 from tincture.functions.formats import rounded, two_decimals
 from tincture.functions.machine import log_level, logger, machine
 from tincture.functions.report import report_lines
@@ -117,3 +118,65 @@ def test_machine_and_logger(tmp_path):
     assert len(out.handlers) == 2 and path.read_text().count("hello") == 1
     assert len(logger("tincture-test").handlers) == 1
     assert set(machine()) == {"cpu", "cores", "physical_cores", "frequency", "memory", "system", "python"}
+
+
+def _plain_shuffled(labels, k, seed):
+    """Labels in order of ids to folds, written down row by row."""
+    rng = np.random.RandomState(seed)
+    names = list(dict.fromkeys(labels))
+    dealt = [i % k for i in range(len(labels))]
+    by_class = sorted(range(len(labels)), key=lambda i: names.index(labels[i]))
+    out = [None] * len(labels)
+    for name in names:
+        own = sorted(dealt[place] for place, i in enumerate(by_class) if labels[i] == name)
+        rng.shuffle(own)
+        for i, f in zip([i for i, x in enumerate(labels) if x == name], own, strict=True):
+            out[i] = f
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 9])
+def test_shuffled_folds(spark, seed):
+    for labels in (["b", "a", "b", "b", "a", "c", "a", "b", "b", "a", "a", "b", "c"], ["1"] * 17 + ["0"] * 9):
+        rows = spark.createDataFrame([(10 * i + 3, x) for i, x in enumerate(labels)], "gid long, graph_label string").repartition(4)
+        found = {r["gid"]: r["fold"] for r in folds.shuffled_folds(rows, 4, seed).collect()}
+        assert [found[10 * i + 3] for i in range(len(labels))] == _plain_shuffled(labels, 4, seed)
+    both = rows.withColumn("t", F.explode(F.array(F.lit(1), F.lit(2))))
+    again = folds.shuffled_folds(both, 4, seed, ("t",)).collect()
+    assert all(found[r["gid"]] == r["fold"] for r in again) and len(again) == 2 * len(labels)
+
+
+#: The folds (of 3) of classes of these sizes, for three seeds.
+_PUBLISHED = {
+    ((5, 4), 0): [[1, 0, 0, 1, 2], [0, 2, 1, 2]],
+    ((5, 4), 1): [[1, 0, 2, 0, 1], [0, 2, 2, 1]],
+    ((5, 4), 9): [[1, 0, 0, 1, 2], [2, 1, 2, 0]],
+    ((3, 7, 2), 0): [[2, 1, 0], [2, 0, 0, 1, 1, 0, 2], [1, 2]],
+    ((3, 7, 2), 1): [[0, 2, 1], [2, 0, 2, 1, 0, 0, 1], [2, 1]],
+    ((3, 7, 2), 9): [[1, 0, 2], [1, 0, 0, 1, 0, 2, 2], [1, 2]],
+}
+
+
+def test_shuffled_folds_have_stored_values():
+    for (sizes, seed), expected in _PUBLISHED.items():
+        assert [x.tolist() for x in folds.shuffled_allocation(list(sizes), 3, seed)] == expected
+
+
+def test_weighted_classifier_equals_repeated_rows():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (60, 4)).astype(float)
+    y = np.where(x[:, 0] + rng.normal(0, 0.8, 60) > 1, "p", np.where(x[:, 1] > 1, "q", "r"))
+    grid, place = np.unique(x, axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    kernel = grid @ grid.T
+    test = np.arange(len(grid))
+    for cost in (0.01, 1.0, 100.0):
+        plain = fit_predict(x @ x.T, y, grid @ x.T, cost)
+        keys, at = np.unique(np.stack([place, np.unique(y, return_inverse=True)[1]]), axis=1, return_inverse=True)
+        weights = np.bincount(at.reshape(-1))
+        labels = np.unique(y)[keys[1]]
+        whole = svm.fit_predict_weighted(kernel, keys[0], labels, weights, test, cost)
+        rows = svm.KernelRows(len(grid), lambda places: kernel[places], np.diag(kernel), most_bytes=8 * len(grid) * 5)
+        assert (whole == plain).mean() > 0.97  # at the border a tolerance decides
+        assert (svm.fit_predict_weighted(rows, keys[0], labels, weights, test, cost) == whole).all() and len(rows.kept) <= 5
+    assert (svm.fit_predict_weighted(kernel, keys[0], np.repeat("p", len(keys[0])), weights, test, 1.0) == "p").all()

@@ -11,6 +11,7 @@ from tincture.operators.gradual import GradualRefinement, vocabulary
 from tincture.operators.quasi_stable import QuasiStable
 from tincture.sources.builders import disjoint_union, from_edges
 
+#: The edges of two worked examples.
 A = [(0, 1), (0, 5), (0, 6), (1, 2), (1, 7), (2, 3), (3, 4), (3, 8), (4, 5)]
 B = [(0, 1), (0, 3), (0, 5), (1, 2), (2, 3), (2, 6), (4, 5), (4, 6)]
 
@@ -176,3 +177,18 @@ def test_large_ranks_go_by_partitions(spark, monkeypatch):
     rows = runtime.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], "n", 5, 1000)
     assert all(r["n"] == r["k"] + 5 for r in rows.collect())
     assert runtime.ranked(spark.range(0).toDF("k"), ["k"], "n").count() == 0
+
+
+def test_quasi_stable_updates_equal_a_full_recount(spark):
+    from tincture.operators.quasi_stable import block_degrees, block_statistics
+    from tincture.sources.builders import customer_suppliers
+
+    graph = customer_suppliers(spark, "/root/testdata/sf0.001")
+    runner, edges = QuasiStable(initial_coloring(graph), size_weighted=True), graph.edges.count()
+    for _ in range(4):
+        runner.refine_one_step()
+        degrees = block_degrees(graph, runner.blocks)
+        assert sorted(map(tuple, runner.degrees.select("vid", "bj", "d").collect())) == sorted(map(tuple, degrees.select("vid", "bj", "d").collect()))
+        full = block_statistics(degrees, runner.blocks, True)
+        assert sorted(map(tuple, runner.statistics.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
+    assert len(runner.touched) == 4 and all(0 < n < edges for n in runner.touched)

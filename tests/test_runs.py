@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from tincture.functions.steps import StepSettings
+from tincture.functions.folds import shuffled_folds
 from tincture.plans import evaluation, refinement
 from tincture.sources.builders import conversation_paths, from_edges
 
@@ -66,3 +67,61 @@ def test_qsc_evaluation(spark, tmp_path):
     live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")
     mean, _ = evaluation.evaluate_qsc(spark, store, live, str(tmp_path / "cv"), settings, trials=range(1), folds=2, inner_folds=2, costs=(1.0,))
     assert 0 <= mean <= 100
+
+
+def _rows(spark, path):
+    return sorted(map(tuple, spark.read.parquet(path).select("trial", "fold", "C", "param", "accuracy").collect()))
+
+
+def test_a_stopped_evaluation_goes_on(spark, tmp_path):
+    graph = conversation_paths(spark, SMALL)
+    live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")
+    refinement.run_wl(spark, graph, str(tmp_path / "wl"), 1)
+    store = refinement.Store(spark, str(tmp_path / "wl"))
+    options = {"h_grid": [0, 1], "folds": 3, "inner_folds": 2, "costs": (0.1, 1.0)}
+    run = lambda name, **more: evaluation.evaluate_wl(spark, store, live, str(tmp_path / name), **options, **more)
+    whole = run("whole", trials=range(2), folds_at_once=6)
+    # Stopped after a fold, then in the middle of another: its inner rows are there, its test row is not.
+    assert run("parts", trials=range(2), most_folds=2) is None and not (tmp_path / "parts" / "report").exists()
+    assert run("parts", trials=range(1), most_folds=1) is None or (tmp_path / "parts" / "report").exists()
+    for left in ("report", "train_results", "test_results"):
+        shutil.rmtree(tmp_path / "parts" / left, ignore_errors=True)
+    done = _rows(spark, str(tmp_path / "parts" / "test"))
+    shutil.rmtree(tmp_path / "parts" / "test" / "trial=0" / "fold=1")
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "parts" / "test" / "trial=0" / "fold=0").glob("part-*")}
+    assert run("parts", trials=range(2)) == pytest.approx(whole)
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "parts" / "test" / "trial=0" / "fold=0").glob("part-*")} == before
+    assert set(done) <= set(_rows(spark, str(tmp_path / "parts" / "test")))
+    for table in ("train", "test"):
+        assert _rows(spark, str(tmp_path / "parts" / table)) == _rows(spark, str(tmp_path / "whole" / table))
+    log = next((tmp_path / "whole" / "test_results").glob("part-*")).read_text()
+    assert log.startswith("trial,fold,C,param,accuracy\n")
+    with pytest.raises(ValueError):
+        evaluation.evaluate_wl(spark, store, live, str(tmp_path / "none"), h_grid=[7])
+
+
+def test_evaluation_equals_a_plain_one(spark, tmp_path):
+    """Weighted classes of equal graphs against one row for each graph, on the same folds, with a kernel given as a function."""
+    import numpy as np
+
+    from tincture.functions.svm import fit_predict
+    from tincture.operators.features import intersection_matrix
+
+    graph = conversation_paths(spark, SMALL)
+    live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")
+    refinement.run_wl(spark, graph, str(tmp_path / "wl"), 2)
+    store = refinement.Store(spark, str(tmp_path / "wl"))
+    evaluation.evaluate_wl(spark, store, live, str(tmp_path / "cv"), h_grid=[2], trials=range(1), folds=3, inner_folds=2, costs=(1.0,), kind=intersection_matrix, folds_at_once=3)
+    got = {r["fold"]: r["accuracy"] for r in spark.read.parquet(str(tmp_path / "cv" / "test")).collect()}
+    labels = {r["gid"]: r["graph_label"] for r in live.collect()}
+    gids = sorted(labels)
+    y = np.array([labels[g] for g in gids])
+    entries = store.features().where("step <= 2").toPandas()
+    x = entries.pivot_table(index="gid", columns="color", values="cnt", fill_value=0).reindex(gids).to_numpy()
+    kernel = np.minimum(x[:, None, :], x[None, :, :]).sum(axis=2).astype(float)
+    fold = {r["gid"]: r["fold"] for r in shuffled_folds(live, 3, 0).collect()}
+    own = np.array([fold[g] for g in gids])
+    for f in range(3):
+        train, test = np.flatnonzero(own != f), np.flatnonzero(own == f)
+        expected = 100.0 * (fit_predict(kernel[np.ix_(train, train)], y[train], kernel[np.ix_(test, train)], 1.0) == y[test]).mean()
+        assert got[f] == pytest.approx(expected)

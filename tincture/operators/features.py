@@ -44,9 +44,68 @@ def stitch(rows: DataFrame, steps: list[int]) -> DataFrame:
     return rows.where(F.col("step").isin(*steps))
 
 
-def _blocked_kernel(rows: DataFrame, normalized: bool, block_graphs: int, width: int = 4096) -> DataFrame:
-    """Graphs are dealt into blocks of about ``block_graphs``, and each pair of blocks is one task that multiplies their rows as matrices,
-    ``width`` colours at a time. A colour that all graphs have costs as many entries as graphs, not as pairs of graphs."""
+class SparseRows:
+    """Rows of a feature matrix: row i's entries are ``indices[starts[i]:starts[i + 1]]`` and the same part of ``values``."""
+
+    def __init__(self, starts: np.ndarray, indices: np.ndarray, values: np.ndarray, columns: int):
+        self.starts, self.indices, self.values, self.shape = starts, indices, values.astype(float), (len(starts) - 1, columns)
+
+    def take(self, places: np.ndarray) -> SparseRows:
+        sizes = np.diff(self.starts)[places]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(starts[-1]) + np.repeat(self.starts[places] - starts[:-1], sizes)
+        return SparseRows(starts, self.indices[at], self.values[at], self.shape[1])
+
+    def dense(self, first: int = 0, width: int | None = None) -> np.ndarray:
+        """All columns, or ``width`` of them from ``first`` on."""
+        width = self.shape[1] - first if width is None else width
+        rows = np.repeat(np.arange(self.shape[0]), np.diff(self.starts))
+        mine = (self.indices >= first) & (self.indices < first + width)
+        out = np.zeros((self.shape[0], width))
+        out[rows[mine], self.indices[mine] - first] = self.values[mine]
+        return out
+
+    def norms(self) -> np.ndarray:
+        rows = np.repeat(np.arange(self.shape[0]), np.diff(self.starts))
+        return np.sqrt(np.bincount(rows, self.values**2, self.shape[0]))
+
+
+#: Columns that are multiplied at a time.
+_WIDTH = 4096
+
+
+def dot_matrix(x: SparseRows, y: SparseRows) -> np.ndarray:
+    """All dot products of rows of ``x`` with rows of ``y``."""
+    out = np.zeros((x.shape[0], y.shape[0]))
+    for first in range(0, x.shape[1], _WIDTH):
+        width = min(_WIDTH, x.shape[1] - first)
+        out += x.dense(first, width) @ y.dense(first, width).T
+    return out
+
+
+def cosine_matrix(x: SparseRows, y: SparseRows) -> np.ndarray:
+    """The dot products of rows of length one."""
+    return dot_matrix(x, y) / (np.maximum(x.norms(), 1e-300)[:, None] * np.maximum(y.norms(), 1e-300)[None, :])
+
+
+def intersection_matrix(x: SparseRows, y: SparseRows) -> np.ndarray:
+    """What two histograms have in common: the sum of the smaller counts."""
+    out = np.zeros((x.shape[0], y.shape[0]))
+    for column in np.intersect1d(x.indices, y.indices).tolist():
+        out += np.minimum(x.dense(column, 1), y.dense(column, 1).T)
+    return out
+
+
+MATRICES = {"linear_kernel": dot_matrix, "dot": dot_matrix, "cosine_similarity": cosine_matrix, "cosine": cosine_matrix}
+
+
+def blocked_kernel(rows: DataFrame, function, block_graphs: int = 1024) -> DataFrame:
+    """(g1, g2, k) of all pairs of graphs whose kernel is not 0, in both orders.
+
+    Graphs are dealt into blocks of about ``block_graphs``, and each pair of blocks is one task that hands their rows to ``function(x, y)`` as two
+    ``SparseRows`` over the same columns (those that the two blocks use, in order of colour) and takes a matrix. A colour that all graphs
+    have costs as many entries as graphs, not as pairs of graphs. The function is symmetric.
+    """
     spark = rows.sparkSession
     ship(spark)
     counts = rows.groupBy("gid", "color").agg(F.sum("cnt").alias("cnt"))
@@ -58,29 +117,15 @@ def _blocked_kernel(rows: DataFrame, normalized: bool, block_graphs: int, width:
     def multiply(table: pa.Table) -> pa.Table:
         gid, color, cnt, side = (table.column(c).to_numpy() for c in ("gid", "color", "cnt", "own"))
         high, low = table.column("high")[0].as_py(), table.column("low")[0].as_py()
-        graphs, row = np.unique(gid, return_inverse=True)
-        colors, col = np.unique(color, return_inverse=True)
-        of = np.zeros(len(graphs), np.int64)
-        of[row] = side
+        order = np.lexsort((color, gid))
+        graphs, starts = np.unique(gid[order], return_index=True)
+        colors, columns = np.unique(color, return_inverse=True)
+        every = SparseRows(np.append(starts, len(gid)), columns[order], cnt[order], len(colors))
+        of = side[order][starts]
         one, two = np.flatnonzero(of == high), np.flatnonzero(of == low)
-        place = np.empty(len(graphs), np.int64)
-        place[one] = np.arange(len(one))
-        place[two] = np.arange(len(two))
-        out = np.zeros((len(one), len(two)))
-        order = np.argsort(col, kind="stable")
-        cuts = np.searchsorted(col[order], np.arange(0, len(colors) + width, width))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            part = order[a:b]
-            left, right = np.zeros((len(one), width)), np.zeros((len(two), width))
-            for matrix, block in ((left, high), (right, low)):
-                mine = part[side[part] == block]
-                matrix[place[row[mine]], col[mine] - k * width] = cnt[mine]
-            out += left @ right.T
-        if normalized:
-            norms = np.sqrt(np.bincount(row, cnt.astype(float) ** 2, len(graphs)))
-            out /= norms[one][:, None] * norms[two][None, :]
+        out = function(every.take(one), every.take(two))
         i, j = np.nonzero(out)
-        g1, g2, k = graphs[one[i]], graphs[two[j]], out[i, j]
+        g1, g2, k = graphs[one[i]], graphs[two[j]], np.asarray(out[i, j], dtype=float)
         if high != low:  # both orders
             g1, g2, k = np.concatenate((g1, g2)), np.concatenate((g2, g1)), np.concatenate((k, k))
         return pa.table({"g1": pa.array(g1), "g2": pa.array(g2), "k": pa.array(k)})
@@ -90,17 +135,14 @@ def _blocked_kernel(rows: DataFrame, normalized: bool, block_graphs: int, width:
 
 def dot_kernel(rows: DataFrame, block_graphs: int = 1024) -> DataFrame:
     """(g1, g2, k) for all pairs of graphs with a colour in common, in both orders; pairs without one have kernel 0."""
-    return _blocked_kernel(rows, False, block_graphs)
+    return blocked_kernel(rows, dot_matrix, block_graphs)
 
 
 def cosine_kernel(rows: DataFrame, block_graphs: int = 1024) -> DataFrame:
     """The dot kernel of rows of length one."""
-    return _blocked_kernel(rows, True, block_graphs)
-
-
-KERNELS = {"linear_kernel": dot_kernel, "dot": dot_kernel, "cosine_similarity": cosine_kernel, "cosine": cosine_kernel}
+    return blocked_kernel(rows, cosine_matrix, block_graphs)
 
 
-def kernel(rows: DataFrame, kind) -> DataFrame:
-    """``kind``: a name of ``KERNELS`` or any function from long features to (g1, g2, k)."""
-    return (KERNELS[kind] if isinstance(kind, str) else kind)(rows)
+def kernel(rows: DataFrame, kind, block_graphs: int = 1024) -> DataFrame:
+    """``kind``: a name of ``MATRICES`` or any symmetric function of two ``SparseRows`` to a matrix."""
+    return blocked_kernel(rows, MATRICES[kind] if isinstance(kind, str) else kind, block_graphs)

@@ -63,6 +63,7 @@ class QuasiStable:
         self.colored, self.q, self.n_colors, self.max_steps = colored, q, n_colors, max_steps
         self.size_weighted, self.q_tolerance = size_weighted, q_tolerance
         self.current_step = 0
+        self.touched: list[int] = []  # edges that each step counted again
         level = colored.levels[-1]
         self.n_blocks = level.n_colors
         numbers = ranked(level.frame.groupBy("cls").agg(F.min("vid").alias("first")), ["first"], "block", 0, self.n_blocks)
@@ -70,11 +71,33 @@ class QuasiStable:
         self._measure()
 
     def _measure(self) -> None:
+        """Degrees and statistics of all blocks."""
         self.degrees = cut(block_degrees(self.colored.graph, self.blocks))
         self.statistics = cut(block_statistics(self.degrees, self.blocks, self.size_weighted))
+        self._sum_up()
+
+    def _sum_up(self) -> None:
         seen = self.statistics.agg(F.max("error").alias("top"), F.count("*").alias("pairs")).first()
         self.max_q_error, self._pairs = float(seen["top"] or 0.0), seen["pairs"]
 
+    def _update(self, before: DataFrame) -> None:
+        """Degrees and statistics after some vertices left their blocks: only degrees into a changed block (one that lost or won vertices) are
+        counted again, from the edges that end there, and only pairs with a changed block on either side are summed up again."""
+        moved = before.select("vid", F.col("block").alias("old")).join(self.blocks, "vid").where("old <> block")
+        changed = cut(moved.select(F.explode(F.array("old", "block")).alias("c")).distinct())
+        into = self.blocks.join(changed.withColumnRenamed("c", "block"), "block").select(F.col("vid").alias("dst"), F.col("block").alias("bj"))
+        near = self.colored.graph.edges.select("src", "dst", "weight").join(into, "dst")
+        fresh = cut(near.groupBy(F.col("src").alias("vid"), "bj").agg(F.sum("weight").alias("d"), F.count("*").alias("edges")))
+        self.touched.append(int(fresh.agg(F.sum("edges")).first()[0] or 0))
+        fresh = fresh.drop("edges")
+        kept = self.degrees.join(changed.withColumnRenamed("c", "bj"), "bj", "left_anti")
+        inside = self.blocks.join(changed.withColumnRenamed("c", "block"), "block", "left_semi").select("vid")
+        again = block_statistics(fresh.unionByName(kept.join(inside, "vid", "left_semi")), self.blocks, self.size_weighted)
+        same = self.statistics.join(changed.withColumnRenamed("c", "bi"), "bi", "left_anti").join(changed.withColumnRenamed("c", "bj"), "bj", "left_anti")
+        self.statistics = cut(same.unionByName(again))
+        self.degrees = cut(kept.unionByName(fresh))
+        self._sum_up()
+
     def witnesses(self) -> DataFrame:
         """(bi, bj, n, s, error) of the witness pairs with edges between them."""
         return self.statistics.where(F.col("error") >= self.max_q_error * (1 - self.q_tolerance)).select("bi", "bj", "n", "s", "error")
@@ -90,11 +113,12 @@ class QuasiStable:
             return self.n_blocks, self.current_step, 0.0, 0
         witnesses = cut(self.witnesses())
         pairs = self.witness_count()
-        self.blocks = cut(renumber(split_blocks(self.blocks, self.degrees, witnesses), self.n_blocks))
+        before = self.blocks
+        self.blocks = cut(renumber(split_blocks(before, self.degrees, witnesses), self.n_blocks))
         self.n_blocks = self.blocks.agg(F.max("block")).first()[0] + 1
         self.current_step += 1
         self.colored.push(self.blocks.withColumnRenamed("block", "cls"), self.n_blocks)
-        self._measure()
+        self._update(before)
         return self.n_blocks, self.current_step, self.max_q_error, pairs
 
     def refine(self) -> tuple[int, int, float]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import folds, report, steps
 from ..functions.formats import percent, two_decimals
 from ..operators import coloring, features, gradual, hierarchy, quasi_stable, statistics
-from ..runtime import checkpoint_dir
+from ..runtime import checkpoint_dir, cut
 from ..sources import builders, logs, tu
 from . import oracle as sql
 from . import refinement
@@ -133,6 +133,9 @@ _register("kernel_dot_wl2_cp", lambda s, d: features.kernel(features.features(_w
 _register(
     "kernel_cosine_wl2_cp", lambda s, d: features.kernel(features.features(_wl(s, d, "cp", 2)), "cosine").withColumn("k", F.round("k", 9)),
     sql.query("cp", *_ST2, _FT, _DOT, "nm AS (SELECT gid, sqrt(sum(cnt * cnt)) AS norm FROM ft GROUP BY gid)", body="SELECT g1, g2, round(k / (a.norm * b.norm), 9) AS k FROM k JOIN nm a ON a.gid = g1 JOIN nm b ON b.gid = g2"))
+_register(
+    "kernel_min_wl2_cp", lambda s, d: features.kernel(features.features(_wl(s, d, "cp", 2)), features.intersection_matrix, 256),
+    sql.query("cp", *_ST2, _FT, body="SELECT a.gid AS g1, b.gid AS g2, CAST(sum(least(a.cnt, b.cnt)) AS DOUBLE) AS k FROM ft a JOIN ft b ON a.color = b.color GROUP BY ALL"))
 _register(
     "stitch_steps_ep", lambda s, d: features.stitch(features.features(_wl(s, d, "ep", 2)), [0, 2]),
     sql.query("ep", *_ST2, body="SELECT step, gid, color, count(*) AS cnt FROM st WHERE step IN (0, 2) GROUP BY ALL"))
@@ -154,6 +157,13 @@ _register("qsc1_blocks_cs", lambda s, d: _qsc(s, d, "cs", 1).blocks, sql.query("
 _register(
     "qsc2_blocks_ep", lambda s, d: _qsc(s, d, "ep", 2).blocks,
     sql.query("ep", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2), body="SELECT vid, gid, block FROM b2"))
+_QSC2 = (sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2))
+_register(
+    "qsc2_errors_ep", lambda s, d: _qsc(s, d, "ep", 2).statistics, sql.query("ep", *_QSC2, sql.qsc_statistics(2), body="SELECT bi, bj, n, s, upper, lower, error FROM x2"))
+_register(
+    "qsc2_touched_edges_ep", lambda s, d: s.createDataFrame([(k + 1, n) for k, n in enumerate(_qsc(s, d, "ep", 2).touched)], "step int, edges long"),
+    sql.query("ep", *_QSC2, *(f"ch{k} AS (SELECT DISTINCT unnest([o.block, n.block]) AS c FROM b{k - 1} o JOIN b{k} n USING (vid) WHERE o.block <> n.block)" for k in (1, 2)),
+              body=" UNION ALL ".join(f"SELECT {k} AS step, count(*) AS edges FROM e JOIN b{k} b ON b.vid = e.dst WHERE b.block IN (SELECT c FROM ch{k})" for k in (1, 2))))
 _register(
     "qsc1_blocks_unlabelled_cs", lambda s, d: _qsc(s, d, "cs", 1, False).blocks,
     sql.query("cs", sql.initial(False), sql.qsc0(False), sql.qsc_statistics(0), sql.qsc_step(1), body="SELECT vid, gid, block FROM b1"))
@@ -199,19 +209,24 @@ _register(
     "drawing_cp", lambda s, d: hierarchy.drawing(_wl(s, d, "cp", 1), true_coloring=True),
     sql.query("cp", sql.initial(), sql.wl(1), _HEX, body="SELECT vid, color, coalesce(hex, '#cccccc') AS hex, vid || ' [' || color || ']' AS text FROM c1 LEFT JOIN pal ON i = color"))
 
-# Choosing steps. The log is a fixed trace.
-_TRACE = [(0, 16.0), (1, 18.0), (2, 12.0), (3, 12.0), (4, 7.0), (5, 3.0), (6, 1.0), (7, 0.0)]
-_LOG = "log(step, q) AS (VALUES " + ", ".join(f"({s}, {q})" for s, q in _TRACE) + "),\nds AS (SELECT step, q FROM (SELECT *, min(q) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM log) WHERE b IS NULL OR q < b),\nnr AS (SELECT row_number() OVER (ORDER BY step) AS i, step, q FROM ds)"
+# Choosing steps. The trace has one step for each month of orders: how many are not older, and in every third month as many again as the month has.
+_LOG = """mo AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1),
+log AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INT) AS step, CAST(sum(n) OVER (ORDER BY m DESC) + CASE WHEN (row_number() OVER (ORDER BY m) - 1) % 3 = 1 THEN 2 * n ELSE 0 END AS DOUBLE) AS q FROM mo),
+ds AS (SELECT step, q FROM (SELECT *, min(q) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM log) WHERE b IS NULL OR q < b),
+nr AS (SELECT row_number() OVER (ORDER BY step) AS i, step, q FROM ds)"""
 
 
-def _log(s):
-    return s.createDataFrame(_TRACE, "step int, max_q_error double")
+def _log(s, d):
+    months = s.read.parquet(f"{d}/orders.parquet").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m")).agg(F.count("*").alias("n"))
+    up, down = Window.orderBy("m"), Window.orderBy(F.desc("m"))  # one row a month
+    step = (F.row_number().over(up) - 1).cast("int")
+    return cut(months.select(step.alias("step"), (F.sum("n").over(down) + F.when(step % 3 == 1, 2 * F.col("n")).otherwise(0)).cast("double").alias("max_q_error")))
 
 
 def _fold_sql(ratio, repeat):
     ok = "n.q <= w.t" + ("" if repeat else " AND n.step <> w.a[len(w.a)]")
     return f"""WITH RECURSIVE {_LOG},
-w(i, t, a) AS (SELECT 0, 16.0 * {ratio}, [0] UNION ALL SELECT w.i + 1, CASE WHEN {ok} THEN w.t * {ratio} ELSE w.t END, CASE WHEN {ok} THEN list_append(w.a, n.step) ELSE w.a END FROM w JOIN nr n ON n.i = w.i + 1),
+w(i, t, a) AS (SELECT 0, (SELECT q FROM log WHERE step = 0) * {ratio}, [0] UNION ALL SELECT w.i + 1, CASE WHEN {ok} THEN w.t * {ratio} ELSE w.t END, CASE WHEN {ok} THEN list_append(w.a, n.step) ELSE w.a END FROM w JOIN nr n ON n.i = w.i + 1),
 z AS (SELECT a FROM w WHERE i = (SELECT max(i) FROM nr))"""
 
 
@@ -219,20 +234,20 @@ def _joined(rows):
     return rows.select("param", F.array_join(F.transform("steps", lambda x: x.cast("string")), ",").alias("steps"))
 
 
-_register("q_descending", lambda s, d: steps.strictly_descending(_log(s)), f"WITH {_LOG} SELECT step, CAST(q AS DOUBLE) AS max_q_error FROM ds")
+_register("q_descending", lambda s, d: steps.strictly_descending(_log(s, d)), f"WITH {_LOG} SELECT step, CAST(q AS DOUBLE) AS max_q_error FROM ds")
 for _r in (0.3, 0.5, 0.7):
     _register(
-        f"steps_q_ratio_{int(_r * 10)}", lambda s, d, r=_r: _joined(steps.anchors_by_ratio(_log(s), r)),
+        f"steps_q_ratio_{int(_r * 10)}", lambda s, d, r=_r: _joined(steps.anchors_by_ratio(_log(s, d), r)),
         _fold_sql(_r, False) + " SELECT CAST(p AS INT) AS param, array_to_string(a[1:p + 1], ',') AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
 _register(
-    "steps_q_half", lambda s, d: _joined(steps.anchors_by_halving(_log(s))),
+    "steps_q_half", lambda s, d: _joined(steps.anchors_by_halving(_log(s, d))),
     _fold_sql(0.5, True) + " SELECT CAST(p AS INT) AS param, array_to_string(a[1:p + 1], ',') AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
 _register(
-    "steps_q_half_inbetween", lambda s, d: _joined(steps.anchors_by_halving(_log(s), True, True)),
+    "steps_q_half_inbetween", lambda s, d: _joined(steps.anchors_by_halving(_log(s, d), True, True)),
     _fold_sql(0.5, True) + " SELECT CAST(p AS INT) AS param, (SELECT string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) FROM nr WHERE i <= p + 1) AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)")
 for _n, _desc in (("steps_h_grid", False), ("steps_h_grid_descending", True)):
     _register(
-        _n, lambda s, d, desc=_desc: _joined(steps.steps_by_position(_log(s), [0, 1, 2, 16], desc)),
+        _n, lambda s, d, desc=_desc: _joined(steps.steps_by_position(_log(s, d), [0, 1, 2, 16], desc)),
         f"WITH {_LOG}, src AS (SELECT row_number() OVER (ORDER BY step) - 1 AS i, step FROM {'ds' if _desc else 'log'}) SELECT CAST(p AS INT) AS param, string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) AS steps FROM (VALUES (0), (1), (2), (16)) t(p) JOIN src ON i <= p WHERE p < (SELECT count(*) FROM src) GROUP BY p")
 
 # Cross-validation results: a table derived from orders, whole.
@@ -341,22 +356,62 @@ _register(
 
 
 def _union(s, d):
-    one, two = builders.from_edges(s, [("a", "b")]), builders.from_edges(s, [("x", "y", "p"), ("y", "z", "q"), ("y", "x", "r")])
-    return builders.disjoint_union(one, two).edges.select("src", "dst", "gid", "label")
+    one = _BUILD["cp"](s, d)
+    return builders.disjoint_union(one, one).edges.select("src", "dst", "gid", "label")
 
 
-_register("edge_lists_union", _union, "SELECT * FROM (VALUES (0, 1, 0, NULL), (1, 0, 0, NULL), (2, 3, 1, 'r'), (3, 2, 1, 'r'), (3, 4, 1, 'q'), (4, 3, 1, 'q')) t(src, dst, gid, label)")
+_register(
+    "edge_lists_union", _union,
+    sql.query("cp", "sh AS (SELECT max(vid) + 1 AS dv, max(gid) + 1 - min(gid) AS dg FROM v)", body="SELECT src, dst, gid, label FROM e UNION ALL SELECT src + dv, dst + dv, gid + dg, label FROM e, sh"))
 
 
-def _svm(s, d):
+def _evaluated(s, d, h, runs=({},), **options):
+    """The folder of a cross-validation of conversations, after one run with each of ``runs``' options."""
     from . import evaluation
 
     graph, root = _BUILD["cp"](s, d), _folder(s, "cv")
-    refinement.run_wl(s, graph, f"{root}/wl", 1)
+    refinement.run_wl(s, graph, f"{root}/wl", h)
     store = refinement.Store(s, f"{root}/wl")
     live = graph.graphs.join(graph.vertices.select("gid").distinct(), "gid", "left_semi")
-    mean, std = evaluation.evaluate_wl(s, store, live, f"{root}/cv", h_grid=[0, 1], trials=range(2), folds=3, inner_folds=2, costs=(0.1, 1.0))
+    for more in runs:
+        found = evaluation.evaluate_wl(s, store, live, f"{root}/cv", **options, **more)
+    return f"{root}/cv", found
+
+
+_GRID = {"h_grid": [0, 1], "trials": range(2), "folds": 3, "inner_folds": 2, "costs": (0.1, 1.0)}
+
+
+def _cv_rows(s, d):
+    """Rows of a run that stopped after four folds and went on."""
+    root, _ = _evaluated(s, d, 1, ({"most_folds": 4}, {}), **_GRID)
+    inner, outer = (s.read.parquet(f"{root}/{t}").groupBy("trial", "fold").agg(F.count("*").alias(n)) for t, n in (("train", "inner_rows"), ("test", "test_rows")))
+    return inner.join(outer, ["trial", "fold"])
+
+
+_register("cv_rows_cp", _cv_rows, "SELECT CAST(t AS INT) AS trial, CAST(f AS INT) AS fold, 8::BIGINT AS inner_rows, 1::BIGINT AS test_rows FROM range(2) a(t), range(3) b(f) WHERE (SELECT count(*) FROM conversations) > 0")
+
+
+def _cv_header(s, d):
+    """The CSV logs of inner and outer folds, read back."""
+    root, _ = _evaluated(s, d, 1, **_GRID)
+    return logs.read_log(s, f"{root}/train_results", logs.CV_LOG).select(F.lit("train").alias("log"), "trial", "fold", "C", "param").unionByName(
+        logs.read_log(s, f"{root}/test_results", logs.CV_LOG).select(F.lit("test").alias("log"), "trial", "fold", F.lit(None).cast("double").alias("C"), F.lit(None).cast("int").alias("param")))
+
+
+_register(
+    "cv_logs_cp", _cv_header,
+    "SELECT 'train' AS log, CAST(t AS INT) AS trial, CAST(f AS INT) AS fold, c AS C, CAST(p AS INT) AS param FROM range(2) a(t), range(3) b(f), (VALUES (0.1::DOUBLE), (1.0::DOUBLE)) d(c), range(2) g(p) UNION ALL SELECT 'test', CAST(t AS INT), CAST(f AS INT), NULL, NULL FROM range(2) a(t), range(3) b(f)")
+
+
+def _svm(s, d):
+    """The default grid: 10 trials of 10 folds, 10 inner folds, 7 costs, levels 0 to 10; a trial's folds are committed together."""
+    _, (mean, std) = _evaluated(s, d, 10, folds_at_once=10)
     return s.createDataFrame([(mean, std)], "mean double, std double")
 
 
 _register("svm_cv_cp", _svm)
+_register(
+    "shuffled_fold_sizes_ep", lambda s, d: folds.shuffled_folds(_BUILD["ep"](s, d).graphs, 10, 3).groupBy("graph_label", "fold").agg(F.count("*").alias("n")),
+    sql.query("ep", "cl AS (SELECT graph_label, count(*) AS size, min(gid) AS first FROM g GROUP BY 1)",
+              "st AS (SELECT graph_label, size, coalesce(sum(size) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cl)",
+              body="SELECT graph_label, CAST(j % 10 AS INT) AS fold, count(*) AS n FROM (SELECT graph_label, unnest(range(CAST(start AS BIGINT), CAST(start + size AS BIGINT))) AS j FROM st) GROUP BY ALL"))

@@ -1,134 +1,175 @@
-"""Nested cross-validation of graph kernels, with results stored for each outer fold so that a run can go on.
+"""Nested cross-validation of graph kernels, committed fold by fold, so that a run that stopped loses one fold at most.
 
-The kernel of a parameter depends on neither cost nor fold, so it is computed by Spark for all inner fits at once, and again for
-the outer fits that chose it; classifiers run one for each (trial, fold, parameter, cost, inner fold) as grouped tasks. One dense
-matrix is shared at a time, and the number of graphs, so its bytes, is checked before.
+A parameter gives each graph a feature vector; graphs with equal vectors are one class of the parameter (``members``), whose vector is kept
+once (``vectors``). For a fold Spark counts graphs by (parameter, inner fold, class, label); each (fold, parameter, cost) is a task that
+takes these counts and the parameter's vectors, makes their kernel and fits one classifier for each inner fold on weighted rows. So neither the
+driver nor a broadcast holds a kernel, a vector or a label, and a fit is as large as there are different vectors, not graphs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.folds import stratified_folds
+from ..functions.folds import shuffled_folds, stratified_folds
 from ..functions.report import best_parameters, inner_accuracy, report_lines, summary
-from ..functions.svm import fit_predict
-from ..operators.features import kernel, stitch
-from ..runtime import ship
+from ..functions.svm import DENSE_ROWS, KernelRows, fit_predict_weighted
+from ..operators.features import MATRICES, SparseRows
+from ..runtime import cut, ship
+from ..sources.logs import write_log
 from ..sources.tu import exists
 
 #: Grids of the evaluations.
 COSTS = (1e-3, 1e-2, 1e-1, 1e0, 1e1, 1e2, 1e3)
-MOST_GRAPHS = 20_000
+#: The inner fold of graphs that the outer fold holds back.
+_HELD = -1
+TRAIN = "trial int, fold int, param int, C double, inner int, accuracy double"
+TEST = "trial int, fold int, C double, param int, accuracy double"
+
+
+def parameter_vectors(features: DataFrame, params: list[tuple[int, list[int]]]) -> tuple[DataFrame, DataFrame]:
+    """(param, gid, cls) and (param, cls, colors, counts): graphs with the same features over a parameter's steps are one class, named by its smallest graph."""
+    steps = features.sparkSession.createDataFrame([(p, s) for p, own in params for s in own], "param int, step int")
+    entries = F.array_sort(F.collect_list(F.struct("color", "cnt")))
+    # Few rows: as many as (parameter, step).
+    own = features.join(F.broadcast(steps), "step").groupBy("param", "gid").agg(entries.alias("hist")).withColumn("digest", F.sha2(F.col("hist").cast("string"), 256))
+    own = cut(own)
+    classes = own.groupBy("param", "digest").agg(F.min("gid").alias("cls"))
+    members = own.drop("hist").join(classes, ["param", "digest"]).select("param", "gid", "cls")
+    vectors = own.drop("digest").join(classes.select("param", F.col("cls").alias("gid")), ["param", "gid"])
+    return members, vectors.select("param", F.col("gid").alias("cls"), F.transform("hist", lambda x: x["color"]).alias("colors"), F.transform("hist", lambda x: x["cnt"]).alias("counts"))
+
+
+def _kernel(rows: SparseRows, function):
+    every = np.arange(rows.shape[0])
+    if len(every) <= DENSE_ROWS:
+        return function(rows, rows)
+    diagonal = np.concatenate([np.diag(function(part := rows.take(every[i : i + 256]), part)) for i in range(0, len(every), 256)])
+    return KernelRows(len(every), lambda places: function(rows.take(places), rows), diagonal)
+
+
+def _fitter(kind, inner_folds: int):
+    """A cogroup of counts and vectors of one (trial, fold, param, C) to accuracies: of each inner fold, or with ``inner_folds`` 0 of the held graphs."""
+    function = MATRICES[kind] if isinstance(kind, str) else kind
+
+    def fit(key, counted: pa.Table, vectors: pa.Table) -> pa.Table:
+        trial, fold, param, cost = (k.as_py() for k in key)
+        lists = vectors.column("colors").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        colors, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        values = np.concatenate([c.flatten().to_numpy() for c in vectors.column("counts").chunks]) if vectors.num_rows else np.zeros(0)
+        rows = SparseRows(np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), columns, values, len(colors))
+        kernel = _kernel(rows, function)
+        names = vectors.column("cls").to_numpy()
+        order = np.argsort(names)
+        places = order[np.searchsorted(names, counted.column("cls").to_numpy(), sorter=order)]
+        labels = np.array(counted.column("graph_label").to_pylist(), dtype=str)
+        inner, weights = counted.column("inner").to_numpy(), counted.column("m").to_numpy()
+        out = []
+        for i in range(inner_folds) if inner_folds else [_HELD]:
+            test, train = inner == i, (inner != i) & (inner != _HELD)
+            if not test.any() or not train.any():
+                continue
+            keys, at = np.unique(np.stack([places[train], np.unique(labels, return_inverse=True)[1][train]]), axis=1, return_inverse=True)
+            own = np.bincount(at.reshape(-1), weights[train], keys.shape[1])
+            found = fit_predict_weighted(kernel, keys[0], np.unique(labels)[keys[1]], own, places[test], cost)
+            out.append((i, 100.0 * weights[test][found == labels[test]].sum() / weights[test].sum()))
+        n = len(out)
+        columns = {"trial": [trial] * n, "fold": [fold] * n, "param": [param] * n, "C": [cost] * n, "inner": [i for i, _ in out], "accuracy": [a for _, a in out]}
+        kinds = {"trial": pa.int32(), "fold": pa.int32(), "param": pa.int32(), "C": pa.float64(), "inner": pa.int32(), "accuracy": pa.float64()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+    return fit
+
+
+def _fitted(counted: DataFrame, vectors: DataFrame, jobs: DataFrame, kind, inner_folds: int) -> DataFrame:
+    """Jobs are rows (trial, fold, param, C), as many as the grid has for the folds at hand."""
+    keys = ["trial", "fold", "param", "C"]
+    left = counted.join(F.broadcast(jobs), ["trial", "fold", "param"])
+    right = vectors.join(F.broadcast(jobs), "param")
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from the same jobs
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_fitter(kind, inner_folds), TRAIN)
+
 
+def _commit(rows: DataFrame, path: str) -> None:
+    """Write the folds at hand; other folds' files stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trial", "fold").parquet(path)
 
-def gram_matrix(features: DataFrame, kind, gids: list[int]) -> np.ndarray:
-    place = {g: i for i, g in enumerate(gids)}
-    out = np.zeros((len(gids), len(gids)))
-    rows = kernel(features, kind).where(F.col("g1") <= F.col("g2")).toPandas()
-    a, b = rows["g1"].map(place), rows["g2"].map(place)
-    live = a.notna() & b.notna()
-    a, b = a[live].astype(int).to_numpy(), b[live].astype(int).to_numpy()
-    out[a, b] = out[b, a] = rows["k"][live].to_numpy()
-    return out
+
+def finished_folds(spark: SparkSession, root: str) -> set[tuple[int, int]]:
+    if not exists(spark, f"{root}/test"):
+        return set()
+    return {(r["trial"], r["fold"]) for r in spark.read.schema(TEST).parquet(f"{root}/test").select("trial", "fold").distinct().collect()}
 
 
 def cross_validate(
-    spark: SparkSession, features: DataFrame, graphs: DataFrame, params: list[tuple[int, list[int]]], root: str, kind="dot", trials=range(10), folds: int = 10, inner_folds: int = 10, costs=COSTS
+    spark: SparkSession, features: DataFrame, graphs: DataFrame, params: list[tuple[int, list[int]]], root: str, kind="dot", trials=range(10), folds: int = 10, inner_folds: int = 10, costs=COSTS,
+    folds_at_once: int = 1, shuffled: bool = True, most_folds: int | None = None,
 ) -> tuple[float, float] | None:
     """Nested cross-validation: for each trial and outer fold the (parameter, cost) with the best mean inner accuracy, the first of
     equals, is fitted on all but the fold and tested on it. Returns mean and standard deviation of the trials' means, or
     None if the folder already has a report. Parameters whose steps are not stored are left out.
 
-    Trials and folds that have a test result stay as they are; inner results of others are made again.
+    ``root/train`` has the inner rows and ``root/test`` one row for each fold, both by (trial, fold), committed fold by fold (or ``folds_at_once``),
+    inner rows first. What a run finds there stays; folds without a test row are made again. ``most_folds`` ends a run after so many folds, without a
+    report (None). ``shuffled`` folds follow a Mersenne Twister seeded by the trial (0 inside); else a formula deals them. ``kind`` is a kernel's name or
+    a function of two ``SparseRows``. With the report, ``train_results`` (means over inner folds) and ``test_results`` are written as CSV.
     """
     if exists(spark, f"{root}/report"):
         return None
     ship(spark)
     stored = {r["step"] for r in features.select("step").distinct().collect()}
     params = [(p, steps) for p, steps in params if set(steps) <= stored]
-    labels = graphs.join(features.select("gid").distinct(), "gid", "left_semi").orderBy("gid").limit(MOST_GRAPHS + 1).toPandas()
-    if len(labels) > MOST_GRAPHS:
-        raise ValueError(f"an evaluation takes {MOST_GRAPHS} graphs at most: its kernel matrix is dense")
-    gids = labels["gid"].tolist()
-    y = labels["graph_label"].to_numpy().astype(str)
-    frame = spark.createDataFrame(labels[["gid", "graph_label"]], "gid long, graph_label string")
-    place = {g: i for i, g in enumerate(gids)}
-    done = set()
-    if exists(spark, f"{root}/test"):
-        done = {(r["trial"], r["fold"]) for r in spark.read.schema(model.CV).parquet(f"{root}/test").collect()}
-    held, inner, todo = {}, {}, {}
-    for trial in trials:
-        outer = {r["gid"]: r["fold"] for r in stratified_folds(frame, folds, trial).collect()}
-        todo[trial] = [f for f in range(folds) if (trial, f) not in done]
-        held[trial] = np.array([outer[g] for g in gids])
-        for f in todo[trial]:
-            rest = frame.where(~F.col("gid").isin([g for g in gids if outer[g] == f]))
-            own = np.full(len(gids), -1)
-            for r in stratified_folds(rest, inner_folds, 0).collect():
-                own[place[r["gid"]]] = r["fold"]
-            inner[trial, f] = own
-    shared_folds = spark.sparkContext.broadcast((held, inner, y))
-
-    def accuracy(k, train, test, cost):
-        y = shared_folds.value[2]
-        return 100.0 * (fit_predict(k[np.ix_(train, train)], y[train], k[np.ix_(test, train)], cost) == y[test]).mean() if len(test) and len(train) else np.nan
-
-    def inner_fits(matrix):
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for r in rows.itertuples():
-                own = shared_folds.value[1][r.trial, r.fold]
-                out.append(accuracy(matrix.value, np.flatnonzero((own >= 0) & (own != r.inner)), np.flatnonzero(own == r.inner), r.C))
-            return rows.assign(phase="train", accuracy=out)[["phase", "trial", "fold", "C", "param", "accuracy"]]
-
-        return fit
-
-    def outer_fits(matrix):
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for r in rows.itertuples():
-                own = shared_folds.value[0][r.trial]
-                out.append(accuracy(matrix.value, np.flatnonzero(own != r.fold), np.flatnonzero(own == r.fold), r.C))
-            return rows.assign(phase="test", accuracy=out)[["phase", "trial", "fold", "C", "param", "accuracy"]]
-
-        return fit
-
-    # One parameter's matrix is shared at a time; what is left of a matrix when its fits are done is nothing.
-    for p, steps in params:
-        grid = [(trial, f, float(c), p, i) for trial in todo for f in todo[trial] for c in costs for i in range(inner_folds)]
-        if not grid:
-            break
-        shared = spark.sparkContext.broadcast(gram_matrix(stitch(features, steps), kind, gids))
-        jobs = spark.createDataFrame(grid, "trial int, fold int, C double, param int, inner int")
-        fitted = jobs.groupBy("trial", "fold", "param", "C", "inner").applyInPandas(inner_fits(shared), model.CV)
-        # A parameter's folder holds the open folds only, so results of an interrupted run are replaced.
-        fitted.where("not isnan(accuracy)").write.mode("overwrite").parquet(f"{root}/train/p={p}")
-        shared.destroy()
-    if any(todo.values()):
-        stored = [spark.read.schema(model.CV).parquet(f"{root}/train/p={p}") for p, _ in params]
-        train = stored[0]
-        for more in stored[1:]:
-            train = train.unionByName(more)
-        best = best_parameters(inner_accuracy(train), [p for p, _ in params], [float(c) for c in costs]).select("trial", "fold", "C", "param").collect()
-        for p, steps in params:
-            chosen = [tuple(r) for r in best if r["param"] == p and r["fold"] in todo.get(r["trial"], ())]
-            if not chosen:
-                continue
-            shared = spark.sparkContext.broadcast(gram_matrix(stitch(features, steps), kind, gids))
-            jobs = spark.createDataFrame(chosen, "trial int, fold int, C double, param int")
-            jobs.groupBy("trial", "fold").applyInPandas(outer_fits(shared), model.CV).write.mode("append").parquet(f"{root}/test")
-            shared.destroy()
-    results = spark.read.schema(model.CV).parquet(f"{root}/test").where("not isnan(accuracy)")
+    if not params:
+        raise ValueError("no parameter's steps are stored")
+    split = shuffled_folds if shuffled else stratified_folds
+    costs = [float(c) for c in costs]
+    done = finished_folds(spark, root)
+    todo = [(t, f) for t in trials for f in range(folds) if (t, f) not in done]
+    stopped = most_folds is not None and most_folds < len(todo)
+    todo = todo[:most_folds] if stopped else todo
+    if todo:
+        members, vectors = (cut(x) for x in parameter_vectors(features, params))
+        live = cut(graphs.join(features.select("gid").distinct(), "gid", "left_semi").select("gid", F.col("graph_label").cast("string").alias("graph_label")))
+        outer = {t: cut(split(live, folds, t)) for t in sorted({t for t, _ in todo})}
+    for first in range(0, len(todo), folds_at_once):
+        now = todo[first : first + folds_at_once]
+        parts = None
+        for t, f in now:
+            placed = outer[t].withColumn("held", F.col("fold") == f).select(F.lit(t).alias("trial"), F.lit(f).alias("outer"), "gid", "graph_label", "held")
+            parts = placed if parts is None else parts.unionByName(placed)
+        parts = cut(parts)
+        rest = parts.where("not held").drop("held")
+        inner = shuffled_folds(rest, inner_folds, 0, ("trial", "outer")) if shuffled else _dealt_inside(rest, inner_folds)
+        held = parts.where("held").select("trial", "outer", "gid", "graph_label", F.lit(_HELD).alias("fold"))
+        every = inner.unionByName(held).withColumnsRenamed({"fold": "inner", "outer": "fold"})
+        counted = cut(every.join(members, "gid").groupBy("trial", "fold", "param", "inner", "cls", "graph_label").agg(F.count("*").alias("m")))
+        grid = spark.createDataFrame([(t, f, p, c) for t, f in now for p, _ in params for c in costs], "trial int, fold int, param int, C double")
+        _commit(_fitted(counted, vectors, grid, kind, inner_folds), f"{root}/train")
+        mine = spark.read.schema(TRAIN).parquet(f"{root}/train").join(F.broadcast(grid.select("trial", "fold").distinct()), ["trial", "fold"], "left_semi")
+        best = cut(best_parameters(inner_accuracy(mine), [p for p, _ in params], costs).select("trial", "fold", "param", "C"))
+        _commit(_fitted(counted, vectors, best, kind, 0).select("trial", "fold", "C", "param", "accuracy"), f"{root}/test")
+    if stopped:
+        return None
+    results = spark.read.schema(TEST).parquet(f"{root}/test")
+    write_log(inner_accuracy(spark.read.schema(TRAIN).parquet(f"{root}/train")).select("trial", "fold", "C", "param", "accuracy"), f"{root}/train_results", "overwrite")
+    write_log(results.select("trial", "fold", "C", "param", "accuracy"), f"{root}/test_results", "overwrite")
     lines = report_lines(results)
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/report")
     total = summary(results).first()
     return total["mean"], total["std"]
 
 
+def _dealt_inside(rest: DataFrame, inner_folds: int) -> DataFrame:
+    """Inner folds by the formula, for each outer fold by itself."""
+    named = rest.withColumn("own", F.concat_ws("/", "trial", "outer", "graph_label"))
+    dealt = stratified_folds(named.select("gid", F.col("own").alias("graph_label")), inner_folds, 0).withColumnRenamed("graph_label", "own")
+    return named.join(dealt, ["own", "gid"]).drop("own")
+
+
 def evaluate_wl(spark, store, graphs, root, h_grid=range(11), **options):
     """Parameter h uses the levels 0 to h."""
     return cross_validate(spark, store.features(), graphs, [(h, list(range(h + 1))) for h in sorted(h_grid)], root, **options)
