@@ -395,12 +395,12 @@ def _cv_header(s, d):
     """The CSV logs of inner and outer folds, read back."""
     root, _ = _evaluated(s, d, 1, **_GRID)
     return logs.read_log(s, f"{root}/train_results", logs.CV_LOG).select(F.lit("train").alias("log"), "trial", "fold", "C", "param").unionByName(
-        logs.read_log(s, f"{root}/test_results", logs.CV_LOG).select(F.lit("test").alias("log"), "trial", "fold", F.lit(None).cast("double").alias("C"), F.lit(None).cast("int").alias("param")))
+        logs.read_log(s, f"{root}/test_results", logs.CV_LOG).select(F.lit("test").alias("log"), "trial", "fold", F.lit(0.0).alias("C"), F.lit(-1).alias("param")))
 
 
 _register(
     "cv_logs_cp", _cv_header,
-    "SELECT 'train' AS log, CAST(t AS INT) AS trial, CAST(f AS INT) AS fold, c AS C, CAST(p AS INT) AS param FROM range(2) a(t), range(3) b(f), (VALUES (0.1::DOUBLE), (1.0::DOUBLE)) d(c), range(2) g(p) UNION ALL SELECT 'test', CAST(t AS INT), CAST(f AS INT), NULL, NULL FROM range(2) a(t), range(3) b(f)")
+    "SELECT 'train' AS log, CAST(t AS INT) AS trial, CAST(f AS INT) AS fold, c AS C, CAST(p AS INT) AS param FROM range(2) a(t), range(3) b(f), (VALUES (0.1::DOUBLE), (1.0::DOUBLE)) d(c), range(2) g(p) UNION ALL SELECT 'test', CAST(t AS INT), CAST(f AS INT), 0.0, -1 FROM range(2) a(t), range(3) b(f)")
 
 
 def _svm(s, d):
