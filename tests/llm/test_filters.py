@@ -138,25 +138,65 @@ def test_contamination_against_brute_force(spark):
 
 
 def test_multi_index_finds_all_within_the_radius():
-    rng = random.Random(8)
-    stored = [rng.getrandbits(128) for _ in range(300)]
-    as_words = lambda xs: np.array([[x & (1 << 64) - 1, x >> 64] for x in xs], np.uint64)
+    rng, bits = random.Random(8), 64 * decontaminate.WORDS
+    stored = [rng.getrandbits(bits) for _ in range(300)]
+    as_words = lambda xs: np.array([[x >> 64 * k & (1 << 64) - 1 for k in range(decontaminate.WORDS)] for x in xs], np.uint64)
     index = decontaminate.HammingIndex(as_words(stored))
-    queries = [x ^ sum(1 << b for b in rng.sample(range(128), flips)) for x in stored[:40] for flips in (0, 15, 31, 46, 47, 48)]
+    queries = [x ^ sum(1 << b for b in rng.sample(range(bits), flips)) for x in stored[:40] for flips in (0, 31, 47, 61, 62, 63)]
     got = set(zip(*(x.tolist() for x in index.search(as_words(queries))), strict=True))
     assert got == {(q, i) for q, x in enumerate(queries) for i, y in enumerate(stored) if (x ^ y).bit_count() <= index.radius}
-
-
-def test_fingerprints_of_pairs_at_the_threshold_lie_within_the_radius():
-    rng = np.random.default_rng(3)
-    for m in (9, 18, 27, 45, 90, 450):  # of m shingles each, 8/9 are shared: similarity 0.8
-        for _ in range(300):
+    # What the index compares: queries look at few of the fingerprints that are not near them.
+    far = as_words([rng.getrandbits(bits) for _ in range(200)])
+    looked = 0
+    for t, (_, listed) in enumerate(index.tables):
+        for value in far.view(np.uint16)[:, t]:
+            looked += int(np.isin(listed, value ^ index.flips).sum())
+    assert looked < 0.3 * 200 * len(stored)
+
+
+def test_fingerprints_at_the_threshold_and_of_repeats():
+    rng, apart = np.random.default_rng(3), []
+    for m in (18, 27, 45, 90, 450):  # of m shingles each, 8/9 are shared: similarity 0.8
+        for _ in range(200):
             both = rng.integers(0, 2**63, 10 * m // 9, dtype=np.uint64)
             a, b = both[:m], np.concatenate((both[m // 9 : m], both[m:]))
-            assert decontaminate.similarity(decontaminate.Counter(a.tolist()), decontaminate.Counter(b.tolist())) >= 0.8
             one, two = (decontaminate.window_prints(x, np.zeros(1, np.int64), len(x)) for x in (a, b))
-            assert np.bitwise_count(one ^ two).sum() <= 47
+            apart.append(int(np.bitwise_count(one ^ two).sum()))
             assert np.bitwise_count(one ^ decontaminate.window_prints(rng.permutation(a), np.zeros(1, np.int64), m)).sum() == 0
+    assert np.mean(np.array(apart) <= 62) > 0.99  # what lies beyond is found by the item's shingles
+    # Windows of a sequence with repeats: the sets of numbered shingles, one by one.
+    h = rng.integers(0, 6, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.arange(0, 50)
+    slow = [decontaminate.window_prints(decontaminate.numbered(h[s : s + 10]), np.zeros(1, np.int64), 10)[0] for s in starts]
+    assert (decontaminate.window_prints(h, starts, 10) == np.array(slow)).all() and (decontaminate.window_prints(h, starts, 10, most=7) == np.array(slow)).all()
+
+
+def test_contamination_of_texts_with_repeats(spark):
+    """Rulers, tables and lists: repeated shingles outweigh a fingerprint, so that similar pairs differ in very many bits."""
+    rng = random.Random(21)
+    own = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    docs, items = [], []
+    for k in range(12):
+        body = own(rng.choice([420, 430, 850]))
+        signs = 100 if len(words(body)) == 850 else 50
+        items.append((k, f"{body} {'- ' * signs}"))
+        docs += [(10 * k, f"{body} {'= ' * signs}"), (10 * k + 1, f"{own(30)} {body} {'- ' * signs} {own(9)}"), (10 * k + 2, f"{own(3)} {body} {'* ' * signs}"), (10 * k + 3, f"{own(400)} {'- ' * signs}")]
+    items += [(50, "a | b | c | " * 20), (51, "x " * 40), (52, "row one | row two | " * 15 + own(12))]
+    docs += [(600, "a | b | c | " * 18), (601, "x " * 400), (602, own(20) + " row one | row two | " * 14 + own(12)), (603, "a | b | d | " * 20), (604, "x " * 30)]
+
+    def brute(text, item):
+        w, t = words(text), words(item)
+        n = min(len(t), len(w))
+        cut = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+        mine, all_ = decontaminate.Counter(cut(t)), cut(w)
+        return any(decontaminate.similarity(decontaminate.Counter(all_[s : s + n - 4]), mine) >= 0.8 for s in range(len(w) - n + 1))
+
+    want = {(i, k) for i, t in docs for k, item in items if brute(t, item)}
+    assert {(10 * k + j, k) for k in range(12) for j in (0, 1, 2)} <= want and not any(i % 10 == 3 and i < 200 for i, _ in want)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(*frames).collect()} == want
+    assert decontaminate.matches(frames[0], frames[1].where("false")).collect() == []
+    assert decontaminate.remove_contaminated(frames[0], frames[1].where("false")).count() == len(docs)
 
 
 def test_contamination_in_long_texts_repeated_rows_and_ties(spark):

@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A window of a document has as many words as the benchmark item it is held against. Its 128-bit SimHash over five-word
-shingles (weighted by how often each occurs) is looked up in a multi-index of the fingerprints of all items of that size: the bits
-are cut into blocks, and by the pigeonhole principle every fingerprint within the radius agrees with the query in one block up
-to ``radius // blocks`` bits, so each item is listed under all such values of each block. What the index returns are the
-candidates, which exact weighted-shingle similarity then verifies.
-
-Windows that no item can be similar to are not fingerprinted: two windows with m and n shingles and similarity s
-share s * (m + n) / (1 + s) of them, so a window must hold that many shingles that occur in any item. Items are
-handled in blocks of bounded size, each of which is broadcast.
+A window of a document has as many words as the benchmark item it is held against. Of repeated five-word shingles the first, second, ... of the
+window are different elements, so that weighted similarity is that of two sets, and no repeat outweighs the rest of a fingerprint. The
+256-bit SimHash over these elements is looked up in a multi-index of the fingerprints of all items of that size: the bits are cut into blocks of
+16, and by the pigeonhole principle every fingerprint within the radius agrees with the query in one block up to ``radius // 16`` bits. What the
+index returns are candidates, which exact weighted-shingle similarity then verifies.
+
+No radius holds every similar pair of two texts, so what may lie beyond it is found exactly: two windows with m and n shingles and
+similarity s share s * (m + n) / (1 + s) of them, so a window has one of all but so many (less one) of the item's shingles, and windows that
+hold enough of that item's shingles are verified too. Windows that cannot hold enough shingles of any item are not looked at.
+Items are handled in blocks of bounded size, each of which is broadcast.
 """
 
 from __future__ import annotations
@@ -33,21 +34,48 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 #: Bits of a fingerprint, in words of 64.
-WORDS = 2
+WORDS = 4
 
 
-def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int, most: int = 1 << 14) -> np.ndarray:
-    """The SimHash of the ``size`` shingles from each start (ascending): a bit is 1 if set in over half of them, repeats counted."""
+def _bits(elements: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.stack([splitmix(elements + U64(k)) for k in range(WORDS)], axis=1).view(np.uint8), axis=1)
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The shingles as elements of a set: the first of equal ones is itself, the second, third, ... differ from it and from each other."""
+    order = np.argsort(hashes, kind="stable")
+    heads = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    at = np.arange(len(hashes))
+    number = np.empty(len(hashes), U64)
+    number[order] = (at - np.maximum.accumulate(np.where(heads, at, 0))).astype(U64)
+    return np.where(number > 0, splitmix(hashes ^ splitmix(number)), hashes)
+
+
+def _next_equal(hashes: np.ndarray) -> np.ndarray:
+    """Where each shingle occurs next; past the end if nowhere."""
+    order = np.argsort(hashes, kind="stable")
+    out = np.full(len(hashes), len(hashes) * 2 + 1, np.int64)
+    same = hashes[order][1:] == hashes[order][:-1]
+    out[order[:-1][same]] = order[1:][same]
+    return out
+
+
+def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int, most: int = 1 << 13) -> np.ndarray:
+    """The SimHash of the ``size`` shingles from each start (ascending): a bit is 1 if set in over half of the window's elements."""
     out = np.zeros((len(starts), WORDS), U64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
         end = max(at + 1, int(np.searchsorted(starts, low + most)))
         own, here = hashes[low : int(starts[end - 1]) + size], starts[at:end] - low
-        bits = np.unpackbits(np.stack([splitmix(own + U64(k)) for k in range(WORDS)], axis=1).view(np.uint8), axis=1)
-        sums = np.zeros((len(own) + 1, bits.shape[1]), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
-        out[at:end] = np.packbits(2 * (sums[here + size] - sums[here]) > size, axis=1).view(U64)
+        sums = np.zeros((len(own) + 1, 64 * WORDS), np.int32)
+        np.cumsum(_bits(own), axis=0, out=sums[1:])
+        totals = sums[here + size] - sums[here]
+        # Windows with a repeat inside are summed by themselves.
+        soonest = np.minimum.accumulate(_next_equal(own)[::-1])[::-1]
+        for k in np.flatnonzero(soonest[here] < here + size).tolist():
+            totals[k] = _bits(numbered(own[here[k] : here[k] + size])).sum(axis=0, dtype=np.int32)
+        out[at:end] = np.packbits(2 * totals > size, axis=1).view(U64)
         at = end
     return out
 
@@ -59,33 +87,38 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class HammingIndex:
-    """All stored fingerprints within ``radius`` bits of a query. Every block of eight bits has a table from its 256 values to the
-    fingerprints that differ from the value in ``radius // blocks`` bits at most."""
+    """All stored fingerprints within ``radius`` bits of a query. Every block of 16 bits has its values in order; a query looks up all values that
+    differ from its own in ``radius // blocks`` bits at most."""
 
-    def __init__(self, prints: np.ndarray, radius: int = 47):
+    def __init__(self, prints: np.ndarray, radius: int = 62):
         self.prints, self.radius = prints.reshape(-1, WORDS), radius
-        near = radius // (8 * WORDS)
-        values = self.prints.view(np.uint8).reshape(len(prints), -1)
-        flips = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= near).astype(np.uint8)
-        self.tables = []
-        for t in range(values.shape[1]):
-            listed = (values[:, t, None] ^ flips).ravel()
-            order = np.argsort(listed, kind="stable")
-            self.tables.append((np.searchsorted(listed[order], np.arange(257)), order // len(flips)))
-
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blocks = 4 * WORDS
+        values = np.arange(1 << 16, dtype=np.uint16)
+        self.flips = values[np.bitwise_count(values) <= radius // blocks]
+        own = self.prints.view(np.uint16)
+        self.tables = [(order := np.argsort(own[:, t], kind="stable"), own[order, t]) for t in range(blocks)]
+
+    def search(self, queries: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(query, stored fingerprint) pairs within the radius, in order."""
         queries = queries.reshape(-1, WORDS)
-        values = queries.view(np.uint8).reshape(len(queries), -1)
-        found = []
-        for t, (firsts, listed) in enumerate(self.tables):
-            a, n = firsts[values[:, t]], np.diff(firsts)[values[:, t]]
-            query = np.repeat(np.arange(len(queries)), n)
-            stored = listed[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-            close = np.bitwise_count(queries[query] ^ self.prints[stored]).sum(axis=1, dtype=np.int64) <= self.radius
-            found.append(query[close] * len(self.prints) + stored[close])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+        pairs = [np.zeros(0, np.int64)]
+        for first in range(0, len(queries), most):
+            part = queries[first : first + most]
+            values, found = part.view(np.uint16), []
+            for t, (order, listed) in enumerate(self.tables):
+                wanted = (values[:, t, None] ^ self.flips).ravel()
+                a = np.searchsorted(listed, wanted)
+                n = np.searchsorted(listed, wanted, side="right") - a
+                hit = np.flatnonzero(n)
+                a, n = a[hit], n[hit]
+                query = np.repeat(hit // len(self.flips), n)
+                found.append(query * len(self.prints) + order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)])
+            met = np.unique(np.concatenate(found))
+            query, stored = met // max(1, len(self.prints)), met % max(1, len(self.prints))
+            close = np.bitwise_count(part[query] ^ self.prints[stored]).sum(axis=1, dtype=np.int64) <= self.radius
+            pairs.append(met[close] + first * len(self.prints))
+        every = np.concatenate(pairs)
+        return every // max(1, len(self.prints)), every % max(1, len(self.prints))
 
 
 _SLOTS = U64((1 << 22) - 1)
@@ -103,6 +136,43 @@ class Items:
             self.bitmap[h & _SLOTS] = True
             by_size.setdefault(n, []).append(i)
         self.indexes = {n: (HammingIndex(np.concatenate([window_prints(hashes[i], np.zeros(1, np.int64), len(hashes[i])) for i in own])), own) for n, own in sorted(by_size.items())}
+        self.shingles = [np.unique(h) for h in hashes]
+        rarity = Counter(x for h in self.shingles for x in h.tolist())
+        #: Each item's shingles with the rarest first.
+        self.rarest = [sorted(h.tolist(), key=lambda x: (rarity[x], x)) for h in self.shingles]
+        self._prefixes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _need(self, windows: int, items: int) -> int:
+        return int(np.ceil(self.threshold * (windows + items) / (1 + self.threshold) - 1e-9))
+
+    def _prefix(self, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles, in order, of which a window of ``m`` that is similar to an item of ``n`` words has at least one; and the places in ``indexes[n]`` of their items."""
+        if (n, m) not in self._prefixes:
+            pairs = []
+            for place, i in enumerate(self.indexes[n][1]):
+                # With repeats counted the item has more elements than shingles; leaving out the commonest is safe while fewer than ``need`` elements are left out.
+                left = self._need(m, self.counts[i].total()) - 1
+                for x in reversed(self.rarest[i]):
+                    left -= self.counts[i][x]
+                    if left < 0:
+                        pairs.append((x, place))
+            pairs.sort()
+            self._prefixes[n, m] = np.array([x for x, _ in pairs], U64), np.array([p for _, p in pairs], np.int64)
+        return self._prefixes[n, m]
+
+    def _beyond(self, n: int, m: int, need: int, shingles: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+        """(place in ``starts``, place in ``indexes[n]``) of windows that have ``need`` shingles of an item, by the item's rarest shingles."""
+        listed, places = self._prefix(n, m)
+        inside = np.zeros(len(shingles) + 1, np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, np.minimum(starts + m, len(shingles)), -1)
+        seen = np.unique(shingles[np.cumsum(inside)[:-1] > 0])
+        low, high = np.searchsorted(listed, seen), np.searchsorted(listed, seen, side="right")
+        out = []
+        for k in np.unique(np.concatenate([places[a:b] for a, b in zip(low, high, strict=True) if b > a] or [np.zeros(0, np.int64)])).tolist():
+            has = np.concatenate(([0], np.cumsum(np.isin(shingles, self.shingles[self.indexes[n][1][k]]))))
+            out += [(q, k) for q in np.flatnonzero(has[starts + m] - has[starts] >= need).tolist()]
+        return out
 
     def find(self, hashes: dict[int, np.ndarray], count: int) -> list[tuple[int, int, int, float, int]]:
         """(item, start word, words, similarity, fingerprint distance) of the first best window for each item that passes.
@@ -112,7 +182,7 @@ class Items:
         for n, (index, own) in self.indexes.items():
             short = n if n < SHINGLE else 0
             m, items = max(1, min(n, count) - SHINGLE + 1), max(1, n - SHINGLE + 1)
-            need = int(np.ceil(self.threshold * (m + items) / (1 + self.threshold) - 1e-9))
+            need = self._need(m, items)
             if short not in hits or len(hashes[short]) < m or m < need or hits[short][-1] < need:
                 continue
             near = hits[short]
@@ -120,9 +190,13 @@ class Items:
             if not len(starts):
                 continue
             prints = window_prints(hashes[short], starts, m)
-            for q, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
+            met = set(zip(*(x.tolist() for x in index.search(prints)), strict=True)) | set(self._beyond(n, m, need, hashes[short], starts))
+            window, last = Counter(), -1
+            for q, k in sorted(met):
                 i, start = own[k], int(starts[q])
-                sim = similarity(Counter(hashes[short][start : start + m].tolist()), self.counts[i])
+                if q != last:
+                    window, last = Counter(hashes[short][start : start + m].tolist()), q
+                sim = similarity(window, self.counts[i])
                 if sim >= self.threshold and (i not in best or sim > best[i][3] + 1e-12):
                     apart = int(np.bitwise_count(prints[q] ^ index.prints[k]).sum())
                     best[i] = (self.ids[i], start, min(n, count), sim, apart)
@@ -148,7 +222,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block
     A document shorter than the item is held against it whole. An item of under five words is one shingle of all of them, which a
     window of as many words must equal; a document of fewer words than the item and fewer than five matches nothing. Null and
     empty texts, items and ids match nothing. Repeated rows give repeated matches; of equally good windows the first counts.
-    Benchmark tables over ``block_bytes`` are split by item into blocks, and the documents are read once for each block.
+    Benchmark tables over ``block_bytes`` are split by item into blocks; the documents are read once for each block, whose matches are
+    written before the next block is broadcast.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -156,7 +231,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double, distance int"
-    out = None
+    out, keep = None, Scratch(spark, "matches")
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast(_items(sorted(map(tuple, own.distinct().collect())), threshold))
@@ -182,6 +257,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block
         names = ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"]
         arrow = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.float64(), pa.int32()], strict=True)))
         found = text_bytes(docs).mapInArrow(run, schema)
+        if parts > 1:
+            found = keep.save(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
