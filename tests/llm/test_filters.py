@@ -139,7 +139,7 @@ def test_contamination_against_brute_force(spark):
 
 def test_multi_index_finds_all_within_the_radius():
     rng, bits = random.Random(8), 64 * decontaminate.WORDS
-    stored = [rng.getrandbits(bits) for _ in range(300)]
+    stored = [rng.getrandbits(bits) for _ in range(800)]
     as_words = lambda xs: np.array([[x >> 64 * k & (1 << 64) - 1 for k in range(decontaminate.WORDS)] for x in xs], np.uint64)
     index = decontaminate.HammingIndex(as_words(stored))
     queries = [x ^ sum(1 << b for b in rng.sample(range(bits), flips)) for x in stored[:40] for flips in (0, 31, 47, 61, 62, 63)]

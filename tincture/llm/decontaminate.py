@@ -51,13 +51,34 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return np.where(number > 0, splitmix(hashes ^ splitmix(number)), hashes)
 
 
-def _next_equal(hashes: np.ndarray) -> np.ndarray:
-    """Where each shingle occurs next; past the end if nowhere."""
-    order = np.argsort(hashes, kind="stable")
-    out = np.full(len(hashes), len(hashes) * 2 + 1, np.int64)
-    same = hashes[order][1:] == hashes[order][:-1]
-    out[order[:-1][same]] = order[1:][same]
-    return out
+def _repeats(own: np.ndarray, here: np.ndarray, size: int, totals: np.ndarray, most: int = 30_000) -> None:
+    """Correct the windows' sums of bits, which take every shingle as the first of its kind, for those that are not the first in their window."""
+    n, order = len(own), np.argsort(own, kind="stable")
+    heads = np.concatenate(([True], own[order][1:] != own[order][:-1]))
+    kind, number, before = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, -1, np.int64)
+    kind[order] = np.cumsum(heads) - 1
+    starts = np.flatnonzero(heads)
+    number[order] = np.arange(n) - starts[kind[order]]
+    before[order[1:]] = np.where(heads[1:], -1, order[:-1])
+    places = kind[order] * (n + 1) + order  # ascending: by kind, then place
+    again = np.flatnonzero(before >= 0)
+    low, high = np.searchsorted(again, here), np.searchsorted(again, here + size)
+    ends = np.cumsum(high - low)
+    first = 0
+    while first < len(here):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        counts = (high - low)[first:last]
+        window = np.repeat(np.arange(first, last), counts)
+        p = again[np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[first:last], counts)]
+        inside = before[p] >= here[window]
+        window, p = window[inside], p[inside]
+        if len(p):
+            nth = number[p] - (np.searchsorted(places, kind[p] * (n + 1) + here[window]) - starts[kind[p]])
+            _, one, which = np.unique(kind[p] * (n + 1) + nth, return_index=True, return_inverse=True)
+            change = _bits(splitmix(own[p[one]] ^ splitmix(nth[one].astype(U64)))).astype(np.int16) - _bits(own[p[one]])
+            of, cuts = np.unique(window, return_index=True)
+            totals[of] += np.add.reduceat(change[which], cuts, axis=0, dtype=np.int32)
+        first = last
 
 
 def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int, most: int = 1 << 13) -> np.ndarray:
@@ -71,10 +92,7 @@ def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int, most: int =
         sums = np.zeros((len(own) + 1, 64 * WORDS), np.int32)
         np.cumsum(_bits(own), axis=0, out=sums[1:])
         totals = sums[here + size] - sums[here]
-        # Windows with a repeat inside are summed by themselves.
-        soonest = np.minimum.accumulate(_next_equal(own)[::-1])[::-1]
-        for k in np.flatnonzero(soonest[here] < here + size).tolist():
-            totals[k] = _bits(numbered(own[here[k] : here[k] + size])).sum(axis=0, dtype=np.int32)
+        _repeats(own, here, size, totals)
         out[at:end] = np.packbits(2 * totals > size, axis=1).view(U64)
         at = end
     return out
@@ -104,6 +122,10 @@ class HammingIndex:
         pairs = [np.zeros(0, np.int64)]
         for first in range(0, len(queries), most):
             part = queries[first : first + most]
+            if len(self.prints) <= len(self.flips):  # fewer to look at than values to look up
+                query, stored = np.nonzero(np.bitwise_count(part[:, None, :] ^ self.prints[None]).sum(axis=2, dtype=np.int64) <= self.radius)
+                pairs.append((query + first) * len(self.prints) + stored)
+                continue
             values, found = part.view(np.uint16), []
             for t, (order, listed) in enumerate(self.tables):
                 wanted = (values[:, t, None] ^ self.flips).ravel()
