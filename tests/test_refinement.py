@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tincture.operators.coloring import WeisfeilerLeman, initial_coloring
 from tincture.operators.features import cosine_kernel, dot_kernel, features
-from tincture.operators.gradual import GradualRefinement, vocabulary
+from tincture.operators.gradual import GradualRefinement
 from tincture.operators.quasi_stable import QuasiStable
 from tincture.sources.builders import disjoint_union, from_edges
 
@@ -142,7 +142,6 @@ def test_gradual_refinement_with_many_clusters_is_one_exact_step(spark):
     graph = from_edges(spark, A)
     gwl, wl = initial_coloring(graph), initial_coloring(graph)
     gradual = GradualRefinement(gwl, 2, 100)
-    assert vocabulary(gradual.histograms()).count() == 1
     gradual.refine()
     WeisfeilerLeman(wl, 2).refine()
     for level in (1, 2):
@@ -192,3 +191,16 @@ def test_quasi_stable_updates_equal_a_full_recount(spark):
         full = block_statistics(degrees, runner.blocks, True)
         assert sorted(map(tuple, runner.statistics.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
     assert len(runner.touched) == 4 and all(0 < n < edges for n in runner.touched)
+
+
+@pytest.mark.parametrize("method", ["kmeans++", "forgy", "first"])
+def test_one_large_colour_is_clustered_alike_in_one_task_and_in_many(spark, method):
+    """Unlabelled vertices are one colour: its histograms by joins and aggregations, and in one task."""
+    from tincture.sources.builders import order_stars
+
+    graph = order_stars(spark, "/root/testdata/sf0.001").without_node_labels()
+    options = {"cluster_initialization_method": method, "num_forgy_iterations": 3}
+    one, many = (GradualRefinement(initial_coloring(graph), 2, 3, spread_over=n, **options).refine() for n in (20_000, 0))
+    for level in (1, 2):
+        assert sorted(map(tuple, one.level(level).colors().collect())) == sorted(map(tuple, many.level(level).colors().collect()))
+    assert one.num_colors() > 3

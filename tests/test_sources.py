@@ -1,10 +1,12 @@
 """The text format: isolated vertices, edgeless graphs, missing label files, repeated and conflicting edges."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tincture.operators.statistics import analyze
 from tincture.sources.logs import CV_LOG, read_log, write_log
 from tincture.sources.builders import disjoint_union, from_edges
+from tincture.sources import tu
 from tincture.sources.tu import read_tu, write_tu
 
 FILES = {
@@ -74,3 +76,24 @@ def test_logs_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1, 0.1, 3, 87.5)], CV_LOG)
     write_log(rows, str(tmp_path / "log"))
     assert read_log(spark, str(tmp_path / "log"), CV_LOG).collect() == rows.collect()
+
+
+def test_text_labels_that_would_not_be_read_back_are_refused(spark, tmp_path):
+    from tincture.sources.builders import from_edges
+
+    for label in ("a\nb", " a", "a ", "", "a\rb"):
+        with pytest.raises(ValueError):
+            tu.write_tu(from_edges(spark, [("x", "y")], {"x": label, "y": "d"}), str(tmp_path), "bad")
+    graph = from_edges(spark, [("x", "y", "p"), ("y", "z")])
+    with pytest.raises(ValueError):  # one edge has a label, the other has none
+        tu.write_tu(graph, str(tmp_path), "bad")
+    assert not (tmp_path / "bad").exists()
+
+
+def test_text_files_of_many_parts_are_numbered_on(spark, tmp_path):
+    n = 5000
+    rows = spark.range(n).select(F.col("id"), (F.col("id") * 7).cast("string").alias("value"))
+    rows.repartitionByRange(13, "id").sortWithinPartitions("id").select("value").write.text(str(tmp_path / "lines.txt"))
+    assert len(list((tmp_path / "lines.txt").glob("part-*"))) == 13
+    found = tu.numbered_lines(spark, str(tmp_path / "lines.txt"), 1).collect()
+    assert sorted((r["n"], r["value"]) for r in found) == [(i + 1, str(7 * i)) for i in range(n)]

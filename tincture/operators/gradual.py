@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ColoredGraph
 from ..runtime import cut, ranked, ship
 from .coloring import neighbour_counts
-from .kmeans import METHODS, cluster
+from .kmeans import METHODS, cluster, cluster_tables
+
+#: Colours with more distinct histograms than this are clustered by joins and aggregations instead of in one task; results are the same.
+SPREAD_OVER = 20_000
 
 
 class GradualRefinement:
@@ -17,7 +20,7 @@ class GradualRefinement:
 
     Histograms are keyed by colour, or by (colour, edge label) if any edge has a label. What goes to Python is one row for each
     distinct histogram of a colour, with how many vertices have it, so a colour that holds a third of all vertices is as large as
-    its number of different neighbourhoods. ``first_seen_ids`` numbers new colours by first vertex instead of by (old colour,
+    its number of different neighbourhoods; with over ``spread_over`` of them it is spread over tasks. ``first_seen_ids`` numbers new colours by first vertex instead of by (old colour,
     cluster), and continues after the largest colour in use.
     """
 
@@ -31,12 +34,13 @@ class GradualRefinement:
         seed: int = 4321,
         truncate_centers: bool = True,
         first_seen_ids: bool = False,
+        spread_over: int = SPREAD_OVER,
     ):
         if cluster_initialization_method not in METHODS:
             raise ValueError(f"unknown initialisation {cluster_initialization_method!r}")
         self.colored, self.refinement_steps = colored, refinement_steps
         self.options = {"k": n_cluster, "method": cluster_initialization_method, "restarts": num_forgy_iterations, "seed": seed, "truncate_centers": truncate_centers}
-        self.first_seen_ids = first_seen_ids
+        self.first_seen_ids, self.spread_over = first_seen_ids, spread_over
         self.use_edge_labels = colored.graph.has_edge_labels()
         ship(colored.graph.vertices.sparkSession)
 
@@ -59,13 +63,16 @@ class GradualRefinement:
             points = np.array([[r.get(k, 0) for k in keys] for r in rows], dtype=np.int64).reshape(len(rows), len(keys))
             order = np.lexsort(points.T[::-1]) if len(keys) else np.arange(len(rows))
             members = np.empty(len(rows), dtype=np.int64)
-            members[order] = cluster(points[order], group["weight"].to_numpy()[order], **options)
+            members[order] = cluster(points[order], group["weight"].to_numpy()[order], ids=group["hid"].to_numpy()[order], **options)
             return pd.DataFrame({"color": group["color"], "hid": group["hid"], "cluster": members})
 
         vertices = cut(self.histograms())
         kinds = vertices.groupBy("color", "hist").agg(F.count("*").alias("weight"), F.min("vid").alias("hid"))
         kinds = cut(kinds)
-        found = kinds.select("color", "hid", "weight", "hist").groupBy("color").applyInPandas(split, "color long, hid long, cluster long")
+        large = cut(kinds.groupBy("color").count().where(F.col("count") > self.spread_over).select("color"))
+        found = kinds.select("color", "hid", "weight", "hist").join(large, "color", "left_anti").groupBy("color").applyInPandas(split, "color long, hid long, cluster long")
+        if large.limit(1).count():
+            found = found.unionByName(cluster_tables(kinds.join(large, "color", "left_semi"), **options))
         classes = cut(vertices.join(kinds.select("color", "hist", "hid"), ["color", "hist"]).join(found, ["color", "hid"]).select("vid", "gid", "color", "cluster"))
         order = ["first"] if self.first_seen_ids else ["color", "cluster"]
         distinct = classes.groupBy("color", "cluster").agg(F.min("vid").alias("first"))
@@ -79,9 +86,3 @@ class GradualRefinement:
         for _ in range(self.refinement_steps):
             self.refine_one_step()
         return self.colored
-
-
-def vocabulary(histograms: DataFrame) -> DataFrame:
-    """Distinct histogram keys of each colour, in order: (color, position, key)."""
-    keys = histograms.select("color", F.explode("hist").alias("x")).select("color", "x.key").distinct()
-    return keys.withColumn("position", F.row_number().over(Window.partitionBy("color").orderBy("key")) - 1)

@@ -293,11 +293,19 @@ def _sizes(colored):
 _register(
     "gwl_bigk_hist_ep", lambda s, d: _sizes(_gwl(s, d, "ep", 1, 1_000_000)),
     sql.query("ep", sql.initial(), sql.wl(1), body="SELECT gid, n, count(*) AS classes FROM (SELECT gid, color, count(*) AS n FROM c1 GROUP BY ALL) GROUP BY ALL"))
+_GW = "SELECT step, gid, color, count(*) AS cnt FROM st GROUP BY ALL"
 _register(
     "gwl_first_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 1, 2, cluster_initialization_method="first")),
-    sql.query("ep", sql.initial(), sql.lloyd(5, 2, 12), body="SELECT 0 AS step, gid, color, count(*) AS cnt FROM c0 GROUP BY ALL UNION ALL SELECT 1, gid, color, count(*) FROM g1 GROUP BY ALL"))
-_register("gwl_k2_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 2, 2)))
-_register("gwl_forgy_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 2, 4, cluster_initialization_method="forgy")))
+    sql.query("ep", sql.initial(), sql.gradual(1, range(1, 6), 2, 12, "first"), sql.stack(1), body=_GW))
+_register(
+    "gwl_k2_hist_ep", lambda s, d: features.features(_gwl(s, d, "ep", 2, 2)),
+    sql.query("ep", sql.initial(), sql.gradual(1, range(1, 6), 2, 12, "kmeans++"), sql.gradual(2, range(6, 16), 2, 12, "kmeans++"), sql.stack(2), body=_GW))
+_register(
+    "gwl_forgy_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 2, 4, cluster_initialization_method="forgy")),
+    sql.query("cp", sql.initial(), sql.gradual(1, range(1, 4), 4, 10, "forgy", restarts=15), sql.gradual(2, range(3, 16), 4, 10, "forgy", restarts=15), sql.stack(2), body=_GW))
+_register(
+    "gwl_spread_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 1, 2, spread_over=0)),
+    sql.query("cp", sql.initial(), sql.gradual(1, range(1, 4), 2, 12, "kmeans++"), sql.stack(1), body=_GW))
 _register("gwl_edge_labels_os", lambda s, d: statistics.class_sizes(_gwl(s, d, "os", 1, 4)))
 
 

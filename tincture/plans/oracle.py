@@ -86,26 +86,41 @@ r{p} AS (SELECT block, first, (SELECT max(block) FROM b{p}) + row_number() OVER
 b{k} AS (SELECT h.vid, h.gid, coalesce(r.new, h.block) AS block FROM h{p} h LEFT JOIN r{p} r ON r.block = h.block AND r.first = h.first)"""
 
 
-def lloyd(colors: int, k: int, turns: int) -> str:
-    """g1(vid, gid, color): one gradual step without edge labels from c0 (colours 1 to ``colors``), ``k`` clusters that start at each colour's
-    first histograms, means cut to whole numbers, unrolled ``turns`` times (more turns than it needs change nothing)."""
-    n = [f"n{i}" for i in range(1, colors + 1)]
+def gradual(step: int, colors: range, k: int, turns: int, start: str, seed: int = 4321, restarts: int = 1) -> str:
+    """c<step>(vid, gid, color): one gradual step without edge labels from the level before, whose colours lie in ``colors``. ``start``: ``first``,
+    ``kmeans++`` (two clusters) or ``forgy``. Means are cut to whole numbers; turns are unrolled (more than it needs change nothing)."""
+    z, b = step, step - 1
+    n = [f"n{i}" for i in colors]
     every = ", ".join(n)
+    apart = lambda p, m: " + ".join(f"({p}.{x} - {m}.{x}) * ({p}.{x} - {m}.{x})" for x in n)
+    draw = lambda r, turn, i: f"(('0x' || substr(md5('{seed}:' || {r} || ':{turn}:' || {i}), 1, 13))::BIGINT + 1) / 4503599627370496.0"
+    own = ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in n)
     out = f"""
-h0 AS (SELECT c.vid, c.gid, c.color, {", ".join(f"coalesce(sum(CAST(d.color = {i} AS INT)), 0) AS n{i}" for i in range(1, colors + 1))}
-       FROM c0 c LEFT JOIN e ON e.src = c.vid LEFT JOIN c0 d ON d.vid = e.dst GROUP BY c.vid, c.gid, c.color),
-q0 AS (SELECT color, {every}, count(*) AS w FROM h0 GROUP BY ALL),
-p0 AS (SELECT *, row_number() OVER (PARTITION BY color ORDER BY {every}) - 1 AS i FROM q0),
-m0 AS (SELECT color, i AS c, {", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in n)} FROM p0 WHERE i < {k})"""
+h{z} AS (SELECT c.vid, c.gid, c.color, {", ".join(f"coalesce(sum(CAST(d.color = {i} AS INT)), 0) AS n{i}" for i in colors)}
+       FROM c{b} c LEFT JOIN e ON e.src = c.vid LEFT JOIN c{b} d ON d.vid = e.dst GROUP BY c.vid, c.gid, c.color),
+p{z} AS (SELECT color, {every}, count(*) AS w, min(vid) AS i FROM h{z} GROUP BY color, {every})"""
+    if start == "kmeans++":
+        out += f""",
+i{z} AS (SELECT color, {every}, i FROM p{z} QUALIFY row_number() OVER (PARTITION BY color ORDER BY {draw(0, 0, "i")}, i) = 1),
+j{z} AS (SELECT p.*, {apart("p", "f")} AS near FROM p{z} p JOIN i{z} f USING (color)),
+m{z}_0 AS (SELECT 0 AS r, 0 AS c, color, {own} FROM i{z} UNION ALL
+  SELECT 0, 1, color, {own} FROM (SELECT * FROM j{z} WHERE near > 0 QUALIFY row_number() OVER (PARTITION BY color ORDER BY -(ln({draw(0, 1, "i")}) / near), i) = 1))"""
+    else:
+        order = every if start == "first" else f"{draw('r', 0, 'i')}, i"
+        out += f""",
+m{z}_0 AS (SELECT CAST(r AS INT) AS r, row_number() OVER (PARTITION BY color, r ORDER BY {order}) - 1 AS c, color, {own} FROM p{z}, range({restarts}) x(r) QUALIFY c < {k})"""
     for t in range(1, turns + 1):
         out += f""",
-a{t} AS (SELECT p.*, m.c FROM p0 p JOIN m{t - 1} m ON m.color = p.color
-         QUALIFY row_number() OVER (PARTITION BY p.color, p.i ORDER BY {" + ".join(f"(p.{x} - m.{x}) * (p.{x} - m.{x})" for x in n)}, m.c) = 1),
-m{t} AS (SELECT m.color, m.c, {", ".join(f"coalesce(trunc(sum(a.w * a.{x}) / sum(a.w)), min(m.{x})) AS {x}" for x in n)}
-         FROM m{t - 1} m LEFT JOIN a{t} a ON a.color = m.color AND a.c = m.c GROUP BY m.color, m.c)"""
+a{z}_{t} AS (SELECT p.*, m.r, m.c FROM p{z} p JOIN m{z}_{t - 1} m ON m.color = p.color
+         QUALIFY row_number() OVER (PARTITION BY p.color, p.i, m.r ORDER BY {apart("p", "m")}, m.c) = 1),
+m{z}_{t} AS (SELECT m.r, m.c, m.color, {", ".join(f"coalesce(trunc(sum(a.w * a.{x}) / sum(a.w)), min(m.{x})) AS {x}" for x in n)}
+         FROM m{z}_{t - 1} m LEFT JOIN a{z}_{t} a ON a.color = m.color AND a.c = m.c AND a.r = m.r GROUP BY m.r, m.c, m.color)"""
     same = " AND ".join(f"a.{x} = h.{x}" for x in n)
     return out + f""",
-g1 AS (SELECT h.vid, h.gid, (SELECT max(color) FROM c0) + dense_rank() OVER (ORDER BY h.color, a.c) AS color FROM h0 h JOIN a{turns} a ON a.color = h.color AND {same})"""
+s{z} AS (SELECT a.color, a.r, sum(a.w * ({apart("a", "m")}) * ({apart("a", "m")})) AS score FROM a{z}_{turns} a JOIN m{z}_{turns} m ON m.color = a.color AND m.c = a.c AND m.r = a.r GROUP BY a.color, a.r),
+b{z}_best AS (SELECT color, r FROM s{z} QUALIFY row_number() OVER (PARTITION BY color ORDER BY score, r) = 1),
+c{z} AS (SELECT h.vid, h.gid, (SELECT max(color) FROM c{b}) + dense_rank() OVER (ORDER BY h.color, a.c) AS color
+         FROM h{z} h JOIN b{z}_best s ON s.color = h.color JOIN a{z}_{turns} a ON a.color = h.color AND a.r = s.r AND {same})"""
 
 
 def query(fixture: str, *parts: str, body: str) -> str:

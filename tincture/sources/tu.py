@@ -1,7 +1,7 @@
 """Reader and writer of the multi-file text format of graph collections (``<dir>/<DS>/<DS>_*.txt``).
 
-A line's number is its key, so every file is read as numbered lines: row ids of the text source rise with a line's place in the
-file, and numbers are dense ranks by them.
+A line's number is its key, so every file is read as numbered lines. A file may also be a folder of parts, as Spark writes them: lines then
+go on from part to part in the order of the parts' numbers.
 """
 
 from __future__ import annotations
@@ -21,31 +21,46 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def numbered_lines(spark: SparkSession, path: str, start: int) -> DataFrame:
-    """(n, value): lines without the trailing empty ones, numbered from ``start``. Splits of a text file are in file order. An empty line
-    before the last full one would move all later numbers, so it is an error."""
-    lines = cut(spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("_at")))
-    last = lines.where("value <> ''").agg(F.max("_at")).first()[0]
-    lines = lines.where(F.col("_at") <= (-1 if last is None else last))
+    """(n, value): lines without the trailing empty ones, numbered from ``start`` by part, place of the split in it, and line in the split. An empty
+    line before the last full one would move all later numbers, so it is an error."""
+    part = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.lit("")), F.lit("9999999999")).cast("long"), F.lit(0).cast("long"))
+    at = F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = cut(spark.read.text(path).select(F.trim("value").alias("value"), at.alias("_at")))
+    last = lines.where("value <> ''").agg(F.max("_at").alias("_last"))
+    lines = lines.join(F.broadcast(last), F.col("_at") <= F.col("_last")).drop("_last")  # one row
     if lines.where("value = ''").limit(1).count():
         raise ValueError(f"{path} has an empty line before its end")
     return ranked(lines, ["_at"], "n", start).select("n", "value")
 
 
+def _labels(rows: DataFrame, name: str) -> DataFrame | None:
+    """The rows if their last column can be written as lines; None if it is null throughout."""
+    label = F.col(rows.columns[-1]).cast("string")
+    unfit = F.coalesce(label.rlike(r"[\r\n]") | (F.trim(label) != label) | (label == ""), F.lit(True))
+    seen = rows.agg(F.count(label).alias("labels"), F.count_if(unfit).alias("unfit")).first()
+    if seen["labels"] and seen["unfit"]:
+        raise ValueError(f"{seen['unfit']} of the {name} are null, empty, hold a line break or have a blank at an end: as lines they would not be read back")
+    return rows if seen["labels"] else None
+
+
 def write_tu(graph: GraphSet, directory: str, dataset: str) -> None:
     """Write a collection in the text format: graphs numbered from 1 in the order of their ids, vertices by ``vid``, each edge
-    once. A line's number is its key, so each file is one sorted part. Label files are left out where there are no labels."""
+    once. Files are folders of sorted parts, one for each range of lines. Label files are left out where there are no labels; labels that would not be
+    read back as they are (nulls among others, empty ones, line breaks, blanks at an end) are an error, before anything is written."""
     numbers = ranked(graph.vertices.select("gid").distinct(), ["gid"], "n", 1)
-    put = lambda name, rows: rows.select(F.col(rows.columns[-1]).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(f"{directory}/{dataset}/{dataset}_{name}.txt")
-    vertices = cut(graph.vertices.join(numbers, "gid").orderBy("vid"))
-    edges = cut(graph.edges.where("src <= dst").orderBy("src", "dst"))
+    put = lambda name, rows: rows.select(F.col(rows.columns[-1]).cast("string").alias("value")).write.mode("overwrite").text(f"{directory}/{dataset}/{dataset}_{name}.txt")
+    vertices = cut(graph.vertices.join(numbers, "gid"))
+    edges = cut(graph.edges.where("src <= dst"))
+    files = {
+        "edge_labels": _labels(edges.orderBy("src", "dst").select("label"), "edge labels"),
+        "node_labels": _labels(vertices.orderBy("vid").select("label"), "node labels"),
+        "graph_labels": _labels(numbers.join(graph.graphs, "gid").orderBy("n").select("graph_label"), "graph labels") if graph.graphs is not None else None,
+    }
     put("graph_indicator", vertices.orderBy("vid").select("n"))
     put("A", edges.orderBy("src", "dst").select(F.concat((F.col("src") + 1).cast("string"), F.lit(", "), (F.col("dst") + 1).cast("string"))))
-    if graph.has_edge_labels():
-        put("edge_labels", edges.orderBy("src", "dst").select("label"))
-    if vertices.where("label is not null").limit(1).count():
-        put("node_labels", vertices.orderBy("vid").select("label"))
-    if graph.graphs is not None:
-        put("graph_labels", numbers.join(graph.graphs, "gid").orderBy("n").select("graph_label"))
+    for name, rows in files.items():
+        if rows is not None:
+            put(name, rows)
 
 
 def read_tu(spark: SparkSession, directory: str, dataset: str) -> GraphSet:
