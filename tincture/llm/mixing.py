@@ -1,7 +1,8 @@
 """Mixing sources to target weights: each source's words are repeated or thinned so that its share comes near a target.
 
 Words are counted once and summed by source; a source's rate is its target over its size. Every document is taken ``floor(rate)`` times,
-and once more if a draw that a hash of its id decides falls below the fraction.
+and once more if a draw that a hash of its id decides falls below the fraction. A source turns its draws by the one of ``TURNS`` equal steps
+that brings its sum nearest to the target; for a single document every turn is as likely to take it as the fraction says.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import Scratch, free_name, shared_dir
 MOST_REPEATS = 3
 #: Sources are broadcast up to so many (about 100 bytes each); beyond, they are joined by shuffle with each source dealt over ``_SALTS`` tasks.
 _BROADCAST_SOURCES, _SALTS = 50_000, 64
+#: In how many steps a source's draws are turned around the unit circle.
+TURNS = 32
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,11 +67,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int = MOST_REPEATS
     return weighed.withColumn("target", F.when(capped, (most * F.col("source_size")).cast("double")).otherwise(open_))
 
 
+def _turned(u: Column, turn: Column) -> Column:
+    """The draw a number of steps further on, exact as a double."""
+    further = u + turn / F.lit(float(TURNS))
+    return F.when(further >= 1, further - 1).otherwise(further)
+
+
 def source_rates(docs: DataFrame, weights: tuple[int, ...], most: int, keep: Scratch) -> DataFrame:
-    """(key, source_size, target, rate) from (key, size), written once. The rate of an empty source is 0."""
+    """(key, source_size, target, rate, turn) from (key, size, u), written once. The rate of an empty source is 0. ``turn``: the first whose extra copies come nearest to
+    what the fraction of the rate asks for."""
     sizes = keep.save(docs.groupBy("key").agg(F.sum("size").alias("source_size")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return keep.save(targets(sizes, weights, most).select("key", "source_size", "target", rate.alias("rate")))
+    rates = keep.save(targets(sizes, weights, most).select("key", "source_size", "target", rate.alias("rate")))
+    part = F.col("rate") - F.floor("rate")
+    sums = [F.sum(F.when(_turned(F.col("u"), F.lit(float(j))) < part, F.col("size")).otherwise(0)) for j in range(TURNS)]
+    extra = _joined(docs, rates, "key", "u").groupBy("key").agg(F.array(*sums).alias("sums"))
+    off = F.transform("sums", lambda s: F.abs(s.cast("double") - part * F.col("source_size")))
+    return keep.save(rates.join(extra, "key").withColumn("off", off).select(*rates.columns, (F.array_position("off", F.array_min("off")) - 1).cast("double").alias("turn")))
 
 
 def _joined(df: DataFrame, rates: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -79,9 +94,9 @@ def _joined(df: DataFrame, rates: DataFrame, key: str, id_col: str) -> DataFrame
     return df.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(_SALTS))).join(rates.withColumn(salt, every), [key, salt]).drop(salt)
 
 
-def _copies(rate: str, id_col: str, most: int, seed: str) -> Column:
+def _copies(rate: str, turn: str, u: Column, most: int) -> Column:
     whole = F.floor(rate)
-    return F.least(F.lit(most).cast("long"), whole + (uniform(F.col(id_col), seed) < F.col(rate) - whole).cast("int")).cast("int")
+    return F.least(F.lit(most).cast("long"), whole + (_turned(u, F.col(turn)) < F.col(rate) - whole).cast("int")).cast("int")
 
 
 def plan(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
@@ -92,18 +107,19 @@ def plan(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc
     """
     shared_dir(df.sparkSession)
     keep = Scratch(df.sparkSession, "mixing")
-    docs = keep.save(df.select(F.col(id_col).alias("id"), _key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size")))
-    rated = _joined(docs, source_rates(docs, weights, most, keep), "key", "id").withColumn("copies", _copies("rate", "id", most, seed))
+    docs = keep.save(df.select(F.col(id_col).alias("id"), _key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u")))
+    rated = _joined(docs, source_rates(docs, weights, most, keep), "key", "id").withColumn("copies", _copies("rate", "turn", F.col("u"), most))
     return rated.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
     """The documents of the mix with all their columns, each as often as ``plan`` takes it, and ``copy`` (from 0; a column of that name is replaced)."""
     shared_dir(df.sparkSession)
-    key, rate = free_name(df, "_key"), free_name(df, "_rate")
-    sized = df.select(_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"))
-    rates = source_rates(sized, weights, most, Scratch(df.sparkSession, "mixing")).select(F.col("key").alias(key), F.col("rate").alias(rate))
+    key, rate, turn = (free_name(df, name) for name in ("_key", "_rate", "_turn"))
+    keep = Scratch(df.sparkSession, "mixing")
+    sized = keep.save(df.select(_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u")))
+    rates = source_rates(sized, weights, most, keep).select(F.col("key").alias(key), F.col("rate").alias(rate), F.col("turn").alias(turn))
     rated = _joined(df.drop("copy").withColumn(key, _key(F.col(source_col))), rates, key, id_col)
-    copies = _copies(rate, id_col, most, seed)
+    copies = _copies(rate, turn, uniform(F.col(id_col), seed), most)
     every = F.when(copies > 0, F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    return rated.withColumn("copy", F.explode(every)).drop(key, rate)
+    return rated.withColumn("copy", F.explode(every)).drop(key, rate, turn)

@@ -148,10 +148,14 @@ c AS (SELECT *, row_number() OVER o AS i, (SELECT sum(source_size) FROM p) - 3 *
       FROM p WINDOW o AS (ORDER BY source_size::DOUBLE / w, source), b AS (ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT i, open_size, open_w FROM c WHERE open_size * w <= 3 * source_size * open_w ORDER BY i LIMIT 1),
 t AS (SELECT c.source, source_size, CASE WHEN c.i < f.i THEN (3 * source_size)::DOUBLE ELSE f.open_size::DOUBLE * w::DOUBLE / f.open_w::DOUBLE END AS target FROM c, f),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+r AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
              ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * least(3, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+z AS (SELECT r.*, j, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS v FROM r, range(32) x(j)),
+y AS (SELECT source, j, abs(sum(CASE WHEN v < rate - floor(rate) THEN size ELSE 0 END)::DOUBLE - any_value((rate - floor(rate)) * source_size)) AS off FROM z GROUP BY source, j),
+b AS (SELECT source, j FROM y QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1)
+SELECT doc_id, size, source_size, target, (size * least(3, floor(rate)::BIGINT + (v < rate - floor(rate))::BIGINT))::BIGINT AS taken
+FROM z JOIN b ON b.source IS NOT DISTINCT FROM z.source AND b.j = z.j
 """
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
 _CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
