@@ -204,3 +204,61 @@ def test_one_large_colour_is_clustered_alike_in_one_task_and_in_many(spark, meth
     for level in (1, 2):
         assert sorted(map(tuple, one.level(level).colors().collect())) == sorted(map(tuple, many.level(level).colors().collect()))
     assert one.num_colors() > 3
+
+
+def test_stacks_are_refined_without_levels(spark):
+    from tincture.model import ColoredGraph
+    from tincture.operators.gradual import StackRefinement
+    from tincture.sources.builders import conversation_paths
+
+    graph = conversation_paths(spark, "/root/testdata/sf0.001")
+    start = initial_coloring(graph)
+    stacks = start.stacks()
+    made = StackRefinement(graph, stacks, 2, 2).refine()
+    spread = StackRefinement(graph, stacks, 2, 2, spread_over=0).refine()
+    assert sorted(map(str, made.collect())) == sorted(map(str, spread.collect()))
+    colored, levels = ColoredGraph.from_stacks(graph, made), GradualRefinement(start, 2, 2).refine()
+    assert colored.height == 3 and colored.next_color_id == sum(colored.num_colors(k) for k in range(3)) + 1
+    for k in range(3):  # the same classes under other numbers
+        assert set(map(frozenset, groups(colored, k))) == set(map(frozenset, groups(levels, k)))
+    firsts = [min(own) for own in groups(colored, 1)]
+    assert firsts != sorted(firsts) or len(firsts) == colored.num_colors(0)
+
+
+def groups(colored, level):
+    """Vertices of each colour, in the order of colours."""
+    out = {}
+    for r in colored.level(level).colors().collect():
+        out.setdefault(r["color"], set()).add(r["vid"])
+    return [out[c] for c in sorted(out)]
+
+
+def test_stacks_that_are_missing_or_differ_are_refused(spark):
+    from tincture.model import ColoredGraph
+    from tincture.operators.gradual import StackRefinement
+
+    graph = from_edges(spark, A)
+    stacks = initial_coloring(graph).stacks()
+    empty = F.when(F.col("vid") > 0, F.col("stack")).otherwise(F.array().cast("array<bigint>"))
+    longer = F.when(F.col("vid") > 0, F.col("stack")).otherwise(F.array_append("stack", F.lit(9).cast("long")))
+    null = F.when(F.col("vid") > 0, F.col("stack"))
+    for wrong in (stacks.where("vid > 0"), stacks.limit(0), *(stacks.withColumn("stack", c) for c in (empty, null, longer))):
+        with pytest.raises(ValueError):
+            StackRefinement(graph, wrong, 1, 2)
+    with pytest.raises(ValueError):
+        ColoredGraph.from_stacks(graph, stacks.withColumn("stack", F.array((F.col("vid") * 2).cast("long"))))
+    none = StackRefinement(from_edges(spark, A), stacks, 0, 2).refine()
+    assert none.where("size(stack) = 1").count() == none.count() == graph.vertices.count()
+
+
+def test_wide_levels_are_laid_out_by_partitions(spark, monkeypatch):
+    from tincture import runtime
+    from tincture.operators.hierarchy import layout, lines, printed
+    from tincture.sources.builders import conversation_paths
+
+    colored = initial_coloring(conversation_paths(spark, "/root/testdata/sf0.001"))
+    WeisfeilerLeman(colored, 3).refine()
+    at_once = sorted(map(tuple, layout(colored).collect()))
+    monkeypatch.setattr(runtime, "ONE_TASK_ROWS", 10)
+    assert sorted(map(tuple, layout(colored).collect())) == at_once
+    assert list(printed(colored)) == [r["line"] for r in lines(colored).orderBy("path").collect()]

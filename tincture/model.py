@@ -62,6 +62,17 @@ class ColoredGraph:
     levels: list[Level] = field(default_factory=list)
     next_color_id: int = 0
 
+    @staticmethod
+    def from_stacks(graph: GraphSet, stacks: DataFrame) -> ColoredGraph:
+        """The colouring that stacks (vid, gid, stack) of one height tell. The colours of each level must be consecutive numbers."""
+        entries = stacks.select("vid", "gid", F.posexplode("stack").alias("step", "cls"))
+        out = ColoredGraph(graph)
+        for r in entries.groupBy("step").agg(F.count_distinct("cls").alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).orderBy("step").collect():
+            if r["high"] - r["low"] + 1 != r["n"]:
+                raise ValueError(f"colours of level {r['step']} are not consecutive")
+            out.push(entries.where(F.col("step") == r["step"]).select("vid", "gid", "cls"), r["n"], r["low"])
+        return out
+
     @property
     def height(self) -> int:
         return len(self.levels)
@@ -98,8 +109,12 @@ class ColoredGraph:
         self.level(at)
         return self.colors(at).select("color").distinct().orderBy("color")
 
+    def heights(self) -> DataFrame:
+        """(height, n): how many vertices have a stack of each height."""
+        return self.colors().groupBy("vid").agg(F.count("*").alias("height")).groupBy("height").agg(F.count("*").alias("n"))
+
     def assert_consistent_height(self) -> None:
-        wrong = self.colors().groupBy("vid").count().where(F.col("count") != self.height)
+        wrong = self.heights().where(F.col("height") != self.height)
         if wrong.limit(1).count() or self.levels[0].frame.count() != self.graph.vertices.count():
             raise AssertionError("colour stacks differ in height")
 

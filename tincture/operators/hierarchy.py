@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ColoredGraph
+from ..runtime import cut, ranked
 
 #: The palette by position; two codes occur twice.
 PALETTE = (
@@ -77,10 +78,15 @@ def preorder(colored: ColoredGraph) -> DataFrame:
     return walked.where("parent is not null").select("path", F.col("step").alias("level"), "parent", F.col("color").alias("child")).distinct()
 
 
+def lines(colored: ColoredGraph) -> DataFrame:
+    """(path, line): the tree as indented lines, to be ordered by ``path``."""
+    return preorder(colored).select("path", F.concat(F.repeat(F.lit("  "), F.col("level")), F.col("child").cast("string")).alias("line"))
+
+
 def printed(colored: ColoredGraph) -> Iterator[str]:
-    """The tree as indented lines, one partition of them on the driver at a time."""
-    for r in preorder(colored).orderBy("path").toLocalIterator():
-        yield "  " * r["level"] + str(r["child"])
+    """The lines in order, one partition of them on the driver at a time."""
+    for r in lines(colored).orderBy("path").toLocalIterator():
+        yield r["line"]
 
 
 def tree_colors(colored: ColoredGraph) -> DataFrame:
@@ -95,12 +101,13 @@ def tree_colors(colored: ColoredGraph) -> DataFrame:
 
 
 def layout(colored: ColoredGraph) -> DataFrame:
-    """(level, color, x, y): nodes of a level evenly from -level to level, one level below the other."""
-    nodes = tree_nodes(colored)
-    at = F.row_number().over(Window.partitionBy("level").orderBy("color")) - 1
-    n = F.count("*").over(Window.partitionBy("level"))
-    x = F.when(n == 1, -F.col("level")).otherwise(-F.col("level") + 2 * F.col("level") * at / (n - 1))
-    return nodes.select("level", "color", x.cast("double").alias("x"), (-F.col("level")).cast("double").alias("y"))
+    """(level, color, x, y): nodes of a level evenly from -level to level, one level below the other. Places in a level are places among all
+    nodes less the level's first one, so a wide level is numbered by range partitions and is no single task."""
+    nodes = cut(tree_nodes(colored).select("level", "color"))
+    placed = ranked(nodes, ["level", "color"], "place", 0, nodes.count())
+    sizes = placed.groupBy("level").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    x = F.when(F.col("n") == 1, -F.col("level")).otherwise(-F.col("level") + 2 * F.col("level") * (F.col("place") - F.col("first")) / (F.col("n") - 1))
+    return placed.join(sizes, "level").select("level", "color", x.cast("double").alias("x"), (-F.col("level")).cast("double").alias("y"))
 
 
 def _palette_at(position: Column) -> Column:

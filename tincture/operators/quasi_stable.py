@@ -56,17 +56,18 @@ class QuasiStable:
     """Witness pairs of blocks are all pairs whose error reaches ``max * (1 - q_tolerance)``; all of a block's witnesses split it at once.
 
     ``refine`` stops at ``n_colors`` blocks or more, at ``max_steps``, or when the largest error is ``q`` or less. The error may
-    rise between steps. ``size_weighted`` multiplies errors by the block's size.
+    rise between steps. ``size_weighted`` multiplies errors by the block's size. Blocks are numbered by their first vertex;
+    ``going_on`` keeps the order of the last level's colours, as a run does that continues its own stored blocks.
     """
 
-    def __init__(self, colored: ColoredGraph, q: float = 0.0, n_colors: float = math.inf, max_steps: float = math.inf, size_weighted: bool = False, q_tolerance: float = 0.0):
+    def __init__(self, colored: ColoredGraph, q: float = 0.0, n_colors: float = math.inf, max_steps: float = math.inf, size_weighted: bool = False, q_tolerance: float = 0.0, going_on: bool = False):
         self.colored, self.q, self.n_colors, self.max_steps = colored, q, n_colors, max_steps
         self.size_weighted, self.q_tolerance = size_weighted, q_tolerance
         self.current_step = 0
         self.touched: list[int] = []  # edges that each step counted again
         level = colored.levels[-1]
         self.n_blocks = level.n_colors
-        numbers = ranked(level.frame.groupBy("cls").agg(F.min("vid").alias("first")), ["first"], "block", 0, self.n_blocks)
+        numbers = ranked(level.frame.groupBy("cls").agg(F.min("vid").alias("first")), ["cls" if going_on else "first"], "block", 0, self.n_blocks)
         self.blocks = cut(level.frame.join(numbers, "cls").select("vid", "gid", "block"))
         self._measure()
 

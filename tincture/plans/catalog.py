@@ -116,6 +116,23 @@ _register(
     "stack_prefix_colors_cp", lambda s, d: _wl(s, d, "cp", 2).palette(1),
     sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), body="SELECT DISTINCT color FROM st"))
 
+_register(
+    "stack_heights_cp", lambda s, d: _wl(s, d, "cp", 2).heights(),
+    sql.query("cp", sql.initial(), sql.wl(1), sql.wl(2), sql.stack(2), body="SELECT height, count(*) AS n FROM (SELECT vid, count(*) AS height FROM st GROUP BY vid) GROUP BY height"))
+
+
+def _copied(s, d):
+    """A colouring, and a copy of it that was refined further."""
+    one = _wl(s, d, "cp", 1)
+    other = one.copy()
+    coloring.WeisfeilerLeman(other, 1).refine()
+    return s.createDataFrame([("one", one.height, one.num_colors()), ("copy", other.height, other.num_colors())], "name string, height int, n_colors long")
+
+
+_register(
+    "copied_coloring_cp", _copied,
+    sql.query("cp", sql.initial(), sql.wl(1), sql.wl(2), body="SELECT 'one' AS name, 2 AS height, (SELECT count(DISTINCT color) FROM c1) AS n_colors UNION ALL SELECT 'copy', 3, (SELECT count(DISTINCT color) FROM c2)"))
+
 # Features and kernels.
 _ST2 = (sql.initial(), sql.wl(1), sql.wl(2), sql.stack(2))
 _FT = "ft AS (SELECT gid, color, count(*) AS cnt FROM st GROUP BY gid, color)"
@@ -164,6 +181,9 @@ _register(
     "qsc2_touched_edges_ep", lambda s, d: s.createDataFrame([(k + 1, n) for k, n in enumerate(_qsc(s, d, "ep", 2).touched)], "step int, edges long"),
     sql.query("ep", *_QSC2, *(f"ch{k} AS (SELECT DISTINCT unnest([o.block, n.block]) AS c FROM b{k - 1} o JOIN b{k} n USING (vid) WHERE o.block <> n.block)" for k in (1, 2)),
               body=" UNION ALL ".join(f"SELECT {k} AS step, count(*) AS edges FROM e JOIN b{k} b ON b.vid = e.dst WHERE b.block IN (SELECT c FROM ch{k})" for k in (1, 2))))
+_register(
+    "qsc_refine_ep", lambda s, d: s.createDataFrame([_qsc(s, d, "ep", 0, max_steps=2).refine()], "blocks long, steps int, max_q_error double"),
+    sql.query("ep", *_QSC2, sql.qsc_statistics(2), body="SELECT max(block) + 1 AS blocks, 2 AS steps, (SELECT max(error) FROM x2) AS max_q_error FROM b2"))
 _register(
     "qsc1_blocks_unlabelled_cs", lambda s, d: _qsc(s, d, "cs", 1, False).blocks,
     sql.query("cs", sql.initial(False), sql.qsc0(False), sql.qsc_statistics(0), sql.qsc_step(1), body="SELECT vid, gid, block FROM b1"))
@@ -193,6 +213,14 @@ _register(
     "tree_layout_cp", lambda s, d: hierarchy.layout(_wl(s, d, "cp", 1)).select("level", "color", F.round("x", 9).alias("x"), "y"),
     sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), "nd AS (SELECT DISTINCT step + 1 AS level, color FROM st UNION ALL SELECT 0, 0), nx AS (SELECT level, color, row_number() OVER (PARTITION BY level ORDER BY color) - 1 AS i, count(*) OVER (PARTITION BY level) AS n FROM nd)",
               body="SELECT CAST(level AS INT) AS level, color, round(CAST(CASE WHEN n = 1 THEN -level ELSE -level + 2.0 * level * i / (n - 1) END AS DOUBLE), 9) AS x, CAST(-level AS DOUBLE) AS y FROM nx"))
+_register("last_color_ep", lambda s, d: s.createDataFrame([(hierarchy.last_color(_wl(s, d, "ep", 2)),)], "color long"), sql.query("ep", *_ST2, body="SELECT max(color) AS color FROM c2"))
+_register(
+    "tree_lines_cp", lambda s, d: hierarchy.lines(_wl(s, d, "cp", 1)),
+    sql.query("cp", sql.initial(), sql.wl(1), body="SELECT DISTINCT lpad(CAST(color AS VARCHAR), 20, '0') AS path, CAST(color AS VARCHAR) AS line FROM c0 UNION ALL SELECT DISTINCT lpad(CAST(c0.color AS VARCHAR), 20, '0') || '/' || lpad(CAST(c1.color AS VARCHAR), 20, '0'), '  ' || c1.color FROM c0 JOIN c1 USING (vid)"))
+_register(
+    "tree_layout_stable_cp", lambda s, d: hierarchy.layout(_wl(s, d, "cp", 3)).select("level", F.round("x", 9).alias("x"), "y"),
+    sql.query("cp", sql.initial(), *(sql.wl(k) for k in (1, 2, 3)), sql.stack(3), "nd AS (SELECT DISTINCT step + 1 AS level, color FROM st UNION ALL SELECT 0, 0), nx AS (SELECT level, row_number() OVER (PARTITION BY level ORDER BY color) - 1 AS i, count(*) OVER (PARTITION BY level) AS n FROM nd)",
+              body="SELECT CAST(level AS INT) AS level, round(CAST(CASE WHEN n = 1 THEN -level ELSE -level + 2.0 * level * i / (n - 1) END AS DOUBLE), 9) AS x, CAST(-level AS DOUBLE) AS y FROM nx"))
 _register(
     "tree_colors_cp", lambda s, d: hierarchy.tree_colors(_wl(s, d, "cp", 1)),
     sql.query("cp", sql.initial(), sql.wl(1), sql.stack(1), "nd AS (SELECT DISTINCT color FROM st UNION SELECT 0)",
@@ -250,6 +278,25 @@ for _n, _desc in (("steps_h_grid", False), ("steps_h_grid_descending", True)):
         _n, lambda s, d, desc=_desc: _joined(steps.steps_by_position(_log(s, d), [0, 1, 2, 16], desc)),
         f"WITH {_LOG}, src AS (SELECT row_number() OVER (ORDER BY step) - 1 AS i, step FROM {'ds' if _desc else 'log'}) SELECT CAST(p AS INT) AS param, string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) AS steps FROM (VALUES (0), (1), (2), (16)) t(p) JOIN src ON i <= p WHERE p < (SELECT count(*) FROM src) GROUP BY p")
 
+
+
+def _settings(s, d):
+    """Names and steps of both kinds of settings, and of the older ones."""
+    log = _log(s, d)
+    grid = {"h_grid": [0, 1, 2, 16], "q_strictly_descending": True}
+    new = [steps.StepSettings("q_ratio", {"q_ratio": 0.5, "allow_duplicate_steps": True}), steps.StepSettings("h_grid", grid)]
+    old = steps.QscEvaluationParameters("h_grid", h_grid=grid["h_grid"])
+    named = [(x.to_dirname(), x) for x in new] + [(old.to_dirname(log), old)]
+    return s.createDataFrame([(name, p, ",".join(map(str, own))) for name, x in named for p, own in x.steps(log)], "name string, param int, steps string")
+
+
+_register(
+    "step_settings", _settings,
+    _fold_sql(0.5, True) + """, gr AS (SELECT CAST(p AS INT) AS param, string_agg(CAST(step AS VARCHAR), ',' ORDER BY i) AS steps FROM (VALUES (0), (1), (2), (16)) t(p) JOIN nr ON i <= p + 1 WHERE p < (SELECT count(*) FROM nr) GROUP BY p)
+SELECT 'q_ratio__0.5__with_duplicates' AS name, CAST(p AS INT) AS param, array_to_string(a[1:p + 1], ',') AS steps FROM (SELECT a, unnest(range(len(a))) AS p FROM z)
+UNION ALL SELECT 'h_grid__0-1-2-16__desc', param, steps FROM gr
+UNION ALL SELECT 'h_grid__' || (SELECT string_agg(CAST(param AS VARCHAR), '-' ORDER BY param) FROM gr) || '__without_inbetween__with_desc', param, steps FROM gr""")
+
 # Cross-validation results: a table derived from orders, whole.
 _CVSQL = "cv AS (SELECT CAST(o_custkey % 5 AS INT) AS trial, CAST(o_orderkey % 10 AS INT) AS fold, CAST(power(10, o_orderkey % 3 - 1) AS DOUBLE) AS C, CAST(o_custkey % 7 AS INT) AS param, CAST(o_orderkey % 101 AS DOUBLE) AS accuracy FROM orders)"
 
@@ -267,6 +314,14 @@ _register("report_per_trial", lambda s, d: report.per_trial(_cv(s, d)).select("t
 _register(
     "report_summary", lambda s, d: report.summary(_cv(s, d)).select(F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std")),
     f"WITH {_CVSQL}, t AS (SELECT avg(accuracy) AS a FROM cv GROUP BY trial) SELECT round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS std FROM t")
+_register(
+    "report_lines", lambda s, d: s.createDataFrame(list(enumerate(report.report_lines(_cv(s, d)))), "place long, line string"),
+    f"""WITH {_CVSQL}, pf AS (SELECT param, 'param=' || param || ': ' || count(*) || ' (' || printf('%.2f', 100.0 * count(*) / (SELECT count(*) FROM cv)) || '%)' AS line FROM cv GROUP BY param),
+t AS (SELECT trial, avg(accuracy) AS a FROM cv GROUP BY trial), li(part, own, line) AS (
+SELECT 0, 0, '# Parameter Frequency' UNION ALL SELECT 1, param, line FROM pf UNION ALL SELECT 2, 0, '' UNION ALL SELECT 3, 0, '# Per-Trial Accuracy Averages'
+UNION ALL SELECT 4, trial, 'trial ' || trial || ': ' || printf('%.2f', a) FROM t UNION ALL SELECT 5, 0, '' UNION ALL SELECT 6, 0, '# Summary'
+UNION ALL SELECT 7, 0, 'Average of trial averages: ' || printf('%.2f', (SELECT avg(a) FROM t)) UNION ALL SELECT 8, 0, 'Standard deviation of averages: ' || printf('%.2f', (SELECT stddev_samp(a) FROM t)))
+SELECT row_number() OVER (ORDER BY part, own) - 1 AS place, line FROM li""")
 _register(
     "inner_accuracy", lambda s, d: report.inner_accuracy(_cv(s, d)).withColumn("accuracy", F.round("accuracy", 9)),
     f"WITH {_CVSQL} SELECT trial, fold, param, round(C, 9) AS C, round(avg(accuracy), 9) AS accuracy FROM cv GROUP BY ALL")
@@ -306,6 +361,17 @@ _register(
 _register(
     "gwl_spread_hist_cp", lambda s, d: features.features(_gwl(s, d, "cp", 1, 2, spread_over=0)),
     sql.query("cp", sql.initial(), sql.gradual(1, range(1, 4), 2, 12, "kmeans++"), sql.stack(1), body=_GW))
+
+
+def _gwl_stacks(s, d):
+    start = coloring.initial_coloring(g := _BUILD["cp"](s, d))
+    return gradual.StackRefinement(g, start.stacks(), 2, 2).refine()
+
+
+_BY_HEAD = (sql.gradual(1, range(1, 4), 2, 12, "kmeans++", by_head=True), sql.gradual(2, range(3, 10), 2, 12, "kmeans++", by_head=True))
+_register(
+    "gwl_stacks_cp", lambda s, d: _gwl_stacks(s, d).select("vid", "gid", F.array_join("stack", ",").alias("stack")),
+    sql.query("cp", sql.initial(), *_BY_HEAD, body="SELECT vid, c0.gid, c0.color || ',' || c1.color || ',' || c2.color AS stack FROM c0 JOIN c1 USING (vid) JOIN c2 USING (vid)"))
 _register("gwl_edge_labels_os", lambda s, d: statistics.class_sizes(_gwl(s, d, "os", 1, 4)))
 
 
@@ -329,6 +395,13 @@ def _stored_qsc(s, d):
     return refinement.Store(s, root)
 
 
+def _stored_gwl(s, d):
+    graph, root = _BUILD["cp"](s, d), _folder(s, "gwl")
+    for h in (1, 2):
+        refinement.run_gwl(s, graph, root, h, 4)
+    return refinement.Store(s, root)
+
+
 def _through_log(rows, schema):
     path = _folder(rows.sparkSession, "log")
     logs.write_log(rows, path)
@@ -356,6 +429,15 @@ _register(
     "stored_log_qsc_ep", lambda s, d: _stored_qsc(s, d).steps().select("step", "n_colors", "max_q_error", "witness_pair_count"),
     sql.query("ep", sql.initial(), sql.qsc0(), sql.qsc_statistics(0), sql.qsc_step(1), sql.qsc_statistics(1), sql.qsc_step(2), sql.qsc_statistics(2),
               body=" UNION ALL ".join(f"SELECT {k} AS step, (SELECT max(block) + 1 FROM b{k}) AS n_colors, (SELECT max(error) FROM x{k}) AS max_q_error, {f'(SELECT count(*) FROM w{k - 1})' if k else 'CAST(0 AS BIGINT)'} AS witness_pair_count" for k in range(3))))
+_FORGY = (sql.initial(), sql.gradual(1, range(1, 4), 4, 10, "forgy", restarts=15), sql.gradual(2, range(3, 16), 4, 10, "forgy", restarts=15), sql.stack(2))
+_register("stored_features_gwl_cp", lambda s, d: _stored_gwl(s, d).features().select("step", "gid", "color", "cnt"), sql.query("cp", *_FORGY, body=_GW))
+_register(
+    "stored_log_gwl_cp", lambda s, d: _stored_gwl(s, d).steps().select("algo", "step", "feature_dim", "n_colors", "n_features"),
+    sql.query("cp", *_FORGY, f"lg AS ({_WL_LOG})", body="SELECT 'GWL' AS algo, step, feature_dim, n_colors, CAST(sum(n_colors) OVER (ORDER BY step) AS BIGINT) AS n_features FROM lg"))
+_register(
+    "stored_features_qsc_ep", lambda s, d: _stored_qsc(s, d).features().select("step", "gid", "color", "cnt"),
+    sql.query("ep", *_QSC2, "m AS (SELECT max(color) + 1 AS first FROM c0), m1 AS (SELECT first + (SELECT max(block) + 1 FROM b1) AS first FROM m)",
+              body="SELECT 0 AS step, gid, color, count(*) AS cnt FROM c0 GROUP BY ALL UNION ALL SELECT 1, gid, first + block, count(*) FROM b1, m GROUP BY ALL UNION ALL SELECT 2, gid, first + block, count(*) FROM b2, m1 GROUP BY ALL"))
 _NUMBERED = "dg AS (SELECT gid, row_number() OVER (ORDER BY gid) AS n FROM (SELECT DISTINCT gid FROM v))"
 _register("text_edges_os", lambda s, d: _through_text(s, d).edges.select("src", "dst", "gid", "label"), sql.query("os", _NUMBERED, body="SELECT src, dst, n AS gid, label FROM e JOIN dg USING (gid)"))
 _register(
@@ -363,6 +445,20 @@ _register(
     sql.query("os", _NUMBERED, body="SELECT vid, n AS gid, CAST(vid + 1 AS VARCHAR) AS orig_id, label, graph_label FROM v JOIN dg USING (gid) JOIN g USING (gid)"))
 
 
+def _optional(s, d):
+    """A collection without label files, written and read: edges between line numbers of vertices, whose own numbers follow the edge file."""
+    root = _folder(s, "text")
+    tu.write_tu(_BUILD["cs"](s, d).without_node_labels(), root, "CS")
+    read = tu.read_tu(s, root, "CS")
+    line = lambda end, name: read.vertices.select(F.col("vid").alias(end), F.col("orig_id").cast("long").alias(name), F.col("label").alias(f"{name}_label"))
+    return read.edges.join(line("src", "a"), "src").join(line("dst", "b"), "dst").select("a", "b", "gid", "label", "a_label")
+
+
+_register(
+    "text_without_labels_cs", _optional,
+    sql.query("cs", _NUMBERED, body="SELECT src + 1 AS a, dst + 1 AS b, n AS gid, NULL::VARCHAR AS label, NULL::VARCHAR AS a_label FROM e JOIN dg USING (gid)"))
+
+
 def _union(s, d):
     one = _BUILD["cp"](s, d)
     return builders.disjoint_union(one, one).edges.select("src", "dst", "gid", "label")
@@ -411,6 +507,15 @@ _register(
     "SELECT 'train' AS log, CAST(t AS INT) AS trial, CAST(f AS INT) AS fold, c AS C, CAST(p AS INT) AS param FROM range(2) a(t), range(3) b(f), (VALUES (0.1::DOUBLE), (1.0::DOUBLE)) d(c), range(2) g(p) UNION ALL SELECT 'test', CAST(t AS INT), CAST(f AS INT), 0.0, -1 FROM range(2) a(t), range(3) b(f)")
 
 
+def _cv_skipped(s, d):
+    """A grid with levels that no step was stored for: they are left out."""
+    root, _ = _evaluated(s, d, 1, h_grid=[0, 1, 7], trials=range(1), folds=2, inner_folds=2, costs=(1.0,), folds_at_once=2)
+    return s.read.parquet(f"{root}/train").groupBy("fold", "param").agg(F.count("*").alias("n"))
+
+
+_register("cv_skipped_params_cp", _cv_skipped, "SELECT CAST(f AS INT) AS fold, CAST(p AS INT) AS param, 2::BIGINT AS n FROM range(2) a(f), range(2) b(p) WHERE (SELECT count(*) FROM conversations) > 0")
+
+
 def _svm(s, d):
     """A smaller grid than the evaluation's own, which takes minutes for each trial."""
     _, (mean, std) = _evaluated(s, d, 1, folds_at_once=6, **_GRID)

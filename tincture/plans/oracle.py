@@ -86,9 +86,10 @@ r{p} AS (SELECT block, first, (SELECT max(block) FROM b{p}) + row_number() OVER
 b{k} AS (SELECT h.vid, h.gid, coalesce(r.new, h.block) AS block FROM h{p} h LEFT JOIN r{p} r ON r.block = h.block AND r.first = h.first)"""
 
 
-def gradual(step: int, colors: range, k: int, turns: int, start: str, seed: int = 4321, restarts: int = 1) -> str:
+def gradual(step: int, colors: range, k: int, turns: int, start: str, seed: int = 4321, restarts: int = 1, by_head: bool = False) -> str:
     """c<step>(vid, gid, color): one gradual step without edge labels from the level before, whose colours lie in ``colors``. ``start``: ``first``,
-    ``kmeans++`` (two clusters) or ``forgy``. Means are cut to whole numbers; turns are unrolled (more than it needs change nothing)."""
+    ``kmeans++`` (two clusters) or ``forgy``. Means are cut to whole numbers; turns are unrolled (more than it needs change nothing).
+    New colours go by old colour and cluster; with ``by_head`` old colours go by their first vertex."""
     z, b = step, step - 1
     n = [f"n{i}" for i in colors]
     every = ", ".join(n)
@@ -96,7 +97,7 @@ def gradual(step: int, colors: range, k: int, turns: int, start: str, seed: int
     draw = lambda r, turn, i: f"(('0x' || substr(md5('{seed}:' || {r} || ':{turn}:' || {i}), 1, 13))::BIGINT + 1) / 4503599627370496.0"
     own = ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in n)
     out = f"""
-h{z} AS (SELECT c.vid, c.gid, c.color, {", ".join(f"coalesce(sum(CAST(d.color = {i} AS INT)), 0) AS n{i}" for i in colors)}
+h{z} AS (SELECT c.vid, c.gid, c.color, min(c.vid) OVER (PARTITION BY c.color) AS head, {", ".join(f"coalesce(sum(CAST(d.color = {i} AS INT)), 0) AS n{i}" for i in colors)}
        FROM c{b} c LEFT JOIN e ON e.src = c.vid LEFT JOIN c{b} d ON d.vid = e.dst GROUP BY c.vid, c.gid, c.color),
 p{z} AS (SELECT color, {every}, count(*) AS w, min(vid) AS i FROM h{z} GROUP BY color, {every})"""
     if start == "kmeans++":
@@ -119,7 +120,7 @@ m{z}_{t} AS (SELECT m.r, m.c, m.color, {", ".join(f"coalesce(trunc(sum(a.w * a.{
     return out + f""",
 s{z} AS (SELECT a.color, a.r, sum(a.w * ({apart("a", "m")}) * ({apart("a", "m")})) AS score FROM a{z}_{turns} a JOIN m{z}_{turns} m ON m.color = a.color AND m.c = a.c AND m.r = a.r GROUP BY a.color, a.r),
 b{z}_best AS (SELECT color, r FROM s{z} QUALIFY row_number() OVER (PARTITION BY color ORDER BY score, r) = 1),
-c{z} AS (SELECT h.vid, h.gid, (SELECT max(color) FROM c{b}) + dense_rank() OVER (ORDER BY h.color, a.c) AS color
+c{z} AS (SELECT h.vid, h.gid, (SELECT max(color) FROM c{b}) + dense_rank() OVER (ORDER BY {"h.head" if by_head else "h.color"}, a.c) AS color
          FROM h{z} h JOIN b{z}_best s ON s.color = h.color JOIN a{z}_{turns} a ON a.color = h.color AND a.r = s.r AND {same})"""
 
 

@@ -121,7 +121,7 @@ def run_qsc(spark: SparkSession, graph: GraphSet, root: str, max_step: float = m
     """Refine while the step, the largest q-error and the number of blocks are within their bounds."""
     store = Store(spark, root)
     colored, done = _start(store, graph)
-    runner = QuasiStable(colored, q=q, **options)
+    runner = QuasiStable(colored, q=q, going_on=done >= 0, **options)
     if done < 0:
         _put(store, "QSC", colored, 0, 0.0, q_error=runner.max_q_error, pairs=0)
     while colored.height - 1 < max_step and runner.max_q_error > q and runner.n_blocks < max_color_count:
