@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from tincture.llm import embedding_dedup, passage_dedup, simhash, substring_dedup, suffix_order
+from tincture.llm.blocks import Block, answer_repeats, join_bits
 from tincture.llm.common import Scratch
 from tincture.llm.components import components
 from tincture.llm.passage_dedup import SuffixAutomaton
@@ -20,10 +21,10 @@ def small(spark):
     return docs, [tuple(r) for r in docs.collect()]
 
 
-@pytest.mark.parametrize("block_bytes", [2 << 20, 3000])
-def test_byte_strings(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "hot"), [(2 << 20, 2000), (3000, 2000), (3000, 1), (2 << 20, 0)])
+def test_byte_strings(spark, block_bytes, hot):
     rows = hostile()
-    got = substring_dedup.deduplicate(table(spark, rows), text=True, block_bytes=block_bytes).collect()
+    got = substring_dedup.deduplicate(table(spark, rows), text=True, block_bytes=block_bytes, hot=hot).collect()
     want = brute_bytes(rows)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
     assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
@@ -35,6 +36,50 @@ def test_byte_strings_whole_table(spark):
     assert got == brute_bytes(rows)
 
 
+def popular(n):
+    """Documents of one phrase each in words of their own; every third also has a passage of over 50 bytes around the phrase."""
+    rng = random.Random(8)
+    phrase = "all rights reserved by us "
+    around = ("this notice must stay in place, " + phrase, "and nobody may leave it out of any copy ")
+    return [(i, f"{rng.getrandbits(400):x} " + (phrase if i % 3 else phrase.join(around)) + f"{rng.getrandbits(400):x}") for i in range(n)]
+
+
+def test_a_popular_phrase_is_split_and_changes_nothing(spark):
+    rows = popular(300)
+    for hot in (2000, 20):
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.deduplicate(table(spark, rows), block_bytes=4000, hot=hot).collect()}
+        assert got == brute_bytes(rows)
+
+
+def test_the_largest_group_of_a_popular_phrase():
+    """What one key is sent: a stretch of each document without splitting, one string of each block with it."""
+    rows = popular(240)
+    held = []
+    for number in range(8):
+        texts = [t.encode() for _, t in rows[number * 30 : number * 30 + 30]]
+        ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        held.append(Block(number, np.arange(number * 30, number * 30 + 30), ends, np.frombuffer(b"".join(texts), np.uint8), np.zeros(30, bool)))
+
+    def exchange(question, answer, bits):
+        sent = [(bucket, i, p) for i, block in enumerate(held) for bucket, p in question(block, bits[i])]
+        parts = [[] for _ in held]
+        for bucket in {b for b, _, _ in sent}:
+            own = [(i, p) for b, i, p in sent if b == bucket]
+            for (i, _), x in zip(own, answer([p for _, p in own]), strict=True):
+                parts[i].append({"bucket": bucket, "n": x.size, "bits": np.packbits(x.ravel()).tobytes()})
+        return [[*b, join_bits(p)] for b, p in zip(bits, parts, strict=True)]
+
+    def largest(hot):
+        strings = substring_dedup._Strings(50, 4, 4, hot)
+        bits = [[np.zeros(30, bool)] for _ in held]
+        bits = exchange(strings.ask_anchors, strings.answer_anchors, bits)
+        bits = exchange(strings.ask_hot, answer_repeats, bits)
+        keys = np.concatenate([strings.stretches(block, b)[-1] for block, b in zip(held, bits, strict=True)])
+        return np.unique(keys, return_counts=True)[1].max()
+
+    assert largest(10**9) >= 80 and largest(20) <= 20  # 80 documents hold the passage
+
+
 def test_byte_strings_with_null_ids_and_repeated_rows(spark):
     long = prose(random.Random(3), 40)
     docs = spark.createDataFrame([(None, long), (None, long), (5, long), (5, long)], "doc_id long, text string")

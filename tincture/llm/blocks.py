@@ -116,8 +116,8 @@ class BlockTable:
         return table.mapInArrow(each, schema)
 
     def ask(self, question: Callable, answer: Callable, *answers: DataFrame) -> DataFrame:
-        """(block, bits: list of (bucket, n, bits)). ``question(block, bits)`` yields (bucket, payload); ``answer(payloads)`` returns
-        an array of booleans for each payload of a bucket."""
+        """(block, bucket, n, bits, marked). ``question(block, bits)`` yields (bucket, payload); ``answer(payloads)`` returns
+        an array of booleans for each payload of a bucket, or one of two columns; ``marked`` tells whether the second has a true one."""
 
         def send(block, bits):
             rows = list(question(block, bits))
@@ -128,10 +128,12 @@ class BlockTable:
 
         def reply(table: pa.Table) -> pa.Table:
             found = answer(table.column("payload").to_pylist())
-            return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": pa.array([len(x) for x in found], pa.int32()),
-                             "bits": pa.array([np.packbits(x).tobytes() for x in found], pa.binary())})
+            return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": pa.array([x.size for x in found], pa.int32()),
+                             "bits": pa.array([np.packbits(x.ravel()).tobytes() for x in found], pa.binary()),
+                             "marked": pa.array([x.ndim == 2 and bool(x[:, 1].any()) for x in found], pa.bool_())})
 
-        replies = self.run(send, "bucket int, block bigint, payload binary", *answers).groupBy("bucket").applyInArrow(reply, "block bigint, bucket int, n int, bits binary")
+        schema = "block bigint, bucket int, n int, bits binary, marked boolean"
+        replies = self.run(send, "bucket int, block bigint, payload binary", *answers).groupBy("bucket").applyInArrow(reply, schema)
         return self.scratch.save(replies)
 
     def copies(self) -> DataFrame:
@@ -228,22 +230,33 @@ def sliding(values: np.ndarray, width: int, better) -> np.ndarray:
     return better(best[: len(best) - rest], best[rest:]) if rest else best
 
 
-def pack_repeats(distinct: np.ndarray, several: np.ndarray, buckets: int):
-    """Question "does this hash occur anywhere else?": a few bytes of each hash, and a bit for those that the block has twice itself."""
+def pack_repeats(distinct: np.ndarray, several: np.ndarray, buckets: int, counts: np.ndarray | None = None):
+    """Question "does this hash occur anywhere else?": a few bytes of each hash, and a bit for those that the block has twice itself. With
+    ``counts``, also how much the block would send for each (told where it is more than once)."""
     short = distinct.view(np.uint8).reshape(-1, 8)[:, :SHORT]
     for bucket, a, b in runs(distinct, buckets):
-        yield bucket, np.int64(b - a).tobytes() + short[a:b].tobytes() + np.packbits(several[a:b]).tobytes()
+        more = b""
+        if counts is not None:
+            often = np.flatnonzero(counts[a:b] > 1)
+            more = np.stack((often, counts[a:b][often])).astype(np.int32).tobytes()
+        yield bucket, np.int64(b - a).tobytes() + short[a:b].tobytes() + np.packbits(several[a:b]).tobytes() + more
 
 
-def answer_repeats(payloads: list[bytes]) -> list[np.ndarray]:
+def answer_repeats(payloads: list[bytes], hot: int | None = None) -> list[np.ndarray]:
+    """For each hash, whether it occurs elsewhere; with ``hot`` in a second column whether more than that would be sent for it."""
     counts = [int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads]
     keys = np.zeros((sum(counts), 8), np.uint8)
-    several, at = np.zeros(len(keys), bool), 0
+    several, often, at = np.zeros(len(keys), bool), np.ones(len(keys), np.int64), 0
     for p, n in zip(payloads, counts, strict=True):
         keys[at : at + n, :SHORT] = np.frombuffer(p, np.uint8, n * SHORT, 8).reshape(n, SHORT)
         several[at : at + n] = np.unpackbits(np.frombuffer(p, np.uint8, -1, 8 + n * SHORT), count=n)
+        if hot is not None:
+            places, told = np.frombuffer(p[8 + n * SHORT + -(-n // 8) :], np.int32).reshape(2, -1)
+            often[at + places] = told
         at += n
     order, starts, inverse = group_sorted(keys.view(U64).ravel())
     sizes = np.diff(np.append(starts, len(order)))
     repeated = (sizes > 1) | (np.logical_or.reduceat(several[order], starts) if len(starts) else sizes > 1)
+    if hot is not None:
+        repeated = np.stack((repeated, np.add.reduceat(often[order], starts) > hot if len(starts) else repeated), axis=1)
     return np.split(repeated[inverse], np.cumsum(counts)[:-1])

@@ -1,7 +1,9 @@
 """Exact byte-string deduplication by difference-cover blockwise suffix sorting.
 
 Every string of ``length`` bytes has an anchor, the smallest hash of the shorter strings in it, so that equal strings have equal
-anchors. A first question to hash buckets leaves only strings whose anchor another document has too. Runs of such strings with one
+anchors. A first question to hash buckets leaves only strings whose anchor another document has too, and counts what blocks would
+send for it. Strings of hot anchors (a popular phrase within different texts) are asked for one by one, and those that another document
+has too go to the shard of a hash of the whole string, so that no phrase fills a shard. All other runs of such strings with one
 anchor (stretches of text) meet those of the whole corpus in the anchor's shard, where their suffixes are sorted to the depth
 of ``length`` bytes: cover-sample ranks first, then one suffix bucket at a time, long ties by the ranks
 (``suffix_order``). A run of equal strings in that order has one smallest document, and all others lose theirs. Hashes only say
@@ -55,38 +57,75 @@ def string_hashes(data: np.ndarray, size: int, segment: int = 1 << 16) -> np.nda
 class _Strings:
     """What a block works out again at every stage, from its texts and the bits it was sent."""
 
-    def __init__(self, length: int, buckets: int, shards: int):
-        self.length, self.buckets, self.shards = length, buckets, shards
+    def __init__(self, length: int, buckets: int, shards: int, hot: int):
+        self.length, self.buckets, self.shards, self.hot = length, buckets, shards, hot
         self.part = max(1, 2 * length // 5)
 
     def anchored(self, block: Block, copies: np.ndarray):
-        """Runs of places whose strings have one anchor: (first place, end, document row, anchor). Copies have none."""
+        """Runs of places whose strings have one anchor: (first place, end, document row, anchor). Copies have none. Then the hashes of
+        all shorter strings."""
         count = max(0, len(block.data) - self.length + 1)
         if not count:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64))
-        least = sliding(string_hashes(block.data, self.part), self.length - self.part + 1, np.minimum)[:count]
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+        parts = string_hashes(block.data, self.part)
+        least = sliding(parts, self.length - self.part + 1, np.minimum)[:count]
         fits = np.arange(count) + self.length <= np.repeat(np.where(copies, 0, block.offsets[1:]), block.lengths)[:count]
         change = np.flatnonzero((least[1:] != least[:-1]) | (fits[1:] != fits[:-1])) + 1
         begin, end = np.concatenate(([0], change)), np.append(change, count)
         live = fits[begin]  # a text's last places hold no whole string, so no run crosses texts
         begin, end = begin[live], end[live]
-        return begin, end, np.searchsorted(block.offsets, begin, side="right") - 1, splitmix(least[begin])
+        return begin, end, np.searchsorted(block.offsets, begin, side="right") - 1, splitmix(least[begin]), parts
 
-    def ask_anchors(self, block: Block, bits):
-        _, _, row, anchor = self.anchored(block, copies_of(block, bits[0]))
-        order, starts, _ = group_sorted(anchor)
+    def ask(self, block: Block, row: np.ndarray, key: np.ndarray, counts: np.ndarray | None = None):
+        """Which keys has another document too? ``counts`` are of the distinct keys, in order."""
+        order, starts, _ = group_sorted(key)
         owners = block.ids[row[order]]
         several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
-        yield from pack_repeats(anchor[order][starts], several, self.buckets)
+        yield from pack_repeats(key[order][starts], several, self.buckets, counts)
 
-    def stretches(self, block: Block, copies: np.ndarray, bits: np.ndarray):
-        """Runs whose anchor another document has too, as (first place, strings, document row); the run that stands for each (of equal
-        ones in the block that of the smallest document), and the texts of those that stand for any, in the order sent, with
-        their anchors."""
-        begin, end, row, anchor = self.anchored(block, copies)
+    def ask_anchors(self, block: Block, bits):
+        begin, end, row, anchor, parts = self.anchored(block, copies_of(block, bits[0]))
+        # Equal stretches of a block are sent once; their ends tell well enough how many there are of an anchor.
+        with np.errstate(over="ignore"):
+            stretch = splitmix(splitmix(parts[begin]) + parts[end - 1 + self.length - self.part]) + (end - begin).astype(U64)
+        order = np.lexsort((stretch, anchor))
+        fresh = np.ones(len(order), np.int64)
+        head = np.ones(len(order), bool)
+        head[1:] = anchor[order][1:] != anchor[order][:-1]
+        fresh[1:] = head[1:] | (stretch[order][1:] != stretch[order][:-1])
+        yield from self.ask(block, row, anchor, np.add.reduceat(fresh, np.flatnonzero(head)) if len(order) else fresh)
+
+    def answer_anchors(self, payloads: list[bytes]) -> list[np.ndarray]:
+        return answer_repeats(payloads, self.hot)
+
+    def shared(self, block: Block, copies: np.ndarray, bits: np.ndarray):
+        """Runs whose anchor another document has too and that is not hot, then the single strings of hot anchors (a run of one place
+        each, with a hash of the whole string in place of the anchor): two tuples (first place, end, document row, key)."""
+        begin, end, row, anchor, parts = self.anchored(block, copies)
         _, _, inverse = group_sorted(anchor)
-        live = bits[inverse] if len(inverse) else np.zeros(0, bool)
-        begin, end, row, anchor = begin[live], end[live], row[live], anchor[live]
+        repeated, hot = bits.reshape(-1, 2)[inverse].T if len(inverse) else np.zeros((2, 0), bool)
+        cool = repeated & ~hot
+        hot = np.flatnonzero(repeated & hot)
+        sizes = end[hot] - begin[hot]
+        places = np.arange(int(sizes.sum())) + np.repeat(begin[hot] - np.cumsum(sizes) + sizes, sizes)
+        key = np.zeros(len(places), U64)
+        with np.errstate(over="ignore"):
+            for at in [*range(0, self.length - self.part, self.part), self.length - self.part]:
+                key = splitmix(key + parts[places + at])
+        return (begin[cool], end[cool], row[cool], anchor[cool]), (places, places + 1, np.repeat(row[hot], sizes), key)
+
+    def ask_hot(self, block: Block, bits):
+        _, (_, _, row, key) = self.shared(block, copies_of(block, bits[0]), bits[1])
+        yield from self.ask(block, row, key)
+
+    def stretches(self, block: Block, bits):
+        """Runs whose anchor another document has too (of hot anchors the strings that another document has too), as (first place, strings,
+        document row); the run that stands for each (of equal ones in the block that of the smallest document), and the texts of
+        those that stand for any, in the order sent, with their keys."""
+        cool, single = self.shared(block, copies_of(block, bits[0]), bits[1])
+        _, _, inverse = group_sorted(single[3])
+        live = bits[2][inverse] if len(inverse) else np.zeros(0, bool)
+        begin, end, row, anchor = (np.concatenate((x, y[live])) for x, y in zip(cool, single, strict=True))
         data, more, seen, sent = block.data.tobytes(), self.length - 1, {}, []
         stands, firsts, lasts = [0] * len(begin), begin.tolist(), (end + more).tolist()
         for i in np.argsort(block.ids[row], kind="stable").tolist():
@@ -100,7 +139,7 @@ class _Strings:
         return begin, end - begin, row, np.array(stands, np.int64), sent[order], [texts[k] for k in order.tolist()], anchor[sent[order]]
 
     def ask_shards(self, block: Block, bits):
-        _, _, row, _, sent, texts, anchor = self.stretches(block, copies_of(block, bits[0]), bits[1])
+        _, _, row, _, sent, texts, anchor = self.stretches(block, bits)
         ids, sizes = block.ids[row[sent]], np.fromiter(map(len, texts), np.int32, len(texts))
         for shard, a, b in runs(anchor, self.shards):
             yield shard, np.int64(b - a).tobytes() + ids[a:b].tobytes() + sizes[a:b].tobytes() + b"".join(texts[a:b])
@@ -143,12 +182,12 @@ class _Strings:
     def removed(self, block: Block, bits) -> np.ndarray:
         """The bytes that a string covers which also starts in a smaller document."""
         copies = copies_of(block, bits[0])
-        begin, sizes, row, stands, sent, _, _ = self.stretches(block, copies, bits[1])
+        begin, sizes, row, stands, sent, _, _ = self.stretches(block, bits)
         first = np.zeros(len(begin), np.int64)
         first[sent] = np.cumsum(sizes[sent]) - sizes[sent]
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         later = block.ids[row] > block.ids[row[stands]]
-        told = bits[2][np.repeat(first[stands], sizes) + within] | np.repeat(later, sizes) if len(begin) else np.zeros(0, bool)
+        told = bits[3][np.repeat(first[stands], sizes) + within] | np.repeat(later, sizes) if len(begin) else np.zeros(0, bool)
         repeats = (np.repeat(begin, sizes) + within)[told]
         edges = np.zeros(len(block.data) + 1, np.int32)
         edges[repeats] += 1
@@ -156,22 +195,26 @@ class _Strings:
         return (np.cumsum(edges[:-1]) > 0) | np.repeat(copies & (block.lengths >= self.length), block.lengths)
 
 
-def deduplicate(docs: DataFrame, length: int = 50, text: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 50, text: bool = False, block_bytes: int = 2 << 20, hot: int = 500) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` the bytes
     that are left (column ``kept``).
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller id; all
     strings are judged on the input. Null and shorter texts lose nothing. Rows of one id count as one document and do not
     take from each other; null ids count as one document after all others (one with the largest bigint). An empty table gives
-    an empty one. Strings are compared by bytes; whole copies of a text are told by 128 bits of its hash.
+    an empty one. Strings are compared by bytes; whole copies of a text are told by 128 bits of its hash. An anchor for which blocks
+    would send over ``hot`` stretches is split by whole strings, which changes no result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     blocks = BlockTable(text_bytes(docs), scratch, block_bytes)
     try:
-        strings = _Strings(length, blocks.buckets(blocks.bytes / 16), blocks.buckets(blocks.bytes, 4 << 20))
+        strings = _Strings(length, blocks.buckets(blocks.bytes / 16), blocks.buckets(blocks.bytes, 4 << 20), hot)
         copies = blocks.copies()
-        anchors = blocks.gather(blocks.ask(strings.ask_anchors, answer_repeats, copies))
-        shards = blocks.gather(blocks.ask(strings.ask_shards, strings.answer_shards, copies, anchors))
+        asked = blocks.ask(strings.ask_anchors, strings.answer_anchors, copies)
+        anchors = blocks.gather(asked)
+        # Without a hot anchor nobody asks for single strings, so that question is left out.
+        singles = blocks.gather(blocks.ask(strings.ask_hot, answer_repeats, copies, anchors) if asked.where("marked").limit(1).count() else asked.limit(0))
+        shards = blocks.gather(blocks.ask(strings.ask_shards, strings.answer_shards, copies, anchors, singles))
 
         def finish(block: Block, bits):
             gone = strings.removed(block, bits)
@@ -188,6 +231,6 @@ def deduplicate(docs: DataFrame, length: int = 50, text: bool = False, block_byt
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text)
 
         schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text
-        return scratch.save(blocks.run(finish, schema, copies, anchors, shards))
+        return scratch.save(blocks.run(finish, schema, copies, anchors, singles, shards))
     finally:
         blocks.drop()
