@@ -1,6 +1,7 @@
 """Classifiers, filters, surrogates and tokenization."""
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -324,6 +325,35 @@ def test_numbers_that_are_no_entities_stay():
     assert kinds("4111111111111111 and +12345678901 and 415-555-0132 and 0049 30 901820") == ["card", "phone", "phone", "phone"]
 
 
+def test_numbers_and_names_behind_words_that_announce_them(spark):
+    found = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.detect(t)]
+    assert found("Phone: 4155550132, call me at 4155550133. Tel. 03012345678; order 4155550132; microphone 4155550132; call 4155550132-7") == [
+        ("phone", "4155550132"), ("phone", "4155550133"), ("phone", "03012345678")]
+    assert found("My name is Fatima Khan and signed by Dr. Nguyen Van An. Sincerely,\nWei Zhang") == [
+        ("given:", "Fatima"), ("surname", "Khan"), ("given:", "Nguyen"), ("surname", "Van"), ("surname", "An"), ("given:", "Wei"), ("surname", "Zhang")]
+    assert found("my name is Anna Weber") == [("given:f", "Anna"), ("surname", "Weber")] and found("my name is nobody, signed by the Board") == []
+    # A rejected card is no phone number from its second group on, what follows it may be one.
+    assert found("4111-1111-1111-1112") == [] and found("4111 1111 1111 1112 415 555 0132") == [("phone", "415 555 0132")]
+    docs = spark.createDataFrame([(1, "phone 4155550132 or 415-555-0132; my name is Fatima Khan; FATIMA KHAN")], "doc_id long, text string")
+    new = pii.replace(docs, b"key").first()
+    assert new["n_entities"] == 4 and "0132" not in new["text"] and "Fatima Khan" not in new["text"]
+    bare, dashed = re.search(r"phone (\d{10}) or (\d{3}-\d{3}-\d{4});", new["text"]).groups()
+    assert bare == dashed.replace("-", "")
+
+
+def test_addresses_of_version_six(spark):
+    text = "from 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:8A2E:0370:7334, fe80::1: down; not std::vector, a::b, 12:30:45, 2024:10:30, ::1 or 2001:db8:1"
+    assert [(k, text[a:b]) for a, b, k, _ in pii.detect(text)] == [
+        ("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"), ("ipv6", "fe80::1")]
+    assert len({v for *_, v in pii.detect(text)}) == 2  # both spellings are one address
+    new = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"key").first()["text"]
+    one, other, local = re.match(r"from (2001:[1-9a-f][\da-f]{2}::[\da-f]{4}:[\da-f]{3}:[\da-f]{4}) and (2001(?::[\dA-F]{4}){7}), (fe80::[\da-f]): down", new).groups()
+    assert ipaddress.ip_address(one) == ipaddress.ip_address(other) != ipaddress.ip_address("2001:db8::8a2e:370:7334") and new.endswith(text[text.index(": down") :])
+    value = ipaddress.ip_address("fe80::1").exploded
+    wide = {pii.surrogate(b"key", "ipv6", value, pii.WIDER + n) for n in range(50)}
+    assert len(wide) == 50 and all(ipaddress.ip_address(pii.render("fe80::1", "ipv6", w)).exploded == w for w in wide)
+
+
 def test_known_entities_are_all_replaced_and_nothing_else(spark):
     rng = random.Random(21)
     digits = lambda n: "".join(rng.choices("0123456789", k=n))

@@ -2,7 +2,7 @@
 
 Each distinct entity of the corpus gets one surrogate, a keyed function of its type and normal form: digits become digits,
 letters letters of the same script and case, names names of the same gender and script, card numbers keep their checksum. Numbers
-that no card can have, bare runs of digits and dates stay as they are. The
+that no card can have, dates, and bare runs of digits without a word like "phone" before them stay as they are. The
 distinct entities and their surrogates are a table of the corpus; a collision check over it draws again where two entities
 would share a surrogate or a surrogate is somebody's real entity, so distinct entities stay distinct and all mentions of one
 stay equal. Texts are never shuffled: a surrogate is recomputed where it is needed, and only the entities that were drawn
@@ -12,6 +12,7 @@ again (few) are looked up.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,6 +48,7 @@ PATTERNS = (
     ("email", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?\K[^\s\"',;]{6,}"),
+    ("ipv6", r"(?<![\w:.])(?:[23][\da-fA-F]{3}|[fF][cCdD][\da-fA-F]{2}|[fF][eE][89abAB][\da-fA-F]):(?:[\da-fA-F]{0,4}:){1,6}(?:[\da-fA-F]{1,4}|(?<=::))(?!\w|:\w)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -58,6 +60,11 @@ _DATE = regex.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d
 _DIGIT = regex.compile(r"\d")
 _DIGITS = regex.compile(r"\d+")
 _NAME = regex.compile(r"\b(\p{Lu}\p{L}*)(\.? +)(\p{Lu}\p{L}+)(?: +(\p{Lu}\p{L}+))?")
+#: A bare run of digits is a phone number only behind a word that says so; a name that no list has is one behind words that announce it.
+_BARE = regex.compile(r"(?<![\w.+,/-])\d{8,15}(?![\w/-]|[.,]\d)")
+_PHONE_CUE = regex.compile(r"(?i)\b(?:phone|tel|telephone|telefon|mobile|cell|fax|whatsapp|call|dial)(?: (?:number|no|me|us))?\.?(?: (?:at|on|is))?[ :=#]{1,3}$")
+_NAME_CUE = regex.compile(
+    r"\b(?i:my name is|full name:|signed by|sincerely,)\s+(?:(?:" + "|".join(TITLES) + r")\.? +)?(\p{Lu}[\p{L}'’-]*\p{L})(?: (\p{Lu}[\p{L}'’-]*\p{L}))(?: (\p{Lu}[\p{L}'’-]*\p{L}))?")
 _SECRET_HINT = regex.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key|AKIA")
 
 #: The attempt from which surrogates get longer.
@@ -78,18 +85,20 @@ def normal_form(kind: str, found: str) -> str:
         return "+" + digits if kind == "phone" and found.startswith("+") else digits
     if kind == "iban":
         return found.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(found).exploded
     return found if kind in ("secret", "ip") else found.lower()
 
 
-def _phones(pattern: regex.Pattern, text: str, taken: bytearray) -> Iterator[regex.Match]:
-    """Matches with 8 to 15 digits that are no dates, are no bare numbers and touch nothing taken; after any other match the search goes
-    on behind its first date or group of digits."""
+def _phones(pattern: regex.Pattern, text: str, taken: bytearray, rejected: bytearray) -> Iterator[regex.Match]:
+    """Matches with 8 to 15 digits that are no dates, are no bare numbers, touch nothing taken and do not begin inside a rejected card;
+    after any other match the search goes on behind its first date or group of digits."""
     m = pattern.search(text)
     while m:
         a, b = m.span()
         date = _DATE.match(m[0])
         bare = m[0].isdigit() and not m[0].startswith("00")
-        if not bare and not (date and date.end() == b - a) and 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not any(taken[a:b]):
+        if not bare and not (date and date.end() == b - a) and 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not rejected[a] and not any(taken[a:b]):
             yield m
             at = b
         else:
@@ -107,18 +116,31 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     spans: list[tuple[int, int, str, str]] = []
     has_digit, has_at, has_secret = _DIGIT.search(text) is not None, "@" in text, _SECRET_HINT.search(text) is not None
     taken = bytearray(len(text)) if has_digit or has_at or has_secret else bytearray()
+    rejected = bytearray(len(taken))  # all of a rejected card but its first place
     for kind, pattern in _COMPILED:
         if not (has_at if kind == "email" else has_secret if kind == "secret" else has_digit):
             continue
-        for m in _phones(pattern, text, taken) if kind == "phone" else pattern.finditer(text):
+        for m in _phones(pattern, text, taken, rejected) if kind == "phone" else pattern.finditer(text):
             a, b = m.span()
             if any(taken[a:b]) or kind == "secret" and not any(map(str.isalnum, m[0])):  # masked: no entity
                 continue
-            value = normal_form(kind, m[0])
+            try:
+                value = normal_form(kind, m[0])
+            except ValueError:  # groups and colons that are no address
+                continue
             if kind == "card" and not is_card(value):
+                rejected[a + 1 : b] = b"\1" * (b - a - 1)
                 continue
             taken[a:b] = b"\1" * (b - a)
             spans.append((a, b, kind, value))
+    for m in _BARE.finditer(text) if has_digit else ():
+        a, b = m.span()
+        if not any(taken[a:b]) and _PHONE_CUE.search(text[max(0, a - 32) : a]):
+            spans.append((a, b, "phone", m[0]))
+    for m in _NAME_CUE.finditer(text) if any(x in text for x in ("ame", "igned", "incerely", "AME", "IGNED", "INCERELY")) else ():
+        first = m[1].lower()
+        spans.append((*m.span(1), "given:" + _GIVEN.get(first, ("", ""))[1], first))
+        spans += [(*m.span(i), "surname", m[i].lower()) for i in (2, 3) if m[i]]
     at, m = 0, _NAME.search(text)
     while m:
         first, second, third = m[1].lower(), m[3].lower(), m[4]
@@ -190,6 +212,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(str(a + _draw(s, b - a + 1)) for a, b in ((1, 254) if more else low[len(o)] for o in value.split(".")))
+    if kind == "ipv6":  # the first group tells the kind of address and stays, and so do groups of zeros
+        groups = [int(g, 16) for g in value.split(":")]
+        low = [16 ** (len(f"{g:x}") - 1) for g in groups]
+        drawn = [1 + _draw(s, 0xFFFF) if more else g and n + _draw(s, 15 * n) for g, n in zip(groups[1:], low[1:], strict=True)]
+        return ":".join(f"{g:04x}" for g in [groups[0], *drawn])
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
@@ -221,6 +248,17 @@ def render(found: str, kind: str, new: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(new.lstrip("+"))
         return "".join(next(signs) if c.isalnum() else c for c in found) + "".join(signs)
+    if kind == "ipv6":
+        groups = new.split(":")
+        if "::" in found:
+            head, _, tail = found.partition("::")
+            left, right = (x.split(":") if x else [] for x in (head, tail))
+            hidden = groups[len(left) : 8 - len(right)]
+            shown = [(left, groups[: len(left)]), (right, groups[8 - len(right) :])] if not any(int(g, 16) for g in hidden) else []
+        else:
+            shown = [(found.split(":"), groups)]
+        spelled = "::".join(":".join(f"{int(g, 16):0{len(f)}x}" for f, g in zip(*x, strict=True)) for x in shown) or ipaddress.IPv6Address(new).compressed
+        return spelled.upper() if found.isupper() else spelled
     if kind == "email" and len(found) == len(new):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(found, new, strict=True))
     if kind == "surname" or kind.startswith("given:"):
